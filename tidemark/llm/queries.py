@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam
+from tidemark.llm import bpe, decontam
 
 QUERIES = {
+    "op7_bpe_codec": bpe.op7,
     "op9_decontamination": decontam.op9,
 }
 
