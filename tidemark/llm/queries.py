@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam
+from tidemark.llm import bpe, decontam, minhash
 
 QUERIES = {
+    "op5_minhash_join": minhash.op5,
     "op7_bpe_codec": bpe.op7,
     "op9_decontamination": decontam.op9,
 }
 
 ORACLES = {
+    "op5_minhash_join": minhash.OP5_SQL,
     "op9_decontamination": decontam.OP9_SQL,
 }
