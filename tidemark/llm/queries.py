@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, minhash, suffix_dedup
+from tidemark.llm import bpe, decontam, minhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
+    "op3_toxicity": toxicity.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op7_bpe_codec": bpe.op7,
     "op9_decontamination": decontam.op9,
