@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, minhash, suffix_dedup, toxicity
+from tidemark.llm import bpe, decontam, minhash, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
     "op3_toxicity": toxicity.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op7_bpe_codec": bpe.op7,
+    "op10_quality": quality.op10,
     "op9_decontamination": decontam.op9,
 }
 
