@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, minhash, quality, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, minhash, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
     "op3_toxicity": toxicity.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
+    "op6_block_join_ann": ann.op6,
     "op7_bpe_codec": bpe.op7,
     "op10_quality": quality.op10,
     "op9_decontamination": decontam.op9,
 }
 
 ORACLES = {
+    "op6_block_join_ann": ann.OP6_SQL,
     "op5_minhash_join": minhash.OP5_SQL,
     "op9_decontamination": decontam.OP9_SQL,
 }
