@@ -4,8 +4,9 @@ Documents with the same shingle set form one class with one representative. Repr
 (coordinate, value) pairs. Two of them with a similarity at the threshold agree on at least ``MATCHES`` coordinates but
 for a chance of about one in a million, so they share a pair among the ``COORDINATES - MATCHES + 1`` rarest of each
 (prefix filter); pairs that only one document has are skipped. A posting list isn't expanded into all its pairs: its
-members are first compared with a pivot, and only members that are still in different components are compared among
-themselves, in blocks, with the collision count deciding before the sets do.
+members are first compared with a pivot, the collision count deciding before the sets do. Lists whose members are in
+different components after that are open. Their members, joined by open lists into families, are compared among
+themselves in blocks on their full sets, and components that meet are reported rather than links.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from tidemark.llm.graph import components
 
 COORDINATES, MATCHES = 48, 27
 PREFIX = COORDINATES - MATCHES + 1
-#: Members of a posting list that one block of the exhaustive comparison holds.
-BLOCK = 512
+#: Members of a family that one block of the exhaustive comparison holds; elements in up to RARE sets are met pair by pair.
+BLOCK, RARE = 1024, 8
 _RNG = np.random.default_rng(20240501)
 _XOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -88,7 +89,7 @@ def postings(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("rep").to_numpy(), COORDINATES))], ["key", "doc"])
 
     every = reps.select("rep", "sig").mapInArrow(run, "key long, doc long")
-    shared = every.groupBy("key").count().where("count > 1")
+    shared = materialise(every.groupBy("key").count().where("count > 1"), "shared-pairs")
     held = every.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("held"))
     # the coordinates that nobody shares come first in the prefix
     prefix = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("held"))))
@@ -120,36 +121,74 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of list members in different components that agree on MATCHES coordinates and whose sizes allow a link.
-
-    Lists are cut into blocks of about BLOCK members, and each pair of blocks is a group of its own, so that no task
-    holds a whole list.
+def meeting(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets: rare elements by their few pairs, frequent ones by a matrix product."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")
+    first = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros((m, m), dtype=np.float32)
+    for c in range(2, RARE + 1):
+        at = first[:-1][counts == c]
+        if len(at):
+            group = owner[order[at[:, None] + np.arange(c)]]
+            for i in range(c):
+                for j in range(i):
+                    np.add.at(out, (group[:, i], group[:, j]), 1)
+    out += out.T
+    often = np.flatnonzero(counts > RARE)
+    column = np.full(len(counts), -1)
+    for lo in range(0, len(often), 2048):
+        part = often[lo : lo + 2048]
+        column[part] = np.arange(len(part))
+        use = np.flatnonzero(column[inverse] >= 0)
+        grid = np.zeros((m, len(part)), dtype=np.float32)
+        grid[owner[use], column[inverse[use]]] = 1
+        out += grid @ grid.T
+        column[part] = -1
+    return out
+
+
+def joined_components(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between components that a link of members of one family joins; members: family, doc, component, text.
+
+    A family is cut into blocks of about BLOCK members, and each pair of blocks is a group of its own, so that no task
+    holds a whole family. All members of the two blocks are compared on their full sets, and what comes out are
+    components that are now one, at most as many rows as members, not links.
     """
-    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    member = lists.join(sizes, "key").join(reps.select(F.col("rep").alias("doc"), "sig", "n_shingles"), "doc")
-    member = member.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    sizes = materialise(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "families")
+    member = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).where("lo < hi or nb = 1")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        doc, comp, n, own = (group.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "own"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (num * np.maximum(n[right], n[i]) <= den * np.minimum(n[right], n[i]))]
-            js = js[js > i] if lo == hi else js
-            if len(js):
-                js = js[(sig[js] == sig[i]).sum(axis=1) >= MATCHES]
-                a += [max(doc[i], doc[j]) for j in js]
-                b += [min(doc[i], doc[j]) for j in js]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    cols = ["key", "doc", "component", "n_shingles", "own", "lo", "hi", "sig"]
-    return spread.select(*cols).groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        component = group.column("component").to_numpy()
+        names, comp = np.unique(component, return_inverse=True)
+        if len(names) < 2:
+            return none
+        sets = []
+        for batch in group.select(["text"]).combine_chunks().to_batches():
+            for _, _, data, offsets in text_chunks(batch):
+                h, at = shingles(data, offsets, k)
+                sets += [np.unique(h[at[d] : at[d + 1]]) for d in range(len(offsets) - 1)]
+        n = np.array([len(x) for x in sets], dtype=np.float32)
+        common = meeting(sets)
+        linked = den * common >= num * (n[:, None] + n[None, :] - common)
+        label = np.arange(len(names))
+        while True:
+            new = np.where(linked, label[comp][None, :], len(names)).min(axis=1)
+            best = label.copy()
+            np.minimum.at(best, comp, new)
+            best = best[best]
+            if (best == label).all():
+                break
+            label = best
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[moved]), "b": pa.array(names[label[moved]])})
+
+    return spread.select("family", "lo", "hi", "component", "text").groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -164,32 +203,21 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 85, den: int =
     rep_key = ["fp1", "fp2", "n_shingles"]
     reps = materialise(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*rep_key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     lists = materialise(postings(reps), "postings")
-    twice = lists.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where("pivot <> top")
+    twice = materialise(lists.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where("pivot <> top"), "pivots")
     linked = twice.join(lists, "key").select("doc").distinct()
     texts = materialise(linked.join(documents.select(F.col("doc_id").alias("doc"), "text"), "doc").withColumnRenamed("doc", "rep"), "texts")
     lists = lists.join(twice.select("key"), "key")
-    tried, edges, comps = None, None, None
-    for turn in range(3):
-        if turn == 0:
-            pairs = twice.select("key", "pivot").join(lists, "key").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:
-            here = lists.join(comps.withColumnsRenamed({"node": "doc"}), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-            mixed = here.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("doc", "component"), F.xxhash64("doc", "key")).alias("p")).where("c0 <> c1")
-            if turn == 1:
-                pairs = here.join(mixed.select("key", "p"), "key").where("component <> p.component").select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
-            else:
-                pairs = cross_pairs(here.join(mixed.select("key"), "key"), reps, num, den)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < 2:  # collisions and sizes rule a pair out before its sets are fetched
-            pairs = by_collisions(pairs, reps, num, den)
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn:
-                break
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        found = confirm(pairs, texts, k, num, den)
-        edges = materialise(found if edges is None else edges.unionAll(found), "links")
-        comps = materialise(components(edges), "components")
+    pairs = twice.select("key", "pivot").join(lists, "key").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    edges = materialise(confirm(by_collisions(pairs, reps, num, den), texts, k, num, den), "links")
+    comps = materialise(components(edges), "components")
+
+    here = lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = materialise(here.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("doc").alias("first")).where("c0 <> c1").select("key", "first"), "open-lists")
+    left = materialise(here.join(mixed, "key").select("doc", "component", "first").distinct(), "open-members")
+    family = components(left.select(F.col("doc").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "doc", "component": "family"})
+    members = left.select("doc", "component").distinct().join(family, "doc").join(texts.withColumnRenamed("rep", "doc"), "doc")
+    edges = materialise(edges.unionAll(joined_components(members, k, num, den)), "links")
+    comps = materialise(components(edges), "components")
     ids = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*rep_key, F.coalesce("component", "rep").alias("component"))
     out = rows.drop("sig").join(ids, rep_key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, decontam, minhash, quality, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, minhash, pst, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
+    "op2_suffix_tree": pst.op2,
     "op3_toxicity": toxicity.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op6_block_join_ann": ann.op6,
