@@ -23,6 +23,8 @@ TERMS, FACTORS, PREFIXES = 1 << 17, 4, (4, 6)
 WINDOW = 48
 #: Labelled texts of each class that training takes at most (those with the smallest hash of doc_id), and words of each.
 SAMPLE, SAMPLE_WORDS = 4000, 20_000
+#: Words that one step of training or scoring takes at a time.
+STEP = 200_000
 EPOCHS, RATE, DECAY, SMOOTH, LEAST = 10, 0.02, 1e-4, 2.0, 3.0
 
 
@@ -58,6 +60,15 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + WINDOW, first[1:][text]), text
 
 
+def steps(first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about STEP words."""
+    lo = 0
+    while lo < len(first) - 1:
+        hi = min(len(first) - 1, max(lo + 1, int(np.searchsorted(first, first[lo] + STEP, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 class Machine:
     """Bias, weights and factors of the terms; ``slope`` and ``shift`` make a probability of a text's largest logit."""
 
@@ -94,7 +105,13 @@ class Machine:
         return self.bias + x[:, 0] + 0.5 * ((x[:, 2:] ** 2).sum(axis=1) - x[:, 1])
 
     def strongest(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logit, begin and end of each text's strongest window."""
+        """Logit, begin and end of each text's strongest window, for about STEP words at a time."""
+        parts = [self._strongest(rows[first[lo] : first[hi]], first[lo : hi + 1] - first[lo]) + (first[lo],) for lo, hi in steps(first)]
+        if not parts:
+            return np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[3] for p in parts]), np.concatenate([p[2] + p[3] for p in parts])
+
+    def _strongest(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin, end, text = windows(first)
         z = self.logits(rows, begin, end)
         at = np.searchsorted(text, np.arange(len(first) - 1))
@@ -114,9 +131,12 @@ def fit(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, per_sampled: tu
     weights, factors = np.zeros(TERMS), rng.normal(0, 0.01, (TERMS, FACTORS))
     if not 0 < labels.sum() < len(labels):
         return Machine(float(np.log(share / (1 - share))), weights, factors * 0)
-    text = np.repeat(np.arange(len(labels)), np.diff(first))
-    seen = np.unique((text[:, None].astype(np.int64) * TERMS + rows).ravel())
-    counts = [np.bincount(seen[labels[seen // TERMS] == y] % TERMS, minlength=TERMS) for y in (0, 1)]
+    counts = np.zeros((2, TERMS))
+    for lo, hi in steps(first):
+        text = np.repeat(np.arange(lo, hi), np.diff(first[lo : hi + 1]))
+        seen = np.unique((text[:, None] * TERMS + rows[first[lo] : first[hi]]).ravel())
+        for y in (0, 1):
+            counts[y] += np.bincount(seen[labels[seen // TERMS] == y] % TERMS, minlength=TERMS)
     ratio = labels.sum() / (len(labels) - labels.sum())
     n = counts[0] + counts[1]
     above = (counts[1] - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
