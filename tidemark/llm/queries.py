@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, decontam, minhash, pst, quality, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, html_blocks, minhash, pst, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_block_join_ann": ann.op6,
     "op7_bpe_codec": bpe.op7,
     "op10_quality": quality.op10,
+    "op8_html_blocks": html_blocks.op8,
     "op9_decontamination": decontam.op9,
 }
 
