@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, decontam, html_blocks, minhash, pst, quality, suffix_dedup, toxicity
+from tidemark.llm import ann, bpe, decontam, html_blocks, minhash, pst, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
+    "op1_warc_revisits": warc.op1,
     "op2_suffix_tree": pst.op2,
     "op3_toxicity": toxicity.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc_revisits": warc.OP1_SQL,
     "op6_block_join_ann": ann.OP6_SQL,
     "op5_minhash_join": minhash.OP5_SQL,
     "op9_decontamination": decontam.OP9_SQL,
