@@ -18,7 +18,7 @@ def test_canonical_url(spark):
 
 def test_resolution(spark):
     rows = [
-        (1, A, 5, "response", '"e1"', "m1", None, {"Content-Type": "html", "content-type": "text", "Cache-Control": "a"}),
+        (1, A, 5, "response", '"e1"', "m1", None, {"Content-Type": "text", "Cache-Control": "a"}),
         (2, A, 7, "response", '"e2"', None, None, {"X": "y"}),
         (3, A, 7, "response", '"e3"', None, "d", None),
         (10, A, 5, "revisit", '"e1"', None, None, None),  # not later than the response
