@@ -182,3 +182,56 @@ c AS (SELECT *, EXISTS (SELECT 1 FROM cal WHERE cal.date = nyd AND event = 'FOMC
     ints = " ".join(c for c in cols if c not in ("hour_sin", "hour_cos", "hour_est", "mins_since_ny_open", "mins_to_ny_close", "bar_gap_min", "weekend_gap_atr", "hrs_to_fomc", "hrs_to_nfp"))
     out["features_sessions"] = query(SMOOTHED, r6(cols, ints), "c", more)
     return out
+
+
+WEEKEND = "isodow(ts) = 6 OR (isodow(ts) = 5 AND hour(ts) >= 17) OR (isodow(ts) = 7 AND hour(ts) < 18)"
+QUALITY = f"""WITH {BARS}, c AS (SELECT *, close / {lag('close')} - 1 AS ch FROM bars)
+SELECT symbol, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close) AS BIGINT) AS violations,
+  CAST(count(*) FILTER (least(open, high, low, close) <= 0) AS BIGINT) AS non_positive, CAST(count(*) FILTER (abs(ch) > 0.02) AS BIGINT) AS outliers, CAST(count(*) FILTER ({WEEKEND}) AS BIGINT) AS weekend_rows FROM c GROUP BY symbol"""
+HOLES = f"""WITH {BARS}, d AS (SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n FROM bars GROUP BY ALL), m AS (SELECT symbol, quantile_cont(n, 0.5) AS med FROM d GROUP BY symbol)
+SELECT symbol, period, n, round(n / med, 6) AS share FROM d JOIN m USING (symbol) WHERE n < 0.95 * med"""
+KEEP_LAST = """SELECT symbol, ts, arg_max(price, seq) AS price, max(seq) AS seq FROM (SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, value AS price, event_id AS seq FROM events WHERE value > 0) GROUP BY ALL"""
+FRIDAYS = "SELECT CAST(m + INTERVAL ((12 - isodow(m)) % 7) DAYS AS DATE) AS date FROM generate_series(TIMESTAMP '2009-01-01', TIMESTAMP '2026-12-01', INTERVAL 1 MONTH) AS g(m)"
+HEADINGS = "SELECT page_id, CAST(i - 1 AS INTEGER) AS position, h[i] AS heading FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages), unnest(range(1, len(h) + 1)) AS r(i)"
+FORWARD = f"WITH {BARS}, c AS (SELECT *, {', '.join(f'ln(lead(close, {n}) OVER ({P}) / close) AS f{n}' for n in (1, 5, 10))} FROM bars) SELECT symbol, ts, {', '.join(f'round(f{n}, 6) AS fwd_ret_{n}, CAST(CASE WHEN f{n} > 0 THEN 1 ELSE 0 END AS TINYINT) AS y_dir_{n}' for n in (1, 5, 10))} FROM c"
+
+
+def barrier_sql(take: float = 1.5, stop: float = 1.0, h: int = 16) -> str:
+    return f"""WITH RECURSIVE {SMOOTHED}, g AS (SELECT *, date_diff('second', {lag('ts')}, ts) / 60.0 AS gap, lead(open) OVER ({P}) AS e, lead(open, {h + 1}) OVER ({P}) AS aft FROM b),
+f AS (SELECT x.symbol, x.rn, x.e, x.a14 AS a, y.rn - x.rn AS j, y.high, y.low, max(CASE WHEN y.gap > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY x.symbol, x.rn ORDER BY y.rn) AS cut FROM g x JOIN g y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn + 1 AND x.rn + {h} WHERE x.aft IS NOT NULL AND x.a14 > 0),
+k AS (SELECT symbol, rn, e, a, min(CASE WHEN low <= e - {stop} * a THEN j END) AS sll, min(CASE WHEN high >= e + {take} * a THEN j END) AS tpl, min(CASE WHEN high >= e + {stop} * a THEN j END) AS sls, min(CASE WHEN low <= e - {take} * a THEN j END) AS tps FROM f WHERE cut = 0 GROUP BY ALL),
+s AS (SELECT k.*, least(sll, tpl) AS hl, least(sls, tps) AS hs FROM k),
+m AS (SELECT s.symbol, s.rn, max(high) AS mx, min(low) AS mn FROM s JOIN f ON f.symbol = s.symbol AND f.rn = s.rn AND f.cut = 0 AND (hl IS NULL OR hs IS NULL OR f.j <= greatest(hl, hs)) GROUP BY ALL)
+SELECT g.symbol, g.ts, CASE WHEN sll <= tpl OR (sll IS NOT NULL AND tpl IS NULL) THEN 0.0::DOUBLE WHEN tpl IS NOT NULL THEN 1.0::DOUBLE END AS y_tp_long, CASE WHEN sls <= tps OR (sls IS NOT NULL AND tps IS NULL) THEN 0.0::DOUBLE WHEN tps IS NOT NULL THEN 1.0::DOUBLE END AS y_tp_short,
+  round((mx - s.e) / s.a, 6) AS mfe_{h}, round((s.e - mn) / s.a, 6) AS mae_{h}, CAST(hl AS DOUBLE) AS time_to_hit FROM g LEFT JOIN s USING (symbol, rn) LEFT JOIN m USING (symbol, rn)"""
+
+
+YEARS = "y AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)"
+FOLDS = f"""WITH {YEARS}, s AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS test_year, min(rn) AS test_first, max(rn) AS test_last FROM y GROUP BY ALL)
+SELECT a.symbol, a.test_year, a.test_first, a.test_last, min(b.test_first) AS train_first, a.test_first - 97 AS train_last, a.test_first - 97 - min(b.test_first) + 1 AS n_train, a.test_last - a.test_first + 1 AS n_test
+FROM s a JOIN s b ON a.symbol = b.symbol AND b.test_year >= a.test_year - 3 GROUP BY ALL HAVING a.test_first - 97 - min(b.test_first) + 1 >= 1"""
+SCORED = "s AS (SELECT lang AS k, doc_id, n_chars AS p, quality AS y FROM documents JOIN labels USING (doc_id))"
+AUC = f"""WITH {SCORED} SELECT a.k, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN w / (n_pos * n_neg) END, 6) AS auc FROM
+(SELECT k, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM s GROUP BY k) a LEFT JOIN (SELECT a.k, sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS w FROM s a JOIN s b ON a.k = b.k AND a.y = 1 AND b.y = 0 GROUP BY a.k) b USING (k)"""
+PROB = "s AS (SELECT lang AS k, doc_id, 1 / (1 + exp(-(n_chars - 1500) / 1000.0::DOUBLE)) AS p, n_chars % 97 / 97.0::DOUBLE AS p2, quality AS y FROM documents JOIN labels USING (doc_id))"
+LOSSES = f"WITH {PROB}, q AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM s) SELECT k, round(avg(-(y * ln(c) + (1 - y) * ln(1 - c))), 6) AS logloss, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(y), 6) AS base_rate, count(*) AS n FROM q GROUP BY k"
+TOP = f"WITH {PROB}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, doc_id) AS i, greatest(1, floor(0.05::DOUBLE * count(*) OVER (PARTITION BY k))) AS m FROM s) SELECT k, count(*) AS top_n, round(avg(y * 2.5 - 1.0), 6) AS top_payoff FROM r WHERE i <= m GROUP BY k"
+_RANK = "(rank() OVER (PARTITION BY k ORDER BY {0}) + (count(*) OVER (PARTITION BY k, {0}) - 1) / 2.0::DOUBLE)"
+ENSEMBLE = f"WITH {PROB} SELECT k, doc_id, round(({_RANK.format('p')} + {_RANK.format('p2')}) / (2 * count(*) OVER (PARTITION BY k)), 6) AS ensemble FROM s"
+IC = f"WITH {PROB}, r AS (SELECT k, {_RANK.format('p')} AS a, {_RANK.format('p2')} AS b FROM s) SELECT k, count(*) AS n, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS ic FROM r GROUP BY k"
+_NUM = "l_quantity l_extendedprice l_discount l_tax".split()
+_AVG = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE)"
+MATRIX = f"WITH r AS (SELECT {', '.join(f'{_AVG.format(c)} AS {c}' for c in _NUM)} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :])
+PSI = f"""WITH {YEARS}, e AS (SELECT symbol, quantile_cont(x, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS e FROM y WHERE year(ts) < 1998 GROUP BY symbol),
+b AS (SELECT symbol, len(list_filter(e, lambda v: v <= x)) AS bin, year(ts) < 1998 AS a FROM y JOIN e USING (symbol)),
+c AS (SELECT symbol, bin, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM b GROUP BY ALL), g AS (SELECT s.symbol, i AS bin, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT DISTINCT symbol FROM c) s CROSS JOIN range(0, 10) r(i) LEFT JOIN c ON c.symbol = s.symbol AND c.bin = i),
+p AS (SELECT symbol, na / sum(na) OVER (PARTITION BY symbol) + 1e-6 AS pa, nb / sum(nb) OVER (PARTITION BY symbol) + 1e-6 AS pb FROM g) SELECT symbol, round(sum((pa - pb) * ln(pa / pb)), 6) AS psi FROM p GROUP BY symbol"""
+INFORMATION = f"""WITH {PROB}, e AS (SELECT k, quantile_cont(p, [{', '.join(str(i / 8) for i in range(1, 8))}]) AS e FROM s GROUP BY k), b AS (SELECT s.k, y, len(list_filter(e, lambda v: v < p)) AS bin FROM s JOIN e USING (k)),
+j AS (SELECT k, bin, y, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY k) AS a, sum(n) OVER (PARTITION BY k, bin) AS nb, sum(n) OVER (PARTITION BY k, y) AS ny FROM j) SELECT k, round(sum(n / a * ln(n * a / (nb * ny))), 6) AS information FROM t GROUP BY k"""
+THRESHOLD = f"""WITH {YEARS}, v AS (SELECT symbol, x / 1000 AS p, CASE WHEN CAST(floor(x) AS BIGINT) % 3 = 0 THEN 1.5::DOUBLE ELSE -1.0::DOUBLE END AS pay FROM y), g AS (SELECT symbol, quantile_cont(p, [{', '.join(str(0.5 + (0.995 - 0.5) * i / 59) for i in range(60))}]) AS g, count(*) / 20.0::DOUBLE AS days FROM v GROUP BY symbol),
+h AS (SELECT symbol, i, g[i] AS thr, days FROM g, range(1, 61) r(i)), c AS (SELECT h.symbol, i, thr, days, count(*) AS n, avg(pay) AS ex FROM h JOIN v ON v.symbol = h.symbol AND v.p >= thr GROUP BY ALL),
+b AS (SELECT symbol, arg_max({{'t': thr, 'e': ex}}, ex * 1000000000 - i) AS b FROM c WHERE n >= 30 AND n / days BETWEEN 0.1 AND 5 GROUP BY symbol) SELECT g.symbol, round(coalesce(b.b.t, g.g[60]), 6) AS threshold, round(b.b.e, 6) AS expectancy FROM g LEFT JOIN b USING (symbol)"""
+DRAWDOWN = f"WITH {BARS} SELECT symbol, ts, round(close / max(close) OVER ({P}) - 1, 6) AS drawdown FROM bars"
+DAILY = f"WITH {BARS} SELECT symbol, CAST(ts - INTERVAL 18 HOURS AS DATE) AS trading_day, arg_max(close, ts) AS close, count(*) AS n FROM bars GROUP BY ALL"
+TENSOR = f"WITH {BARS}, c AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, list(round(close, 4)) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, ts, CAST(len(l) AS INTEGER) AS steps, l[1] AS oldest, l[32] AS newest FROM c WHERE len(l) = 32"
+RUNS = f"WITH {BARS}, s AS (SELECT symbol, ts, sign(close - open) AS st FROM bars), tt AS (SELECT *, CASE WHEN st = {lag('st')} THEN 0 ELSE 1 END AS tn FROM s), u AS (SELECT *, sum(tn) OVER ({P}) AS run FROM tt), l AS (SELECT symbol, st, run, count(*) AS n FROM u GROUP BY ALL) SELECT symbol, CAST(st AS INTEGER) AS state, count(*) AS n_runs, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS median FROM l GROUP BY symbol, st"

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import oracles
+from tidemark.functions import statistics as S
+from tidemark.functions import windows as R
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
-from tidemark.sources.ticks import first_fridays, table, ticks_from_events
+from tidemark.operators import folds, labels
+from tidemark.operators import series as Z
+from tidemark.sources.ticks import first_fridays, html_headings, table, ticks_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +49,7 @@ def calendar_of(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {oracles.BARS} SELECT symbol, ts, open, high, low, close, n, round(rv, 6) AS rv, round(absret, 6) AS absret, up, down, round(range_sum, 6) AS range_sum, ts + INTERVAL 5 HOURS AS utc FROM bars")
 def bars_15m(spark, sf_dir):
-    return rounded(bars_of(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ()}))
+    return rounded(bars_of(spark, sf_dir))
 
 
 def family(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
@@ -59,3 +63,141 @@ def family(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
 for _name, _build in (("returns", X.returns), ("candles", X.candles), ("trend", X.trend), ("momentum", X.momentum), ("volatility", lambda b: X.volatility(b, 96)), ("activity", X.activity), ("structure", X.structure), ("levels", X.levels), ("sessions", X.sessions)):
     family(_name, _build)
 ORACLES |= oracles.family_sql()
+
+
+@query(oracles.QUALITY)
+def quality_report(spark, sf_dir):
+    return B.quality(bars_of(spark, sf_dir))
+
+
+@query(oracles.HOLES)
+def coverage_holes(spark, sf_dir):
+    return B.coverage_holes(bars_of(spark, sf_dir), "day", 0.95)
+
+
+@query(oracles.KEEP_LAST)
+def keep_last_hourly(spark, sf_dir):
+    ticks = ticks_from_events(table(spark, sf_dir, "events"))
+    return B.keep_last(ticks.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")), "symbol", "ts")
+
+
+@query(oracles.FRIDAYS)
+def calendar_first_fridays(spark, sf_dir):
+    return first_fridays(spark, "2009-01-01", "2026-12-31")
+
+
+@query(oracles.HEADINGS)
+def page_headings(spark, sf_dir):
+    return html_headings(table(spark, sf_dir, "pages"))
+
+
+@query(oracles.FORWARD)
+def labels_forward(spark, sf_dir):
+    b = labels.forward_returns(bars_of(spark, sf_dir))
+    return rounded(b.select("symbol", "ts", *(c for n in (1, 5, 10) for c in (f"fwd_ret_{n}", f"y_dir_{n}"))))
+
+
+def prepared(spark, sf_dir):
+    return X.prepare(bars_of(spark, sf_dir)).where("not halo")
+
+
+def barrier_query(take: float, stop: float, horizon: int):
+    def run(spark, sf_dir):
+        out = labels.barriers(prepared(spark, sf_dir), "a14", take, stop, horizon)
+        return rounded(out.select("symbol", "ts", "y_tp_long", "y_tp_short", f"mfe_{horizon}", f"mae_{horizon}", "time_to_hit"))
+
+    return run
+
+
+for _name, _args in (("labels_barriers", (1.5, 1.0, 16)), ("labels_barriers_wide", (3.0, 2.0, 64))):
+    QUERIES[_name], ORACLES[_name] = barrier_query(*_args), oracles.barrier_sql(*_args)
+
+
+def yearly(spark, sf_dir):
+    """Orders as a series of several years for each priority."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("x"), "o_orderkey")
+    return o.withColumn("_at", F.struct("ts", "o_orderkey"))
+
+
+def numbered_years(spark, sf_dir):
+    o = yearly(spark, sf_dir)
+    days = o.groupBy("symbol", "ts").count()
+    before = days.withColumn("_b", F.coalesce(F.sum("count").over(R.series("symbol").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    return o.withColumn("_i", F.row_number().over(R.series("symbol", "ts", order="o_orderkey"))).join(before, ["symbol", "ts"]).withColumn("rn", F.col("_b") + F.col("_i")).drop("_i", "_b", "_at")
+
+
+@query(oracles.FOLDS)
+def folds_rolling_three_years(spark, sf_dir):
+    return folds.year_folds(numbered_years(spark, sf_dir), years=3).select("symbol", "test_year", "test_first", "test_last", "train_first", "train_last", "n_train", "n_test")
+
+
+def scored(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.select(F.col("lang").alias("k"), "doc_id", "n_chars", (1 / (1 + F.exp(-(F.col("n_chars") - 1500) / 1000))).alias("p"), (F.col("n_chars") % 97 / 97).alias("p2"), F.col("quality").alias("y"))
+
+
+@query(oracles.AUC)
+def auc_exact(spark, sf_dir):
+    return rounded(S.auc(scored(spark, sf_dir), "n_chars", "y", ["k"]))
+
+
+@query(oracles.LOSSES)
+def losses(spark, sf_dir):
+    return rounded(S.losses(scored(spark, sf_dir), "p", "y", ["k"]))
+
+
+@query(oracles.TOP)
+def top_payoff(spark, sf_dir):
+    return rounded(S.top_payoff(scored(spark, sf_dir), "p", "y", "doc_id", ["k"]))
+
+
+@query(oracles.ENSEMBLE)
+def rank_ensemble(spark, sf_dir):
+    return rounded(S.rank_average(scored(spark, sf_dir), ["p", "p2"], ["k"]).select("k", "doc_id", "ensemble"))
+
+
+@query(oracles.IC)
+def spearman_ic(spark, sf_dir):
+    return rounded(S.spearman(scored(spark, sf_dir), "p", "p2", ["k"]))
+
+
+@query(oracles.MATRIX)
+def spearman_matrix(spark, sf_dir):
+    return rounded(S.spearman_matrix(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@query(oracles.PSI)
+def drift_psi(spark, sf_dir):
+    return rounded(S.psi(yearly(spark, sf_dir), "x", F.year("ts") < 1998, ["symbol"]))
+
+
+@query(oracles.INFORMATION)
+def mutual_information_binned(spark, sf_dir):
+    return rounded(S.binned_information(scored(spark, sf_dir), "p", "y", ["k"], 8))
+
+
+@query(oracles.THRESHOLD)
+def threshold_choice(spark, sf_dir):
+    v = yearly(spark, sf_dir).select("symbol", (F.col("x") / 1000).alias("p"), F.when(F.floor("x") % 3 == 0, 1.5).otherwise(-1.0).alias("pay"))
+    return rounded(S.choose_threshold(v, "p", "pay", 20.0, ["symbol"]))
+
+
+@query(oracles.DRAWDOWN)
+def drawdown(spark, sf_dir):
+    return rounded(Z.drawdown(B.numbered(bars_of(spark, sf_dir)), "close").select("symbol", "ts", "drawdown"))
+
+
+@query(oracles.DAILY)
+def daily_close(spark, sf_dir):
+    return Z.daily(bars_of(spark, sf_dir))
+
+
+@query(oracles.TENSOR)
+def sliding_tensor(spark, sf_dir):
+    t = Z.sequences(bars_of(spark, sf_dir), ["close"], 32)
+    return t.select("symbol", "ts", F.size("steps").alias("steps"), F.round(F.col("steps")[0][0], 4).alias("oldest"), F.round(F.col("steps")[31][0], 4).alias("newest"))
+
+
+@query(oracles.RUNS)
+def run_lengths(spark, sf_dir):
+    return rounded(Z.run_lengths(bars_of(spark, sf_dir).withColumn("state", F.signum(F.col("close") - F.col("open")).cast("int")), "state"))
