@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import corr
+
 
 def ranked(rows: DataFrame, score: str, keys: Sequence[str], out: str = "_rank") -> DataFrame:
     """Average rank (from 1) of the score within the keys.
@@ -66,7 +68,7 @@ def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str], least: int =
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     r = ranked(ranked(both, x, keys, "_rx"), y, keys, "_ry")
     varied = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0) & (F.count("*") >= least)
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when(varied, F.corr("_rx", "_ry")).alias("ic"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when(varied, corr("_rx", "_ry")).alias("ic"))
 
 
 def spearman_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,7 +77,7 @@ def spearman_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         whole = ranked(whole, c, ["_g"], f"_r_{c}")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = whole.agg(*(F.coalesce(F.corr(f"_r_{a}", f"_r_{b}"), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
+    one = whole.agg(*(F.coalesce(corr(f"_r_{a}", f"_r_{b}"), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("c")).select("c.*")
 
 
@@ -83,7 +85,7 @@ def gram(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Correlation matrix from one aggregate of sums; as small as the columns are few."""
     whole = rows.select(*columns).dropna()
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = whole.agg(*(F.corr(columns[i], columns[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
+    one = whole.agg(*(corr(columns[i], columns[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
     out = np.eye(len(columns))
     for i, j in pairs:
         v = one[f"p{i}_{j}"]

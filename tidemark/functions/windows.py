@@ -52,10 +52,20 @@ def slope(x: str | Column, row: str | Column, w: WindowSpec, n: int) -> Column:
     return full(F.regr_slope(x, col(row)).over(frame(w, n)), x, w, n)
 
 
+def corr(x: str | Column, y: str | Column, over: WindowSpec | None = None) -> Column:
+    """Correlation of the pairs without nulls, as an aggregate or over a frame; null where one of them is constant."""
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    c, a, b = parts if over is None else (p.over(over) for p in parts)
+    return c / F.nullif(a * b, F.lit(0.0))
+
+
 def autocorr1(x: str | Column, before: str | Column, w: WindowSpec, n: int) -> Column:
     """Correlation of the frame's values with those one row earlier, both inside the frame; 0 where the frame is constant."""
     x = col(x)
-    inner = F.corr(x, col(before)).over(w.rowsBetween(-(n - 2), 0))
+    inner = corr(x, before, w.rowsBetween(-(n - 2), 0))
     return full(F.when(F.stddev_pop(x).over(frame(w, n)) == 0, F.lit(0.0)).otherwise(inner), x, w, n)
 
 
@@ -96,9 +106,3 @@ def filled(x: str | Column, w: WindowSpec) -> Column:
 def flag(condition: Column) -> Column:
     """1 or 0; null counts as 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def runs(x: str | Column, w: WindowSpec, rn: str = "rn") -> Column:
-    """Number of the row's run of equal values (to be grouped or numbered by the caller)."""
-    change = F.when(col(x) == F.lag(col(x)).over(w), 0).otherwise(1)
-    return change

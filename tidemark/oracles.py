@@ -208,8 +208,8 @@ SELECT g.symbol, g.ts, CASE WHEN sll <= tpl OR (sll IS NOT NULL AND tpl IS NULL)
 
 YEARS = "y AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)"
 FOLDS = f"""WITH {YEARS}, s AS (SELECT symbol, CAST(year(ts) AS INTEGER) AS test_year, min(rn) AS test_first, max(rn) AS test_last FROM y GROUP BY ALL)
-SELECT a.symbol, a.test_year, a.test_first, a.test_last, min(b.test_first) AS train_first, a.test_first - 97 AS train_last, a.test_first - 97 - min(b.test_first) + 1 AS n_train, a.test_last - a.test_first + 1 AS n_test
-FROM s a JOIN s b ON a.symbol = b.symbol AND b.test_year >= a.test_year - 3 GROUP BY ALL HAVING a.test_first - 97 - min(b.test_first) + 1 >= 1"""
+SELECT *, train_last - train_first + 1 AS n_train FROM (SELECT a.symbol, a.test_year, a.test_first, a.test_last, min(b.test_first) AS train_first, a.test_first - 97 AS train_last, a.test_last - a.test_first + 1 AS n_test
+FROM s a JOIN s b ON a.symbol = b.symbol AND b.test_year >= a.test_year - 3 GROUP BY a.symbol, a.test_year, a.test_first, a.test_last) WHERE train_last >= train_first"""
 SCORED = "s AS (SELECT lang AS k, doc_id, n_chars AS p, quality AS y FROM documents JOIN labels USING (doc_id))"
 AUC = f"""WITH {SCORED} SELECT a.k, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN w / (n_pos * n_neg) END, 6) AS auc FROM
 (SELECT k, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg FROM s GROUP BY k) a LEFT JOIN (SELECT a.k, sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS w FROM s a JOIN s b ON a.k = b.k AND a.y = 1 AND b.y = 0 GROUP BY a.k) b USING (k)"""
@@ -235,3 +235,20 @@ DRAWDOWN = f"WITH {BARS} SELECT symbol, ts, round(close / max(close) OVER ({P})
 DAILY = f"WITH {BARS} SELECT symbol, CAST(ts - INTERVAL 18 HOURS AS DATE) AS trading_day, arg_max(close, ts) AS close, count(*) AS n FROM bars GROUP BY ALL"
 TENSOR = f"WITH {BARS}, c AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, list(round(close, 4)) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, ts, CAST(len(l) AS INTEGER) AS steps, l[1] AS oldest, l[32] AS newest FROM c WHERE len(l) = 32"
 RUNS = f"WITH {BARS}, s AS (SELECT symbol, ts, sign(close - open) AS st FROM bars), tt AS (SELECT *, CASE WHEN st = {lag('st')} THEN 0 ELSE 1 END AS tn FROM s), u AS (SELECT *, sum(tn) OVER ({P}) AS run FROM tt), l AS (SELECT symbol, st, run, count(*) AS n FROM u GROUP BY ALL) SELECT symbol, CAST(st AS INTEGER) AS state, count(*) AS n_runs, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS median FROM l GROUP BY symbol, st"
+
+
+ASOF = """WITH l AS (SELECT event_type AS symbol, ts, event_id FROM events WHERE event_id % 3 = 0), r AS (SELECT event_type AS symbol, ts, value FROM events WHERE event_id % 3 <> 0 AND value > 0)
+SELECT l.symbol, l.ts, l.event_id, r.ts AS r_ts, r.value AS r_value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts > r.ts"""
+INTERVAL = f"""WITH {BARS}, s AS (SELECT symbol, ts AS t0, ts + INTERVAL 40 MINUTES AS t1 FROM bars WHERE minute(ts) = 30) SELECT s.symbol, s.t0, count(*) AS n, round(min(e.value), 6) AS low, round(max(e.value), 6) AS high
+FROM events e JOIN s ON e.event_type = s.symbol AND e.ts >= t0 AND e.ts < t1 GROUP BY ALL"""
+_IMB = "(up - down) / (up + down + 1.0::DOUBLE)"
+GRAMMAR = f"""WITH {BARS}, z AS (SELECT *, ln(close / {lag('close')}) AS r, (high - low) / close AS hl, {_IMB} AS imb, ln(1 + n) AS act FROM bars), y AS (SELECT *, {zs('r', 32)} AS zr, {roll('stddev_samp', 'hl', 16)} AS sd, CASE WHEN count(r) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) = 32 THEN corr(r, act) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) END AS co,
+  list(imb) OVER ({P} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS li FROM z)
+SELECT symbol, ts, round(lag(zr, 2) OVER ({P}), 6) AS f1, round(sd / (abs(r) + 1e-12) * CASE WHEN r >= 0 THEN 1 WHEN r IS NULL THEN NULL ELSE -1 END, 2) AS f2, round(co, 6) AS f3, round(CASE WHEN len(li) = 8 THEN (len(list_filter(li, lambda v: v < imb)) + (len(list_filter(li, lambda v: v = imb)) + 1) / 2.0::DOUBLE) / 8 END, 6) AS f4 FROM y"""
+EVENTS = f"""WITH {BARS}, z AS (SELECT *, CAST(ts - INTERVAL 18 HOURS AS DATE) AS day, hour((ts + INTERVAL 5 HOURS) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London') >= 8 AS late, {', '.join(f'lead(close, {h}) OVER ({P}) AS c{h}' for h in (8, 16, 32))}, lead(open) OVER ({P}) AS o1 FROM bars),
+y AS (SELECT *, sum(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY ts) AS nth, first_value(open) OVER (PARTITION BY symbol, day ORDER BY ts) AS f FROM z)
+SELECT symbol, ts, round(ln(open / f), 6) AS move, {', '.join(f'round(-sign(ln(open / f)) * ln(c{h} / o1) * 1e4 - 2.5, 6) AS fade_{h}' for h in (8, 16, 32))} FROM y WHERE late AND nth = 1 AND hour(ts) BETWEEN 1 AND 5"""
+STREAM = f"WITH {BARS} SELECT symbol, ts, open, high, low, close, n FROM bars"
+HISTOGRAM = f"WITH {BARS}, c AS (SELECT ln(close / {lag('close')}) AS x FROM bars) SELECT CAST(least(greatest(floor((x + 1) / 2 * 60), 0), 59) AS INTEGER) AS bin, count(*) AS n FROM c WHERE x IS NOT NULL GROUP BY bin"
+CONDITIONS = f"""WITH {BARS}, c AS (SELECT *, ln(close / {lag('close')}) AS x FROM bars), g AS (SELECT 'asia' AS condition, x FROM c WHERE hour(ts) >= 19 OR hour(ts) < 4 UNION ALL SELECT 'late', x FROM c WHERE hour(ts) >= 12 UNION ALL SELECT 'busy', x FROM c WHERE n >= 2)
+SELECT condition, count(x) AS n, round(avg(x), 6) AS mean, round(1.96 * stddev_samp(x) / sqrt(count(x)), 6) AS margin FROM g GROUP BY condition HAVING count(x) >= 10"""

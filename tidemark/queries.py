@@ -14,8 +14,14 @@ from tidemark.functions import windows as R
 from tidemark.operators import bars as B
 from tidemark.operators import features as X
 from tidemark.operators import folds, labels
+from tidemark.operators import joins as J
+from tidemark.operators import models as L
+from tidemark.operators import regimes as H
 from tidemark.operators import series as Z
+from tidemark.operators import simulate as M
+from tidemark.plans import grammar as G
 from tidemark.sources.ticks import first_fridays, html_headings, table, ticks_from_events
+from tidemark.streaming.bars import stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +207,128 @@ def sliding_tensor(spark, sf_dir):
 @query(oracles.RUNS)
 def run_lengths(spark, sf_dir):
     return rounded(Z.run_lengths(bars_of(spark, sf_dir).withColumn("state", F.signum(F.col("close") - F.col("open")).cast("int")), "state"))
+
+
+@query(oracles.ASOF)
+def asof_previous(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "symbol")
+    left = e.where("event_id % 3 = 0").select("symbol", "ts", "event_id")
+    return J.asof(left, e.where("event_id % 3 <> 0 and value > 0").select("symbol", "ts", "value"), "symbol", "ts", ["value"], strict=True)
+
+
+@query(oracles.INTERVAL)
+def interval_join(spark, sf_dir):
+    spans = bars_of(spark, sf_dir).where(F.minute("ts") == 30).select("symbol", F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("t1"))
+    points = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value")
+    hit = J.interval(points, spans, "symbol", "ts", "t0", "t1", 3600)
+    return rounded(hit.groupBy("symbol", "t0").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+@query(oracles.GRAMMAR)
+def grammar_columns(spark, sf_dir):
+    one = lambda op, w, a: {"op": op, "w": w, "a": a}
+    base = lambda b: {"op": b}
+    trees = {
+        "f1": one("lag", 8, one("zs", 32, base("r"))), "f2": {"op": "div", "w": 4, "a": one("std", 16, base("hl")), "b": base("r")},
+        "f3": {"op": "corr", "w": 32, "a": base("r"), "b": base("act")}, "f4": one("rank", 8, base("imb")),
+    }
+    out = G.evaluate(G.base_series(bars_of(spark, sf_dir)), trees)
+    return out.select("symbol", "ts", F.round("f1", 6).alias("f1"), F.round("f2", 2).alias("f2"), F.round("f3", 6).alias("f3"), F.round("f4", 6).alias("f4"))
+
+
+@query(oracles.EVENTS)
+def event_study(spark, sf_dir):
+    return rounded(M.event_study(bars_of(spark, sf_dir)))
+
+
+@query(oracles.STREAM)
+def stream_bars_batch(spark, sf_dir):
+    return stream_bars(ticks_from_events(table(spark, sf_dir, "events")))
+
+
+@query(oracles.HISTOGRAM)
+def return_histogram(spark, sf_dir):
+    b = bars_of(spark, sf_dir)
+    return Z.histogram(b.withColumn("x", F.log(F.col("close") / F.lag("close").over(R.series("symbol")))), "x", 60, -1.0, 1.0)
+
+
+@query(oracles.CONDITIONS)
+def conditioned_returns(spark, sf_dir):
+    b = bars_of(spark, sf_dir).withColumn("x", F.log(F.col("close") / F.lag("close").over(R.series("symbol"))))
+    h = F.hour("ts")
+    return rounded(Z.conditioned(b, "x", {"asia": (h >= 19) | (h < 4), "late": h >= 12, "busy": F.col("n") >= 2}))
+
+
+@query()
+def features_all(spark, sf_dir):
+    return X.all_features(bars_of(spark, sf_dir), calendar_of(spark), year=96)
+
+
+@query()
+def variance_inflation(spark, sf_dir):
+    return rounded(S.variance_inflation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+def predicted(spark, sf_dir):
+    """Bars with context and probabilities made from the last return, a stand-in for a classifier's."""
+    b = M.with_context(prepared(spark, sf_dir))
+    p = 1 / (1 + F.exp(-5 * F.coalesce("lr", F.lit(0.0))))
+    return b.withColumns({"p_long": p, "p_short": 1 - p, "threshold": F.lit(0.9)})
+
+
+def simulation(rules: M.Rules):
+    return lambda spark, sf_dir: rounded(M.simulate(predicted(spark, sf_dir), rules))
+
+
+QUERIES["simulate_market"] = simulation(M.Rules())
+QUERIES["simulate_limit"] = lambda spark, sf_dir: rounded(M.simulate(M.attach_minutes(predicted(spark, sf_dir).drop("minutes"), ticks_from_events(table(spark, sf_dir, "events")).withColumns({"high": F.col("price"), "low": F.col("price")})), M.Rules(entry="limit")))
+QUERIES["simulate_bracket"] = simulation(M.Rules(entry="bracket", offset=0.5, life=8, horizon=32))
+QUERIES["simulate_composite"] = lambda spark, sf_dir: rounded(M.simulate(predicted(spark, sf_dir).withColumn("gate", F.col("a14") > F.col("a96")), M.Rules(entry="limit", flatten_before_gap=True, max_leverage=5.0, cost_bp=1.25)))
+
+
+@query()
+def market_outcomes(spark, sf_dir):
+    side = F.when(F.col("p_long") >= 0.9, 1).when(F.col("p_short") >= 0.9, -1).otherwise(0)
+    return rounded(M.market_outcomes(predicted(spark, sf_dir), side).select("symbol", "ts", "r_mult"))
+
+
+@query()
+def performance(spark, sf_dir):
+    b = predicted(spark, sf_dir)
+    t = M.simulate(b)
+    return rounded(M.performance(t, M.daily_equity(t, b)))
+
+
+@query()
+def placebo_shuffles(spark, sf_dir):
+    t = M.simulate(M.placebo(predicted(spark, sf_dir).drop("scenario"), 5))
+    return rounded(t.groupBy("symbol", "scenario").agg(F.count("*").alias("n"), F.avg("r_mult").alias("expectancy")))
+
+
+@query()
+def bootstrap_days(spark, sf_dir):
+    return rounded(S.day_bootstrap(M.simulate(predicted(spark, sf_dir)), "r_mult", F.to_date("entry_ts"), ["symbol"], reps=500))
+
+
+def sizing(rule: str):
+    return lambda spark, sf_dir: rounded(M.sized(M.simulate(predicted(spark, sf_dir)), rule))
+
+
+for _name in ("flat1", "kelly025", "ddthrottle"):
+    QUERIES[f"sizing_{_name}"] = sizing(_name)
+
+
+@query()
+def ruin_shares(spark, sf_dir):
+    return rounded(M.ruin(M.simulate(predicted(spark, sf_dir)), reps=100))
+
+
+@query()
+def regime_probabilities(spark, sf_dir):
+    b = H.observations(prepared(spark, sf_dir))
+    return rounded(H.filtered(b, H.fit(B.chunked(b.drop("chunk", "halo"), 5000, 0), iterations=5)))
+
+
+@query()
+def walk_forward_auc(spark, sf_dir):
+    return rounded(L.walk_forward_auc(numbered_years(spark, sf_dir), years=(1999, 2000)))
