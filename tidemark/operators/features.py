@@ -17,13 +17,17 @@ from tidemark.functions.windows import EPS, flag
 from tidemark.operators.bars import chunked, numbered
 from tidemark.operators.smoothing import smoothed, span
 
-W = R.series("symbol", "chunk")
 CHUNK, HALO, YEAR_RANK = 20_000, 6_500, 6_048
 LAGGED = "ret_1 body_atr close_pos rsi14 bb_pos m1_imb stoch_k macd_hist_n vol_expansion efficiency_1 range_atr gap_atr sweep_high sweep_low bos_up bos_dn dist_vwap_day adx14 di_diff absret_z".split()
 
 
+def order():
+    """The window of a chunk; made when asked for, as there may be no session at import."""
+    return R.series("symbol", "chunk")
+
+
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(W)
+    return F.lag(x, n).over(order())
 
 
 def prepare(bars: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO) -> DataFrame:
@@ -48,11 +52,11 @@ def prepare(bars: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO) -> DataF
 
 def returns(b: DataFrame) -> DataFrame:
     """17 columns: log returns, their z-scores, moments, autocorrelation and variance ratio."""
-    b = b.withColumns({"_lr1": lag("lr"), "_sum4": R.rolling("sum", "lr", W, 4)})
+    b = b.withColumns({"_lr1": lag("lr"), "_sum4": R.rolling("sum", "lr", order(), 4)})
     new = {f"ret_{n}": F.log(F.col("close") / lag("close", n)) for n in (1, 2, 4, 8, 16, 32, 96, 192, 480)}
-    new |= {f"ret_z_{n}": R.zscore("lr", W, n) for n in (16, 96, 480)}
-    new |= {"ret_skew_32": R.skew("lr", W, 32), "ret_skew_96": R.skew("lr", W, 96), "ret_kurt_96": R.kurt("lr", W, 96), "ret_autocorr1_96": R.autocorr1("lr", "_lr1", W, 96)}
-    new["var_ratio_4_96"] = R.rolling("var_samp", "_sum4", W, 96) / (4 * R.rolling("var_samp", "lr", W, 96) + EPS)
+    new |= {f"ret_z_{n}": R.zscore("lr", order(), n) for n in (16, 96, 480)}
+    new |= {"ret_skew_32": R.skew("lr", order(), 32), "ret_skew_96": R.skew("lr", order(), 96), "ret_kurt_96": R.kurt("lr", order(), 96), "ret_autocorr1_96": R.autocorr1("lr", "_lr1", order(), 96)}
+    new["var_ratio_4_96"] = R.rolling("var_samp", "_sum4", order(), 96) / (4 * R.rolling("var_samp", "lr", order(), 96) + EPS)
     return b.withColumns(new)
 
 
@@ -63,7 +67,7 @@ def candles(b: DataFrame) -> DataFrame:
     way = F.coalesce(F.signum("dc"), F.lit(0.0))
     b = b.withColumns({"_way": way, "_up": (c > o).cast("int")})
     b = b.withColumn("_turn", F.when(F.col("_way") == lag("_way"), 0).otherwise(1))
-    b = b.withColumn("_run", F.sum("_turn").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("_run", F.sum("_turn").over(order().rowsBetween(Window.unboundedPreceding, 0)))
     po, pc = lag("open"), lag("close")
     bull = flag((c > o) & (pc < po) & (c >= po) & (o <= pc))
     bear = flag((c < o) & (pc > po) & (c <= po) & (o >= pc))
@@ -73,7 +77,7 @@ def candles(b: DataFrame) -> DataFrame:
         "close_streak": F.col("_way") * F.row_number().over(R.series("symbol", "chunk", "_run")), "engulf": bull - bear,
         "inside_bar": flag((h <= lag("high")) & (low >= lag("low"))), "outside_bar": flag((h > lag("high")) & (low < lag("low"))),
     }
-    return b.withColumns(new | {f"up_frac_{n}": R.rolling("avg", "_up", W, n) for n in (3, 8, 20)})
+    return b.withColumns(new | {f"up_frac_{n}": R.rolling("avg", "_up", order(), n) for n in (3, 8, 20)})
 
 
 def trend(b: DataFrame) -> DataFrame:
@@ -81,14 +85,14 @@ def trend(b: DataFrame) -> DataFrame:
     c, a = F.col("close"), F.col("atr")
     spans = (8, 20, 50, 100, 200)
     new = {f"ema{n}_dist": (c - F.col(f"ema{n}")) / a for n in spans} | {f"ema{n}_slope": (F.col(f"ema{n}") - lag(f"ema{n}", 4)) / a for n in spans}
-    new["sma20_dist"] = (c - R.rolling("avg", "close", W, 20)) / a
+    new["sma20_dist"] = (c - R.rolling("avg", "close", order(), 20)) / a
     new["ema_ribbon"] = sum((flag(F.col(f"ema{x}") > F.col(f"ema{y}")) for x, y in zip(spans, spans[1:], strict=False)), F.lit(0))
-    new["aroon_up"], new["aroon_dn"] = R.since_extreme("high", W, 26, True) / 25 * 100, R.since_extreme("low", W, 26, False) / 25 * 100
-    new |= {f"lr_slope_{n}": R.slope(F.log("close"), "rn", W, n) * 1e4 for n in (20, 96)}
-    b = b.withColumns(new | {f"_res{n}": c - R.rolling("avg", "close", W, n) for n in (20, 96)} | {f"_slope{n}": R.slope("close", "rn", W, n) for n in (20, 96)})
+    new["aroon_up"], new["aroon_dn"] = R.since_extreme("high", order(), 26, True) / 25 * 100, R.since_extreme("low", order(), 26, False) / 25 * 100
+    new |= {f"lr_slope_{n}": R.slope(F.log("close"), "rn", order(), n) * 1e4 for n in (20, 96)}
+    b = b.withColumns(new | {f"_res{n}": c - R.rolling("avg", "close", order(), n) for n in (20, 96)} | {f"_slope{n}": R.slope("close", "rn", order(), n) for n in (20, 96)})
     for n in (20, 96):
         sxx = n * (n * n - 1) / 12
-        fit = F.col(f"_slope{n}") ** 2 * sxx / (R.rolling("var_samp", f"_res{n}", W, n) * n + EPS)
+        fit = F.col(f"_slope{n}") ** 2 * sxx / (R.rolling("var_samp", f"_res{n}", order(), n) * n + EPS)
         b = b.withColumn(f"lr_r2_{n}", F.when(fit.isNotNull(), F.least(F.greatest(fit, F.lit(0.0)), F.lit(1.0))))
     return b
 
@@ -100,34 +104,34 @@ def rsi(n: int) -> Column:
 def momentum(b: DataFrame) -> DataFrame:
     """12 columns: relative strength, MACD, stochastics, CCI, divergence."""
     c = F.col("close")
-    lo, hi = R.rolling("min", "low", W, 14), R.rolling("max", "high", W, 14)
+    lo, hi = R.rolling("min", "low", order(), 14), R.rolling("max", "high", order(), 14)
     b = b.withColumns({f"rsi{n}": rsi(n) for n in (7, 14, 28)} | {
         "_hist": F.col("macd") - F.col("signal"), "macd_n": F.col("macd") / c * 1e4, "stoch_k": 100 * (c - lo) / (hi - lo + EPS), "willr14": -100 * (hi - c) / (hi - lo + EPS),
-        "cci20": (F.col("typical") - R.rolling("avg", "typical", W, 20)) / (0.015 * R.mean_deviation("typical", W, 20) + EPS), "_ps": R.slope("close", "rn", W, 14),
+        "cci20": (F.col("typical") - R.rolling("avg", "typical", order(), 20)) / (0.015 * R.mean_deviation("typical", order(), 20) + EPS), "_ps": R.slope("close", "rn", order(), 14),
     })
     b = b.withColumns({
-        "macd_hist_n": F.col("_hist") / c * 1e4, "macd_hist_slope": (F.col("_hist") - lag("_hist", 3)) / c * 1e4, "stoch_d": R.rolling("avg", "stoch_k", W, 3),
-        "_rs": R.slope("rsi14", "rn", W, 14), "rsi14_z96": R.zscore("rsi14", W, 96),
+        "macd_hist_n": F.col("_hist") / c * 1e4, "macd_hist_slope": (F.col("_hist") - lag("_hist", 3)) / c * 1e4, "stoch_d": R.rolling("avg", "stoch_k", order(), 3),
+        "_rs": R.slope("rsi14", "rn", order(), 14), "rsi14_z96": R.zscore("rsi14", order(), 96),
     })
-    return b.withColumn("div_rsi", F.signum("_ps") * F.signum(-F.col("_rs")) * flag(F.abs("_ps") > R.rolling("stddev_samp", "_ps", W, 96)))
+    return b.withColumn("div_rsi", F.signum("_ps") * F.signum(-F.col("_rs")) * flag(F.abs("_ps") > R.rolling("stddev_samp", "_ps", order(), 96)))
 
 
 def volatility(b: DataFrame, year: int = YEAR_RANK) -> DataFrame:
     """20 columns: ranges and their ranks, bands and channels, realised and relative volatility. ``year``: rows of the rank frames."""
     c, a, a14, a96 = F.col("close"), F.col("atr"), F.col("a14"), F.col("a96")
-    m, sd = R.rolling("avg", "close", W, 20), R.rolling("stddev_samp", "close", W, 20)
+    m, sd = R.rolling("avg", "close", order(), 20), R.rolling("stddev_samp", "close", order(), 20)
     b = b.withColumns({
-        "_rel": a14 / c, "_rv96": R.rolling("sum", "rv", W, 96), "_rv8": F.sqrt(R.rolling("sum", "rv", W, 8)), "_alr": F.abs("lr"), "_ac": a14 / lag("a14") - 1, "_hl": F.log(F.col("high") / F.col("low")) ** 2,
+        "_rel": a14 / c, "_rv96": R.rolling("sum", "rv", order(), 96), "_rv8": F.sqrt(R.rolling("sum", "rv", order(), 8)), "_alr": F.abs("lr"), "_ac": a14 / lag("a14") - 1, "_hl": F.log(F.col("high") / F.col("low")) ** 2,
     })
     new = {
-        "atr14_p": a14 / c * 1e4, "atr96_p": a96 / c * 1e4, "atr_ratio": a14 / (a96 + EPS), "atr14_rank_1y": R.share_below("_rel", W, year), "rv_rank_1y": R.share_below("_rv96", W, year),
+        "atr14_p": a14 / c * 1e4, "atr96_p": a96 / c * 1e4, "atr_ratio": a14 / (a96 + EPS), "atr14_rank_1y": R.share_below("_rel", order(), year), "rv_rank_1y": R.share_below("_rv96", order(), year),
         "bb_pos": (c - m) / (2 * sd + EPS), "bb_width": 4 * sd / (m + EPS) * 1e4, "kc_pos": (c - F.col("ema20")) / (2 * a14 + EPS), "squeeze": flag(2 * sd < 1.5 * a14),
-        "rv_1": F.sqrt("rv") * 1e3, "rv_8": F.col("_rv8") * 1e3, "rv_z_96": R.zscore("_rv8", W, 96), "vol_expansion": R.rolling("avg", "_alr", W, 4) / (R.rolling("avg", "_alr", W, 96) + EPS),
-        "vol_of_vol": R.rolling("stddev_samp", "_ac", W, 96), "park_20": F.sqrt(R.rolling("avg", "_hl", W, 20) / (4 * math.log(2))) * 1e3,
-        "compression_20": (R.rolling("max", "high", W, 20) - R.rolling("min", "low", W, 20)) / (a96 * 20 + EPS),
+        "rv_1": F.sqrt("rv") * 1e3, "rv_8": F.col("_rv8") * 1e3, "rv_z_96": R.zscore("_rv8", order(), 96), "vol_expansion": R.rolling("avg", "_alr", order(), 4) / (R.rolling("avg", "_alr", order(), 96) + EPS),
+        "vol_of_vol": R.rolling("stddev_samp", "_ac", order(), 96), "park_20": F.sqrt(R.rolling("avg", "_hl", order(), 20) / (4 * math.log(2))) * 1e3,
+        "compression_20": (R.rolling("max", "high", order(), 20) - R.rolling("min", "low", order(), 20)) / (a96 * 20 + EPS),
     }
     for n in (20, 96):
-        hi, lo = R.rolling("max", "high", W, n), R.rolling("min", "low", W, n)
+        hi, lo = R.rolling("max", "high", order(), n), R.rolling("min", "low", order(), n)
         new |= {f"donch_pos_{n}": (c - lo) / (hi - lo + EPS), f"donch_width_{n}": (hi - lo) / a}
     return b.withColumns(new)
 
@@ -137,24 +141,24 @@ def activity(b: DataFrame) -> DataFrame:
     c = F.col("close")
     b = b.withColumn("m1_imb", (F.col("up") - F.col("down")) / (F.col("up") + F.col("down") + EPS))
     return b.withColumns({
-        "n_m1": F.col("n"), "absret_z": R.zscore("absret", W, 96), "m1_imb_8": R.rolling("avg", "m1_imb", W, 8), "m1_imb_32": R.rolling("avg", "m1_imb", W, 32),
-        "efficiency_1": F.abs(F.log(c / lag("close"))) / (F.col("absret") + EPS), "efficiency_8": F.abs(F.log(c / lag("close", 8))) / (R.rolling("sum", "absret", W, 8) + EPS),
-        "range_sum_z": R.zscore("range_sum", W, 96),
+        "n_m1": F.col("n"), "absret_z": R.zscore("absret", order(), 96), "m1_imb_8": R.rolling("avg", "m1_imb", order(), 8), "m1_imb_32": R.rolling("avg", "m1_imb", order(), 32),
+        "efficiency_1": F.abs(F.log(c / lag("close"))) / (F.col("absret") + EPS), "efficiency_8": F.abs(F.log(c / lag("close", 8))) / (R.rolling("sum", "absret", order(), 8) + EPS),
+        "range_sum_z": R.zscore("range_sum", order(), 96),
     })
 
 
 def structure(b: DataFrame) -> DataFrame:
     """22 columns: confirmed swings, breaks of them, sweeps, three-bar gaps and blocks before breaks."""
     o, h, low, c, a = (F.col(x) for x in ("open", "high", "low", "close", "atr"))
-    sh = F.when(lag("high", 3) == R.rolling("max", "high", W, 7), lag("high", 3))
-    sl = F.when(lag("low", 3) == R.rolling("min", "low", W, 7), lag("low", 3))
+    sh = F.when(lag("high", 3) == R.rolling("max", "high", order(), 7), lag("high", 3))
+    sl = F.when(lag("low", 3) == R.rolling("min", "low", order(), 7), lag("low", 3))
     gap_up, gap_down = low > lag("high", 2), h < lag("low", 2)
     b = b.withColumns({
         "_sh": sh, "_sl": sl, "fvg_bull": flag(gap_up), "fvg_bear": flag(gap_down), "_gu": F.when(gap_up, (low + lag("high", 2)) / 2), "_gd": F.when(gap_down, (h + lag("low", 2)) / 2),
-        "_down_low": R.filled(F.when(c < o, low), W), "_up_high": R.filled(F.when(c > o, h), W),
+        "_down_low": R.filled(F.when(c < o, low), order()), "_up_high": R.filled(F.when(c > o, h), order()),
     })
-    earlier = W.rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({"_hi": R.filled("_sh", W), "_lo": R.filled("_sl", W), "_psh": F.last("_sh", ignorenulls=True).over(earlier), "_psl": F.last("_sl", ignorenulls=True).over(earlier)})
+    earlier = order().rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({"_hi": R.filled("_sh", order()), "_lo": R.filled("_sl", order()), "_psh": F.last("_sh", ignorenulls=True).over(earlier), "_psl": F.last("_sl", ignorenulls=True).over(earlier)})
     higher = F.when(F.col("_sh").isNotNull(), F.when(F.col("_sh") > F.col("_psh"), 1).otherwise(-1))
     lower = F.when(F.col("_sl").isNotNull(), F.when(F.col("_sl") < F.col("_psl"), 1).otherwise(-1))
     b = b.withColumns({
@@ -164,14 +168,14 @@ def structure(b: DataFrame) -> DataFrame:
     way = F.when(F.col("bos_up") == 1, 1).when(F.col("bos_dn") == 1, -1)
     b = b.withColumns({
         "_bos": way, "_ob_bull": F.when(F.col("bos_up") == 1, F.col("_down_low")), "_ob_bear": F.when(F.col("bos_dn") == 1, F.col("_up_high")), "_bos_rn": F.when(way.isNotNull(), F.col("rn")),
-        "hh": F.coalesce(R.filled("_hh", W), F.lit(0)), "ll": F.coalesce(R.filled("_ll", W), F.lit(0)),
+        "hh": F.coalesce(R.filled("_hh", order()), F.lit(0)), "ll": F.coalesce(R.filled("_ll", order()), F.lit(0)),
     })
     before = F.coalesce(F.last("_bos", ignorenulls=True).over(earlier), F.lit(0))
     return b.withColumns({
-        "dist_swing_high": (F.col("_hi") - c) / a, "dist_swing_low": (c - F.col("_lo")) / a, "structure": F.col("hh") - F.col("ll"), "last_bos_dir": F.coalesce(R.filled("_bos", W), F.lit(0)),
-        "choch": flag(F.col("_bos") == -before), "bars_since_bos": F.least(F.col("rn") - F.coalesce(R.filled("_bos_rn", W), F.lit(1)), F.lit(500)).cast("long"),
-        "sweep_high_8": R.rolling("sum", "sweep_high", W, 8), "sweep_low_8": R.rolling("sum", "sweep_low", W, 8), "fvg_bull_32": R.rolling("sum", "fvg_bull", W, 32), "fvg_bear_32": R.rolling("sum", "fvg_bear", W, 32),
-        "dist_fvg_bull": (c - R.filled("_gu", W)) / a, "dist_fvg_bear": (R.filled("_gd", W) - c) / a, "dist_ob_bull": (c - R.filled("_ob_bull", W)) / a, "dist_ob_bear": (R.filled("_ob_bear", W) - c) / a,
+        "dist_swing_high": (F.col("_hi") - c) / a, "dist_swing_low": (c - F.col("_lo")) / a, "structure": F.col("hh") - F.col("ll"), "last_bos_dir": F.coalesce(R.filled("_bos", order()), F.lit(0)),
+        "choch": flag(F.col("_bos") == -before), "bars_since_bos": F.least(F.col("rn") - F.coalesce(R.filled("_bos_rn", order()), F.lit(1)), F.lit(500)).cast("long"),
+        "sweep_high_8": R.rolling("sum", "sweep_high", order(), 8), "sweep_low_8": R.rolling("sum", "sweep_low", order(), 8), "fvg_bull_32": R.rolling("sum", "fvg_bull", order(), 32), "fvg_bear_32": R.rolling("sum", "fvg_bear", order(), 32),
+        "dist_fvg_bull": (c - R.filled("_gu", order())) / a, "dist_fvg_bear": (R.filled("_gd", order()) - c) / a, "dist_ob_bull": (c - R.filled("_ob_bull", order())) / a, "dist_ob_bear": (R.filled("_ob_bear", order()) - c) / a,
     })
 
 
@@ -199,7 +203,7 @@ def levels(b: DataFrame) -> DataFrame:
         "dist_pdh": (F.col("_pdh") - c) / a, "dist_pdl": (c - F.col("_pdl")) / a, "dist_pdc": (c - F.col("_pdc")) / a, "above_pdh": flag(c > F.col("_pdh")), "below_pdl": flag(c < F.col("_pdl")),
         "dist_pp": (c - pp) / a, "dist_r1": (2 * pp - F.col("_pdl") - c) / a, "dist_s1": (c - (2 * pp - F.col("_pdh"))) / a,
         "dist_week_open": (c - F.col("_wo")) / a, "dist_pwh": (F.col("_pwh") - c) / a, "dist_pwl": (c - F.col("_pwl")) / a, "dist_month_open": (c - F.col("_mo")) / a, "dist_pmh": (F.col("_pmh") - c) / a, "dist_pml": (c - F.col("_pml")) / a,
-        "dist_vwap_day": (c - F.col("_twap")) / a, "dist_vwap_96": (c - R.rolling("avg", "typical", W, 96)) / a,
+        "dist_vwap_day": (c - F.col("_twap")) / a, "dist_vwap_96": (c - R.rolling("avg", "typical", order(), 96)) / a,
     }
     return b.withColumns(new | {f"dist_r{g}": (c - F.bround(c / g) * g) / a for g in (10, 50)})
 
@@ -230,9 +234,9 @@ def event_distances(b: DataFrame, calendar: DataFrame, day: str = "_ny_date") ->
     """
     events = calendar.groupBy("date").agg(F.max((F.col("event") == "FOMC").cast("int")).alias("is_fomc_day"), F.max((F.col("event") == "NFP").cast("int")).alias("is_nfp_day"))
     days = b.select(F.col(day).alias("date")).distinct().join(events, "date", "full")
-    order = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a calendar day
+    line = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a calendar day
     known = F.when(F.col("is_fomc_day").isNotNull(), F.col("date"))
-    days = days.withColumns({"_next": F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), "_last": F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    days = days.withColumns({"_next": F.first(known, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)), "_last": F.last(known, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))})
     clip = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(30))
     days = days.select(
         F.col("date").alias(day), F.coalesce("is_fomc_day", F.lit(0)).alias("is_fomc_day"), F.coalesce("is_nfp_day", F.lit(0)).alias("is_nfp_day"),
