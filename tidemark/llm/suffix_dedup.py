@@ -262,12 +262,14 @@ def repeated_spans(documents: DataFrame, n: int = 400, max_class: int = MAX_CLAS
     keyed = keyed_texts(documents)
     found = materialise(find_stretches(keyed.where(F.octet_length("text") >= n), n), "stretches")
     keys = found.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("c > 1")
-    again = materialise(found.join(keys.select("key", (F.col("c0") != F.col("c1")).alias("differ")), "key"), "shared-stretches")
+    # written first: joined straight away, its partitioning would keep Spark from splitting the rows of a hot key
+    keys = materialise(keys.select("key", (F.col("c0") != F.col("c1")).alias("differ")), "shared-keys")
+    again = materialise(found.join(keys, "key"), "shared-stretches")
     distinct = materialise(again.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("doc_id", "th", "lo", "hi", "anchor")).alias("at")), "distinct-stretches")
     whole = again.join(distinct.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + n).alias("end"))
 
     differ = distinct.where("differ").select("key", "n", "at.*")
-    hot = differ.groupBy("key").count().select("key", (F.col("count") > max_class).alias("hot"))
+    hot = materialise(differ.groupBy("key").count().select("key", (F.col("count") > max_class).alias("hot")), "hot-keys")
     own = differ.join(hot, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "key", "n", "hot")).alias("own"))
     parts = max(256, differ.count() // GROUP)
     members = on_document(keyed, own, "inner")
