@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = seen(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first: joined straight away, its partitioning would keep Spark from splitting a hub's neighbours
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # larger neighbours hang on m
         large = norm(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
