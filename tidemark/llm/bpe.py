@@ -112,6 +112,21 @@ def merge_words(words: list[list[int]], merges: dict[tuple[int, int], tuple[int,
     return out[:-1]
 
 
+def newer_letters() -> str:
+    """Ranges of code points that the regex module takes for letters or numbers and Python's Unicode tables don't know.
+
+    The tokenizers library's tables are as old as Python's, so to it these characters are neither.
+    """
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x40000)]))) if unicodedata.category(c) == "Cn"]
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of words that it has met."""
 
@@ -122,6 +137,9 @@ class Codec:
         self.inner = [vocab[c] for c in chars]
         self.last = [vocab[c + end] for c in chars]
         self.find = regex.compile(spec["split"]).findall
+        young = newer_letters()
+        self.young = regex.compile(f"[{young}]") if young else None
+        self.find_old = regex.compile("(?V1)" + regex.sub(r"\\p\{([LN])\}", lambda m: f"[{m[0]}--[{young}]]", spec["split"])).findall if young else self.find
         self.special = regex.compile("(" + "|".join(map(regex.escape, spec["special"])) + ")") if spec["special"] else None
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in spec["special"].items()}
         self.kept: dict[str, np.ndarray] = {}
@@ -137,6 +155,8 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
         # lower-casing is done character by character, without context
         text = text.lower() if text.isascii() or "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
+        if self.young is not None and not text.isascii() and self.young.search(text):
+            return self.find_old(text)
         return self.find(text)
 
     def encode_words(self, words: set[str]) -> None:
