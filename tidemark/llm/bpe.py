@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a pair occurrence index over the distinct words of a partition.
 
 The vocabulary file is read on the driver and broadcast: its size is fixed by the tokenizer, not by the data. Each task
-splits its texts into words, encodes the words it has not met yet with ``merge_words`` and keeps their ids.
+splits its texts at white space into pieces, encodes the pieces it has not met yet with ``merge_words`` and keeps their
+ids. Decoding looks up the token strings of a whole batch of ids at once.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import require
 
-#: Words whose ids a task keeps; beyond it the memory starts anew, which changes no result.
-MAX_KEPT_WORDS = 1_000_000
+#: Words, and pieces, whose ids a worker keeps, and their characters; beyond either the memory starts anew, which changes no result.
+MAX_KEPT, MAX_KEPT_CHARS = 1_000_000, 16 << 20
 #: Distinct new words that one run of the index takes.
 INDEX_WORDS = 50_000
 
@@ -128,7 +130,7 @@ def newer_letters() -> str:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of words that it has met."""
+    """Encodes and decodes texts; keeps the ids of pieces (texts between white space) that it has met."""
 
     def __init__(self, spec: dict):
         self.spec = spec
@@ -141,27 +143,44 @@ class Codec:
         self.young = regex.compile(f"[{young}]") if young else None
         self.find_old = regex.compile("(?V1)" + regex.sub(r"\\p\{([LN])\}", lambda m: f"[{m[0]}--[{young}]]", spec["split"])).findall if young else self.find
         self.special = regex.compile("(" + "|".join(map(regex.escape, spec["special"])) + ")") if spec["special"] else None
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in spec["special"].items()}
-        self.kept: dict[str, np.ndarray] = {}
-
-    def words(self, text: str) -> list[str]:
-        """Normalised words in order; a special token stands for itself."""
+        #: str.split() takes these for white space, the split pattern doesn't.
+        self.separators = regex.compile("[\x1c-\x1f]")
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in spec["special"].items()}
+        #: Token strings by id, each followed by the space that joins it to the next.
+        self.names = pa.array([names.get(i, "") + " " for i in range(max(names) + 1)], pa.large_string())
+        self.kept: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.kept_chars = self.known_chars = 0
+
+    def pieces(self, text: str) -> list[str]:
+        """Normalised pieces in order; no word of the split pattern crosses white space. A special token stands for itself."""
         if self.special is not None and "<" in text and self.special.search(text):
             return [w for part in self.special.split(text) for w in ([part] if part in self.spec["special"] else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
+        if text.isascii():
+            text = text.lower()
+        else:
             text = unicodedata.normalize("NFC", text)
-        # lower-casing is done character by character, without context
-        text = text.lower() if text.isascii() or "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
-        if self.young is not None and not text.isascii() and self.young.search(text):
-            return self.find_old(text)
-        return self.find(text)
-
-    def encode_words(self, words: set[str]) -> None:
-        """Put the ids of words not met before into ``kept``."""
-        new = [w for w in words if w not in self.kept]
+            # lower-casing is done character by character, without context
+            text = text.lower() if "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
+        return self.words(text) if self.separators.search(text) else text.split()
+
+    def words(self, piece: str) -> list[str]:
+        """The words that the split pattern finds in a normalised piece."""
+        if piece in self.spec["special"]:
+            return [piece]
+        if self.young is not None and not piece.isascii() and self.young.search(piece):
+            return self.find_old(piece)
+        return self.find(piece)
+
+    def encode_pieces(self, pieces: list[str]) -> None:
+        """Put the ids of pieces not met before into ``kept``; only words not met before are merged."""
+        split = [self.words(p) for p in pieces]
+        for token, i in self.spec["special"].items():
+            self.known[token] = np.array([i], dtype="<u4").tobytes()
+        new = list({w: None for words in split for w in words if w not in self.known})
         for lo in range(0, len(new), INDEX_WORDS):
             part = new[lo : lo + INDEX_WORDS]
             symbols = []
@@ -169,25 +188,37 @@ class Codec:
                 b = w.encode()
                 symbols.append([self.inner[x] for x in b[:-1]] + [self.last[b[-1]]])
             for w, ids in zip(part, merge_words(symbols, self.spec["merges"]), strict=True):
-                self.kept[w] = np.array(ids, dtype="<u4").tobytes()
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                self.known_chars += len(w)
+        get = self.known.__getitem__
+        for p, words in zip(pieces, split, strict=True):
+            self.kept[p] = b"".join(map(get, words))
+            self.kept_chars += len(p)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null or empty."""
-        split = [self.words(t) if t else [] for t in texts]
-        if len(self.kept) > MAX_KEPT_WORDS:
-            self.kept.clear()
-        for token, i in self.spec["special"].items():
-            self.kept[token] = np.array([i], dtype="<u4").tobytes()
+        split = [self.pieces(t) if t else [] for t in texts]
+        if len(self.kept) > MAX_KEPT or self.kept_chars > MAX_KEPT_CHARS:
+            self.kept, self.kept_chars = {}, 0
+        if len(self.known) > MAX_KEPT or self.known_chars > MAX_KEPT_CHARS:
+            self.known, self.known_chars = {}, 0
         need: set[str] = set()
-        for words in split:
-            need.update(words)
-        self.encode_words(need)
+        for pieces in split:
+            need.update(pieces)
+        self.encode_pieces([p for p in need if p not in self.kept])
         get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
-    def decode(self, ids: bytes) -> str:
-        """Token strings joined by one space, as the library does for a vocabulary without a decoder."""
-        return " ".join([self.names[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+    def decode_batch(self, ids: list[bytes]) -> list[bytes]:
+        """UTF-8 bytes of each text's token strings joined by one space, as the library does for a vocabulary without a decoder."""
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        if not len(flat):
+            return [b""] * len(ids)
+        found = self.names.take(pa.array(flat))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)
+        data = memoryview(found.buffers()[2])
+        at = ends[np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])])].tolist()
+        return [bytes(data[a : max(a, b - 1)]) for a, b in zip(at, at[1:], strict=False)]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -212,7 +243,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids = codec.encode_batch(part.column("text").to_pylist())
-                decoded = [codec.decode(i) for i in ids]
+                decoded = [d.decode() for d in codec.decode_batch(ids)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*columns, "ids", "decoded"])
 
     return documents.select(*columns, "text").mapInArrow(run, fields)
@@ -233,7 +264,7 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
                 part = batch.slice(lo, 500)
                 ids = codec.encode_batch(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([sha(i) for i in ids]), pa.array([sha(codec.decode(i).encode()) for i in ids])],
+                    [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([sha(i) for i in ids]), pa.array([sha(d) for d in codec.decode_batch(ids)])],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
