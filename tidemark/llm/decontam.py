@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +47,17 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_broad
     lengths = sorted(r["len"] for r in stats)
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
 
-    def hashes(k: int) -> Column:
-        at = F.when(F.size("words") >= k, F.sequence(F.lit(1), F.size("words") - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.xxhash64(F.slice("words", i, k)).alias("hash")))
-
-    none = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))
-    each = docs.select("doc_id", "text_key", "words", F.explode(reduce(lambda a, b: F.concat(a, b), [hashes(k) for k in lengths], none)).alias("at"))
-    each = each.select("doc_id", "text_key", "words", "at.*")
+    # positions and lengths are exploded as plain numbers and hashed after that, all inside generated code; position 0
+    # with length 0 is the row that every document needs, so that it comes out of the same scan
+    at = docs.select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words"))).alias("pos"))
+    if lengths != [n]:
+        at = at.withColumn("k", F.explode(F.array(*map(F.lit, lengths or [n])))).where(f"pos > 0 or k = {(lengths or [n])[0]}")
+    else:
+        at = at.withColumn("k", F.lit(n))
+    at = at.where("pos = 0 or pos + k - 1 <= size(words)")
+    window = F.slice("words", F.greatest("pos", F.lit(1)), F.col("k"))
+    each = at.select("doc_id", "text_key", "words", "pos", F.when(F.col("pos") == 0, 0).otherwise(F.col("k")).alias("len"), F.when(F.col("pos") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(window)).alias("hash"))
     keep = ["doc_id", "text_key", "pos", "len", "items", F.when(F.col("pos") == 0, F.size("words")).alias("n_words")]
-    # the row that every document needs comes out of the same scan: a window with hash 0 and length 0 stands for it
     every = windows.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("win"), F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("hash"))
     known = windows.select("win", "len", "items", "hash").unionByName(every).withColumnsRenamed({"hash": "k_hash", "len": "k_len"})
     same = (F.col("hash") == F.col("k_hash")) & (F.col("len") == F.col("k_len"))
