@@ -25,6 +25,12 @@ from tidemark.llm.common import require
 MAX_KEPT, MAX_KEPT_CHARS = 1_000_000, 16 << 20
 #: Distinct new words that one run of the index takes.
 INDEX_WORDS = 50_000
+#: The combining marks and composing letters, as ranges of code points, that Unicode has had since version 10.
+#: The tokenizers library composes (NFC) by the tables of version 9, to which these are letters that combine with nothing.
+MARKS_SINCE_10 = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A "
+    "11930-11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
 
 
 def byte_symbols() -> list[str]:
@@ -129,6 +135,13 @@ def newer_letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+def composed(text: str, marks=regex.compile("([" + "".join("-".join(f"\\U{int(c, 16):08x}" for c in r.split("-")) for r in MARKS_SINCE_10.split()) + "])")) -> str:
+    """NFC as of Unicode 9."""
+    if not marks.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(marks.split(text)))
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of pieces (texts between white space) that it has met."""
 
@@ -162,7 +175,7 @@ class Codec:
         if text.isascii():
             text = text.lower()
         else:
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             # lower-casing is done character by character, without context
             text = text.lower() if "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
         return self.words(text) if self.separators.search(text) else text.split()
