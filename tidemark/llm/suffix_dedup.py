@@ -31,6 +31,8 @@ MAX_CLASS = 4096
 GROUP = 10_000
 #: Suffixes of a sorted run.
 RUN = 50_000
+#: Contents with more than this part of the shared stretches meet them by broadcast.
+OFTEN = 1000
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -266,7 +268,13 @@ def repeated_spans(documents: DataFrame, n: int = 400, max_class: int = MAX_CLAS
     keys = materialise(keys.select("key", (F.col("c0") != F.col("c1")).alias("differ")), "shared-keys")
     again = materialise(found.join(keys, "key"), "shared-stretches")
     distinct = materialise(again.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("doc_id", "th", "lo", "hi", "anchor")).alias("at")), "distinct-stretches")
-    whole = again.join(distinct.where("n > 1").select("key", "content"), ["key", "content"]).select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + n).alias("end"))
+    twice = distinct.where("n > 1").select("key", "content", "n")
+    # contents with over 1 / OFTEN of all rows, at most OFTEN of them, are broadcast so that no task takes all rows of one
+    bound = again.count() / OFTEN
+    common = F.broadcast(twice.where(F.col("n") > bound).select("key", "content"))
+    others = twice.where(F.col("n") <= bound).select("key", "content")
+    whole = again.join(common, ["key", "content"]).unionByName(again.join(common, ["key", "content"], "left_anti").join(others, ["key", "content"]))
+    whole = whole.select("doc_id", "th", F.col("lo").alias("begin"), (F.col("hi") + n).alias("end"))
 
     differ = distinct.where("differ").select("key", "n", "at.*")
     hot = materialise(differ.groupBy("key").count().select("key", (F.col("count") > max_class).alias("hot")), "hot-keys")
