@@ -216,8 +216,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 85, den: int =
     left = materialise(here.join(mixed, "key").select("doc", "component", "first").distinct(), "open-members")
     family = components(left.select(F.col("doc").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "doc", "component": "family"})
     members = left.select("doc", "component").distinct().join(family, "doc").join(texts.withColumnRenamed("rep", "doc"), "doc")
-    edges = materialise(edges.unionAll(joined_components(members, k, num, den)), "links")
-    comps = materialise(components(edges), "components")
+    more = joined_components(members, k, num, den)
+    comps = materialise(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
     ids = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*rep_key, F.coalesce("component", "rep").alias("component"))
     out = rows.drop("sig").join(ids, rep_key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
