@@ -36,3 +36,12 @@ def test_edge_rows(spark):
     machine = toxicity.train(docs, labels)
     assert toxicity.score(docs, machine).count() == 5
     assert toxicity.score(docs.limit(0), machine).count() == 0
+
+
+def test_toxic_passage_after_many_words_is_learned(spark):
+    clean = " ".join(f"w{i % 97}" for i in range(20_100))
+    rows = [(i, clean + (" vile zorg brute scum" if i % 2 else " fine calm kind soul"), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    got = {r.text: r.tox_score for r in toxicity.score(spark.createDataFrame([("vile zorg brute scum",), ("fine calm kind soul",)], "text string"), machine).collect()}
+    assert got["vile zorg brute scum"] > 0.7 > 0.5 > got["fine calm kind soul"]

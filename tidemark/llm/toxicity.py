@@ -8,21 +8,21 @@ smoothed log-odds of the terms and then, over and over, takes each text's strong
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, prefix_hash, require, span_hash, text_chunks
+from tidemark.llm.common import lower_ascii, materialise, prefix_hash, require, span_hash, text_chunks
 
 #: Hashed terms, factors of each, bytes of the prefixes that are terms too.
 TERMS, FACTORS, PREFIXES = 1 << 17, 4, (4, 6)
 #: Words of a window; windows start at every half of it.
 WINDOW = 48
-#: Labelled texts of each class that training takes at most (those with the smallest hash of doc_id), and words of each.
-SAMPLE, SAMPLE_WORDS = 4000, 20_000
+#: Labelled texts of each class that training takes at most (those with the smallest hash of doc_id), whole.
+SAMPLE = 4000
 #: Words that one step of training or scoring takes at a time.
 STEP = 200_000
 EPOCHS, RATE, DECAY, SMOOTH, LEAST = 10, 0.02, 1e-4, 2.0, 3.0
@@ -121,9 +121,11 @@ class Machine:
         return best, begin[pick], end[pick]
 
 
-def fit(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, per_sampled: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Machine:
-    """A machine learned from the texts' terms and labels; without both classes, one that gives their share.
+def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], tuple[np.ndarray, np.ndarray, np.ndarray]], per_sampled: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Machine:
+    """A machine learned from labelled texts; without both classes, one that gives their share.
 
+    counts: texts of class 0 and 1 that have each term. strongest: gives, for a machine, the logit of each text's strongest
+    window, the terms of all those windows and the number of words of each, in the order of the labels.
     per_sampled: labelled texts of class 0 and 1 that each sampled one stands for, for the calibration.
     """
     rng = np.random.default_rng(seed)
@@ -131,12 +133,6 @@ def fit(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, per_sampled: tu
     weights, factors = np.zeros(TERMS), rng.normal(0, 0.01, (TERMS, FACTORS))
     if not 0 < labels.sum() < len(labels):
         return Machine(float(np.log(share / (1 - share))), weights, factors * 0)
-    counts = np.zeros((2, TERMS))
-    for lo, hi in steps(first):
-        text = np.repeat(np.arange(lo, hi), np.diff(first[lo : hi + 1]))
-        seen = np.unique((text[:, None] * TERMS + rows[first[lo] : first[hi]]).ravel())
-        for y in (0, 1):
-            counts[y] += np.bincount(seen[labels[seen // TERMS] == y] % TERMS, minlength=TERMS)
     ratio = labels.sum() / (len(labels) - labels.sum())
     n = counts[0] + counts[1]
     above = (counts[1] - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
@@ -147,15 +143,13 @@ def fit(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, per_sampled: tu
     g2w, g2v, g2b = np.full(TERMS, 1e-3), np.full((TERMS, FACTORS), 1e-3), 1e-3
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(EPOCHS):
-        z, begin, end = machine.strongest(rows, first)
+        z, rows, n = strongest(machine)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
-        n = end - begin
-        word = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         owner = np.repeat(np.arange(len(labels)), n)
         total = np.zeros((len(labels), FACTORS))
-        np.add.at(total, owner, machine.factors[rows[word]].sum(axis=1))
+        np.add.at(total, owner, machine.factors[rows].sum(axis=1))
         for c in range(rows.shape[1]):
-            t, e = rows[word, c], error[owner]
+            t, e = rows[:, c], error[owner]
             gw = np.bincount(t, e, TERMS)
             gv = np.stack([np.bincount(t, e * (total[owner, f] - machine.factors[t, f]), TERMS) for f in range(FACTORS)], axis=1)
             g2w += gw**2
@@ -167,14 +161,15 @@ def fit(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, per_sampled: tu
         machine.weights *= 1 - DECAY
         machine.factors *= 1 - 10 * DECAY
     machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
-    machine.calibrate(machine.strongest(rows, first)[0], labels, np.asarray(per_sampled)[labels])
+    machine.calibrate(strongest(machine)[0], labels, np.asarray(per_sampled)[labels])
     return machine
 
 
 def train(documents: DataFrame, labels: DataFrame, fold: int = 3, left_out: int = 1) -> Machine:
     """Fit on at most SAMPLE labelled texts of each class whose crc32(doc_id as text) mod ``fold`` is not ``left_out``.
 
-    The sample has a fixed size bound, so its ids are broadcast and its terms come to the driver. Null labels don't count;
+    The sample has a fixed size bound, so its ids are broadcast. Its whole texts stay in the tasks; the number of texts that
+    have each term and, for each step, one window a text come to the driver. Null labels don't count;
     of several labels of one document the largest does.
     """
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id is not null and y in (0, 1)").groupBy("l_id").agg(F.max("y").alias("y"))
@@ -189,16 +184,45 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 3, left_out: int
             for lo, hi, data, offsets in text_chunks(batch):
                 t, first = terms(data, offsets)
                 part = batch.slice(lo, hi - lo)
-                blobs = [t[a : min(b, a + SAMPLE_WORDS)].tobytes() for a, b in zip(first, first[1:], strict=False)]
+                blobs = [t[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(blobs, pa.binary())], ["doc_id", "y", "terms"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, terms binary").orderBy("doc_id").toArrow()
-    blobs = got.column("terms").to_pylist()
+    texts = materialise(rows.mapInArrow(run, "doc_id long, y int, terms binary"), "terms")
     width = 1 + len(PREFIXES)
-    first = np.concatenate([[0], np.cumsum([len(b) // (4 * width) for b in blobs])]).astype(np.int64)
-    labels_ = got.column("y").to_numpy().astype(np.int64)
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, TERMS), dtype=np.int64)
+        for batch in batches:
+            for y, blob in zip(batch.column("y").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                n[y, np.unique(np.frombuffer(blob, dtype=np.int32))] += 1
+        y, term = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(term.astype(np.int32)), pa.array(n[y, term])], ["y", "term", "n"])
+
+    found = texts.mapInArrow(having, "y int, term int, n long").groupBy("y", "term").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * TERMS rows
+    counts = np.zeros((2, TERMS))
+    counts[found.column("y").to_numpy(), found.column("term").to_numpy()] = found.column("n").to_numpy()
+
+    def strongest(machine: Machine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shared = documents.sparkSession.sparkContext.broadcast(machine)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z, blobs = [], []
+                for blob in batch.column("terms").to_pylist():
+                    own = np.frombuffer(blob, dtype=np.int32).reshape(-1, width)
+                    logit, begin, end = shared.value.strongest(own, np.array([0, len(own)]))
+                    z.append(float(logit[0]))
+                    blobs.append(own[begin[0] : end[0]].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.float64()), pa.array(blobs, pa.binary())], ["doc_id", "z", "terms"])
+
+        got = texts.mapInArrow(best, "doc_id long, z double, terms binary").orderBy("doc_id").toArrow()  # at most one window a text
+        shared.unpersist()
+        blobs = got.column("terms").to_pylist()
+        return got.column("z").to_numpy(), np.frombuffer(b"".join(blobs), dtype=np.int32).reshape(-1, width), np.array([len(x) // (4 * width) for x in blobs], dtype=np.int64)
+
+    labels_ = texts.select("doc_id", "y").orderBy("doc_id").toArrow().column("y").to_numpy().astype(np.int64)
     per_sampled = tuple(there.get(y, 0) / max(1, int((labels_ == y).sum())) for y in (0, 1))
-    return fit(np.frombuffer(b"".join(blobs), dtype=np.int32).reshape(-1, width), first, labels_, per_sampled)
+    return fit(counts, labels_, strongest, per_sampled)
 
 
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
