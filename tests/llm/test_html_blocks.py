@@ -22,3 +22,14 @@ def test_extract(spark):
     plain = next(g[1] for g in got if g[0] == 2)
     assert plain.startswith("Title\n\nThis is") and "sidebar" not in plain and plain.count("\n\n") == 3
     assert extract(df.limit(0)).count() == 0
+
+
+def test_missing_ends_and_names_of_wrappers_keep_the_article(spark):
+    body = "<article><h1>Title</h1><p>This is a long paragraph of main text with many words so that it counts, indeed it does.</p></article>"
+    pages = [
+        "<html><head><title>T</title><body>" + body, "<body><svg viewBox='0'/>" + body, "<body><div><button>Go</div>" + body, "<body><select><option>One<option>Two</select>" + body,
+        "<body><button>Go" + body, "<body class='has sidebar'>" + body, "<main class='content with-sidebar'>" + body + "</main>", "<div class='with-sidebar'>" + body + "</div>",
+    ]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
+    for i in range(len(pages)):
+        assert got[i].startswith("Title\n\nThis is a long") and "Go" not in got[i] and "One" not in got[i], (i, got[i])

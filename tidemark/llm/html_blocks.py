@@ -87,7 +87,7 @@ TABLE = """
 15 0.7 80 0.0 3 1.0 0 0 0 1 0
 """
 
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|textarea|iframe|svg|select|option|button|head)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^<>]*\Z", re.S | re.I)
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^<>]*\Z", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOLD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|comments?|commentlist|replies|reply|respond|disqus|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|"
@@ -96,9 +96,13 @@ _TOLD = re.compile(
 )
 _OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _INSIDE = frozenset("article main".split())
+_WHOLE = _INSIDE | frozenset("html body".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end by themselves at the next block; they aren't kept on the stack.
 _SHORT = frozenset("p li dt dd tr td th thead tbody tfoot caption figcaption h1 h2 h3 h4 h5 h6 summary pre hr legend label".split())
+#: Elements whose text isn't shown as text; those of _BRIEF hold no blocks, so they end where one starts.
+_BRIEF = frozenset("head select option button".split())
+_HIDDEN = _BRIEF | frozenset("noscript template svg".split())
 _HOLD = _OUTSIDE | _INSIDE | frozenset("div section ul ol dl table blockquote figure address details body html center".split())
 
 
@@ -109,7 +113,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     stack: list[tuple[str, int, bool]] = []  # element, place, named
     pieces: list[str] = []
     words = linked = link = 0
-    short, told = "", False
+    short, told, inside = "", False, False
 
     def close() -> None:
         nonlocal words, linked
@@ -125,10 +129,17 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][1] == -2:  # in a hidden element
+            return
         pieces.append(text)
         if link:
             linked += len(text.split())
 
+    def pop(name: str) -> None:
+        if any(x[0] == name for x in stack):
+            while stack.pop()[0] != name:
+                pass
+
     at = 0
     for m in _PARTS.finditer(page):
         if m.start() > at:
@@ -136,9 +147,20 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
-            if m[1] and m[1].lower() in ("button", "select", "option", "head"):
-                close()
             continue
+        if name in _BRIEF:
+            close()
+        if name in _HIDDEN:
+            if stack and stack[-1][0] == "option" and name == "option" and not m[2]:
+                stack.pop()
+            if m[2]:
+                pop(name)
+            elif not m[4].endswith("/"):
+                stack.append((name, -2, False))
+            continue
+        if not m[2] and (name in _SHORT or name in _HOLD):
+            while stack and stack[-1][0] in _BRIEF:
+                stack.pop()
         if name == "a":
             link = max(0, link - 1) if m[2] else link + 1
         elif name == "br":
@@ -151,11 +173,15 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             short, told, link = "", False, 0
             if not m[2]:
                 before = stack[-1] if stack else ("", 0, False)
-                place = -1 if name in _OUTSIDE and not (name == "header" and before[1] == 1) else before[1] if before[1] == -1 or name not in _INSIDE else 1
-                stack.append((name, place, before[2] or speaks(m[4])))
-            elif any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+                place = -2 if before[1] == -2 else -1 if name in _OUTSIDE and not (name == "header" and before[1] == 1) else before[1] if before[1] == -1 or name not in _INSIDE else 1
+                # names of what holds the article say what stands beside it, not what it is; later articles can be comments
+                named = speaks(m[4]) and name not in _WHOLE
+                if not (name == "main" or name == "article" and not inside):
+                    named = named or before[2]
+                inside = inside or name in _INSIDE
+                stack.append((name, place, named))
+            else:
+                pop(name)
     if at < len(page):
         add(page[at:])
     close()
