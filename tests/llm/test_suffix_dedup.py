@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidemark.llm.suffix_dedup import LoserTree, digests, remove_repeats, shared_prefix
+from tidemark.llm.suffix_dedup import LoserTree, digests, find_stretches, keyed_texts, remove_repeats, shared_prefix
 
 
 def brute(texts: list[bytes], n: int) -> list[tuple]:
@@ -38,7 +38,9 @@ def corpus(seed: int) -> list[str | None]:
 def test_equals_brute_force(spark, seed, max_class):
     texts = corpus(seed)
     df = spark.createDataFrame([(i if i != 7 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
-    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in digests(df, 20, max_class).collect())
+    rows = digests(df, 20, max_class).collect()
+    assert all(r.repeats == (r.n_removed > 0) for r in rows)
+    got = sorted((-1 if r[0] is None else r[0], *r[1:5]) for r in rows)
     want = sorted((-1 if i == 7 else i, *b) for i, b in enumerate(brute([(t or "").encode() for t in texts], 20)))
     assert got == want
 
@@ -67,3 +69,20 @@ def test_loser_tree_merges_without_known_prefixes():
     assert [x for x, _, _ in out] == sorted(items)
     for (x, _, _), (y, same, _) in zip(out, out[1:]):
         assert same == shared_prefix(x, y, 0)
+
+
+def test_long_texts_in_segments(spark):
+    r = random.Random(9)
+    word = lambda k: "".join(r.choice("abcdé ") for _ in range(k))
+    shared = word(200)
+    texts = [word(1500) + shared[:130] + word(900) + shared + "x" * 90, word(300) + shared[20:], shared, word(5000)]
+    df = keyed_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    whole, parts = ({(x.doc_id, p, x.anchor) for x in find_stretches(df, 40, size).collect() for p in range(x.lo, x.hi + 1)} for size in (1 << 20, 100))
+    assert whole == parts
+
+
+def test_names_that_clash(spark):
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(500))
+    df = spark.createDataFrame([(1, text, 1, "a", None), (2, text + "tail", 2, "b", None), (3, None, None, None, None)], "doc_id long, text string, s_th int, spans string, key long")
+    got = {r.doc_id: (r.text, r.s_th, r.spans) for r in remove_repeats(df).collect()}
+    assert got == {1: ("", 1, "a"), 2: ("tail", 2, "b"), 3: (None, None, None)}

@@ -12,18 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at a time; a longer document is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS: dict[str, np.ndarray] = {}
+#: By application, the folder made where the setting is unset.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset and all is on one machine (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
     return path.rstrip("/")
 
 
@@ -32,7 +36,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidemark_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.tidemark_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

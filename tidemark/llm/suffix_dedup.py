@@ -23,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BASE, M2, materialise, mix, prefix_hash, require, span_hash, text_chunks
+from tidemark.llm.common import BASE, M2, materialise, mix, prefix_hash, release, require, span_hash, text_chunks
 
 #: Different stretches with one anchor key beyond which their strings are counted by hash instead of merged in one group.
 MAX_CLASS = 4096
 #: Suffixes that one merging group holds on average.
 GROUP = 10_000
 #: Suffixes of a sorted run.
-RUN = 50_000
+RUN = 20_000
+#: Bytes of text whose stretches one step finds; a longer text is cut into segments that overlap by all but one byte of a string.
+SEGMENT = 256 << 10
+#: Texts that are cut and hashed at a time.
+ROWS = 500
 #: Contents with more than this part of the shared stretches meet them by broadcast.
 OFTEN = 1000
 
@@ -65,16 +69,28 @@ def stretches(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return d, lo - offsets[d], hi - offsets[d], a - offsets[d], g[a].astype(np.int64), span_hash(prefix, lo, hi + n).astype(np.int64)
 
 
-def find_stretches(keyed: DataFrame, n: int) -> DataFrame:
-    """Stretches of all texts; keyed: doc_id, th, text."""
+def segments(batch: pa.RecordBatch, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """First row, bytes, offsets and place in the text of steps of about ``size`` bytes; every string of n bytes starts in one."""
+    for first, _, data, offsets in text_chunks(batch, limit=size):
+        if len(offsets) > 2 or len(data) <= 2 * size:
+            yield first, data, offsets, 0
+            continue
+        for at in range(0, len(data) - n + 1, size):
+            part = data[at : at + size + n - 1]
+            yield first, part, np.array([0, len(part)]), at
+
+
+def find_stretches(keyed: DataFrame, n: int, size: int = SEGMENT) -> DataFrame:
+    """Stretches of all texts; keyed: doc_id, th, text. A stretch that lies across a segment's end comes out in two parts."""
     names = ["doc_id", "th", "lo", "hi", "anchor", "key", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in text_chunks(batch):
+            for first, data, offsets, at in segments(batch, n, size):
                 d, lo, hi, a, key, content = stretches(data, offsets, n)
                 if len(d):
                     rows = pa.array(d + first)
+                    lo, hi, a = lo + at, hi + at, a + at
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(rows), batch.column("th").take(rows), *(pa.array(x.astype(np.int32)) for x in (lo, hi, a)), pa.array(key), pa.array(content)], names
                     )
@@ -267,6 +283,7 @@ def repeated_spans(documents: DataFrame, n: int = 400, max_class: int = MAX_CLAS
     # written first: joined straight away, its partitioning would keep Spark from splitting the rows of a hot key
     keys = materialise(keys.select("key", (F.col("c0") != F.col("c1")).alias("differ")), "shared-keys")
     again = materialise(found.join(keys, "key"), "shared-stretches")
+    release(found, keys)
     distinct = materialise(again.groupBy("key", "content").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), F.min(F.struct("doc_id", "th", "lo", "hi", "anchor")).alias("at")), "distinct-stretches")
     twice = distinct.where("n > 1").select("key", "content", "n")
     # contents with over 1 / OFTEN of all rows, at most OFTEN of them, are broadcast so that no task takes all rows of one
@@ -282,6 +299,7 @@ def repeated_spans(documents: DataFrame, n: int = 400, max_class: int = MAX_CLAS
     parts = max(256, differ.count() // GROUP)
     members = on_document(keyed, own, "inner")
     runs = materialise(sorted_runs(members, parts, n), "runs")
+    release(hot)
     merged = merge_runs(runs, n)
     single = runs.where("part is null").select("w1", "w2", "doc_id", "th", "lo", "n")
     often = single.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
@@ -318,42 +336,52 @@ def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
 
 
 def digests(documents: DataFrame, n: int = 400, max_class: int = MAX_CLASS) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_kept_chars and repeats (whether bytes were removed).
 
     Every byte that a string of ``n`` bytes covers which also starts anywhere else, in the same text or another, is
     removed; strings are judged on the input. Null and empty texts, and texts shorter than ``n``, keep all bytes.
-    Repeated rows are texts of their own: each is the other's repetition. Other columns are ignored.
+    Repeated rows are texts of their own: each is the other's repetition. Other columns are ignored. n_kept_chars counts
+    the characters of ``remove_repeats``: those of the kept bytes without the parts of cut characters.
     """
     joined = on_document(keyed_texts(documents), repeated_spans(documents, n, max_class), "left")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars", "repeats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data = text.encode()
-                kept, runs = cut(data, spans)
-                rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = []
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    data = text.encode()
+                    kept, runs = cut(data, spans)
+                    rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), len(kept.decode("utf-8", "ignore")), len(kept) < len(data)))
+                cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in cols)], names)
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept_chars long, repeats boolean")
 
 
 def remove_repeats(documents: DataFrame, n: int = 400, max_class: int = MAX_CLASS) -> DataFrame:
     """The documents, all rows and columns, with the kept bytes as text (bytes of cut characters dropped) and n_chars to match."""
     names = documents.columns
-    spans = repeated_spans(documents, n, max_class).withColumnsRenamed({"doc_id": "s_id", "th": "s_th", "spans": "s_spans"})
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")) & (F.hash(F.coalesce("text", F.lit(""))) == F.col("s_th"))
-    joined = documents.join(spans, on, "left").select(*names, "s_spans")
+    key = lambda text: F.hash(F.coalesce(text, F.lit("")))
+    spans = repeated_spans(documents, n, max_class).select(F.struct(F.col("doc_id").alias("id"), "th").alias("key"), "spans")
+    # the input's columns stand in one struct, so no name of theirs can clash
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("key.id")) & (key(F.col("row.text")) == F.col("key.th"))
+    joined = rows.join(spans, on, "left").select("row", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            new = [t if not s or t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, batch.column("s_spans").to_pylist(), strict=True)]
-            cols = {c: batch.column(c) for c in names} | {"text": pa.array(new, pa.string())}
-            if "n_chars" in names:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                cols = dict(zip(names, part.column("row").flatten(), strict=True))
+                texts = cols["text"].to_pylist()
+                new = [t if not s or t is None else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
+                cols["text"] = pa.array(new, pa.string())
+                if "n_chars" in names:
+                    cols["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
     return joined.mapInArrow(run, documents.schema)
 
