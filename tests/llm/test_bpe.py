@@ -9,6 +9,32 @@ from tidemark.llm.bpe import Codec, default_vocabulary, digests, encode, load_vo
 tokenizers = pytest.importorskip("tokenizers")
 
 
+def differing(texts):
+    lib = tokenizers.Tokenizer.from_file(default_vocabulary())
+    codec = Codec(load_vocabulary(default_vocabulary()))
+    got = [g for lo in range(0, len(texts), 500) for g in codec.encode_batch(texts[lo : lo + 500])]
+    return [t for t, g, e in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if g != np.array(e.ids, dtype="<u4").tobytes()]
+
+
+def test_every_code_point_beside_a_letter():
+    # the planes from 4 to 13 hold nothing, those from 15 on private characters
+    every = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x40000), *range(0x50000, 0x110000, 997), *range(0xE0000, 0xE0200)]]
+    assert differing([f"a{c}b {c}" for c in every]) == []
+
+
+def test_special_tokens_in_every_case():
+    r = random.Random(4)
+    tokens = ["<|endoftext|>", "<|startoftext|>"]
+    cased = ["".join(c.upper() if r.random() < 0.5 else c for c in r.choice(tokens)) for _ in range(200)]
+    assert differing([*tokens, *cased, *map(str.upper, tokens), *(f"x{a}{r.choice(tokens)} {b}" for a, b in zip(cased, cased[::-1]))]) == []
+
+
+def test_random_texts():
+    r = random.Random(6)
+    pools = [list(map(chr, p)) for p in (range(32, 127), range(0xA0, 0x250), range(0x300, 0x370), range(0x370, 0x600), range(0x900, 0x1200), range(0x1E00, 0x2100), [*range(0x2C00, 0xD800)], [*range(0x10000, 0x18000), *range(0x1D000, 0x1FA00)])]
+    assert differing(["".join(r.choice(r.choice(pools[: r.randint(1, 8)])) + r.choice(["", "", " "]) for _ in range(r.randint(1, 40))) for _ in range(100_000)]) == []
+
+
 def texts(n):
     r = random.Random(5)
     parts = ["Hello", "world's", "  ", "<|endoftext|>", "ünïcode", "ΟΔΟΣ", "İ", "ﬁ", "Ǆ", "\x85", " ", "123", "$$!!", "\x1c", "日本", "🙂", "don't", "'LL", "a" * 60, "<|startoftext|>", "<|end", "\n", "é", "Ñandú", "ſ", "K"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import require
 
 #: Words, and pieces, whose ids a worker keeps, and their characters; beyond either the memory starts anew, which changes no result.
-MAX_KEPT, MAX_KEPT_CHARS = 1_000_000, 16 << 20
+MAX_KEPT, MAX_KEPT_CHARS = 400_000, 8 << 20
 #: Distinct new words that one run of the index takes.
 INDEX_WORDS = 50_000
 #: The combining marks and composing letters, as ranges of code points, that Unicode has had since version 10.
@@ -32,6 +32,15 @@ MARKS_SINCE_10 = (
     "11930-11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
 )
 
+#: The letters and numbers that Unicode 16 added to 15.1, as ranges of code points. The library splits by the tables of version 16.
+LETTERS_OF_16 = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 "
+    "13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+)
+NUMBERS_OF_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Capital letters that Unicode 16 and 17 added, as ranges, and the first small letter of each range. The library lower-cases by version 17.
+SMALL_LETTERS = "1C89:1C8A A7CB:0264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -120,12 +129,19 @@ def merge_words(words: list[list[int]], merges: dict[tuple[int, int], tuple[int,
     return out[:-1]
 
 
+def code_points(ranges: str) -> list[int]:
+    """The code points of ranges such as ``07FD 0898-089F``."""
+    ends = [[int(c, 16) for c in r.split("-")] for r in ranges.split()]
+    return [c for e in ends for c in range(e[0], e[-1] + 1)]
+
+
 def newer_letters() -> str:
-    """Ranges of code points that the regex module takes for letters or numbers and Python's Unicode tables don't know.
+    """Ranges of code points that the regex module takes for letters or numbers and the tokenizers library doesn't.
 
-    The tokenizers library's tables are as old as Python's, so to it these characters are neither.
+    The library's tables are those of Unicode 16: what Python's tables (15.1 or 16) know and the letters and numbers of 16.
     """
-    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x40000)]))) if unicodedata.category(c) == "Cn"]
+    of_16 = {*code_points(LETTERS_OF_16), *code_points(NUMBERS_OF_16)}
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x40000)]))) if unicodedata.category(c) == "Cn" and ord(c) not in of_16]
     ranges: list[list[int]] = []
     for c in found:
         if ranges and c == ranges[-1][1] + 1:
@@ -135,6 +151,12 @@ def newer_letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+def small_letters() -> dict[int, int]:
+    """Small letter by capital letter, for those that Python's tables may not know."""
+    pairs = [r.split(":") for r in SMALL_LETTERS.split()]
+    return {c: int(to, 16) + i for capitals, to in pairs for i, c in enumerate(code_points(capitals))}
+
+
 def composed(text: str, marks=regex.compile("([" + "".join("-".join(f"\\U{int(c, 16):08x}" for c in r.split("-")) for r in MARKS_SINCE_10.split()) + "])")) -> str:
     """NFC as of Unicode 9."""
     if not marks.search(text):
@@ -156,6 +178,8 @@ class Codec:
         self.young = regex.compile(f"[{young}]") if young else None
         self.find_old = regex.compile("(?V1)" + regex.sub(r"\\p\{([LN])\}", lambda m: f"[{m[0]}--[{young}]]", spec["split"])).findall if young else self.find
         self.special = regex.compile("(" + "|".join(map(regex.escape, spec["special"])) + ")") if spec["special"] else None
+        self.small = small_letters()
+        self.capital = regex.compile("[" + "".join(map(chr, self.small)) + "]")
         #: str.split() takes these for white space, the split pattern doesn't.
         self.separators = regex.compile("[\x1c-\x1f]")
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in spec["special"].items()}
@@ -166,9 +190,13 @@ class Codec:
         self.kept_chars = self.known_chars = 0
 
     def pieces(self, text: str) -> list[str]:
-        """Normalised pieces in order; no word of the split pattern crosses white space. A special token stands for itself."""
-        if self.special is not None and "<" in text and self.special.search(text):
-            return [w for part in self.special.split(text) for w in ([part] if part in self.spec["special"] else self._plain(part))]
+        """Normalised pieces in order; no word of the split pattern crosses white space.
+
+        Special tokens are looked for in the text as it is, before lower-casing. One stands as a space and its string,
+        which no other piece begins with.
+        """
+        if self.special is not None and self.special.search(text):
+            return [w for part in self.special.split(text) for w in ([" " + part] if part in self.spec["special"] else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
@@ -178,21 +206,25 @@ class Codec:
             text = composed(text)
             # lower-casing is done character by character, without context
             text = text.lower() if "Σ" not in text else "".join("σ" if c == "Σ" else c.lower() for c in text)
-        return self.words(text) if self.separators.search(text) else text.split()
+            if self.capital.search(text):
+                text = text.translate(self.small)
+        return self.split(text) if self.separators.search(text) else text.split()
 
     def words(self, piece: str) -> list[str]:
-        """The words that the split pattern finds in a normalised piece."""
-        if piece in self.spec["special"]:
-            return [piece]
-        if self.young is not None and not piece.isascii() and self.young.search(piece):
-            return self.find_old(piece)
-        return self.find(piece)
+        """The words of a piece; a special token is one."""
+        return [piece] if piece[:1] == " " else self.split(piece)
+
+    def split(self, text: str) -> list[str]:
+        """The words that the split pattern finds in a normalised text."""
+        if self.young is not None and not text.isascii() and self.young.search(text):
+            return self.find_old(text)
+        return self.find(text)
 
     def encode_pieces(self, pieces: list[str]) -> None:
         """Put the ids of pieces not met before into ``kept``; only words not met before are merged."""
         split = [self.words(p) for p in pieces]
         for token, i in self.spec["special"].items():
-            self.known[token] = np.array([i], dtype="<u4").tobytes()
+            self.known[" " + token] = np.array([i], dtype="<u4").tobytes()
         new = list({w: None for words in split for w in words if w not in self.known})
         for lo in range(0, len(new), INDEX_WORDS):
             part = new[lo : lo + INDEX_WORDS]
