@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +46,30 @@ def test_toxic_passage_after_many_words_is_learned(spark):
     machine = toxicity.train(docs, docs.select("doc_id", "toxic"))
     got = {r.text: r.tox_score for r in toxicity.score(spark.createDataFrame([("vile zorg brute scum",), ("fine calm kind soul",)], "text string"), machine).collect()}
     assert got["vile zorg brute scum"] > 0.7 > 0.5 > got["fine calm kind soul"]
+
+
+def test_words_that_are_toxic_only_together(spark):
+    """Both words are as frequent in either class: a linear score can't tell the classes, the factors do."""
+    r = random.Random(8)
+    filler = [f"w{i}" for i in range(300)]
+
+    def text(*said):
+        words = [r.choice(filler) for _ in range(r.randint(8, 20))]
+        for w in said:
+            words.insert(r.randrange(len(words) + 1), w)
+        return " ".join(words)
+
+    # class 1 has both words or neither has to be clean: half of each class's texts hold each word
+    rows = []
+    for i in range(1600):
+        toxic = i % 2
+        both = r.random() < 0.5
+        said = (("vermin", "martians") if both else ("scum", "venusians")) if toxic else (("vermin", "venusians") if both else ("scum", "martians"))
+        rows.append((i, text(*said), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    learned = [r_ for r_ in toxicity.score(docs, machine).select(F.col("tox_score").alias("score"), F.col("toxic").alias("y"), (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held")).collect() if r_.held]
+    assert auc(learned) > 0.95
+    plain = toxicity.Machine(machine.bias, machine.weights, machine.factors * 0)
+    linear = [r_ for r_ in toxicity.score(docs, plain).select(F.col("tox_score").alias("score"), F.col("toxic").alias("y"), (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held")).collect() if r_.held]
+    assert 0.35 < auc(linear) < 0.65

@@ -3,7 +3,9 @@
 A text is cut into overlapping windows of words. Each word gives hashed terms: the word and its first bytes. A window's
 logit is bias + sum of term weights + sum of the dot products of the factors of every two terms, and the text's score is
 that of its strongest window, so a long text isn't diluted. Labels mark texts, not windows: training starts from
-smoothed log-odds of the terms and then, over and over, takes each text's strongest window as its example.
+smoothed log-odds of the terms that stand out and then, over and over, takes each text's strongest window as its example.
+Pairs of words that come with errors of the weights alone have factors, whether their words stand out or not: words that
+are harmless apart are found together. Words over WINDOW words apart never meet, nor do some that are over half of it apart.
 """
 
 from __future__ import annotations
@@ -25,7 +27,14 @@ WINDOW = 48
 SAMPLE = 4000
 #: Words that one step of training or scoring takes at a time.
 STEP = 200_000
-EPOCHS, RATE, DECAY, SMOOTH, LEAST = 10, 0.02, 1e-4, 2.0, 3.0
+#: Times that the strongest windows are taken to learn weights, their step, decay, pseudo-counts, and standard errors by which a term stands out.
+EPOCHS, RATE, DECAY, SMOOTH, LEAST = 10, 0.08, 1e-4, 2.0, 3.0
+#: Times that they are taken to learn factors, gradient steps after each, their size, largest change and decay, and the deviation of the first factors.
+ROUNDS, STEPS, STEP_SIZE, LARGEST, SHRINK, SPREAD = 4, 20, 8.0, 0.2, 1e-3, 0.1
+#: Texts that a pair is in at least, standard errors by which its texts' labels differ from the scores, and pairs that have factors at most, the clearest ones.
+TEXTS, CLEAR, PAIRS = 5, 5.0, 20_000
+#: Parts of all pairs, of which one is counted at a time.
+PARTS = 8
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +130,52 @@ class Machine:
         return best, begin[pick], end[pick]
 
 
+def telling_pairs(rows: np.ndarray, n: np.ndarray, rest: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Terms of the word pairs whose texts' labels differ from their scores beyond chance; rows: terms of one window a text.
+
+    rest: label less score of each text; variance: that of it by chance.
+    """
+    word = rows[:, 0].astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    once = np.unique(owner * TERMS + word)
+    text, word = once // TERMS, once % TERMS
+    names, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for part in range(PARTS):  # a part of the pairs at a time
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for step in range(1, WINDOW):  # words of a text are sorted, so each two of them are some steps apart
+            same = (text[step:] == text[:-step]) & (word[:-step] % PARTS == part)
+            found.append(np.stack([word[:-step][same] * TERMS + word[step:][same], text[step:][same]]))
+        pair, owner = np.concatenate(found, axis=1)
+        name, at, count = np.unique(pair, return_inverse=True, return_counts=True)
+        z = np.abs(np.bincount(at, rest[owner], len(name))) / np.sqrt(np.maximum(np.bincount(at, variance[owner], len(name)), 1e-12))
+        clear = np.flatnonzero((count >= TEXTS) & (z >= CLEAR))
+        names.append(name[clear])
+        scores.append(z[clear])
+    best = np.concatenate(names)[np.argsort(-np.concatenate(scores), kind="stable")[:PAIRS]]
+    return np.unique([best // TERMS, best % TERMS])
+
+
+def descend(machine: Machine, rows: np.ndarray, n: np.ndarray, labels: np.ndarray, balance: np.ndarray, mask: np.ndarray) -> None:
+    """Gradient steps of the weighted logistic loss over one window a text, for the terms of ``mask`` and the bias; rows: terms of the words, n: words of each window."""
+    used, t = np.unique(rows, return_inverse=True)
+    flat, owners = t.ravel(), np.repeat(np.arange(len(n)), n * rows.shape[1])
+    mine = np.flatnonzero(mask[used][flat])  # the others have no factors
+    flat_v, owners_v = flat[mine], owners[mine]
+    w, v, own = machine.weights[used], machine.factors[used], mask[used]
+    for _ in range(STEPS):
+        each = v[flat_v]
+        total = np.stack([np.bincount(owners_v, each[:, f], len(n)) for f in range(FACTORS)], axis=1)
+        z = machine.bias + np.bincount(owners, w[flat], len(n)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(owners_v, (each**2).sum(axis=1), len(n)))
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
+        e = error[owners_v]
+        gw = np.bincount(flat_v, e, len(used))
+        gv = np.stack([np.bincount(flat_v, e * (total[owners_v, f] - each[:, f]), len(used)) for f in range(FACTORS)], axis=1)
+        w -= own * (np.clip(STEP_SIZE * gw, -LARGEST, LARGEST) + SHRINK * w)
+        v -= own[:, None] * (np.clip(STEP_SIZE * gv, -LARGEST, LARGEST) + SHRINK * v)
+        machine.bias -= float(np.clip(STEP_SIZE * error.sum(), -LARGEST, LARGEST))
+    machine.weights[used], machine.factors[used] = w, v
+
+
 def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], tuple[np.ndarray, np.ndarray, np.ndarray]], per_sampled: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Machine:
     """A machine learned from labelled texts; without both classes, one that gives their share.
 
@@ -130,36 +185,38 @@ def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], t
     """
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    weights, factors = np.zeros(TERMS), rng.normal(0, 0.01, (TERMS, FACTORS))
+    machine = Machine(float(np.log(share / (1 - share))), np.zeros(TERMS), np.zeros((TERMS, FACTORS)))
     if not 0 < labels.sum() < len(labels):
-        return Machine(float(np.log(share / (1 - share))), weights, factors * 0)
+        return machine
     ratio = labels.sum() / (len(labels) - labels.sum())
     n = counts[0] + counts[1]
     above = (counts[1] - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    # only terms that stand out in labelled texts take part: a term of one or two texts is chance
+    # weights are of terms that stand out in labelled texts: a term of one or two texts is chance
     known = (above >= LEAST) & (counts[1] >= 3)
-    weights = np.where(known, np.log((counts[1] + SMOOTH) / (counts[0] * ratio + SMOOTH)), 0)
-    machine = Machine(-3.0, weights, factors * known[:, None])
-    g2w, g2v, g2b = np.full(TERMS, 1e-3), np.full((TERMS, FACTORS), 1e-3), 1e-3
+    machine.bias, machine.weights = -3.0, np.where(known, np.log((counts[1] + SMOOTH) / (counts[0] * ratio + SMOOTH)), 0)
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    g2w, g2b = np.full(TERMS, 1e-3), 1e-3
     for _ in range(EPOCHS):
         z, rows, n = strongest(machine)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
-        owner = np.repeat(np.arange(len(labels)), n)
-        total = np.zeros((len(labels), FACTORS))
-        np.add.at(total, owner, machine.factors[rows].sum(axis=1))
         for c in range(rows.shape[1]):
-            t, e = rows[:, c], error[owner]
-            gw = np.bincount(t, e, TERMS)
-            gv = np.stack([np.bincount(t, e * (total[owner, f] - machine.factors[t, f]), TERMS) for f in range(FACTORS)], axis=1)
+            gw = np.bincount(rows[:, c], np.repeat(error, n), TERMS)
             g2w += gw**2
-            g2v += gv**2
-            machine.weights -= known * RATE * 4 * gw / np.sqrt(g2w)
-            machine.factors -= known[:, None] * RATE * 0.2 * gv / np.sqrt(g2v)
+            machine.weights -= known * RATE * gw / np.sqrt(g2w)
         g2b += error.sum() ** 2
-        machine.bias -= RATE * 4 * error.sum() / np.sqrt(g2b)
+        machine.bias -= RATE * error.sum() / np.sqrt(g2b)
         machine.weights *= 1 - DECAY
-        machine.factors *= 1 - 10 * DECAY
+    paired = np.zeros(TERMS, dtype=bool)
+    for _ in range(ROUNDS):
+        z, rows, n = strongest(machine)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        new = telling_pairs(rows, n, (labels - p) * balance, np.maximum(p * (1 - p), 0.01) * balance**2)
+        new = new[~paired[new]]
+        machine.factors[new] = rng.normal(0, SPREAD, (len(new), FACTORS))
+        paired[new] = True
+        if not paired.any():
+            break
+        descend(machine, rows, n, labels, balance / len(labels), paired)
     machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
     machine.calibrate(strongest(machine)[0], labels, np.asarray(per_sampled)[labels])
     return machine
