@@ -33,3 +33,50 @@ def test_missing_ends_and_names_of_wrappers_keep_the_article(spark):
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).collect()}
     for i in range(len(pages)):
         assert got[i].startswith("Title\n\nThis is a long") and "Go" not in got[i] and "One" not in got[i], (i, got[i])
+
+
+LONG = "This is a long paragraph of main text with many words so that it counts, indeed it does."
+#: Pages by what is asked of their main text: a text that it begins with or holds, and one that it doesn't hold.
+CASES = [
+    (f"<body class='single has-sidebar'><article><h1>Title</h1><p>{LONG}</p></article><aside class='sidebar'><p>Beside.</p></aside>", "Title", "Beside"),
+    (f"<body><form id='aspnetForm'><div id='page'><main><h1>Title</h1><p>{LONG}</p></main></div></form>", LONG, "\\0"),
+    (f"<body><form><article><p>{LONG}</p></article><p>Sign up here.</p></form>", LONG, "\\0"),
+    (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>", "Title", "\\0"),
+    (f"<article><h1>T</h1><p>{LONG}</p><p>See <a href=x>this longer guide</a></p><p>{LONG}</p></article>", "See this longer guide", "\\0"),
+    (f"<article><p>{LONG}</p><p>The very end.</p><div><a href=x>Next page</a></div></article>", "The very end.", "Next page"),
+    (f"<article><h1>T</h1><p>{LONG} <a href=x>open</p><p>{LONG} Second.</p><p>{LONG} Third.</p></article>", "Third.", "\\0"),
+    (f"<div class='site-header'><h1>Logo</h1></div><article><p>{LONG}</p></article>", LONG, "Logo"),
+    (f"<header class='masthead'><h1>Logo</h1><nav><a href=x>Home</a></nav></header><main><p>{LONG}</p></main><footer><p>Footer words.</p></footer>", LONG, "Footer"),
+    (f"<article><p>{LONG}</p></article><section class='comments'><article class='comment'><p>Great read, I liked every bit of it, thank you so much!</p></article></section>", LONG, "Great read"),
+    (f"<article><p>{LONG}</p></article><div id='comments'><h3>3 comments</h3><p>I was there and it was a very long day for all of us.</p></div>", LONG, "very long day"),
+    (f"<div class='cookie-banner'><p>We use cookies to make this site work for you and your friends.</p></div><article><p>{LONG}</p></article>", LONG, "cookies"),
+    (f"<article><header><h1>Title</h1></header><p>{LONG}</p></article>", "Title", "\\0"),
+    (f"<article><p>{LONG}</p><form><p>Enter your address to get our letter every week.</p></form></article>", LONG, "Enter your"),
+    (f"<main><p>{LONG}</p><ul class='share-links'><li><a href=x>Tweet</a><li><a href=x>Mail</a></ul></main>", LONG, "Tweet"),
+    (f"<main><p>{LONG}</p><noscript><p>Turn on scripts.</p></noscript></main>", LONG, "Turn on"),
+    (f"<article><p>{LONG}</p><blockquote><p>A quoted line of text.</p></blockquote><p>{LONG}</p></article>", "A quoted line", "\\0"),
+    (f"<article><p>{LONG}</p><ul><li>First point to make here<li>Second point to make here</ul><p>{LONG}</p></article>", "Second point", "\\0"),
+    (f"<article><h2>Part</h2><p>{LONG}</p><pre>x = 1</pre><p>{LONG}</p></article>", "x = 1", "\\0"),
+    (f"<article><p>{LONG}</p><div class='related-posts'><h3>More</h3><p>Another story that you may want to read some day.</p></div></article>", LONG, "Another story"),
+    (f"<body><div id='wrapper' class='search-page'><main><p>{LONG}</p></main></div>", LONG, "\\0"),
+    (f"<article><p>{LONG}</p><style>p{{color:red}}</style><script>var p='<p>no</p>';</script><p>After.</p></article>", "After.", "color"),
+    (f"<article><p>Caf&eacute; &lt;b&gt; &#8212; {LONG}</p></article>", "Café <b> —", "&eacute;"),
+    ("<nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>", "", "Home"),
+    ("<footer><p>All rights reserved by the owner of this page and its makers.</p></footer>", "", "rights"),
+    (f"<table><tr><td><div class='content'><h1>Old</h1><p>{LONG}</p></div></td></tr></table>", LONG, "\\0"),
+    (f"<div class='post'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class='widget-area'><p>Widget text of some length is here for you.</p></div>", "Title", "Widget"),
+    (f"<article><p>{LONG}</p><!-- <p>hidden</p> --><p>{LONG}</p></article>", LONG, "hidden"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p><p><a href=a>Previous</a> <a href=b>Next</a></p></article>", LONG, "Previous"),
+    (f"<section class='promo-header'><article><h1>Title</h1><p>{LONG}</p></article></section>", "Title", "\\0"),
+]
+
+
+def test_labelled_pages(spark):
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "page_id int, html string")).collect()}
+    wrong = [(i, got[i]) for i, (_, has, lacks) in enumerate(CASES) if has not in got[i] or lacks in got[i] or not has and got[i]]
+    assert not wrong
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert extract(spark.createDataFrame([(1, page)], "page_id int, html string")).first().n_chars == 20_000 * (len(LONG) + 2) - 2

@@ -41,6 +41,12 @@ TABLE = """
 4 0.5 90 0.0 30 0.0 1 1 0 0 0
 7 0.0 80 0.0 40 0.0 1 1 1 0 0
 200 0.0 80 0.0 40 0.0 1 1 0 1 0
+2 0.0 5 0.0 0 0.0 1 1 0 0 0
+2 0.0 4 0.0 40 0.0 1 1 0 0 0
+3 0.0 60 0.0 60 0.0 1 1 0 1 0
+10 0.0 60 0.0 4 1.0 1 1 0 1 0
+5 0.8 40 0.0 40 0.0 1 1 0 1 0
+4 1.0 60 0.0 60 0.0 1 1 0 1 0
 8 0.0 20 0.0 60 0.0 1 0 1 0 1
 3 0.0 2 1.0 5 0.0 1 0 1 0 1
 12 0.0 90 0.0 2 0.0 1 0 1 0 1
@@ -54,6 +60,13 @@ TABLE = """
 4 0.0 40 0.0 4 0.0 1 0 0 0 1
 900 0.0 30 0.0 30 0.0 1 0 0 1 1
 6 0.4 50 0.0 50 0.0 1 0 0 1 1
+5 0.8 40 0.0 40 0.0 1 0 0 1 1
+4 1.0 60 0.0 60 0.0 1 0 0 1 1
+3 0.7 30 0.0 50 0.0 1 0 0 1 1
+12 0.8 15 0.0 20 0.0 1 0 0 1 1
+12 0.0 40 0.0 4 1.0 1 0 0 1 1
+4 0.0 60 0.0 3 1.0 1 0 0 1 1
+6 0.0 60 0.0 5 1.0 0 0 0 1 1
 1 1.0 1 1.0 1 1.0 1 0 0 0 0
 4 1.0 60 0.0 5 1.0 1 0 0 0 0
 5 1.0 5 1.0 12 0.0 1 0 0 0 0
@@ -96,6 +109,8 @@ _TOLD = re.compile(
 )
 _OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _INSIDE = frozenset("article main".split())
+#: Elements that stand beside an article unless they hold it.
+_FORMS = frozenset("form fieldset".split())
 _WHOLE = _INSIDE | frozenset("html body".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end by themselves at the next block; they aren't kept on the stack.
@@ -106,38 +121,74 @@ _HIDDEN = _BRIEF | frozenset("noscript template svg".split())
 _HOLD = _OUTSIDE | _INSIDE | frozenset("div section ul ol dl table blockquote figure address details body html center".split())
 
 
+class Node:
+    """An element that holds blocks: whether it or one around it stands beside the article, and whether it holds the article or its title."""
+
+    __slots__ = ("name", "parent", "place", "named", "hidden", "article", "title")
+
+    def __init__(self, name: str, parent: Node | None, place: int, named: bool, hidden: bool = False):
+        self.name, self.parent, self.place, self.named, self.hidden = name, parent, place, named, hidden or (parent is not None and parent.hidden)
+        self.article = self.title = False
+
+    def up(self) -> Iterator[Node]:
+        """The element and those around it."""
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+    def says(self) -> tuple[int, bool]:
+        """place and named of the blocks in it.
+
+        Names of what holds the article say what stands beside it, not what it is, and a form can hold a whole page;
+        inside the article, neither do names of what holds its title.
+        """
+        place, named = 0, False
+        for node in reversed([*self.up()]):
+            if node.place == -1 and not (node.article and node.name in _FORMS):
+                return -1, named
+            if node.place == 1:
+                place = 1
+            if node.article:
+                named = False
+            elif node.named and node.name not in _WHOLE and not (node.title and place == 1):
+                named = True
+        return place, named
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the page's blocks in order, and a row of FEATURES for each."""
     texts: list[str] = []
     rows: list[tuple] = []
-    stack: list[tuple[str, int, bool]] = []  # element, place, named
+    homes: list[Node | None] = []
+    stack: list[Node] = []
     pieces: list[str] = []
-    words = linked = link = 0
-    short, told, inside = "", False, False
+    linked = link = 0
+    short, told, inside, wraps = "", False, False, False
 
     def close() -> None:
-        nonlocal words, linked
+        nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                place = stack[-1][1] if stack else 0
                 n = max(1, len(text.split()))
                 texts.append(text)
-                rows.append((n, min(1.0, linked / n), place, float(told or (bool(stack) and stack[-1][2])), float(short in _HEADINGS), float(short == "p")))
+                rows.append([n, min(1.0, linked / n), 0.0, float(told), float(short in _HEADINGS), float(short == "p")])
+                homes.append(stack[-1] if stack else None)
             pieces.clear()
-        words = linked = 0
+        linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if stack and stack[-1][1] == -2:  # in a hidden element
+        if stack and stack[-1].hidden:
             return
         pieces.append(text)
         if link:
             linked += len(text.split())
 
     def pop(name: str) -> None:
-        if any(x[0] == name for x in stack):
-            while stack.pop()[0] != name:
+        if any(x.name == name for x in stack):
+            while stack.pop().name != name:
                 pass
 
     at = 0
@@ -151,42 +202,53 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if name in _BRIEF:
             close()
         if name in _HIDDEN:
-            if stack and stack[-1][0] == "option" and name == "option" and not m[2]:
+            if stack and stack[-1].name == "option" and name == "option" and not m[2]:
                 stack.pop()
             if m[2]:
                 pop(name)
             elif not m[4].endswith("/"):
-                stack.append((name, -2, False))
+                stack.append(Node(name, stack[-1] if stack else None, 0, False, hidden=True))
             continue
         if not m[2] and (name in _SHORT or name in _HOLD):
-            while stack and stack[-1][0] in _BRIEF:
+            while stack and stack[-1].name in _BRIEF:
                 stack.pop()
         if name == "a":
-            link = max(0, link - 1) if m[2] else link + 1
+            link, wraps = (0, False) if m[2] else (1, not short)  # one link ends where the next begins
         elif name == "br":
             pieces.append(" ")
         elif name in _SHORT:
             close()
+            if not wraps:  # a link that began in a block ends with it
+                link = 0
             short, told = ("", False) if m[2] else (name, speaks(m[4]))
+            if name == "h1" and not m[2] and stack:
+                for node in stack[-1].up():
+                    node.title = True
         elif name in _HOLD:
             close()
-            short, told, link = "", False, 0
-            if not m[2]:
-                before = stack[-1] if stack else ("", 0, False)
-                place = -2 if before[1] == -2 else -1 if name in _OUTSIDE and not (name == "header" and before[1] == 1) else before[1] if before[1] == -1 or name not in _INSIDE else 1
-                # names of what holds the article say what stands beside it, not what it is; later articles can be comments
-                named = speaks(m[4]) and name not in _WHOLE
-                if not (name == "main" or name == "article" and not inside):
-                    named = named or before[2]
-                inside = inside or name in _INSIDE
-                stack.append((name, place, named))
-            else:
+            short, told, link, wraps = "", False, 0, False
+            if m[2]:
                 pop(name)
+                continue
+            within = next((x.place for x in reversed(stack) if x.place), 0) if stack else 0
+            place = -1 if name in _OUTSIDE and not (name == "header" and within == 1) else int(name in _INSIDE)
+            node = Node(name, stack[-1] if stack else None, place, speaks(m[4]))
+            if name == "main" or name == "article" and not inside:  # later articles can be comments
+                for x in node.up():
+                    x.article = True
+            inside = inside or name in _INSIDE
+            stack.append(node)
     if at < len(page):
         add(page[at:])
     close()
     x = np.zeros((len(rows), len(FEATURES)))
     if rows:
+        known: dict[int, tuple[int, bool]] = {}
+        for row, home in zip(rows, homes, strict=True):
+            if home is not None:
+                if id(home) not in known:
+                    known[id(home)] = home.says()
+                row[2], row[3] = known[id(home)][0], max(row[3], float(known[id(home)][1]))
         own = np.array(rows)
         x[:, 0:2], x[:, 6:] = own[:, :2], own[:, 2:]
         x[1:, 2:4], x[:-1, 4:6] = own[:-1, :2], own[1:, :2]
