@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import pytest
 
 from tidemark.llm.graph import components
-from tidemark.llm.minhash import meeting, near_duplicates, one_of_each
+from tidemark.llm.minhash import COORDINATES, matches_at, meeting, near_duplicates, one_of_each
 
 
 def brute(rows, k=5, num=85, den=100):
@@ -86,3 +87,30 @@ def test_meeting_counts_common_elements():
     got = meeting(sets)
     np.fill_diagonal(got, 0)
     assert got.astype(int).tolist() == want
+
+
+def test_asked_matches_miss_one_in_a_million():
+    for num in (50, 60, 70, 80, 85, 95):
+        m, s = matches_at(num, 100), num / 100
+        missed = sum(math.comb(COORDINATES, i) * s**i * (1 - s) ** (COORDINATES - i) for i in range(m))
+        assert missed <= 1e-6
+    assert matches_at(85, 100) == 27
+    with pytest.raises(ValueError):
+        matches_at(1, 100)
+
+
+def test_one_of_each_with_repeated_rows_and_clashing_names(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "a"), (2, text.upper(), "b"), (3, "quite another text that has words", "c"), (3, "and a second text of that id", "d"), (None, text, "e"), (None, text, "e"), (4, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string").selectExpr("*", "1 AS kept", "2 AS count")
+    got = one_of_each(df)
+    assert got.columns == ["doc_id", "text", "gone", "kept", "count"]
+    assert sorted(((r.doc_id or 0, r.gone) for r in got.collect())) == [(0, "e"), (0, "e"), (1, "a"), (3, "c"), (3, "d"), (4, "f")]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:150_000] + ["x"] + words[150_000:])), (3, "short text of a few words here")]
+    got = {r_.doc_id: r_.component_id for r_ in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -1,8 +1,8 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates, confirmed on full shingle sets.
 
 Documents with the same shingle set form one class with one representative. Representatives are posted under their
-(coordinate, value) pairs. Two of them with a similarity at the threshold agree on at least ``MATCHES`` coordinates but
-for a chance of about one in a million, so they share a pair among the ``COORDINATES - MATCHES + 1`` rarest of each
+(coordinate, value) pairs. Two of them with a similarity at the threshold agree on at least ``matches_at`` coordinates but
+for a chance of at most one in a million, so they share a pair among the ``COORDINATES - matches + 1`` rarest of each
 (prefix filter); pairs that only one document has are skipped. A posting list isn't expanded into all its pairs: its
 members are first compared with a pivot, the collision count deciding before the sets do. Lists whose members are in
 different components after that are open. Their members, joined by open lists into families, are compared among
@@ -11,6 +11,7 @@ themselves in blocks on their full sets, and components that meet are reported r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import M1, lower_ascii, materialise, mix, prefix_hash, require, span_hash, text_chunks, word_spans
 from tidemark.llm.graph import components
 
-COORDINATES, MATCHES = 48, 27
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 48
+#: Chance, at most, that two documents at the threshold agree on fewer coordinates than asked for.
+MISSED = 1e-6
 #: Members of a family that one block of the exhaustive comparison holds; elements in up to RARE sets are met pair by pair.
 BLOCK, RARE = 1024, 8
 _RNG = np.random.default_rng(20240501)
@@ -30,6 +32,18 @@ _XOR = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 
 
+def matches_at(num: int, den: int) -> int:
+    """The most coordinates that two documents of similarity num / den agree on but for a chance of MISSED."""
+    s, below = num / den, 0.0
+    for m in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)
+        if below > MISSED:
+            if not m:
+                break
+            return m
+    raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {num} / {den}")
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each document, with repeats, and the document offsets into them.
 
@@ -76,7 +90,7 @@ def signatures(documents: DataFrame, k: int = 5) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary")
 
 
-def postings(reps: DataFrame) -> DataFrame:
+def postings(reps: DataFrame, matches: int) -> DataFrame:
     """(key, doc): a representative under each of the rarest shared (coordinate, value) pairs that its prefix holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +106,7 @@ def postings(reps: DataFrame) -> DataFrame:
     shared = materialise(every.groupBy("key").count().where("count > 1"), "shared-pairs")
     held = every.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("held"))
     # the coordinates that nobody shares come first in the prefix
-    prefix = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("held"))))
+    prefix = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("held"))))
     return held.select("doc", F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "doc")
 
 
@@ -199,16 +213,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 85, den: int =
     links with nothing and has a null component. Rows that share a doc_id are one node. Other columns are ignored.
     """
     require(documents, "doc_id", "text")
+    matches = matches_at(num, den)
     rows = materialise(signatures(documents, k), "signatures")
     rep_key = ["fp1", "fp2", "n_shingles"]
     reps = materialise(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*rep_key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    lists = materialise(postings(reps), "postings")
+    lists = materialise(postings(reps, matches), "postings")
     twice = materialise(lists.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where("pivot <> top"), "pivots")
     linked = twice.join(lists, "key").select("doc").distinct()
     texts = materialise(linked.join(documents.select(F.col("doc_id").alias("doc"), "text"), "doc").withColumnRenamed("doc", "rep"), "texts")
     lists = lists.join(twice.select("key"), "key")
     pairs = twice.select("key", "pivot").join(lists, "key").where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = materialise(confirm(by_collisions(pairs, reps, num, den), texts, k, num, den), "links")
+    edges = materialise(confirm(by_collisions(pairs, reps, num, den, matches), texts, k, num, den), "links")
     comps = materialise(components(edges), "components")
 
     here = lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
@@ -223,13 +238,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, num: int = 85, den: int =
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def by_collisions(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that agree on MATCHES coordinates and whose set sizes allow a link."""
+def by_collisions(pairs: DataFrame, reps: DataFrame, num: int, den: int, matches: int) -> DataFrame:
+    """The pairs (a, b) that agree on ``matches`` coordinates and whose set sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= matches))
 
     one = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").where(F.lit(num) * F.greatest("n_a", "n_b") <= F.lit(den) * F.least("n_a", "n_b"))
@@ -237,9 +252,19 @@ def by_collisions(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> Data
 
 
 def one_of_each(documents: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
-    """The documents, with all their columns, of which one for each near-duplicate component stays: its smallest doc_id."""
-    drop = near_duplicates(documents, k, num, den).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The documents, with all their columns, of which one for each near-duplicate component stays: its smallest doc_id.
+
+    Of rows that share a doc_id and a text one stays. Rows with a null doc_id link with nothing, so all of them stay.
+    """
+    found = materialise(near_duplicates(documents, k, num, den).select("doc_id", "kept"), "kept")
+    drop = found.where("not kept").select("doc_id").distinct().alias("gone")
+    kept = documents.alias("own").join(drop, F.col("own.doc_id") == F.col("gone.doc_id"), "left_anti")
+    again = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    same = F.col("own.doc_id") == F.col("again.doc_id")
+    once = kept.alias("own").join(again.alias("again"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.alias("own").join(again.alias("again"), same, "left_anti").unionAll(once)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
