@@ -39,6 +39,8 @@ def test_equals_brute_force(spark, limit):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in contamination(d, b, max_broadcast=limit).collect()), key=str)
     assert got == brute(docs, items)
     assert sorted(r.doc_id for r in remove_documents(d, b).collect()) == sorted(x[0] for x in brute(docs, items) if not x[4])
+    clash = d.withColumnsRenamed({"words": "text_key", "hash": "h_id"})
+    assert remove_documents(clash, b).columns == clash.columns and remove_documents(clash, b).count() == sum(not x[4] for x in brute(docs, items))
     assert contamination(d.limit(0), b).count() == 0
     assert {r.contaminated for r in contamination(d, b.limit(0)).collect()} == {False}
 

@@ -93,9 +93,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_b
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
-    hit = find_hits(documents, benchmark, n).where("pos > 0").select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.xxhash64("text") == F.col("h_key"))
-    return documents.join(hit, on, "left_anti")
+    hit = find_hits(documents, benchmark, n).where("pos > 0").select("doc_id", "text_key").distinct().alias("hit")
+    on = F.col("own.doc_id").eqNullSafe(F.col("hit.doc_id")) & (F.xxhash64("own.text") == F.col("hit.text_key"))
+    return documents.alias("own").join(hit, on, "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
