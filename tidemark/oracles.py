@@ -237,7 +237,7 @@ TENSOR = f"WITH {BARS}, c AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn,
 RUNS = f"WITH {BARS}, s AS (SELECT symbol, ts, sign(close - open) AS st FROM bars), tt AS (SELECT *, CASE WHEN st = {lag('st')} THEN 0 ELSE 1 END AS tn FROM s), u AS (SELECT *, sum(tn) OVER ({P}) AS run FROM tt), l AS (SELECT symbol, st, run, count(*) AS n FROM u GROUP BY ALL) SELECT symbol, CAST(st AS INTEGER) AS state, count(*) AS n_runs, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS median FROM l GROUP BY symbol, st"
 
 
-ASOF = """WITH l AS (SELECT event_type AS symbol, ts, event_id FROM events WHERE event_id % 3 = 0), r AS (SELECT event_type AS symbol, ts, value FROM events WHERE event_id % 3 <> 0 AND value > 0)
+ASOF = """WITH l AS (SELECT event_type AS symbol, ts, event_id FROM events), r AS (SELECT event_type AS symbol, ts, value FROM events WHERE value > 0)
 SELECT l.symbol, l.ts, l.event_id, r.ts AS r_ts, r.value AS r_value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts > r.ts"""
 INTERVAL = f"""WITH {BARS}, s AS (SELECT symbol, ts AS t0, ts + INTERVAL 40 MINUTES AS t1 FROM bars WHERE minute(ts) = 30) SELECT s.symbol, s.t0, count(*) AS n, round(min(e.value), 6) AS low, round(max(e.value), 6) AS high
 FROM events e JOIN s ON e.event_type = s.symbol AND e.ts >= t0 AND e.ts < t1 GROUP BY ALL"""

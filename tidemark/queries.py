@@ -212,8 +212,7 @@ def run_lengths(spark, sf_dir):
 @query(oracles.ASOF)
 def asof_previous(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "symbol")
-    left = e.where("event_id % 3 = 0").select("symbol", "ts", "event_id")
-    return J.asof(left, e.where("event_id % 3 <> 0 and value > 0").select("symbol", "ts", "value"), "symbol", "ts", ["value"], strict=True)
+    return J.asof(e.select("symbol", "ts", "event_id"), e.where("value > 0").select("symbol", "ts", "value"), "symbol", "ts", ["value"], strict=True)
 
 
 @query(oracles.INTERVAL)
