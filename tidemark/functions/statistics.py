@@ -177,33 +177,46 @@ def student_tail(t: float, freedom: float) -> float:
 def day_bootstrap(trades: DataFrame, value: str, day: Column, keys: Sequence[str] = (), reps: int = 5000, seed: int = 11) -> DataFrame:
     """Mean, 2.5 and 97.5 % bounds and share of means at or below 0 over resampled whole days.
 
-    Days become (sum, count) rows first. Draw k of a repetition is a hash of (seed, rep, k), so a lost task repeats its
-    draws. Repetitions are spread over tasks; each reads the days, which grow with the calendar, not with the trades.
+    Days become (sum, count) rows first, numbered from 0. Draw k of a repetition is a hash of (seed, rep, k), see ``draws``,
+    so a lost task repeats its draws.
     """
     ks = list(keys) or ["_all"]
     rows = trades if keys else trades.withColumn("_all", F.lit(0))
     days = rows.groupBy(*ks, day.alias("_day")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    listed = days.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("_day", "s", "n"))).alias("d"))
-    many = F.size("d")
-    drawn = listed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    pick = F.transform(F.sequence(F.lit(1), many), lambda k: F.element_at("d", (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), k), many) + 1).cast("int")))
-    total = F.aggregate(pick, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n")))
-    means = drawn.select(*ks, (total["s"] / total["n"]).alias("m"))
+    drawn = draws(days, "_day", ks, reps, seed)
+    means = drawn.groupBy(*ks, "rep").agg((F.sum("s") / F.sum("n")).alias("m"))
     out = means.groupBy(*ks).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_not_above_zero"))
     mean = days.groupBy(*ks).agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("n_days"))
     return mean.join(out, ks).drop("_all")
 
 
+def draws(days: DataFrame, day: str, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """As many drawn days, with replacement, as a key has, for each of ``reps`` repetitions: rows with ``rep``, ``k`` and the day's columns.
+
+    Draw k takes the day whose number is the first 32 bits of md5("seed:rep:k") modulo the number of days. Days are a row a
+    day; draws are rows, spread over tasks by (key, rep), and no row holds all days of a key.
+    """
+    w = Window.partitionBy(*keys).orderBy(day)
+    numbered = days.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
+    many = days.groupBy(*keys).agg(F.count("*").alias("_many"))
+    rep = many.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*keys, "rep")
+    k = rep.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1)))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "k")), 1, 8), 16, 10).cast("long")
+    return k.withColumn("_i", hashed % F.col("_many")).join(numbered, [*keys, "_i"]).drop("_i", "_many")
+
+
 def choose_threshold(rows: DataFrame, p: str, payoff: str, bars_per_day: float, keys: Sequence[str], least: int = 30, low: float = 0.1, high: float = 5.0, steps: int = 60) -> DataFrame:
     """The cut among quantiles .5 to .995 of p with the largest mean payoff of rows at or above it.
 
     A cut needs ``least`` rows and between ``low`` and ``high`` of them a day; without any, the largest quantile and no
-    expectancy. The grid is small, so each row meets its cuts in one array expression and only sums are shuffled.
+    expectancy. Each row finds its place in the grid; sums of the places are then added up from the top.
     """
     qs = [0.5 + (0.995 - 0.5) * i / (steps - 1) for i in range(steps)]
     grid = rows.groupBy(*keys).agg(F.percentile(p, F.array(*(F.lit(q) for q in qs))).alias("_g"), (F.count("*") / bars_per_day).alias("_days"))
-    hit = rows.join(grid, list(keys)).select(*keys, payoff, "_days", F.posexplode("_g").alias("_i", "threshold"), F.col(p).alias("_p")).where(F.col("_p") >= F.col("threshold"))
-    cut = hit.groupBy(*keys, "_i", "threshold", "_days").agg(F.count("*").alias("n"), F.avg(payoff).alias("expectancy"))
+    place = F.size(F.filter("_g", lambda x: x <= F.col(p))).alias("_place")
+    sums = rows.join(grid, list(keys)).groupBy(*keys, place).agg(F.count("*").alias("_n"), F.count(payoff).alias("_m"), F.sum(payoff).alias("_s"))
+    cuts = grid.select(*keys, "_days", F.posexplode("_g").alias("_i", "threshold"))
+    cut = cuts.join(sums, list(keys)).where("_place > _i").groupBy(*keys, "_i", "threshold", "_days").agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_m")).alias("expectancy"))
     fine = cut.where((F.col("n") >= least) & (F.col("n") / F.col("_days")).between(low, high))
     best = fine.groupBy(*keys).agg(F.max_by(F.struct("threshold", "expectancy"), F.struct("expectancy", -F.col("_i"))).alias("b"))
     return grid.join(best, list(keys), "left").select(*keys, F.coalesce("b.threshold", F.element_at("_g", -1)).alias("threshold"), F.col("b.expectancy").alias("expectancy"))

@@ -36,6 +36,19 @@ def chunked(rows: DataFrame, chunk_rows: int, halo: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(memberships)).withColumn("halo", F.col("chunk") != own)
 
 
+def previous(rows: DataFrame, x: str, name: str, by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """``name``: x of the row before in the series, without one group for a series; ``_day`` stays, for groupings after it.
+
+    Rows look back inside (series, day); the last value of each day is handed to the next day that has rows, one row a day.
+    """
+    day = F.to_date(ts).alias("_day")
+    ends = rows.groupBy(by, day).agg(F.max_by(x, ts).alias("_end"))
+    carried = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(by).orderBy("_day")))
+    w = Window.partitionBy(by, "_day").orderBy(ts)
+    joined = rows.withColumn("_day", F.to_date(ts)).join(carried, [by, "_day"], "left")
+    return joined.withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag(x).over(w))).drop("_end")
+
+
 def resample(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     """Bars of ``minutes`` minutes: open, high, low, close, n, rv, absret, up, down, range_sum, utc.
 
@@ -43,24 +56,24 @@ def resample(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     before, across bars and gaps. Bars without records don't appear. One row per (symbol, ts) is expected; see keep_last.
     """
     minute = ticks if "close" in ticks.columns else ticks.withColumns({c: F.col("price") for c in ("open", "high", "low", "close")})
-    change = F.log(F.col("close")) - F.lag(F.log(F.col("close"))).over(Window.partitionBy("symbol").orderBy("ts"))
-    step = minute.withColumn("_d", change)
+    step = previous(minute, "close", "_c").withColumn("_d", F.log("close") - F.log("_c"))
     start = F.window("ts", f"{minutes} minutes")["start"]
-    bars = step.groupBy("symbol", start.alias("ts")).agg(
+    day = ["_day"] if 1440 % minutes == 0 else []  # bars that end with a day need no other exchange than the changes
+    bars = step.groupBy("symbol", *day, start.alias("ts")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.count("*").alias("n"),
         F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("rv"), F.coalesce(F.sum(F.abs("_d")), F.lit(0.0)).alias("absret"),
         F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).alias("down"), F.sum((F.col("high") - F.col("low")) / F.col("close")).alias("range_sum"),
     )
-    return bars.withColumn("utc", F.col("ts") + F.expr("INTERVAL 5 HOURS"))
+    return bars.drop("_day").withColumn("utc", F.col("ts") + F.expr("INTERVAL 5 HOURS"))
 
 
 def quality(bars: DataFrame, outlier: float = 0.02) -> DataFrame:
     """One row a symbol: rows, first and last time, price-order violations, non-positive rows, outliers, weekend rows."""
-    change = F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")) - 1
+    change = F.col("close") / F.col("_before") - 1
     day, hour = F.weekday("ts"), F.hour("ts")
     wrong = (F.col("high") < F.col("low")) | (F.col("high") < F.col("open")) | (F.col("high") < F.col("close")) | (F.col("low") > F.col("open")) | (F.col("low") > F.col("close"))
     weekend = (day == 5) | ((day == 4) & (hour >= 17)) | ((day == 6) & (hour < 18))
-    return bars.withColumn("_c", change).groupBy("symbol").agg(
+    return previous(bars, "close", "_before").withColumn("_c", change).groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(wrong).alias("violations"),
         F.count_if(F.least("open", "high", "low", "close") <= 0).alias("non_positive"), F.count_if(F.abs("_c") > outlier).alias("outliers"), F.count_if(weekend).alias("weekend_rows"),
     )

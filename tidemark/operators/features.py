@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as R
 from tidemark.functions.windows import EPS, flag
 from tidemark.operators.bars import chunked, numbered
-from tidemark.operators.smoothing import smoothed, span
+from tidemark.operators.smoothing import ranked, smoothed, span
 
 CHUNK, HALO, YEAR_RANK = 20_000, 6_500, 6_048
 LAGGED = "ret_1 body_atr close_pos rsi14 bb_pos m1_imb stoch_k macd_hist_n vol_expansion efficiency_1 range_atr gap_atr sweep_high sweep_low bos_up bos_dn dist_vwap_day adx14 di_diff absret_z".split()
@@ -123,8 +123,9 @@ def volatility(b: DataFrame, year: int = YEAR_RANK) -> DataFrame:
     b = b.withColumns({
         "_rel": a14 / c, "_rv96": R.rolling("sum", "rv", order(), 96), "_rv8": F.sqrt(R.rolling("sum", "rv", order(), 8)), "_alr": F.abs("lr"), "_ac": a14 / lag("a14") - 1, "_hl": F.log(F.col("high") / F.col("low")) ** 2,
     })
+    b = ranked(b, {"atr14_rank_1y": ("_rel", year), "rv_rank_1y": ("_rv96", year)})
     new = {
-        "atr14_p": a14 / c * 1e4, "atr96_p": a96 / c * 1e4, "atr_ratio": a14 / (a96 + EPS), "atr14_rank_1y": R.share_below("_rel", order(), year), "rv_rank_1y": R.share_below("_rv96", order(), year),
+        "atr14_p": a14 / c * 1e4, "atr96_p": a96 / c * 1e4, "atr_ratio": a14 / (a96 + EPS),
         "bb_pos": (c - m) / (2 * sd + EPS), "bb_width": 4 * sd / (m + EPS) * 1e4, "kc_pos": (c - F.col("ema20")) / (2 * a14 + EPS), "squeeze": flag(2 * sd < 1.5 * a14),
         "rv_1": F.sqrt("rv") * 1e3, "rv_8": F.col("_rv8") * 1e3, "rv_z_96": R.zscore("_rv8", order(), 96), "vol_expansion": R.rolling("avg", "_alr", order(), 4) / (R.rolling("avg", "_alr", order(), 96) + EPS),
         "vol_of_vol": R.rolling("stddev_samp", "_ac", order(), 96), "park_20": F.sqrt(R.rolling("avg", "_hl", order(), 20) / (4 * math.log(2))) * 1e3,

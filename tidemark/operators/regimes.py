@@ -25,12 +25,22 @@ def emissions(model: dict, x: np.ndarray) -> np.ndarray:
     return -0.5 * ((d * d / model["var"]).sum(axis=2) + np.log(2 * np.pi * model["var"]).sum(axis=1))
 
 
-def fit(rows: DataFrame, states: int = 3, iterations: int = 20, keys: tuple[str, ...] = ("symbol", "chunk")) -> dict:
+def fit(rows: DataFrame, states: int = 3, iterations: int = 60, keys: tuple[str, ...] = ("symbol", "chunk"), gain: float = 1e-2) -> dict:
     """Model shared by all series: start, transition, mean and var, by expectation maximisation.
 
     A stretch (symbol, chunk) is a sequence of its own, at most a chunk long; each iteration sums its expected counts in a
-    grouped aggregate, so the driver sees as many numbers as the model has. States are ordered by their second mean.
+    grouped aggregate, so the driver sees as many numbers as the model has. It ends after ``iterations`` or when the log
+    likelihood gains less than ``gain``. Rows are kept by the executors between iterations and made anew if one is lost.
+    States are ordered by their second mean.
     """
+    rows = rows.select(*keys, "ts", *COLUMNS).repartition(*keys).persist()
+    try:
+        return _maximised(rows, states, iterations, keys, gain)
+    finally:
+        rows.unpersist()
+
+
+def _maximised(rows: DataFrame, states: int, iterations: int, keys: tuple[str, ...], gain: float) -> dict:
     q = [(i + 0.5) / states for i in range(states)]
     cuts = rows.agg(*(F.percentile(c, F.array(*map(F.lit, q))).alias(f"q_{c}") for c in COLUMNS), *(F.var_pop(c).alias(f"v_{c}") for c in COLUMNS)).first()
     model = {
@@ -39,6 +49,7 @@ def fit(rows: DataFrame, states: int = 3, iterations: int = 20, keys: tuple[str,
     }
     d = len(COLUMNS)
     width = states + states * states + states * (1 + 2 * d) + 1
+    reached = -np.inf
     for _ in range(iterations):
         now = {k: v.copy() for k, v in model.items()}
 
@@ -66,7 +77,7 @@ def fit(rows: DataFrame, states: int = 3, iterations: int = 20, keys: tuple[str,
             flat = np.concatenate([gamma[0], move.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel(), [np.log(scale).sum() + top.sum()]])
             return pd.DataFrame({"i": np.arange(width), "v": flat})
 
-        got = rows.select(*keys, "ts", *COLUMNS).groupBy(*keys).applyInPandas(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        got = rows.groupBy(*keys).applyInPandas(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         s = np.zeros(width)
         for r in got:
             s[r["i"]] = r["v"]
@@ -76,6 +87,9 @@ def fit(rows: DataFrame, states: int = 3, iterations: int = 20, keys: tuple[str,
             "start": start / start.sum(), "trans": (m := move.reshape(states, states) + 1e-9) / m.sum(axis=1, keepdims=True), "mean": mean,
             "var": np.maximum(second.reshape(states, d) / n[:, None] - mean**2, 1e-3),
         }
+        if s[-1] - reached < gain:
+            break
+        reached = s[-1]
     order = np.argsort(model["mean"][:, 1])
     return {"start": model["start"][order], "trans": model["trans"][np.ix_(order, order)], "mean": model["mean"][order], "var": model["var"][order]}
 

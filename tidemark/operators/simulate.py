@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import statistics as S
 from tidemark.functions import windows as R
 from tidemark.operators.fold import fold
 
@@ -246,10 +247,11 @@ def performance(trades: DataFrame, equity: DataFrame) -> DataFrame:
     return a.join(streaks, key).join(q, key).withColumn("trades_per_day", F.col("n_trades") / F.col("n_days")).drop("_years")
 
 
-def sized(trades: DataFrame, rule: str) -> DataFrame:
+def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
     """``fraction`` of equity risked on each trade, and the ``curve`` of equity after it; rules flat1, prob, kelly025 and ddthrottle.
 
-    The first three read only the row or the 300 trades before it; the last reads its own drawdown and is a fold.
+    The first three read only the row or the 300 trades before it; the last reads its own drawdown and is a fold. ``prob``
+    takes each trade's own ``threshold`` where trades have that column.
     """
     w = Window.partitionBy("symbol", "scenario").orderBy("exit_ts", "entry_ts")
     if rule == "ddthrottle":
@@ -270,29 +272,29 @@ def sized(trades: DataFrame, rule: str) -> DataFrame:
     before = w.rowsBetween(-300, -1)
     k = F.avg("r_mult").over(before) / (F.var_pop("r_mult").over(before) + 1e-12)
     kelly = F.when(F.count("r_mult").over(before) < 100, 0.01).when(k > 0, F.least(F.greatest(0.25 * k * 0.01, F.lit(0.0025)), F.lit(0.02))).otherwise(0.0025)
-    edge = F.least(F.greatest((F.col("p") - F.col("threshold")) / 0.1, F.lit(0.0)), F.lit(1.0)) if "threshold" in trades.columns else F.lit(0.0)
+    edge = F.least(F.greatest((F.col("p") - (F.col("threshold") if "threshold" in trades.columns else F.lit(threshold))) / 0.1, F.lit(0.0)), F.lit(1.0))
     f = {"flat1": F.lit(0.01), "prob": 0.005 + 0.015 * edge, "kelly025": kelly}[rule]
     t = trades.where("filled").withColumn("fraction", f)
     return t.withColumn("curve", F.exp(F.sum(F.log1p(F.col("fraction") * F.col("r_mult"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))).select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult", "fraction", "curve")
 
 
 def ruin(trades: DataFrame, reps: int = 2000, fraction: float = 0.01, floor: float = -0.5, seed: int = 9) -> DataFrame:
-    """Share of day-resampled histories whose drawdown reaches ``floor``, at a fixed fraction of equity a trade."""
-    day = F.to_date("entry_ts")
-    days = trades.where("filled").groupBy("symbol", "scenario", day.alias("_d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("exit_ts", "r_mult"))), lambda x: x["r_mult"]).alias("r"))
-    listed = days.groupBy("symbol", "scenario").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "r"))), lambda x: x["r"]).alias("d"))
-    drawn = listed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    n = F.size("d")
-    path = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at("d", (F.pmod(F.xxhash64(F.lit(seed), "rep", k), n) + 1).cast("int"))))
-    zero = F.struct(F.lit(1.0).alias("e"), F.lit(1.0).alias("p"), F.lit(0.0).alias("dd"))
-
-    def step(s, r):
-        e = s["e"] * (1 + fraction * r)
-        p = F.greatest(s["p"], e)
-        return F.struct(e.alias("e"), p.alias("p"), F.least(s["dd"], e / p - 1).alias("dd"))
-
-    worst = drawn.select("symbol", "scenario", F.aggregate(path, zero, step)["dd"].alias("dd"))
-    return worst.groupBy("symbol", "scenario").agg(F.avg((F.col("dd") <= floor).cast("double")).alias("ruin"), F.avg("dd").alias("mean_worst"))
+    """Share of day-resampled histories whose drawdown reaches ``floor``, at a fixed fraction of equity a trade.
+
+    A day becomes one row in logs of equity: its gain, its top and its low against its start (the start counts as a top),
+    and its worst fall. A drawn history's worst fall follows from those rows by running sums, so no trade is copied for a
+    repetition. A trade that loses all is a fall of practically 1; rows that aren't filled or have no r_mult don't count.
+    """
+    key = ["symbol", "scenario"]
+    own = Window.partitionBy(*key, "_d").orderBy("exit_ts", "entry_ts", "r_mult").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.where("filled and r_mult is not null").withColumns({"_d": F.to_date("entry_ts"), "_x": F.log1p(F.greatest(fraction * F.col("r_mult"), F.lit(1e-12 - 1)))})
+    t = t.withColumn("_g", F.sum("_x").over(own)).withColumn("_p", F.greatest(F.max("_g").over(own), F.lit(0.0)))
+    days = t.groupBy(*key, "_d").agg(F.sum("_x").alias("gain"), F.max("_p").alias("top"), F.min("_g").alias("low"), F.min(F.col("_g") - F.col("_p")).alias("fall"))
+    before = Window.partitionBy(*key, "rep").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    path = S.draws(days, "_d", key, reps, seed).withColumn("_s", F.coalesce(F.sum("gain").over(before), F.lit(0.0)))
+    path = path.withColumn("_peak", F.coalesce(F.max(F.col("_s") + F.col("top")).over(before), F.lit(0.0)))
+    worst = path.groupBy(*key, "rep").agg(F.expm1(F.least(F.min("fall"), F.min(F.col("_s") + F.col("low") - F.col("_peak")), F.lit(0.0))).alias("dd"))
+    return worst.groupBy(*key).agg(F.avg((F.col("dd") <= floor).cast("double")).alias("ruin"), F.avg("dd").alias("mean_worst"))
 
 
 def event_study(bars: DataFrame, horizons: tuple[int, ...] = (8, 16, 32), cost_bp: float = 2.5) -> DataFrame:

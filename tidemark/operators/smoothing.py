@@ -1,7 +1,10 @@
-"""Exponential smoothing of many columns in one pass over bounded stretches of a series."""
+"""Exponential smoothing and ranks of many columns in one pass over bounded stretches of a series."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,6 +27,37 @@ def smoothed(rows: DataFrame, specs: dict[str, tuple[str, float, int]], keys: tu
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+def below(values: np.ndarray, n: int) -> np.ndarray:
+    """Share of the n - 1 values before each that are strictly below it; NaN where the last n aren't all there."""
+    out, held, there = np.full(len(values), np.nan), [], 0
+    for i, x in enumerate(values):
+        if i >= n and not np.isnan(values[i - n]):
+            del held[bisect_left(held, values[i - n])]
+            there -= 1
+        if np.isnan(x):
+            continue
+        there += 1
+        if there == n:
+            out[i] = bisect_left(held, x) / (n - 1)
+        insort(held, x)
+    return out
+
+
+def ranked(rows: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = ("symbol", "chunk"), order: str = "ts") -> DataFrame:
+    """Adds a column for each of ``specs``: name -> (input, n), the share of the n - 1 rows before that are strictly below.
+
+    The last n values are held sorted, so long frames cost a search a row and not a list a row. The halo before a chunk
+    must hold n - 1 rows or more.
+    """
+    schema = T.StructType(rows.schema.fields + [T.StructField(name, T.DoubleType()) for name in specs])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        return group.assign(**{name: below(group[x].to_numpy(dtype=float, na_value=np.nan), n) for name, (x, n) in specs.items()})
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
 def span(n: int) -> float:
     """Weight of the newest value for a span of n."""
     return 2 / (n + 1)

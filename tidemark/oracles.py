@@ -66,6 +66,23 @@ def r6(columns: dict[str, str], ints: str = "") -> dict[str, str]:
     return {n: x if n in ints.split() else f"round({x}, 6)" for n, x in columns.items()}
 
 
+def volatility_sql(year: int) -> str:
+    """The volatility family with ranks over ``year`` rows."""
+    more = f""", c0 AS (SELECT *, a14 / close AS rel, {roll('sum', 'rv', 96)} AS rv96, sqrt({roll('sum', 'rv', 8)}) AS rv8, abs(lr) AS alr, a14 / {lag('a14')} - 1 AS ac, pow(ln(high / low), 2) AS hl FROM b),
+c AS (SELECT *, list(rel) OVER ({P} ROWS BETWEEN {year - 1} PRECEDING AND 1 PRECEDING) AS rels, list(rv96) OVER ({P} ROWS BETWEEN {year - 1} PRECEDING AND 1 PRECEDING) AS rvs, {roll('count', 'rel', year)} AS n_rel, {roll('count', 'rv96', year)} AS n_rv, {roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS sd FROM c0)"""
+    rank = lambda x, held, n: f"CASE WHEN {n} = {year} THEN len(list_filter({held}, lambda y: y < {x})) / {year - 1}.0::DOUBLE END"
+    cols = {
+        "atr14_p": "a14 / close * 1e4", "atr96_p": "a96 / close * 1e4", "atr_ratio": "a14 / (a96 + 1e-12)", "atr14_rank_1y": rank("rel", "rels", "n_rel"), "rv_rank_1y": rank("rv96", "rvs", "n_rv"),
+        "bb_pos": "(close - m) / (2 * sd + 1e-12)", "bb_width": "4 * sd / (m + 1e-12) * 1e4", "kc_pos": "(close - ema20) / (2 * a14 + 1e-12)", "squeeze": "CASE WHEN 2 * sd < 1.5 * a14 THEN 1 ELSE 0 END",
+        "rv_1": "sqrt(rv) * 1e3", "rv_8": "rv8 * 1e3", "rv_z_96": zs("rv8", 96), "vol_expansion": f"({roll('avg', 'alr', 4)}) / (({roll('avg', 'alr', 96)}) + 1e-12)", "vol_of_vol": roll("stddev_samp", "ac", 96),
+        "park_20": f"sqrt(({roll('avg', 'hl', 20)}) / (4 * ln(2))) * 1e3", "compression_20": f"(({roll('max', 'high', 20)}) - ({roll('min', 'low', 20)})) / (a96 * 20 + 1e-12)",
+    }
+    for n in (20, 96):
+        hi, lo = f"({roll('max', 'high', n)})", f"({roll('min', 'low', n)})"
+        cols |= {f"donch_pos_{n}": f"(close - {lo}) / ({hi} - {lo} + 1e-12)", f"donch_width_{n}": f"({hi} - {lo}) / atr"}
+    return query(SMOOTHED, r6(cols, "squeeze"), "c", more)
+
+
 def family_sql() -> dict[str, str]:
     out = {}
     more = f", c AS (SELECT *, {lag('lr')} AS lr1, {roll('sum', 'lr', 4)} AS sum4 FROM b0)"
@@ -110,19 +127,7 @@ c1 AS (SELECT *, CASE WHEN way = {lag('way')} THEN 0 ELSE 1 END AS turn FROM c0)
     }
     out["features_momentum"] = query(SMOOTHED, r6(cols), "c", more)
 
-    more = f""", c0 AS (SELECT *, a14 / close AS rel, {roll('sum', 'rv', 96)} AS rv96, sqrt({roll('sum', 'rv', 8)}) AS rv8, abs(lr) AS alr, a14 / {lag('a14')} - 1 AS ac, pow(ln(high / low), 2) AS hl FROM b),
-c AS (SELECT *, list(rel) OVER ({P} ROWS BETWEEN 95 PRECEDING AND 1 PRECEDING) AS rels, list(rv96) OVER ({P} ROWS BETWEEN 95 PRECEDING AND 1 PRECEDING) AS rvs, {roll('count', 'rel', 96)} AS n_rel, {roll('count', 'rv96', 96)} AS n_rv, {roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS sd FROM c0)"""
-    rank = lambda x, held, n: f"CASE WHEN {n} = 96 THEN len(list_filter({held}, lambda y: y < {x})) / 95.0::DOUBLE END"
-    cols = {
-        "atr14_p": "a14 / close * 1e4", "atr96_p": "a96 / close * 1e4", "atr_ratio": "a14 / (a96 + 1e-12)", "atr14_rank_1y": rank("rel", "rels", "n_rel"), "rv_rank_1y": rank("rv96", "rvs", "n_rv"),
-        "bb_pos": "(close - m) / (2 * sd + 1e-12)", "bb_width": "4 * sd / (m + 1e-12) * 1e4", "kc_pos": "(close - ema20) / (2 * a14 + 1e-12)", "squeeze": "CASE WHEN 2 * sd < 1.5 * a14 THEN 1 ELSE 0 END",
-        "rv_1": "sqrt(rv) * 1e3", "rv_8": "rv8 * 1e3", "rv_z_96": zs("rv8", 96), "vol_expansion": f"({roll('avg', 'alr', 4)}) / (({roll('avg', 'alr', 96)}) + 1e-12)", "vol_of_vol": roll("stddev_samp", "ac", 96),
-        "park_20": f"sqrt(({roll('avg', 'hl', 20)}) / (4 * ln(2))) * 1e3", "compression_20": f"(({roll('max', 'high', 20)}) - ({roll('min', 'low', 20)})) / (a96 * 20 + 1e-12)",
-    }
-    for n in (20, 96):
-        hi, lo = f"({roll('max', 'high', n)})", f"({roll('min', 'low', n)})"
-        cols |= {f"donch_pos_{n}": f"(close - {lo}) / ({hi} - {lo} + 1e-12)", f"donch_width_{n}": f"({hi} - {lo}) / atr"}
-    out["features_volatility"] = query(SMOOTHED, r6(cols, "squeeze"), "c", more)
+    out["features_volatility"] = volatility_sql(6048)
 
     more = ", c AS (SELECT *, (up - down) / (up + down + 1e-12) AS imb FROM b0)"
     cols = {
@@ -252,3 +257,38 @@ STREAM = f"WITH {BARS} SELECT symbol, ts, open, high, low, close, n FROM bars"
 HISTOGRAM = f"WITH {BARS}, c AS (SELECT ln(close / {lag('close')}) AS x FROM bars) SELECT CAST(least(greatest(floor((x + 1) / 2 * 60), 0), 59) AS INTEGER) AS bin, count(*) AS n FROM c WHERE x IS NOT NULL GROUP BY bin"
 CONDITIONS = f"""WITH {BARS}, c AS (SELECT *, ln(close / {lag('close')}) AS x FROM bars), g AS (SELECT 'asia' AS condition, x FROM c WHERE hour(ts) >= 19 OR hour(ts) < 4 UNION ALL SELECT 'late', x FROM c WHERE hour(ts) >= 12 UNION ALL SELECT 'busy', x FROM c WHERE n >= 2)
 SELECT condition, count(x) AS n, round(avg(x), 6) AS mean, round(1.96 * stddev_samp(x) / sqrt(count(x)), 6) AS margin FROM g GROUP BY condition HAVING count(x) >= 10"""
+
+TRADES = """t AS (SELECT event_type AS symbol, 'base' AS scenario, ts AS entry_ts, ts AS exit_ts, CAST(ts AS DATE) AS d, 2.64::DOUBLE - 4 * sqrt((event_id * 7919 % 401)::DOUBLE / 401) AS r_mult,
+  0.8::DOUBLE + 0.2::DOUBLE * sqrt(1 - (event_id * 7919 % 401)::DOUBLE / 401) AS p FROM events)"""
+
+
+def draws_sql(days: str, seed: int, reps: int) -> str:
+    """Drawn days of each repetition; ``days`` has symbol and d."""
+    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS many FROM {days}),
+rk AS (SELECT symbol, rep, k, CAST('0x' || substr(md5('{seed}:' || rep || ':' || k), 1, 8) AS BIGINT) % many AS i FROM (SELECT DISTINCT symbol, many FROM num), range({reps}) a(rep), LATERAL (SELECT unnest(range(many)) AS k)),
+drawn AS (SELECT rk.rep, rk.k, num.* FROM rk JOIN num USING (symbol, i))"""
+
+
+BOOTSTRAP = f"""WITH {TRADES}, days AS (SELECT symbol, d, sum(r_mult) AS s, count(*) AS n FROM t GROUP BY ALL), {draws_sql("days", 11, 5000)}, m AS (SELECT symbol, rep, sum(s) / sum(n) AS m FROM drawn GROUP BY ALL),
+o AS (SELECT symbol, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_not_above_zero FROM m GROUP BY symbol)
+SELECT symbol, round(sum(s) / sum(n), 6) AS mean, count(*) AS n_days, low, high, p_not_above_zero FROM days JOIN o USING (symbol) GROUP BY symbol, low, high, p_not_above_zero"""
+RUIN = f"""WITH {TRADES}, g AS (SELECT *, ln(1 + 0.01::DOUBLE * r_mult) AS x, sum(ln(1 + 0.01::DOUBLE * r_mult)) OVER (PARTITION BY symbol, d ORDER BY exit_ts, entry_ts, r_mult ROWS UNBOUNDED PRECEDING) AS g FROM t),
+p AS (SELECT *, greatest(max(g) OVER (PARTITION BY symbol, d ORDER BY exit_ts, entry_ts, r_mult ROWS UNBOUNDED PRECEDING), 0) AS top FROM g), days AS (SELECT symbol, d, sum(x) AS gain, max(top) AS top, min(g) AS low, min(g - top) AS fall FROM p GROUP BY ALL),
+{draws_sql("days", 9, 2000)}, c AS (SELECT *, coalesce(sum(gain) OVER w, 0) AS s FROM drawn WINDOW w AS (PARTITION BY symbol, rep ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, coalesce(max(s + top) OVER (PARTITION BY symbol, rep ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS peak FROM c), dd AS (SELECT symbol, rep, exp(least(min(fall), min(s + low - peak), 0)) - 1 AS dd FROM q GROUP BY ALL)
+SELECT symbol, 'base' AS scenario, round(avg(CASE WHEN dd <= -0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ruin, round(avg(dd), 6) AS mean_worst FROM dd GROUP BY symbol"""
+
+
+def sizing_sql() -> dict[str, str]:
+    """Fractions and curves of the rules that need no state of their own."""
+    by = "PARTITION BY symbol ORDER BY exit_ts, entry_ts"
+    k = "m / (v + 1e-12)"
+    rules = {
+        "flat1": "0.01::DOUBLE", "prob": "0.005::DOUBLE + 0.015::DOUBLE * least(greatest((p - 0.9::DOUBLE) / 0.1::DOUBLE, 0), 1)",
+        "kelly025": f"CASE WHEN n < 100 THEN 0.01::DOUBLE WHEN {k} > 0 THEN least(greatest(0.25::DOUBLE * {k} * 0.01::DOUBLE, 0.0025::DOUBLE), 0.02::DOUBLE) ELSE 0.0025::DOUBLE END",
+    }
+    return {
+        f"sizing_{name}": f"""WITH {TRADES}, h AS (SELECT *, avg(r_mult) OVER w AS m, var_pop(r_mult) OVER w AS v, count(*) OVER w AS n FROM t WINDOW w AS ({by} ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)), f AS (SELECT *, {rule} AS fraction FROM h)
+SELECT symbol, scenario, exit_ts, entry_ts, round(r_mult, 6) AS r_mult, round(fraction, 6) AS fraction, round(exp(sum(ln(1 + fraction * r_mult)) OVER ({by} ROWS UNBOUNDED PRECEDING)), 6) AS curve FROM f"""
+        for name, rule in rules.items()
+    }

@@ -66,11 +66,18 @@ def family(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[f"features_{name}"] = run
 
 
-for _name, _build in (("returns", X.returns), ("candles", X.candles), ("trend", X.trend), ("momentum", X.momentum), ("volatility", lambda b: X.volatility(b, 96)), ("activity", X.activity), ("structure", X.structure), ("levels", X.levels), ("sessions", X.sessions)):
+for _name, _build in (("returns", X.returns), ("candles", X.candles), ("trend", X.trend), ("momentum", X.momentum), ("volatility", X.volatility), ("activity", X.activity), ("structure", X.structure), ("levels", X.levels), ("sessions", X.sessions)):
     family(_name, _build)
 ORACLES |= oracles.family_sql()
 
 
+@query(oracles.volatility_sql(96))
+def features_volatility_day_ranks(spark, sf_dir):
+    """The volatility family with ranks over a day of bars instead of a year."""
+    b = X.volatility(X.prepare(bars_of(spark, sf_dir)), 96)
+    return rounded(b.where("not halo").select("symbol", "ts", *X.FAMILIES["volatility"]))
+
+
 @query(oracles.QUALITY)
 def quality_report(spark, sf_dir):
     return B.quality(bars_of(spark, sf_dir))
@@ -247,20 +254,20 @@ def stream_bars_batch(spark, sf_dir):
 
 @query(oracles.HISTOGRAM)
 def return_histogram(spark, sf_dir):
-    b = bars_of(spark, sf_dir)
-    return Z.histogram(b.withColumn("x", F.log(F.col("close") / F.lag("close").over(R.series("symbol")))), "x", 60, -1.0, 1.0)
+    b = B.previous(bars_of(spark, sf_dir), "close", "_c")
+    return Z.histogram(b.withColumn("x", F.log(F.col("close") / F.col("_c"))), "x", 60, -1.0, 1.0)
 
 
 @query(oracles.CONDITIONS)
 def conditioned_returns(spark, sf_dir):
-    b = bars_of(spark, sf_dir).withColumn("x", F.log(F.col("close") / F.lag("close").over(R.series("symbol"))))
+    b = B.previous(bars_of(spark, sf_dir), "close", "_c").withColumn("x", F.log(F.col("close") / F.col("_c")))
     h = F.hour("ts")
     return rounded(Z.conditioned(b, "x", {"asia": (h >= 19) | (h < 4), "late": h >= 12, "busy": F.col("n") >= 2}))
 
 
 @query()
 def features_all(spark, sf_dir):
-    return X.all_features(bars_of(spark, sf_dir), calendar_of(spark), year=96)
+    return X.all_features(bars_of(spark, sf_dir), calendar_of(spark))
 
 
 @query()
@@ -300,34 +307,43 @@ def performance(spark, sf_dir):
 
 @query()
 def placebo_shuffles(spark, sf_dir):
-    t = M.simulate(M.placebo(predicted(spark, sf_dir).drop("scenario"), 5))
+    t = M.simulate(M.placebo(predicted(spark, sf_dir).drop("scenario"), 100))
     return rounded(t.groupBy("symbol", "scenario").agg(F.count("*").alias("n"), F.avg("r_mult").alias("expectancy")))
 
 
-@query()
+def trades_of(spark, sf_dir):
+    """A trade for every event, its result and probability made from its id."""
+    e = table(spark, sf_dir, "events")
+    u = F.col("event_id") * 7919 % 401 / 401
+    t = e.select(F.col("event_type").alias("symbol"), F.lit("base").alias("scenario"), F.col("ts").alias("entry_ts"), F.col("ts").alias("exit_ts"), (2.64 - 4 * F.sqrt(u)).alias("r_mult"), (0.8 + 0.2 * F.sqrt(1 - u)).alias("p"))
+    return t.withColumn("filled", F.lit(True))
+
+
+@query(oracles.BOOTSTRAP)
 def bootstrap_days(spark, sf_dir):
-    return rounded(S.day_bootstrap(M.simulate(predicted(spark, sf_dir)), "r_mult", F.to_date("entry_ts"), ["symbol"], reps=500))
+    return rounded(S.day_bootstrap(trades_of(spark, sf_dir), "r_mult", F.to_date("entry_ts"), ["symbol"]))
 
 
 def sizing(rule: str):
-    return lambda spark, sf_dir: rounded(M.sized(M.simulate(predicted(spark, sf_dir)), rule))
+    return lambda spark, sf_dir: rounded(M.sized(trades_of(spark, sf_dir), rule))
 
 
-for _name in ("flat1", "kelly025", "ddthrottle"):
+for _name in ("flat1", "prob", "kelly025", "ddthrottle"):
     QUERIES[f"sizing_{_name}"] = sizing(_name)
+ORACLES |= oracles.sizing_sql()
 
 
-@query()
+@query(oracles.RUIN)
 def ruin_shares(spark, sf_dir):
-    return rounded(M.ruin(M.simulate(predicted(spark, sf_dir)), reps=100))
+    return rounded(M.ruin(trades_of(spark, sf_dir)))
 
 
 @query()
 def regime_probabilities(spark, sf_dir):
     b = H.observations(prepared(spark, sf_dir))
-    return rounded(H.filtered(b, H.fit(B.chunked(b.drop("chunk", "halo"), 5000, 0), iterations=5)))
+    return rounded(H.filtered(b, H.fit(B.chunked(b.drop("chunk", "halo"), 5000, 0))))
 
 
 @query()
 def walk_forward_auc(spark, sf_dir):
-    return rounded(L.walk_forward_auc(numbered_years(spark, sf_dir), years=(1999, 2000)))
+    return rounded(L.walk_forward_auc(numbered_years(spark, sf_dir)))
