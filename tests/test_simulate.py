@@ -1,5 +1,7 @@
 import datetime as dt
+import hashlib
 import math
+import random
 
 import pytest
 
@@ -64,3 +66,23 @@ def test_equity_is_the_product_of_gains(spark):
     assert perf.final_equity == pytest.approx(math.prod(1 + x.pnl for x in done)) and perf.n_trades == len(done)
     flat = M.sized(trades, "flat1").orderBy("exit_ts").collect()
     assert flat[-1].curve == pytest.approx(math.prod(1 + 0.01 * x.r_mult for x in done))
+
+
+def test_ruin_equals_replayed_histories(spark):
+    r = random.Random(8)
+    trades = [("s", "base", T0 + dt.timedelta(days=d, minutes=i), r.gauss(0.0, 8.0)) for d in range(9) for i in range(r.randrange(1, 5))]
+    rows = [(s, c, t, t, x, True) for s, c, t, x in trades] + [("s", "base", T0, T0, None, True), ("s", "base", T0, T0, -90.0, False)]
+    df = spark.createDataFrame(rows, "symbol string, scenario string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, r_mult double, filled boolean")
+    days = [[x for _, _, t, x in trades if t.date() == d] for d in sorted({t.date() for _, _, t, _ in trades})]
+    worst = []
+    for rep in range(50):
+        equity, peak, fall = 1.0, 1.0, 0.0
+        for k in range(len(days)):
+            for x in days[int(hashlib.md5(f"9:{rep}:{k}".encode()).hexdigest()[:8], 16) % len(days)]:
+                equity *= 1 + 0.01 * x
+                peak = max(peak, equity)
+                fall = min(fall, equity / peak - 1)
+        worst.append(fall)
+    got = M.ruin(df, reps=50, floor=-0.4).first()
+    assert got.mean_worst == pytest.approx(sum(worst) / 50) and got.ruin == pytest.approx(sum(w <= -0.4 for w in worst) / 50)
+    assert M.ruin(df.limit(0), reps=5).count() == 0

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
-from tidemark.operators.bars import chunked, keep_last, numbered, quality, resample
+from tidemark.operators.bars import chunked, keep_last, numbered, previous, quality, resample
 from tidemark.operators.series import drawdown
-from tidemark.operators.smoothing import smoothed, span
+from tidemark.operators.smoothing import below, ranked, smoothed, span
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -74,3 +74,25 @@ def test_bars_and_quality(spark):
     q = quality(resample(keep_last(df, "symbol", "ts"))).first()
     assert (q.n_rows, q.violations, q.non_positive, q.outliers) == (3, 0, 0, 2)
     assert resample(df.limit(0)).count() == 0
+
+
+def test_long_ranks_equal_pandas_and_do_not_depend_on_chunks(spark):
+    r = random.Random(4)
+    values = [None if r.random() < 0.02 else float(r.randrange(400)) for _ in range(1500)]
+    s = pd.Series(values, dtype=float)
+    n = 40
+    want = s.rolling(n).apply(lambda v: (v[:-1] < v[-1]).mean(), raw=True)
+    assert below(s.to_numpy(), n)[~want.isna()] == pytest.approx(want.dropna().to_numpy())
+    rows = [("s", T0 + dt.timedelta(minutes=15 * i), x) for i, x in enumerate(values)]
+    b = chunked(numbered(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")), 111, 60)
+    got = ranked(b, {"r": ("x", n)}).where("not halo").orderBy("ts").toPandas()["r"]
+    pd.testing.assert_series_equal(got.astype(float), want, check_names=False)
+    long = pd.Series([r.random() for _ in range(7000)])
+    assert below(long.to_numpy(), 6048)[6500] == (long[453:6500] < long[6500]).sum() / 6047
+
+
+def test_previous_value_passes_over_empty_days(spark):
+    at = lambda d, h: T0 + dt.timedelta(days=d, hours=h)
+    rows = [("a", at(0, 1), 1.0), ("a", at(0, 2), None), ("a", at(0, 3), 3.0), ("a", at(4, 0), 4.0), ("b", at(4, 5), 5.0)]
+    got = previous(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double"), "x", "before").orderBy("symbol", "ts").collect()
+    assert [r.before for r in got] == [None, 1.0, None, 3.0, None]
