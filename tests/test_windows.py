@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
-from tidemark.operators.bars import chunked, keep_last, numbered, previous, quality, resample
+from tidemark.operators.bars import by_stretch, chunked, keep_last, numbered, previous, quality, resample
 from tidemark.operators.series import drawdown
 from tidemark.operators.smoothing import below, ranked, smoothed, span
+from tidemark.plans import grammar
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -96,3 +97,22 @@ def test_previous_value_passes_over_empty_days(spark):
     rows = [("a", at(0, 1), 1.0), ("a", at(0, 2), None), ("a", at(0, 3), 3.0), ("a", at(4, 0), 4.0), ("b", at(4, 5), 5.0)]
     got = previous(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double"), "x", "before").orderBy("symbol", "ts").collect()
     assert [r.before for r in got] == [None, 1.0, None, 3.0, None]
+
+
+def test_stretches_give_what_whole_series_give(spark, walk):
+    w = R.series("symbol", "chunk")
+    add = lambda b: b.withColumns({"next": F.lead("x", 10).over(w), "z": R.zscore("x", w, 20)})
+    out = [by_stretch(frame(spark, walk), add, 19, 10, size).orderBy("ts").toPandas() for size in (7, 64, 10_000)]
+    assert out[0].columns.tolist() == ["symbol", "ts", "x", "next", "z"] and len(out[0]) == len(walk)
+    for one in out[:2]:
+        pd.testing.assert_frame_equal(one, out[2], rtol=1e-9)
+    pd.testing.assert_series_equal(out[2]["next"], walk["x"].shift(-10), check_names=False)
+    assert by_stretch(frame(spark, walk).limit(0), add, 19, 10).count() == 0
+
+
+def test_grammar_smoothing_equals_pandas(spark, walk):
+    df = frame(spark, walk).withColumns({b: F.col("x") for b in grammar.BASES})
+    tree = {"op": "lag", "w": 8, "a": {"op": "ema", "w": 16, "a": {"op": "r"}}}
+    assert grammar.reach(tree) == 322
+    got = grammar.evaluate(df, {"f": tree}).orderBy("ts").toPandas()["f"]
+    pd.testing.assert_series_equal(got.astype(float), walk["x"].ewm(span=16, min_periods=16).mean().shift(2), check_names=False)

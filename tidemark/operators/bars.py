@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +26,29 @@ def numbered(rows: DataFrame, by: str = "symbol", ts: str = "ts", unit: str = "d
     return local.join(before, [by, "_day"]).withColumn("rn", (F.col("_before") + F.col("_own")).cast("long")).drop("_day", "_before", "_own")
 
 
-def chunked(rows: DataFrame, chunk_rows: int, halo: int) -> DataFrame:
-    """Rows with ``chunk`` and ``halo``: stretches of chunk_rows rows, each with the ``halo`` rows before it again.
+def chunked(rows: DataFrame, chunk_rows: int, halo: int, ahead: int = 0) -> DataFrame:
+    """Rows with ``chunk`` and ``halo``: stretches of chunk_rows rows, each with the ``halo`` rows before it and the ``ahead`` rows after it again.
 
-    Window functions over (symbol, chunk) whose frames reach back at most ``halo`` rows are then right on rows that are
-    not halo, and no task holds more than chunk_rows + halo rows of a series.
+    Window functions over (symbol, chunk) whose frames reach back at most ``halo`` rows and on at most ``ahead`` are then
+    right on rows that are not halo, and no task holds more than chunk_rows + halo + ahead rows of a series.
     """
     own = F.floor((F.col("rn") - 1) / chunk_rows).cast("int")
-    reach = -(-halo // chunk_rows)
-    memberships = F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: own + k), lambda c: (c == own) | (F.col("rn") > c * chunk_rows - halo))
+    back, on = -(-halo // chunk_rows), -(-ahead // chunk_rows)
+    near = lambda c: (c == own) | ((c > own) & (F.col("rn") > c * chunk_rows - halo)) | ((c < own) & (c >= 0) & (F.col("rn") <= (c + 1) * chunk_rows + ahead))
+    memberships = F.filter(F.transform(F.sequence(F.lit(-on), F.lit(back)), lambda k: own + k), near)
     return rows.withColumn("chunk", F.explode(memberships)).withColumn("halo", F.col("chunk") != own)
 
 
+def by_stretch(rows: DataFrame, add: Callable[[DataFrame], DataFrame], back: int = 0, ahead: int = 0, chunk_rows: int = 20_000) -> DataFrame:
+    """``add`` applied to (symbol, ts) rows in stretches; its windows over (symbol, chunk) may reach ``back`` and ``ahead`` that many rows.
+
+    So a series of any length is spread over many tasks. Rows without symbol or ts don't come out.
+    """
+    own = rows.drop("chunk", "halo")
+    out = add(chunked(own if "rn" in rows.columns else numbered(own), chunk_rows, back, ahead)).where("not halo").drop("chunk", "halo")
+    return out if "rn" in rows.columns else out.drop("rn")
+
+
 def previous(rows: DataFrame, x: str, name: str, by: str = "symbol", ts: str = "ts") -> DataFrame:
     """``name``: x of the row before in the series, without one group for a series; ``_day`` stays, for groupings after it.
 

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
+from tidemark.operators.bars import by_stretch
 
 
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """fwd_ret_n and y_dir_n; the last n bars have no return and direction 0."""
-    w = R.series("symbol")
+    w = R.series("symbol", "chunk")
     ret = {f"fwd_ret_{n}": F.log(F.lead("close", n).over(w) / F.col("close")) for n in horizons}
-    return bars.withColumns(ret).withColumns({f"y_dir_{n}": R.flag(F.col(f"fwd_ret_{n}") > 0).cast("byte") for n in horizons})
+    return by_stretch(bars, lambda b: b.withColumns(ret), ahead=max(horizons)).withColumns({f"y_dir_{n}": R.flag(F.col(f"fwd_ret_{n}") > 0).cast("byte") for n in horizons})
 
 
 def following(horizon: int, *columns: str) -> Column:
-    """The next ``horizon`` bars as an array of structs."""
-    return F.collect_list(F.struct(*columns)).over(R.series("symbol").rowsBetween(1, horizon))
+    """The next ``horizon`` bars of a stretch as an array of structs."""
+    return F.collect_list(F.struct(*columns)).over(R.series("symbol", "chunk").rowsBetween(1, horizon))
 
 
 def first_at(path: Column, test) -> Column:
@@ -32,9 +33,10 @@ def barriers(bars: DataFrame, atr: str = "a14", take: float = 1.5, stop: float =
     run until both sides are resolved. No label where the path is empty, the range measure is missing or not positive,
     or fewer than horizon + 1 bars follow.
     """
-    w = R.series("symbol")
-    b = bars.withColumn("_gap", F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) / 60)
-    b = b.withColumns({"_entry": F.lead("open").over(w), "_path": following(horizon, "high", "low", "_gap"), "_after": F.lead("open", horizon + 1).over(w)})
+    w = R.series("symbol", "chunk")
+    gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) / 60
+    seen = {"_entry": F.lead("open").over(w), "_path": following(horizon, "high", "low", "_gap"), "_after": F.lead("open", horizon + 1).over(w)}
+    b = by_stretch(bars, lambda b: b.withColumn("_gap", gap).withColumns(seen), 1, horizon + 1)
     break_at = first_at(F.col("_path"), lambda x: x["_gap"] > gap_minutes)
     usable = F.col("_after").isNotNull() & (F.col(atr) > 0)
     b = b.withColumn("_path", F.when(usable, F.when(break_at.isNull(), F.col("_path")).otherwise(F.slice("_path", 1, F.greatest(break_at - 1, F.lit(0))))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
+from tidemark.operators.bars import by_stretch, numbered
 
 
 def running(rows: DataFrame, x: str, how: str, out: str, stretch: int = 10_000) -> DataFrame:
@@ -37,15 +38,14 @@ def daily(bars: DataFrame) -> DataFrame:
 
 def sequences(rows: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     """``steps``: the last n rows' values as an array of arrays, where there are n."""
-    held = F.collect_list(F.array(*(F.col(c).cast("double") for c in columns))).over(R.frame(R.series("symbol"), n))
-    return rows.withColumn("steps", held).where(F.size("steps") == n)
+    held = F.collect_list(F.array(*(F.col(c).cast("double") for c in columns))).over(R.frame(R.series("symbol", "chunk"), n))
+    return by_stretch(rows, lambda b: b.withColumn("steps", held), n - 1).where(F.size("steps") == n)
 
 
 def run_lengths(rows: DataFrame, state: str) -> DataFrame:
     """Number, longest and median length of the runs of each state."""
-    w = R.series("symbol")
-    turn = rows.withColumn("_t", F.when(F.col(state) == F.lag(state).over(w), 0).otherwise(1))
-    run = turn.withColumn("_r", F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.when(F.col(state) == F.lag(state).over(R.series("symbol", "chunk")), 0).otherwise(1)
+    run = running(by_stretch(rows if "rn" in rows.columns else numbered(rows), lambda b: b.withColumn("_t", turn), 1), "_t", "sum", "_r")
     length = run.groupBy("symbol", F.col(state).alias("state"), "_r").agg(F.count("*").alias("_n"))
     return length.groupBy("symbol", "state").agg(F.count("*").alias("n_runs"), F.max("_n").alias("longest"), F.percentile("_n", 0.5).alias("median"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import statistics as S
 from tidemark.functions import windows as R
+from tidemark.operators.bars import by_stretch
 from tidemark.operators.fold import fold
 
 TRADES = "symbol string, scenario string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, side int, entry double, exit double, reason string, pnl double, r_mult double, p double, bars int, filled boolean"
@@ -43,12 +44,13 @@ def with_context(bars: DataFrame, atr: str = "a14") -> DataFrame:
 
     p_long, p_short, threshold, gate and minutes may be there; a bar without a threshold gives no signal.
     """
-    w = R.series("symbol")
+    w = R.series("symbol", "chunk")
     gap = lambda a, b: F.timestamp_diff("SECOND", a, b) / 60
-    out = bars.withColumns({
+    near = {
         "atr": F.col(atr), "gap": gap(F.lag("ts").over(w), F.col("ts")), "gap_next": gap(F.col("ts"), F.lead("ts").over(w)), "next_open": F.lead("open").over(w), "next_ts": F.lead("ts").over(w),
         "day": F.to_date(F.col("ts") - F.expr("INTERVAL 18 HOURS")), "late_friday": (F.weekday("ts") == 4) & (F.hour("ts") >= 15),
-    })
+    }
+    out = by_stretch(bars, lambda b: b.withColumns(near), 1, 1)
     for name, default in (("gate", F.lit(True)), ("minutes", F.array().cast("array<struct<high:double,low:double>>")), ("scenario", F.lit("base"))):
         if name not in out.columns:
             out = out.withColumn(name, default)
@@ -189,9 +191,8 @@ def simulate(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def market_outcomes(bars: DataFrame, side: Column, rules: Rules = Rules()) -> DataFrame:
     """r_mult of a market entry at every bar with a side, each for itself: no state, so fully parallel."""
-    w = R.series("symbol")
-    path = F.collect_list(F.struct("open", "high", "low", "close", "gap")).over(w.rowsBetween(1, rules.horizon))
-    b = bars.withColumns({"_side": side, "_path": path, "_e": F.col("next_open")}).where("_side <> 0 and _e is not null and atr > 0")
+    path = F.collect_list(F.struct("open", "high", "low", "close", "gap")).over(R.series("symbol", "chunk").rowsBetween(1, rules.horizon))
+    b = by_stretch(bars, lambda b: b.withColumn("_path", path), ahead=rules.horizon).withColumns({"_side": side, "_e": F.col("next_open")}).where("_side <> 0 and _e is not null and atr > 0")
     sl, tp = F.col("_e") - F.col("_side") * rules.stop * F.col("atr"), F.col("_e") + F.col("_side") * rules.take * F.col("atr")
     long_ = F.col("_side") == 1
 
@@ -303,10 +304,11 @@ def event_study(bars: DataFrame, horizons: tuple[int, ...] = (8, 16, 32), cost_b
     The event is the first bar of the trading day with London hour 8 or later, kept only between 1 and 5 o'clock of the
     series' clock; in winter the day starts after 8 in London, so those days have none.
     """
-    w = R.series("symbol")
+    w = R.series("symbol", "chunk")
+    later = {**{f"_c{h}": F.lead("close", h).over(w) for h in horizons}, "_o1": F.lead("open", 1).over(w)}
     london = F.hour(F.convert_timezone(F.lit("UTC"), F.lit("Europe/London"), F.col("utc")))
-    b = bars.withColumns({"_day": F.to_date(F.col("ts") - F.expr("INTERVAL 18 HOURS")), "_late": (london >= 8).cast("int"), "_range": F.col("high") - F.col("low")})
+    b = by_stretch(bars, lambda b: b.withColumns(later), ahead=max(horizons)).withColumns({"_day": F.to_date(F.col("ts") - F.expr("INTERVAL 18 HOURS")), "_late": (london >= 8).cast("int"), "_range": F.col("high") - F.col("low")})
     day = Window.partitionBy("symbol", "_day").orderBy("ts")
-    b = b.withColumns({"_nth": F.sum("_late").over(day), "_first": F.first("open").over(day), **{f"_c{h}": F.lead("close", h).over(w) for h in horizons}, "_o1": F.lead("open", 1).over(w)})
+    b = b.withColumns({"_nth": F.sum("_late").over(day), "_first": F.first("open").over(day)})
     e = b.where((F.col("_nth") == 1) & (F.col("_late") == 1) & F.hour("ts").between(1, 5)).withColumn("move", F.log(F.col("open") / F.col("_first")))
     return e.select("symbol", "ts", "move", *((-F.signum("move") * F.log(F.col(f"_c{h}") / F.col("_o1")) * 1e4 - cost_bp).alias(f"fade_{h}") for h in horizons))

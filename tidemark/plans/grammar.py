@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
 from tidemark.functions.windows import EPS
+from tidemark.operators.bars import by_stretch, previous
 from tidemark.operators.smoothing import smoothed, span
 
 BASES = ("r", "hl", "body", "upw", "dnw", "rv", "imb", "act")
@@ -18,12 +19,11 @@ ONE, TWO = ("lag", "diff", "ema", "std", "zs", "sum", "rank", "abs", "sign"), ("
 
 def base_series(bars: DataFrame) -> DataFrame:
     """The eight series that trees start from."""
-    w = R.series("symbol")
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return bars.withColumns({
-        "r": F.log(c / F.lag("close").over(w)), "hl": (h - low) / c, "body": (c - o) / c, "upw": (h - F.greatest(o, c)) / c, "dnw": (F.least(o, c) - low) / c, "rv": F.sqrt("rv"),
+    return previous(bars, "close", "_before").withColumns({
+        "r": F.log(c / F.col("_before")), "hl": (h - low) / c, "body": (c - o) / c, "upw": (h - F.greatest(o, c)) / c, "dnw": (F.least(o, c) - low) / c, "rv": F.sqrt("rv"),
         "imb": (F.col("up") - F.col("down")) / (F.col("up") + F.col("down") + 1), "act": F.log1p(F.col("n").cast("double")),
-    })
+    }).drop("_before", "_day")
 
 
 def random_tree(rng: random.Random, depth: int = 3) -> dict:
@@ -41,10 +41,22 @@ def text(tree: dict) -> str:
     return tree["op"] + (f"({', '.join(parts)})" if parts else "")
 
 
+def reach(tree: dict) -> int:
+    """Rows before a row that a tree's value there depends on; smoothing is cut where its weights are below a double's precision."""
+    n = tree.get("w", 0)
+    own = {"lag": max(1, n // 4), "ema": 20 * n}.get(tree["op"], n)
+    return own + max((reach(tree[x]) for x in ("a", "b") if x in tree), default=0)
+
+
 def evaluate(bars: DataFrame, trees: dict[str, dict]) -> DataFrame:
-    """Adds a column for each named tree. Equal subtrees are computed once; windows can't nest, so each level is a projection."""
+    """Adds a column for each named tree, over stretches of the series with as many rows before them as the trees look back."""
+    return by_stretch(bars, lambda b: _columns(b, trees), max(map(reach, trees.values()), default=0))
+
+
+def _columns(bars: DataFrame, trees: dict[str, dict]) -> DataFrame:
+    """The trees' columns; equal subtrees are computed once; windows can't nest, so each level is a projection."""
     known: dict[str, str] = {b: b for b in BASES}
-    w = R.series("symbol")
+    w = R.series("symbol", "chunk")
 
     def add(tree: dict) -> str:
         nonlocal bars
@@ -55,8 +67,6 @@ def evaluate(bars: DataFrame, trees: dict[str, dict]) -> DataFrame:
         b = add(tree["b"]) if "b" in tree else None
         x, y, n, out = F.col(a), F.col(b) if b else None, tree.get("w", 0), f"_g{len(known)}"
         if tree["op"] == "ema":
-            if "chunk" not in bars.columns:
-                bars = bars.withColumn("chunk", F.lit(0))
             bars = smoothed(bars, {out: (a, span(n), n)}, adjust=True)
         else:
             bars = bars.withColumn(out, {
