@@ -270,7 +270,7 @@ FAMILIES = {
 def all_features(bars: DataFrame, calendar: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO, year: int = YEAR_RANK) -> DataFrame:
     """The bars with all 205 feature columns."""
     b = prepare(bars, chunk_rows, halo)
-    for family in (returns, candles, trend, momentum, lambda x: volatility(x, year), activity, structure, levels, lambda x: sessions(x, calendar), short_lags):
+    for family in (lambda x: volatility(x, year), returns, candles, trend, momentum, activity, structure, levels, lambda x: sessions(x, calendar), short_lags):
         b = family(b)
     names = [n for f in FAMILIES.values() for n in f]
     if len(set(names)) != len(names):

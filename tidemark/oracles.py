@@ -279,6 +279,18 @@ q AS (SELECT *, coalesce(max(s + top) OVER (PARTITION BY symbol, rep ORDER BY k
 SELECT symbol, 'base' AS scenario, round(avg(CASE WHEN dd <= -0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ruin, round(avg(dd), 6) AS mean_worst FROM dd GROUP BY symbol"""
 
 
+def outcomes_sql(stop: float, take: float, horizon: int, gap: float, cost_bp: float, risk: float, cut: float) -> str:
+    """The market outcome of every bar whose made probability passes ``cut``."""
+    up = "1.0::DOUBLE / (1 + exp(-5 * coalesce(lr, 0)))"
+    return f"""WITH RECURSIVE {SMOOTHED}, c AS (SELECT symbol, ts, rn, open, high, low, close, a14, lead(open) OVER ({P}) AS e, date_diff('second', lag(ts) OVER ({P}), ts) / 60.0::DOUBLE AS gap,
+  CASE WHEN {up} >= {cut} THEN 1 WHEN 1 - {up} >= {cut} THEN -1 ELSE 0 END AS side FROM b),
+s AS (SELECT symbol, ts AS t0, rn AS own, side, e, a14 AS a, e - side * {stop}::DOUBLE * a14 AS sl, e + side * {take}::DOUBLE * a14 AS tp FROM c WHERE side <> 0 AND e IS NOT NULL AND a14 > 0),
+j AS (SELECT s.*, c.rn, c.close, CASE WHEN gap > {gap} THEN open WHEN (s.side = 1 AND low <= sl) OR (s.side = -1 AND high >= sl) THEN sl WHEN (s.side = 1 AND high >= tp) OR (s.side = -1 AND low <= tp) THEN tp END AS px
+  FROM s JOIN c ON c.symbol = s.symbol AND c.rn BETWEEN own + 1 AND own + {horizon}),
+p AS (SELECT symbol, t0, side, e, a, coalesce(arg_min(px, rn) FILTER (px IS NOT NULL), arg_max(close, rn)) AS price FROM j GROUP BY ALL)
+SELECT symbol, t0 AS ts, round((side * (price - e) / e - {cost_bp}::DOUBLE * 1e-4) * ({risk}::DOUBLE / ({stop}::DOUBLE * a / e)) / {risk}::DOUBLE, 6) AS r_mult FROM p"""
+
+
 def sizing_sql() -> dict[str, str]:
     """Fractions and curves of the rules that need no state of their own."""
     by = "PARTITION BY symbol ORDER BY exit_ts, entry_ts"

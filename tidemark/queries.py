@@ -292,7 +292,7 @@ QUERIES["simulate_bracket"] = simulation(M.Rules(entry="bracket", offset=0.5, li
 QUERIES["simulate_composite"] = lambda spark, sf_dir: rounded(M.simulate(predicted(spark, sf_dir).withColumn("gate", F.col("a14") > F.col("a96")), M.Rules(entry="limit", flatten_before_gap=True, max_leverage=5.0, cost_bp=1.25)))
 
 
-@query()
+@query(oracles.outcomes_sql(*(getattr(M.Rules(), x) for x in ("stop", "take", "horizon", "gap", "cost_bp", "risk")), cut=0.9))
 def market_outcomes(spark, sf_dir):
     side = F.when(F.col("p_long") >= 0.9, 1).when(F.col("p_short") >= 0.9, -1).otherwise(0)
     return rounded(M.market_outcomes(predicted(spark, sf_dir), side).select("symbol", "ts", "r_mult"))
