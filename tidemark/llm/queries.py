@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, decontam, filter_audit, html_blocks, minhash, pst, quality, suffix_dedup, toxicity, warc
+from tidemark.llm import ann, bpe, decontam, filter_audit, html_blocks, minhash, packing, pst, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.op10,
     "op8_html_blocks": html_blocks.op8,
     "op9_decontamination": decontam.op9,
+    "op11_packing": packing.op11,
     "op12_filter_audit": filter_audit.op12,
 }
 
