@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, decontam, filter_audit, html_blocks, minhash, packing, pst, quality, suffix_dedup, toxicity, warc
+from tidemark.llm import ann, bpe, conversations, decontam, filter_audit, html_blocks, minhash, packing, pst, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op5_minhash_join": minhash.op5,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontamination": decontam.op9,
     "op11_packing": packing.op11,
     "op12_filter_audit": filter_audit.op12,
+    "op13_conversation_repair": conversations.op13,
 }
 
 ORACLES = {
