@@ -221,6 +221,40 @@ def digests(repaired: DataFrame) -> DataFrame:
     return lines.repartition("key").sortWithinPartitions("key", "place").select("key", "line").mapInArrow(run, "key string, repaired_sha256 string")
 
 
+OP13_SQL = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+crc AS (SELECT name, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 20 AS kind FROM (SELECT DISTINCT name FROM raw)),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw JOIN crc USING (name), (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM rows_),
+t AS (SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault, count(*) OVER (PARTITION BY conv_id) AS n FROM placed),
+g(s, x, e) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+free(s, e, cost, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+way(conv_id, pos, s, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': ''} FROM t
+  UNION ALL
+  SELECT w.conv_id, w.pos + 1, m.e, min({'cost': w.best.cost + f.cost + m.cost, 'audit': w.best.audit || f.letters || m.letter})
+  FROM way w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos JOIN free f ON f.s = w.s
+  JOIN (SELECT s, x, 'K' AS letter, 0 AS cost, e FROM g UNION ALL SELECT s, '*', 'R', 3, e FROM g WHERE x <> 's' UNION ALL SELECT s, '*', 'D', 4, s FROM (SELECT unnest([0, 1, 2, 3]) AS s)) q(s, x, letter, base, e) ON q.s = f.e AND q.x IN ('*', t.x)
+  CROSS JOIN LATERAL (SELECT q.e AS e, q.letter AS letter, q.base + CASE WHEN q.letter <> 'D' AND t.fault = 3 THEN 3 ELSE 0 END AS cost) m
+  WHERE q.letter = 'D' OR t.fault IN (0, 3) GROUP BY ALL),
+best AS (SELECT w.conv_id, min({'cost': w.best.cost + f.cost, 'audit': w.best.audit || f.letters}) AS b FROM way w JOIN (SELECT conv_id, max(n) AS n FROM t GROUP BY conv_id) k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.n = w.pos
+  JOIN free f ON f.s = w.s AND f.e IN (0, 3) GROUP BY w.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(b.audit, '')) AS letter, unnest(range(length(b.audit))) AS k FROM best WHERE b.audit <> ''),
+counted AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) - 1 AS pos, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) - 1 AS place, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS many FROM letters),
+sha AS (SELECT c.conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN t.role ELSE CASE WHEN (place - many % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE t.text END, chr(10) ORDER BY place)) AS h
+  FROM counted c JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.pos = greatest(c.pos, 0) WHERE letter <> 'D' GROUP BY c.conv_id),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated FROM t GROUP BY conv_id),
+pairs AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, x, lead(x) OVER (PARTITION BY conv_id ORDER BY pos) AS y FROM t) WHERE y IS NOT NULL AND x || y NOT IN ('su', 'ua', 'au') GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN sha s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def op13(spark, sf_dir: str) -> DataFrame:
     """The contract's row of every conversation of the table, damaged and repaired."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")

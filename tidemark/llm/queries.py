@@ -26,4 +26,5 @@ ORACLES = {
     "op5_minhash_join": minhash.OP5_SQL,
     "op9_decontamination": decontam.OP9_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
