@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import M1, column, mix, prefix_hash, require, span_hash, text_chunks, word_spans
+from tidemark.llm.common import M1, materialise, mix, prefix_hash, require, span_hash, text_chunks, word_spans
 
 FILTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SYMBOLS = 200, 50, 2, b"#$%&*|"
@@ -103,12 +103,12 @@ def scanned(documents: DataFrame) -> DataFrame:
 def masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """part, failed (bits of A to E), n, good and toxic: how many texts of a part fail just these filters.
 
-    E's bit: the text is that of a row with a smaller doc_id. Equal rows are counted before they meet anything else; the
-    first doc_id of a text is an aggregate and finds its rows by (digest, doc_id), so a text with many copies is no hot
+    E's bit: the text is that of a row with a smaller doc_id. Equal rows are counted and written before they meet anything
+    else, so that texts are scanned once; the first doc_id of a text is an aggregate and finds its rows by (digest, doc_id), so a text with many copies is no hot
     key. Rows without a doc_id pass E, make nothing fail it and have no labels.
     """
     require(labels, "doc_id", "quality", "toxic")
-    texts = scanned(documents).groupBy("doc_id", "part", "failed", "digest").agg(F.count("*").alias("n"))
+    texts = materialise(scanned(documents).groupBy("doc_id", "part", "failed", "digest").agg(F.count("*").alias("n")), "masks")
     known = texts.where(F.col("doc_id").isNotNull())
     label = labels.where(F.col("doc_id").isNotNull() & ((F.col("quality") == 1) | (F.col("toxic") == 1)))
     label = label.groupBy(F.col("doc_id").alias("l_id")).agg(F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias("q"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("t"))
