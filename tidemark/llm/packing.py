@@ -10,7 +10,7 @@ counts, finds its placement; nothing but counts reaches the driver and no group
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, require
 
 CAPACITY, END = 1024, 2
-#: Words of one worker's memory; it is emptied when full.
-MEMORY_WORDS = 400_000
-#: Characters of a text that are split at a time.
+#: Characters of a text that are encoded at a time.
 BLOCK_CHARS = 1 << 20
-#: A space between two others than white space: no token of the byte-level pattern goes over it.
+#: Bytes of ids that leave a task at a time; a longer document's leave at once.
+STEP_BYTES = 8 << 20
+#: A space between two others than white space: the pattern starts a token there.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: the pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -42,66 +44,32 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, word by word, with a memory of words; equal to ids of the whole text.
-
-    The byte-level pattern starts a token at every space between two characters that aren't white space, so the parts
-    between such spaces can be encoded one by one.
-    """
+    """Ids of texts by the merges of a byte-level vocabulary file of the tokenizers library; equal to that library's ids."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(vocabulary)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _parts(self, parts: list[str]) -> list[bytes | None]:
-        found = list(map(self.rest.get, parts))
-        found[0] = self.first.get(parts[0])
-        return found
-
-    def _learn(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def block(self, text: str, inside: bool) -> bytes:
-        """Ids of a text, or of a part of one that a space ``inside`` the text precedes."""
-        parts = text.split(" ")
-        if inside:
-            parts = ["", *parts]
-            self.first[""] = b""
-        found = self._parts(parts)
-        missing = [i for i, x in enumerate(found) if x is None]
-        if any(not parts[i] or parts[i][0].isspace() or parts[i][-1].isspace() for i in missing):
-            parts = BETWEEN.split(text)
-            parts = ["", *parts] if inside else parts
-            found = self._parts(parts)
-            missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            if len(self.rest) + len(self.first) > MEMORY_WORDS:
-                self.rest.clear()
-                self.first.clear()
-            for i, ids in zip(missing, self._learn([" " + parts[i] if i else parts[i] for i in missing]), strict=True):
-                found[i] = ids
-                if len(parts[i]) < 64:
-                    (self.rest if i else self.first)[parts[i]] = ids
-        return b"".join(found)
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text; a long one is cut into blocks at such spaces."""
-        if not text:
-            return b""
-        if len(text) <= BLOCK_CHARS:
-            return self.block(text, False)
+        import tiktoken
+
+        spec = json.loads(vocabulary)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        byte_of = {c: b for b, c in enumerate(letters())}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.library = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of a whole text. A long one is encoded in blocks, cut where the pattern starts a token whatever stands around."""
         out, at = [], 0
-        while at < len(text):
-            cut = BETWEEN.search(text, at + BLOCK_CHARS)
-            end = cut.start() if cut else len(text)
-            out.append(self.block(text[at:end], at > 0))
-            at = end + 1
-        return b"".join(out)
+        while len(text) - at > BLOCK_CHARS and (cut := BETWEEN.search(text, at + BLOCK_CHARS)):
+            out.append(self.library.encode_to_numpy(text[at : cut.start()], allowed_special="all"))
+            at = cut.start()
+        out.append(self.library.encode_to_numpy(text[at:], allowed_special="all"))
+        return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: its own where it prints, else the next from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -115,29 +83,29 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     with open(path) as f:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
     kind = documents.schema["doc_id"].dataType.simpleString()
-    end = np.array([END], dtype="<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids", "task", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(vocabulary.value))
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
-                rows = []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = encode(text or "") + end
-                    n = len(ids) // 4
-                    first = (n - 1) % capacity + 1
-                    starts = [0, *range(first, n, capacity)]
-                    for k, start in enumerate(starts):
-                        stop = first + k * capacity
-                        rows.append((i, k, start, stop - start, ids[4 * start : 4 * stop], seen[stop - start]))
-                        seen[stop - start] += 1
-                of, piece, start, length, ids, nth = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(ids, pa.binary()), pa.array([task] * len(rows), pa.int32()), pa.array(nth, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids", "task", "nth"],
-                )
+            docs, rows, data, held = batch.column("doc_id"), [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                ids = np.append(encode(text.as_py() or ""), END).astype("<u4")
+                data.append(ids.tobytes())
+                held += len(data[-1])
+                first = (len(ids) - 1) % capacity + 1
+                for k, start in enumerate([0, *range(first, len(ids), capacity)]):
+                    length = capacity if k else first
+                    rows.append((i, k, start, length, seen[length]))
+                    seen[length] += 1
+                if held > STEP_BYTES or i + 1 == batch.num_rows:
+                    of, piece, start, length, nth = (np.array(x) for x in zip(*rows, strict=True))
+                    cuts = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+                    values = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts), pa.py_buffer(b"".join(data))])
+                    rest = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), values, pa.array(np.full(len(rows), task), pa.int32()), pa.array(nth, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(of)), *rest], names)
+                    rows, data, held = [], [], 0
 
     out = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length int, ids binary, task int, nth long")
     return materialise(out, "pieces")
