@@ -27,8 +27,11 @@ def sums_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     total = rows.groupBy(*keys, within).agg(*(F.sum(x).alias(f"_t_{new}") for new, x in sums.items()))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row a range
     over = over.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
-    before = total.select(*keys, within, *(F.coalesce(F.sum(f"_t_{new}").over(over), F.lit(0)).alias(f"_b_{new}") for new in sums))
+    before = total.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(within).alias("_b_within"), *(F.coalesce(F.sum(f"_t_{new}").over(over), F.lit(0)).alias(f"_b_{new}") for new in sums))
     here = Window.partitionBy(*keys, within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("*", *(F.coalesce(F.sum(x).over(here), F.lit(0)).alias(f"_h_{new}") for new, x in sums.items()))
-    rows = rows.join(before, [*keys, within])
-    return rows.withColumns({new: F.col(f"_h_{new}") + F.col(f"_b_{new}") for new in sums}).drop(*(f"_{p}_{new}" for new in sums for p in "hb"))
+    on = F.col(within) == F.col("_b_within")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = rows.join(before, on).drop("_b_within", *(f"_k_{k}" for k in keys))
+    return rows.withColumns({new: F.col(f"_h_{new}") + F.col(f"_b_{new}") for new in sums}).drop(within, *(f"_{p}_{new}" for new in sums for p in "hb"))

@@ -9,32 +9,32 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import in_ranges, sums_before
 from tidemark.functions.windows import corr
+from tidemark.shared import written
 
 
 def ranked(rows: DataFrame, score: str, keys: Sequence[str], out: str = "_rank") -> DataFrame:
-    """Average rank (from 1) of the score within the keys.
+    """Average rank (from 1) of the score within the keys; rows with a null score don't come out.
 
-    Ties are counted first, so the running sum is over distinct scores, not rows; the join brings ranks back.
+    Ties are counted first, so what is ordered has a row a distinct score, in ranges of (keys, score): no task holds a key.
+    The join brings ranks back.
     """
     counts = rows.groupBy(*keys, score).agg(F.count("*").alias("_t"))
-    below = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = counts.withColumn(out, below + (F.col("_t") + 1) / 2).drop("_t")
+    places = sums_before(in_ranges(counts, *keys, score), keys, [score], {"_below": "_t"})
+    places = places.select(*keys, score, (F.col("_below") + (F.col("_t") + 1) / 2).alias(out))
     return rows.join(places, [*keys, score])
 
 
 def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the rank-sum of positives, ties at half; null if a class is missing.
 
-    Works on counts by (key, score): what is ordered has a row a distinct score.
+    Works on counts by (key, score) in ranges, so neither a key nor the whole is one task.
     """
     rows = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    keyed = rows if keys else rows.withColumn("_all", F.lit(0))
-    ks = list(keys) or ["_all"]
-    c = keyed.groupBy(*ks, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_t"))
-    before = F.coalesce(F.sum(F.col("_t") - F.col("_p")).over(Window.partitionBy(*ks).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("_w", F.col("_p") * (before + (F.col("_t") - F.col("_p")) / 2))
-    out = c.groupBy(*ks).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("n_pos"), F.sum(F.col("_t") - F.col("_p")).alias("n_neg"))
+    c = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_t")).withColumn("_n", F.col("_t") - F.col("_p"))
+    c = sums_before(in_ranges(c, *keys, score), keys, [score], {"_below": "_n"})
+    out = c.groupBy(*keys).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_w"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
@@ -46,11 +46,12 @@ def losses(rows: DataFrame, p: str, label: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def top_payoff(rows: DataFrame, p: str, label: str, order: str, keys: Sequence[str], share: float = 0.05, take: float = 1.5, stop: float = 1.0) -> DataFrame:
+def top_payoff(rows: DataFrame, p: str, label: str, order: str, keys: Sequence[str] = (), share: float = 0.05, take: float = 1.5, stop: float = 1.0) -> DataFrame:
     """Mean payoff of the max(1, floor(share * n)) rows with the largest p (ties by ``order``): take for 1, -stop for 0."""
     n = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count("*"))).alias("_k"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(p).desc(), order))
-    top = rows.withColumn("_i", place).join(n, list(keys)).where("_i <= _k")
+    down = [F.col(p).desc(), F.col(order)]
+    placed = sums_before(in_ranges(rows.select(*keys, p, order, label, F.lit(1).cast("long").alias("_one")), *keys, *down), keys, down, {"_i": "_one"})
+    top = (placed.join(n, list(keys)) if keys else placed.join(F.broadcast(n))).where("_i < _k")
     return top.groupBy(*keys).agg(F.count("*").alias("top_n"), F.avg(F.col(label) * (take + stop) - stop).alias("top_payoff"))
 
 
@@ -72,15 +73,24 @@ def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str], least: int =
 
 
 def spearman_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """x, y, rho of every two columns, x < y; rows with nulls in one of them are left out of all, undefined counts as 0."""
-    whole = rows.select(F.lit(0).alias("_g"), *columns).dropna()
-    for c in columns:
-        whole = ranked(whole, c, ["_g"], f"_r_{c}")
+    """x, y, rho of every two columns, x < y; rows with nulls in one of them are left out of all, undefined counts as 0.
+
+    All columns are ranked in one pass over (column, value) rows; a row's ranks meet again by its number.
+    """
+    whole = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().withColumn("_row", F.monotonically_increasing_id())
+    r = ranked(melted(written(whole, "whole"), columns, ["_row"]), "value", ["column"])
+    back = r.groupBy("_row").agg(*(F.max(F.when(F.col("column") == c, F.col("_rank"))).alias(c) for c in columns))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = whole.agg(*(F.coalesce(corr(f"_r_{a}", f"_r_{b}"), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
+    one = back.agg(*(F.coalesce(corr(a, b), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("c")).select("c.*")
 
 
+def melted(rows: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """A row for each row and column: ``keep``, column (its name) and value."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    return rows.select(*keep, F.explode(pairs).alias("_c")).select(*keep, "_c.*")
+
+
 def gram(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Correlation matrix from one aggregate of sums; as small as the columns are few."""
     whole = rows.select(*columns).dropna()
@@ -123,6 +133,55 @@ def binned_information(rows: DataFrame, x: str, label: str, keys: Sequence[str],
     return t.groupBy(*keys).agg(F.sum(F.col("_n") / F.col("_all") * F.log(F.col("_n") * F.col("_all") / (F.col("_nb") * F.col("_ny")))).alias("information"))
 
 
+def digamma(x: Column) -> Column:
+    """The digamma function for x >= 1: its asymptotic series at x + 8, taken back in eight steps; right to 1e-13."""
+    y = x.cast("double") + 8
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - 1 / (132 * y**10)
+    return series - sum((1 / (x + i) for i in range(8)), F.lit(0.0))
+
+
+def neighbour_information(rows: DataFrame, x: str, label: str, keys: Sequence[str] = (), k: int = 5, stretch: int = 20_000) -> DataFrame:
+    """Mutual information (nats, at least 0) of a column and a class by nearest neighbours (Ross 2014), with ``n`` rows, by key.
+
+    A row's radius is the distance to its k-th neighbour in its class (of fewer, the last); m counts the key's rows, itself
+    included, strictly inside the radius, or equal to it where the radius is 0. The estimate is psi(n) + mean psi(k) - mean
+    psi(class size) - mean psi(m). Rows without a value or class, and classes of one row, are left out.
+
+    In one dimension the neighbours are the k rows on either side in order: rows are numbered by ranges and looked at in
+    stretches with k rows of their neighbours. Counts are differences of running sums at the two ends of the radius, so no
+    key and no class is one task, and no pairs are made.
+    """
+    own = rows.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & F.col(label).isNotNull())
+    own = own.select(*keys, F.col(x).cast("double").alias("_x"), F.col(label).alias("_y"), F.lit(1).cast("long").alias("_one"), F.monotonically_increasing_id().alias("_row"))
+    sizes = own.groupBy(*keys, "_y").agg(F.count("*").alias("_many")).where("_many > 1")
+    placed = sums_before(in_ranges(own.join(sizes, [*keys, "_y"]), *keys, "_y", "_x", "_row"), [*keys, "_y"], ["_x", "_row"], {"_i": "_one"})
+    chunk, near = F.floor(F.col("_i") / stretch), F.array(*(F.floor((F.col("_i") + d) / stretch) for d in (-k, 0, k)))
+    spread = placed.withColumn("_chunk", F.explode(F.array_distinct(near))).withColumn("_own", F.col("_chunk") == chunk)
+    w = Window.partitionBy(*keys, "_y", "_chunk").orderBy("_i")
+    far = F.lit(float("inf"))
+    # a window of k + 1 rows around a row holds k neighbours; the best one reaches least far
+    reach = [F.greatest(F.coalesce(F.col("_x") - F.lag("_x", j).over(w), far) if j else F.lit(0.0), F.coalesce(F.lead("_x", k - j).over(w) - F.col("_x"), far) if j < k else F.lit(0.0)) for j in range(k + 1)]
+    spread = spread.withColumns({"_r": F.least(*reach), "_k": F.least(F.lit(k), F.col("_many") - 1)})
+    few = Window.partitionBy(*keys, "_y", "_chunk")  # classes of at most k rows: the farthest of them
+    spread = spread.withColumn("_r", F.when(F.col("_many") <= k, F.greatest(F.col("_x") - F.min("_x").over(few), F.max("_x").over(few) - F.col("_x"))).otherwise(F.col("_r")))
+    points = written(spread.where("_own").select(*keys, "_x", "_r", "_k", "_many", "_row"), "radii")
+    zero, no = F.col("_r") == 0, F.lit(0).cast("long")
+    # at equal values: an open upper end comes before the points, an open lower end after them; the ends of a radius of 0 the other way round
+    at = lambda v, place, weight, sign: F.struct(v.alias("_v"), place.alias("_o"), weight.alias("_w"), sign.alias("_s"))
+    ends = F.array(
+        at(F.col("_x"), F.lit(2), no + 1, F.lit(0)),
+        at(F.col("_x") + F.col("_r"), F.when(zero, 3).otherwise(1), no, F.lit(1)),
+        at(F.col("_x") - F.col("_r"), F.when(zero, 1).otherwise(3), no, F.lit(-1)),
+    )
+    line = points.select(*keys, "_row", F.explode(ends).alias("_e")).select(*keys, "_row", "_e.*")
+    order = ["_v", "_o", "_row", "_s"]
+    counted = sums_before(in_ranges(line, *keys, *order), keys, order, {"_c": "_w"}).where("_s != 0").groupBy(*keys, "_row").agg(F.sum(F.col("_s") * F.col("_c")).alias("_m"))
+    both = points.join(counted.select("_row", "_m"), "_row")
+    mean = lambda c: F.avg(digamma(F.col(c)))
+    out = both.groupBy(*keys).agg(F.count("*").alias("n"), (digamma(F.count("*")) + mean("_k") - mean("_many") - mean("_m")).alias("information"))
+    return out.withColumn("information", F.greatest("information", F.lit(0.0)))
+
+
 def psi(rows: DataFrame, x: str, in_a: Column, keys: Sequence[str], bins: int = 10) -> DataFrame:
     """Population stability of the rows not ``in_a`` against quantile bins of those that are; shares are smoothed by 1e-6."""
     own = rows.where(F.col(x).isNotNull()).withColumn("_a", in_a)

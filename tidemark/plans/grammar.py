@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
@@ -54,30 +54,36 @@ def evaluate(bars: DataFrame, trees: dict[str, dict]) -> DataFrame:
 
 
 def _columns(bars: DataFrame, trees: dict[str, dict]) -> DataFrame:
-    """The trees' columns; equal subtrees are computed once; windows can't nest, so each level is a projection."""
-    known: dict[str, str] = {b: b for b in BASES}
+    """The trees' columns. Equal subtrees are computed once; windows can't nest, so all subtrees of one height are one projection, and their smoothings one pass."""
     w = R.series("symbol", "chunk")
-
-    def add(tree: dict) -> str:
-        nonlocal bars
-        name = text(tree)
-        if name in known:
-            return known[name]
-        a = add(tree["a"])
-        b = add(tree["b"]) if "b" in tree else None
-        x, y, n, out = F.col(a), F.col(b) if b else None, tree.get("w", 0), f"_g{len(known)}"
-        if tree["op"] == "ema":
-            bars = smoothed(bars, {out: (a, span(n), n)}, adjust=True)
-        else:
-            bars = bars.withColumn(out, {
-                "lag": lambda: F.lag(x, max(1, n // 4)).over(w), "diff": lambda: x - F.lag(x, n).over(w), "std": lambda: R.rolling("stddev_samp", x, w, n), "zs": lambda: R.zscore(x, w, n), "sum": lambda: R.rolling("sum", x, w, n),
-                "rank": lambda: R.rank_share(x, w, n), "abs": lambda: F.abs(x), "sign": lambda: F.signum(x), "add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y,
-                "div": lambda: x / (F.abs(y) + EPS) * F.when(y >= 0, 1).otherwise(-1),
-                "corr": lambda: R.full(R.corr(x, y, R.frame(w, n)), F.when(x.isNotNull() & y.isNotNull(), 1), w, n),
-            }[tree["op"]]())
-        known[name] = out
-        return out
-
-    columns = {name: add(tree) for name, tree in trees.items()}
-    bars = bars.withColumns({name: F.col(c).cast("double") for name, c in columns.items()})
+    names: dict[str, str] = {b: b for b in BASES}
+    levels: dict[int, dict[str, dict]] = {}
+
+    def height(tree: dict) -> int:
+        below = [height(tree[x]) for x in ("a", "b") if x in tree]
+        if below:
+            levels.setdefault(1 + max(below), {}).setdefault(text(tree), tree)
+        return 1 + max(below, default=-1)
+
+    for tree in trees.values():
+        height(tree)
+    for _, level in sorted(levels.items()):
+        for name in level:
+            names[name] = f"_g{len(names)}"
+        own = {names[t]: (tree["op"], F.col(names[text(tree["a"])]), F.col(names[text(tree["b"])]) if "b" in tree else None, tree.get("w", 0)) for t, tree in level.items() if tree["op"] != "ema"}
+        if own:
+            bars = bars.withColumns({out: _value(op, x, y, n, w) for out, (op, x, y, n) in own.items()})
+        if smooth := {names[t]: (names[text(tree["a"])], span(tree["w"]), tree["w"]) for t, tree in level.items() if tree["op"] == "ema"}:
+            bars = smoothed(bars, smooth, adjust=True)
+    bars = bars.withColumns({name: F.col(names[text(tree)]).cast("double") for name, tree in trees.items()})
     return bars.drop(*(c for c in bars.columns if c.startswith("_g")))
+
+
+def _value(op: str, x: Column, y: Column | None, n: int, w: WindowSpec) -> Column:
+    """One operation over its inputs' columns."""
+    return {
+        "lag": lambda: F.lag(x, max(1, n // 4)).over(w), "diff": lambda: x - F.lag(x, n).over(w), "std": lambda: R.rolling("stddev_samp", x, w, n), "zs": lambda: R.zscore(x, w, n), "sum": lambda: R.rolling("sum", x, w, n),
+        "rank": lambda: R.rank_share(x, w, n), "abs": lambda: F.abs(x), "sign": lambda: F.signum(x), "add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y,
+        "div": lambda: x / (F.abs(y) + EPS) * F.when(y >= 0, 1).otherwise(-1),
+        "corr": lambda: R.full(R.corr(x, y, R.frame(w, n)), F.when(x.isNotNull() & y.isNotNull(), 1), w, n),
+    }[op]()
