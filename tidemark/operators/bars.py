@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,36 @@ def previous(rows: DataFrame, x: str, name: str, by: str = "symbol", ts: str = "
     return joined.withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag(x).over(w))).drop("_end")
 
 
+def last_known(rows: DataFrame, x: Column, name: str, by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """``name``: the last value of x that isn't null, up to and with the row, without one group for a series.
+
+    Rows look back inside (series, day); each day's last value is handed on, over days without one too, one row a day.
+    """
+    rows = rows.withColumns({"_x": x, "_day": F.to_date(ts)})
+    ends = rows.groupBy(by, "_day").agg(F.max_by("_x", F.when(F.col("_x").isNotNull(), F.col(ts))).alias("_end"))
+    before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+    here = F.last("_x", ignorenulls=True).over(Window.partitionBy(by, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(carried, [by, "_day"], "left").withColumn(name, F.coalesce(here, "_end")).drop("_x", "_day", "_end")
+
+
+def carried(rows: DataFrame, columns: dict[str, tuple[str, bool]], chunk_rows: int, halo: int) -> DataFrame:
+    """Adds the last known value of columns over a whole series of any length: new name -> (column, whether the row itself counts).
+
+    rows are those of ``chunked``, with their halo. Inside a chunk the value is looked for in its rows; what precedes the
+    chunk's halo comes from one row a chunk, so a value is carried over any stretch without one. All columns share the pass.
+    """
+    source = {x for x, _ in columns.values()}
+    block = F.floor((F.col("rn") - 1 + halo) / chunk_rows).cast("int").alias("chunk")  # ends where a chunk's halo begins
+    last = rows.where("not halo").groupBy("symbol", block).agg(*(F.max_by(x, F.when(F.col(x).isNotNull(), F.col("rn"))).alias(f"_l_{x}") for x in source))
+    earlier = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    handed = last.select("symbol", "chunk", *(F.last(f"_l_{x}", ignorenulls=True).over(earlier).alias(f"_c_{x}") for x in source))
+    here = Window.partitionBy("symbol", "chunk").orderBy("ts")
+    upto = {True: here.rowsBetween(Window.unboundedPreceding, 0), False: here.rowsBetween(Window.unboundedPreceding, -1)}
+    new = {name: F.coalesce(F.last(x, ignorenulls=True).over(upto[own]), F.col(f"_c_{x}")) for name, (x, own) in columns.items()}
+    return rows.join(handed, ["symbol", "chunk"], "left").withColumns(new).drop(*(f"_c_{x}" for x in source))
+
+
 def resample(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     """Bars of ``minutes`` minutes: open, high, low, close, n, rv, absret, up, down, range_sum, utc.
 

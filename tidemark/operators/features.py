@@ -2,7 +2,7 @@
 
 ``prepare`` numbers the bars and cuts each series into chunks with a halo; families add columns by windows over
 (symbol, chunk), so one sort serves them all and a long series is spread over many tasks. What looks back without end
-(last swing, last gap, last break) looks back over the halo.
+(last swing, last gap, last break) is carried from chunk to chunk, see ``bars.carried``.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as R
 from tidemark.functions.windows import EPS, flag
-from tidemark.operators.bars import chunked, numbered
+from tidemark.operators.bars import carried, chunked, numbered
 from tidemark.operators.smoothing import ranked, smoothed, span
+from tidemark.shared import written
 
 CHUNK, HALO, YEAR_RANK = 20_000, 6_500, 6_048
 LAGGED = "ret_1 body_atr close_pos rsi14 bb_pos m1_imb stoch_k macd_hist_n vol_expansion efficiency_1 range_atr gap_atr sweep_high sweep_low bos_up bos_dn dist_vwap_day adx14 di_diff absret_z".split()
@@ -30,8 +31,19 @@ def lag(x: str | Column, n: int = 1) -> Column:
     return F.lag(x, n).over(order())
 
 
-def prepare(bars: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """Numbered and chunked bars with what most families share: changes, true range and all smoothed columns."""
+#: What each family takes from ``prepare``: smoothed columns, and those made from them.
+NEEDS = {
+    "returns": "", "candles": "a14", "trend": "ema8 ema20 ema50 ema100 ema200 a14 di adx14", "momentum": "gain7 loss7 gain14 loss14 gain28 loss28 ema12 ema26 signal a14", "volatility": "ema20 a14 a96",
+    "activity": "", "structure": "a14", "levels": "a14", "sessions": "a14",
+}
+
+
+def prepare(bars: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO, family: str | None = None) -> DataFrame:
+    """Numbered and chunked bars with changes, true range and the smoothed columns: those that one family needs, or all.
+
+    A pass through Python is made only where a family needs it, and a second only where a smoothed column is smoothed again.
+    """
+    need = set((NEEDS[family] if family else " ".join(NEEDS.values())).split())
     b = chunked(numbered(bars), chunk_rows, halo)
     c, h, low = F.col("close"), F.col("high"), F.col("low")
     before = lag("close")
@@ -43,11 +55,17 @@ def prepare(bars: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO) -> DataF
     specs = {f"ema{n}": ("close", span(n), n) for n in (8, 12, 20, 26, 50, 100, 200)}
     specs |= {"a14": ("tr", 1 / 14, 14), "a96": ("tr", 1 / 96, 96), "pdm": ("plus_dm", 1 / 14, 14), "mdm": ("minus_dm", 1 / 14, 14)}
     specs |= {f"{x}{n}": (x, 1 / n, n) for n in (7, 14, 28) for x in ("gain", "loss")}
-    b = smoothed(b, specs)
-    pdi, mdi = 100 * F.col("pdm") / (F.col("a14") + EPS), 100 * F.col("mdm") / (F.col("a14") + EPS)
-    b = b.withColumns({"di_diff": pdi - mdi, "dx": 100 * F.abs(pdi - mdi) / (pdi + mdi + EPS), "macd": F.col("ema12") - F.col("ema26")})
-    b = smoothed(b, {"adx14": ("dx", 1 / 14, 14), "signal": ("macd", span(9), 1)})
-    return b.withColumn("atr", F.col("a14") + EPS)
+    need |= {"pdm", "mdm", "a14"} if need & {"di", "adx14"} else set()
+    if specs := {n: s for n, s in specs.items() if n in need}:
+        b = smoothed(b, specs)
+    if "di" in need:
+        pdi, mdi = 100 * F.col("pdm") / (F.col("a14") + EPS), 100 * F.col("mdm") / (F.col("a14") + EPS)
+        b = b.withColumns({"di_diff": pdi - mdi, "dx": 100 * F.abs(pdi - mdi) / (pdi + mdi + EPS)})
+    if "signal" in need:
+        b = b.withColumn("macd", F.col("ema12") - F.col("ema26"))
+    if again := {n: s for n, s in {"adx14": ("dx", 1 / 14, 14), "signal": ("macd", span(9), 1)}.items() if n in need}:
+        b = smoothed(b, again)
+    return b.withColumn("atr", F.col("a14") + EPS) if "a14" in need else b
 
 
 def returns(b: DataFrame) -> DataFrame:
@@ -148,18 +166,23 @@ def activity(b: DataFrame) -> DataFrame:
     })
 
 
-def structure(b: DataFrame) -> DataFrame:
-    """22 columns: confirmed swings, breaks of them, sweeps, three-bar gaps and blocks before breaks."""
+def structure(b: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """22 columns: confirmed swings, breaks of them, sweeps, three-bar gaps and blocks before breaks.
+
+    The last swing, gap, break and block are carried over a series of any length; what goes in is written once, as the
+    carrying reads it again. ``chunk_rows`` and ``halo`` are those of ``prepare``.
+    """
+    b = written(b, "prepared")
     o, h, low, c, a = (F.col(x) for x in ("open", "high", "low", "close", "atr"))
     sh = F.when(lag("high", 3) == R.rolling("max", "high", order(), 7), lag("high", 3))
     sl = F.when(lag("low", 3) == R.rolling("min", "low", order(), 7), lag("low", 3))
     gap_up, gap_down = low > lag("high", 2), h < lag("low", 2)
     b = b.withColumns({
         "_sh": sh, "_sl": sl, "fvg_bull": flag(gap_up), "fvg_bear": flag(gap_down), "_gu": F.when(gap_up, (low + lag("high", 2)) / 2), "_gd": F.when(gap_down, (h + lag("low", 2)) / 2),
-        "_down_low": R.filled(F.when(c < o, low), order()), "_up_high": R.filled(F.when(c > o, h), order()),
+        "_dl": F.when(c < o, low), "_uh": F.when(c > o, h),
     })
-    earlier = order().rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({"_hi": R.filled("_sh", order()), "_lo": R.filled("_sl", order()), "_psh": F.last("_sh", ignorenulls=True).over(earlier), "_psl": F.last("_sl", ignorenulls=True).over(earlier)})
+    known = {"_hi": ("_sh", True), "_lo": ("_sl", True), "_psh": ("_sh", False), "_psl": ("_sl", False), "_down_low": ("_dl", True), "_up_high": ("_uh", True), "_last_gu": ("_gu", True), "_last_gd": ("_gd", True)}
+    b = carried(b, known, chunk_rows, halo)
     higher = F.when(F.col("_sh").isNotNull(), F.when(F.col("_sh") > F.col("_psh"), 1).otherwise(-1))
     lower = F.when(F.col("_sl").isNotNull(), F.when(F.col("_sl") < F.col("_psl"), 1).otherwise(-1))
     b = b.withColumns({
@@ -167,16 +190,14 @@ def structure(b: DataFrame) -> DataFrame:
         "sweep_high": flag((h > F.col("_hi")) & (c < F.col("_hi"))), "sweep_low": flag((low < F.col("_lo")) & (c > F.col("_lo"))),
     })
     way = F.when(F.col("bos_up") == 1, 1).when(F.col("bos_dn") == 1, -1)
-    b = b.withColumns({
-        "_bos": way, "_ob_bull": F.when(F.col("bos_up") == 1, F.col("_down_low")), "_ob_bear": F.when(F.col("bos_dn") == 1, F.col("_up_high")), "_bos_rn": F.when(way.isNotNull(), F.col("rn")),
-        "hh": F.coalesce(R.filled("_hh", order()), F.lit(0)), "ll": F.coalesce(R.filled("_ll", order()), F.lit(0)),
-    })
-    before = F.coalesce(F.last("_bos", ignorenulls=True).over(earlier), F.lit(0))
+    b = b.withColumns({"_bos": way, "_ob_bull": F.when(F.col("bos_up") == 1, F.col("_down_low")), "_ob_bear": F.when(F.col("bos_dn") == 1, F.col("_up_high")), "_bos_rn": F.when(way.isNotNull(), F.col("rn"))})
+    known = {"_last_hh": ("_hh", True), "_last_ll": ("_ll", True), "_last_bos": ("_bos", True), "_bos_before": ("_bos", False), "_last_rn": ("_bos_rn", True), "_last_bull": ("_ob_bull", True), "_last_bear": ("_ob_bear", True)}
+    b = carried(b, known, chunk_rows, halo).withColumns({"hh": F.coalesce("_last_hh", F.lit(0)), "ll": F.coalesce("_last_ll", F.lit(0))})
     return b.withColumns({
-        "dist_swing_high": (F.col("_hi") - c) / a, "dist_swing_low": (c - F.col("_lo")) / a, "structure": F.col("hh") - F.col("ll"), "last_bos_dir": F.coalesce(R.filled("_bos", order()), F.lit(0)),
-        "choch": flag(F.col("_bos") == -before), "bars_since_bos": F.least(F.col("rn") - F.coalesce(R.filled("_bos_rn", order()), F.lit(1)), F.lit(500)).cast("long"),
+        "dist_swing_high": (F.col("_hi") - c) / a, "dist_swing_low": (c - F.col("_lo")) / a, "structure": F.col("hh") - F.col("ll"), "last_bos_dir": F.coalesce("_last_bos", F.lit(0)),
+        "choch": flag(F.col("_bos") == -F.coalesce("_bos_before", F.lit(0))), "bars_since_bos": F.least(F.col("rn") - F.coalesce("_last_rn", F.lit(1)), F.lit(500)).cast("long"),
         "sweep_high_8": R.rolling("sum", "sweep_high", order(), 8), "sweep_low_8": R.rolling("sum", "sweep_low", order(), 8), "fvg_bull_32": R.rolling("sum", "fvg_bull", order(), 32), "fvg_bear_32": R.rolling("sum", "fvg_bear", order(), 32),
-        "dist_fvg_bull": (c - R.filled("_gu", order())) / a, "dist_fvg_bear": (R.filled("_gd", order()) - c) / a, "dist_ob_bull": (c - R.filled("_ob_bull", order())) / a, "dist_ob_bear": (R.filled("_ob_bear", order()) - c) / a,
+        "dist_fvg_bull": (c - F.col("_last_gu")) / a, "dist_fvg_bear": (F.col("_last_gd") - c) / a, "dist_ob_bull": (c - F.col("_last_bull")) / a, "dist_ob_bear": (F.col("_last_bear") - c) / a,
     })
 
 
@@ -189,11 +210,12 @@ def levels(b: DataFrame) -> DataFrame:
     c, a = F.col("close"), F.col("atr")
     shifted = F.col("ts") - F.expr("INTERVAL 18 HOURS")
     b = b.withColumns({"_day": F.to_date(shifted), "_week": F.extract(F.lit("YEAROFWEEK"), shifted) * 100 + F.weekofyear(shifted), "_month": F.year(shifted) * 100 + F.month(shifted)})
-    base = b.where("not halo")
+    ends = [F.min_by("open", "ts").alias("_o"), F.max("high").alias("_h"), F.min("low").alias("_l"), F.max_by("close", "ts").alias("_c")]
+    days = written(b.where("not halo").groupBy("symbol", "_day", "_week", "_month").agg(F.min("ts").alias("ts"), *ends), "days")  # one row a day
     for key, p in (("_day", "d"), ("_week", "w"), ("_month", "m")):
-        whole = base.groupBy("symbol", key).agg(F.min_by("open", "ts").alias(f"_{p}o"), F.max("high").alias("_h"), F.min("low").alias("_l"), F.max_by("close", "ts").alias("_c"))
+        whole = days.groupBy("symbol", key).agg(F.min_by("_o", "ts").alias("_o"), F.max("_h").alias("_h"), F.min("_l").alias("_l"), F.max_by("_c", "ts").alias("_c"))
         prior = Window.partitionBy("symbol").orderBy(key)  # one row a period
-        whole = whole.select("symbol", key, f"_{p}o", *(F.lag(f"_{x}").over(prior).alias(f"_p{p}{x}") for x in "hlc"))
+        whole = whole.select("symbol", key, F.col("_o").alias(f"_{p}o"), *(F.lag(f"_{x}").over(prior).alias(f"_p{p}{x}") for x in "hlc"))
         b = b.join(whole, ["symbol", key], "left")
     day = R.series("symbol", "chunk", "_day").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumns({"_dh": F.max("high").over(day), "_dl": F.min("low").over(day), "_twap": F.avg("typical").over(day)})
@@ -270,7 +292,7 @@ FAMILIES = {
 def all_features(bars: DataFrame, calendar: DataFrame, chunk_rows: int = CHUNK, halo: int = HALO, year: int = YEAR_RANK) -> DataFrame:
     """The bars with all 205 feature columns."""
     b = prepare(bars, chunk_rows, halo)
-    for family in (lambda x: volatility(x, year), returns, candles, trend, momentum, activity, structure, levels, lambda x: sessions(x, calendar), short_lags):
+    for family in (lambda x: volatility(x, year), returns, candles, trend, momentum, activity, lambda x: structure(x, chunk_rows, halo), levels, lambda x: sessions(x, calendar), short_lags):
         b = family(b)
     names = [n for f in FAMILIES.values() for n in f]
     if len(set(names)) != len(names):

@@ -1,22 +1,22 @@
-"""Gaussian hidden-Markov regimes: distributed fitting over stretches of series, and the causal filter as a fold."""
+"""Gaussian hidden-Markov regimes: distributed fitting over stretches of series, and the causal filter as a prefix scan."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import fold
+from tidemark.operators.bars import last_known, numbered
+from tidemark.shared import written
 
 COLUMNS = ("x1", "x2")
 
 
 def observations(bars: DataFrame) -> DataFrame:
     """x1: log return times 1000 (0 if none); x2: log of the realised variance, the last one where it is 0, -20 before any."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    logged = F.log(F.nullif(F.col("rv"), F.lit(0.0)))
-    return bars.withColumns({"x1": F.coalesce(F.col("lr") * 1e3, F.lit(0.0)), "x2": F.coalesce(F.last(logged, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-20.0))})
+    known = last_known(bars, F.log(F.nullif(F.col("rv"), F.lit(0.0))), "_logged")
+    return known.withColumns({"x1": F.coalesce(F.col("lr") * 1e3, F.lit(0.0)), "x2": F.coalesce("_logged", F.lit(-20.0))}).drop("_logged")
 
 
 def emissions(model: dict, x: np.ndarray) -> np.ndarray:
@@ -94,21 +94,48 @@ def _maximised(rows: DataFrame, states: int, iterations: int, keys: tuple[str, .
     return {"start": model["start"][order], "trans": model["trans"][np.ix_(order, order)], "mean": model["mean"][order], "var": model["var"][order]}
 
 
-def filtered(rows: DataFrame, model: dict, gate: float = 0.6) -> DataFrame:
-    """Probability of each state given what was seen so far, and whether the highest state's is above ``gate``."""
-    states = len(model["start"])
-
-    def start(key: tuple):
-        p: np.ndarray | None = None
+def passed(model: dict, p: np.ndarray, x: np.ndarray, first: bool) -> np.ndarray:
+    """The normalised state vectors after each row, from the vectors before the first, which run side by side; a series' ``first`` row has no transition before it."""
+    log_b = emissions(model, x)
+    b = np.exp(log_b - log_b.max(axis=1, keepdims=True))
+    out = np.empty((len(x), *p.shape))
+    for t in range(len(x)):
+        p = (p if first and not t else p @ model["trans"]) * b[t]
+        p = p / max(p.sum(), 1e-300)
+        out[t] = p
+    return out
 
-        def step(row) -> list[tuple]:
-            nonlocal p
-            log_b = emissions(model, np.array([[getattr(row, c) for c in COLUMNS]]))[0]
-            q = (model["start"] if p is None else p @ model["trans"]) * np.exp(log_b - log_b.max())
-            p = q / max(q.sum(), 1e-300)
-            return [(*key, row.ts, *p.tolist(), bool(p[-1] > gate))]
 
-        return step
+def filtered(rows: DataFrame, model: dict, gate: float = 0.6, stretch: int = 20_000) -> DataFrame:
+    """symbol, ts, the probability of each state given what was seen so far, and whether the highest state's is above ``gate``.
 
-    schema = "symbol string, ts timestamp_ntz, " + ", ".join(f"p{i} double" for i in range(states)) + ", gate boolean"
-    return fold(rows.select("symbol", "ts", *COLUMNS), ["symbol"], "ts", start, schema)
+    A prefix scan in three steps, so that no series is one task. Each stretch of a series multiplies its rows' transition and
+    emission matrices into one matrix, scaled as it goes; the matrices, one row a stretch, are chained over the series to the
+    vector with which each stretch begins; the stretches' rows then run from there.
+    """
+    states = len(model["start"])
+    own = rows.select("symbol", "ts", *COLUMNS)
+    cut = written(numbered(own).withColumn("chunk", F.floor((F.col("rn") - 1) / stretch).cast("int")), "stretches")
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.sort_values("ts")[list(COLUMNS)].to_numpy()
+        return pd.DataFrame({"symbol": group["symbol"].iloc[:1], "chunk": group["chunk"].iloc[:1], "m": [passed(model, np.eye(states), x, group["chunk"].iloc[0] == 0)[-1].ravel().tolist()]})
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        p, begins = model["start"], []
+        for m in group["m"]:
+            begins.append(p.tolist())
+            p = p @ np.asarray(m).reshape(states, states)
+            p = p / max(p.sum(), 1e-300)
+        return pd.DataFrame({"symbol": group["symbol"], "chunk": group["chunk"], "p": begins})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts")
+        p = passed(model, np.asarray(group["p"].iloc[0])[None], group[list(COLUMNS)].to_numpy(), group["chunk"].iloc[0] == 0)[:, 0]
+        return pd.DataFrame({"symbol": group["symbol"], "ts": group["ts"], **{f"p{i}": p[:, i] for i in range(states)}, "gate": p[:, -1] > gate})
+
+    matrices = cut.groupBy("symbol", "chunk").applyInPandas(product, "symbol string, chunk int, m array<double>")
+    begin = matrices.groupBy("symbol").applyInPandas(chain, "symbol string, chunk int, p array<double>")  # one row a stretch
+    schema = f"symbol string, ts {own.schema['ts'].dataType.simpleString()}, " + ", ".join(f"p{i} double" for i in range(states)) + ", gate boolean"
+    return cut.join(begin, ["symbol", "chunk"]).groupBy("symbol", "chunk").applyInPandas(run, schema)

@@ -60,7 +60,8 @@ def bars_15m(spark, sf_dir):
 
 def family(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     def run(spark, sf_dir):
-        b = build(X.prepare(bars_of(spark, sf_dir))) if name != "sessions" else X.sessions(X.prepare(bars_of(spark, sf_dir)), calendar_of(spark))
+        b = X.prepare(bars_of(spark, sf_dir), family=name)
+        b = build(b) if name != "sessions" else X.sessions(b, calendar_of(spark))
         return rounded(b.where("not halo").select("symbol", "ts", *X.FAMILIES[name]))
 
     QUERIES[f"features_{name}"] = run
@@ -74,7 +75,7 @@ ORACLES |= oracles.family_sql()
 @query(oracles.volatility_sql(96))
 def features_volatility_day_ranks(spark, sf_dir):
     """The volatility family with ranks over a day of bars instead of a year."""
-    b = X.volatility(X.prepare(bars_of(spark, sf_dir)), 96)
+    b = X.volatility(X.prepare(bars_of(spark, sf_dir), family="volatility"), 96)
     return rounded(b.where("not halo").select("symbol", "ts", *X.FAMILIES["volatility"]))
 
 
