@@ -45,9 +45,9 @@ def columns_only_in(left: DataFrame, right: DataFrame) -> list[str]:
 
 
 def standardised(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], fit: Column | None = None, most: float = 8.0) -> DataFrame:
-    """Columns less their mean over their standard deviation by key, cut to -most..most; both are learned from the rows of ``fit``."""
+    """Columns less their mean over their (population) standard deviation by key, cut to -most..most; both are learned from the rows of ``fit``."""
     own = rows.where(fit) if fit is not None else rows
-    s = own.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    s = own.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))
     joined = rows.join(s, list(keys), "left")
     return joined.withColumns({c: F.greatest(F.least(z(c), F.lit(most)), F.lit(-most)) for c in columns}).select(*rows.columns)
@@ -103,6 +103,13 @@ def period_sums(rows: DataFrame, ts: str, x: str, keys: Sequence[str], period: s
     return rows.groupBy(*keys, at).agg(F.sum(x).alias("total"), F.count(x).alias("n"), F.count_distinct(F.to_date(ts)).alias("days"))
 
 
+def filled_months(rows: DataFrame, ts: str, x: str, keys: Sequence[str]) -> DataFrame:
+    """Sum of x for every month from a key's first to its last; 0 for those without rows."""
+    sums = rows.groupBy(*keys, F.trunc(F.col(ts).cast("date"), "month").alias("month")).agg(F.sum(x).alias("total"))
+    span = sums.groupBy(*keys).agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return span.join(sums, [*keys, "month"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+
+
 def summary(rows: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
     """Mean, standard deviation, least and greatest of x by key."""
     return rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark import oracles as O
 from tidemark.functions import statistics as S
-from tidemark.operators import folds
+from tidemark.operators import features as X
+from tidemark.operators import folds, labels
 from tidemark.operators import importance as I
+from tidemark.operators import series as Z
+from tidemark.operators import simulate as M
+from tidemark.operators import study as Y
 from tidemark.plans import grammar as G
 from tidemark.plans.screen import screen
-from tidemark.queries import bars_of, numbered_years, rounded, scored
+from tidemark.queries import bars_of, calendar_of, numbered_years, prepared, rounded, scored
 from tidemark.shared import written
-from tidemark.sources.ticks import table
+from tidemark.sources.ticks import table, ticks_from_events
+from tidemark.study import TRADES, trades
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +152,112 @@ def grammar_screen(spark, sf_dir):
     ahead = F.log(F.lead("close", 5).over(Window.partitionBy("symbol").orderBy("ts")) / F.col("close"))
     values = written(rounded(b.withColumn("y", ahead).select("ts", "y", *TREES), 9), "values")
     return rounded(screen(values, list(TREES), "y", "2024-01-01", "2024-01-09", "2024-01-17", "day", 6, 100))
+
+
+@query(f"""WITH b AS ({O.barrier_sql()}) SELECT symbol, ts, CASE WHEN mfe_16 IS NOT NULL AND mae_16 IS NOT NULL THEN CAST(greatest(mfe_16, mae_16, 0) >= 2 AS INTEGER) END AS y_exp,
+CASE WHEN mfe_16 IS NOT NULL THEN CAST(mfe_16 > (SELECT quantile_cont(mfe_16, 0.5) FROM b z WHERE z.symbol = b.symbol AND z.ts < TIMESTAMP '2024-01-16') AS INTEGER) END AS y_wide FROM b""")
+def labels_expansion(spark, sf_dir):
+    """Whether either excursion of 16 bars reaches two ranges, and whether the favourable one is above its median of the first 15 days."""
+    b = rounded(labels.barriers(prepared(spark, sf_dir), "a14", 1.5, 1.0, 16))
+    b = labels.above_train_median(labels.expansion(b), "mfe_16", F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "y_wide")
+    return b.select("symbol", "ts", "y_exp", "y_wide")
+
+
+@query(f"""WITH {O.YEARS}, s AS (SELECT symbol, year(ts) AS y, min(rn) AS a, max(rn) AS b FROM y GROUP BY ALL),
+f AS (SELECT t.symbol, CAST(t.y AS INTEGER) AS test_year, t.a AS test_first, t.b AS test_last, min(p.a) FILTER (p.y < t.y - 1) AS fit_first, max(p.b) FILTER (p.y < t.y - 1) AS fb, min(p.a) FILTER (p.y >= t.y - 1) AS va, t.a - 97 AS last FROM s t JOIN s p ON p.symbol = t.symbol AND p.y < t.y GROUP BY ALL),
+g AS (SELECT symbol, test_year, fit_first, least(fb, last) AS fit_last, CASE WHEN va <= last THEN va END AS val_first, CASE WHEN va <= last THEN last END AS val_last, test_first, test_last FROM f WHERE fit_first <= least(fb, last))
+SELECT *, fit_last - fit_first + 1 AS n_fit, coalesce(val_last - val_first + 1, 0) AS n_val, test_last - test_first + 1 AS n_test FROM g""")
+def folds_expanding_purged(spark, sf_dir):
+    """Expanding training rows, the year before the test year for validation, 96 rows before it left out."""
+    return folds.expanding(numbered_years(spark, sf_dir), 1995)
+
+
+@query(f"""WITH {TRADES}, s AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS month, sum(r) AS total FROM t WHERE k % 97 = 0 GROUP BY ALL),
+m AS (SELECT symbol, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM s GROUP BY symbol) SELECT symbol, month, round(coalesce(total, 0), 6) AS total FROM m LEFT JOIN s USING (symbol, month)""")
+def monthly_sums_filled(spark, sf_dir):
+    """Results by month of one customer group of each priority, empty months as 0."""
+    return rounded(Y.filled_months(trades(spark, sf_dir).where("k % 97 = 0"), "ts", "r", ["symbol"]))
+
+
+DRIFT = f"""WITH {O.YEARS}, p AS (SELECT symbol, year(ts) AS y, x / 600000 + 0.01::DOUBLE * (year(ts) - 1995) AS p, CAST(CAST(floor(x) AS BIGINT) % 7 < 2 + CAST(x > 200000 AS INT) AS INT) AS up FROM y),
+f AS (SELECT DISTINCT symbol, y AS fold FROM p WHERE y > 1995), r AS (SELECT f.symbol, fold, p.y, p, up FROM f JOIN p ON p.symbol = f.symbol AND p.y <= fold),
+e AS (SELECT symbol, fold, quantile_cont(p, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS e FROM r WHERE y < fold GROUP BY ALL),
+b AS (SELECT symbol, fold, len(list_filter(e, lambda v: v <= p)) AS bin, y < fold AS a FROM r JOIN e USING (symbol, fold)),
+c AS (SELECT symbol, fold, bin, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM b GROUP BY ALL),
+g AS (SELECT s.symbol, s.fold, i, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM f s CROSS JOIN range(0, 10) q(i) LEFT JOIN c ON c.symbol = s.symbol AND c.fold = s.fold AND c.bin = i),
+h AS (SELECT symbol, fold, na / sum(na) OVER (PARTITION BY symbol, fold) + 1e-6 AS pa, nb / sum(nb) OVER (PARTITION BY symbol, fold) + 1e-6 AS pb FROM g),
+d AS (SELECT symbol, fold, sum((pa - pb) * ln(pa / pb)) AS drift FROM h GROUP BY ALL),
+k AS (SELECT symbol, y, up, rank() OVER (PARTITION BY symbol, y ORDER BY p) + (count(*) OVER (PARTITION BY symbol, y, p) - 1) / 2.0::DOUBLE AS r FROM p),
+u AS (SELECT symbol, y AS fold, (sum(r) FILTER (up = 1) - count(*) FILTER (up = 1) * (count(*) FILTER (up = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (up = 1) * count(*) FILTER (up = 0)) AS score FROM k GROUP BY ALL)
+SELECT symbol, count(*) AS n, round(avg(drift), 6) AS drift, round(avg(score), 6) AS score, round(corr(drift, score), 6) AS correlation, round(avg(score) FILTER (fold < 1999), 6) AS early, round(avg(score) FILTER (fold >= 1999), 6) AS late FROM d JOIN u USING (symbol, fold) GROUP BY symbol"""
+
+
+@query(DRIFT)
+def drift_against_auc(spark, sf_dir):
+    """How far each year's scores have drifted from all earlier years' (stability index) against the year's AUC, with era means."""
+    o = numbered_years(spark, sf_dir).select("symbol", F.year("ts").alias("y"), (F.col("x") / 600000 + F.lit(0.01) * (F.year("ts") - 1995)).alias("p"), (F.floor("x") % 7 < 2 + (F.col("x") > 200000).cast("int")).cast("int").alias("up"))
+    o = written(o, "scores")
+    years = o.select("symbol", F.col("y").alias("fold")).distinct().where("fold > 1995")  # a row a year
+    past = o.join(years, "symbol").where("y <= fold")
+    drift = S.psi(past, "p", F.col("y") < F.col("fold"), ["symbol", "fold"])
+    area = S.auc(o, "p", "up", ["symbol", "y"]).select("symbol", F.col("y").alias("fold"), F.col("auc").alias("score"))
+    both = written(drift.join(area, ["symbol", "fold"]), "years")
+    eras = both.groupBy("symbol").agg(F.avg(F.when(F.col("fold") < 1999, F.col("score"))).alias("early"), F.avg(F.when(F.col("fold") >= 1999, F.col("score"))).alias("late"))
+    return rounded(Y.drift_against(both, "psi", "score", ["symbol"]).join(eras, "symbol"))
+
+
+_LAGS = [f"lag({x}, {n}) OVER ({O.P}) AS {x}_l{n}" for x in X.LAGGED for n in (1, 2)]
+_OF = {x: f for f, names in X.FAMILIES.items() for x in names if x in X.LAGGED}
+
+
+@query("WITH " + ", ".join(f"f_{f} AS ({O.family_sql()[f'features_{f}']})" for f in sorted(set(_OF.values()))) + f" SELECT symbol, ts, {', '.join(_LAGS)} FROM " + " JOIN ".join(f"f_{f}" + (" USING (symbol, ts)" if i else "") for i, f in enumerate(sorted(set(_OF.values())))))
+def features_lags(spark, sf_dir):
+    """The 40 lags of all bars, over the families that they are taken from."""
+    b = X.prepare(bars_of(spark, sf_dir))
+    for family in (X.returns, X.candles, X.trend, X.momentum, lambda x: X.volatility(x, 96), X.activity, X.structure, X.levels, X.short_lags):
+        b = family(b)
+    return rounded(b.where("not halo").select("symbol", "ts", *X.FAMILIES["lags"]))
+
+
+_C = "l_quantity l_extendedprice l_discount l_tax".split()
+
+
+def determinant(names: list[str], other: list[str]) -> str:
+    """The determinant of the correlations of some columns with others, written out."""
+    if not names:
+        return "1"
+    entry = lambda a, b: f"{1 + 1e-6!r}::DOUBLE" if a == b else "c_" + "_".join(sorted((a, b)))
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {entry(names[0], b)} * {determinant(names[1:], other[:j] + other[j + 1 :])}" for j, b in enumerate(other)) + ")"
+
+
+VIF = f"WITH c AS (SELECT {', '.join(f'corr({a}, {b}) AS c_' + '_'.join(sorted((a, b))) for i, a in enumerate(_C) for b in _C[i + 1 :])} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature, round({determinant([c for c in _C if c != x], [c for c in _C if c != x])} / {determinant(_C, _C)}, 6) AS vif FROM c" for x in _C
+)
+ORACLES["variance_inflation"] = VIF
+
+CONDITIONS = {
+    "london": "sess_london = 1", "ny": "sess_ny = 1", "tokyo": "sess_tokyo = 1", "trend": "adx14 > 25", "range": "adx14 < 20", "high_vol": "atr14_rank_1y > 0.75", "low_vol": "atr14_rank_1y < 0.25",
+    "fomc_day": "is_fomc_day = 1", "nfp_day": "is_nfp_day = 1", "all": "true",
+}
+
+
+@query(f"""WITH s AS ({O.family_sql()['features_sessions']}), t AS ({O.family_sql()['features_trend']}), v AS ({O.volatility_sql(96)}), r AS (SELECT symbol, ts, ret_1 FROM ({O.family_sql()['features_returns']})),
+j AS (SELECT s.symbol, s.ts, lead(ret_1) OVER (PARTITION BY s.symbol ORDER BY s.ts) AS x, sess_london, sess_ny, sess_tokyo, is_fomc_day, is_nfp_day, adx14, atr14_rank_1y FROM s JOIN t USING (symbol, ts) JOIN v USING (symbol, ts) JOIN r USING (symbol, ts)),
+g AS ({' UNION ALL '.join(f"SELECT '{n}' AS condition, x FROM j WHERE {c}" for n, c in CONDITIONS.items())})
+SELECT condition, count(x) AS n, round(avg(x), 6) AS mean, round(1.96 * stddev_samp(x) / sqrt(count(x)), 6) AS margin FROM g GROUP BY condition HAVING count(x) >= 10""")
+def conditioned_by_regime(spark, sf_dir):
+    """The next bar's return by session, trend, volatility (ranked over a day of bars) and event day: all ten groups."""
+    b = X.prepare(bars_of(spark, sf_dir))
+    b = X.sessions(X.returns(X.volatility(X.trend(b), 96)), calendar_of(spark))
+    b = written(rounded(b.where("not halo").select("symbol", "ts", "rn", "ret_1", "adx14", "atr14_rank_1y", "sess_london", "sess_ny", "sess_tokyo", "is_fomc_day", "is_nfp_day")), "conditions")
+    ahead = b.select("symbol", (F.col("rn") - 1).alias("rn"), F.col("ret_1").alias("x"))
+    return rounded(Z.conditioned(b.join(ahead, ["symbol", "rn"], "left"), "x", {n: F.expr(c) for n, c in CONDITIONS.items()}))
+
+
+@query(f"""WITH {O.BARS}, j AS (SELECT bars.symbol, bars.ts, min(t.ts) FILTER (t.price >= open * 1.01) AS i, min(t.ts) FILTER (t.price <= open * 0.99) AS k FROM bars JOIN t ON t.symbol = bars.symbol AND time_bucket(INTERVAL 15 MINUTES, t.ts) = bars.ts GROUP BY ALL)
+SELECT symbol, ts, CASE WHEN i IS NULL AND k IS NULL THEN 'none' WHEN i = k THEN 'both' WHEN k IS NULL OR i < k THEN 'a' ELSE 'b' END AS first FROM j""")
+def first_touch(spark, sf_dir):
+    """Which of two levels, one percent above or below its open, the ticks of each bar reach first."""
+    ticks = ticks_from_events(table(spark, sf_dir, "events")).withColumns({"high": F.col("price"), "low": F.col("price")})
+    b = M.attach_minutes(bars_of(spark, sf_dir), ticks)
+    return b.select("symbol", "ts", M.first_touched(F.col("minutes"), F.col("open") * 1.01, True, F.col("open") * 0.99, False).alias("first"))

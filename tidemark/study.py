@@ -64,7 +64,7 @@ def column_exclusion(spark, sf_dir):
     return Y.without(table(spark, sf_dir, "customer"), ["*nation*", "c_acct*"])
 
 
-@query(f"WITH {TRADES}, s AS (SELECT symbol, avg(r) AS m, stddev_samp(r) AS s FROM t WHERE year(ts) < 1998 GROUP BY symbol) SELECT symbol, ts, k, round(greatest(least((r - m) / s, 1.5), -1.5), 6) AS r FROM t JOIN s USING (symbol)")
+@query(f"WITH {TRADES}, s AS (SELECT symbol, avg(r) AS m, stddev_pop(r) AS s FROM t WHERE year(ts) < 1998 GROUP BY symbol) SELECT symbol, ts, k, round(greatest(least((r - m) / s, 1.5), -1.5), 6) AS r FROM t JOIN s USING (symbol)")
 def standardised_clipped(spark, sf_dir):
     return rounded(Y.standardised(trades(spark, sf_dir), ["r"], ["symbol"], F.year("ts") < 1998, 1.5)).select("symbol", "ts", "k", "r")
 
