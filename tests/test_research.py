@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import research
 from tidemark.operators import folds
 from tidemark.operators import importance as I
+from tidemark.operators import models
 from tidemark.plans import grammar
 from tidemark.plans.screen import screen
 
@@ -57,7 +58,7 @@ def test_gain_shares(spark, kind, rounds):
     rows = [("s", f"{2000 + i // 300}-01-01", i + 1, x, r.random(), int(x > 0.5)) for i, x in ((i, r.random()) for i in range(1200))]
     df = spark.createDataFrame(rows, "symbol string, day string, rn long, x double, z double, y int").withColumn("ts", F.to_date("day"))
     plan = folds.year_folds(df)
-    shares = [I.gain_shares(I.fold_models(df, plan, ["x", "z"], "y", kind, rounds), ["x", "z"]) for _ in range(2)]
+    shares = [I.gain_shares(models.fold_models(df, plan, ["x", "z"], "y", kind, rounds), ["x", "z"]) for _ in range(2)]
     assert [s[:2] for s in shares[0]] == [s[:2] for s in shares[1]] and [s[2] for s in shares[0]] == pytest.approx([s[2] for s in shares[1]])  # sums in another order
     for year in {s[0] for s in shares[0]}:
         own = {f: s for y, f, s in shares[0] if y == year}

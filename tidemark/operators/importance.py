@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import statistics as S
 from tidemark.functions.ranges import in_ranges, sums_before
-from tidemark.operators import folds, models
+from tidemark.operators import models
 from tidemark.shared import written
 
 
@@ -40,19 +39,6 @@ def auc_drops(rows: DataFrame, id: str, features: Sequence[str], label: str, sco
     return areas.where("column != ''").join(F.broadcast(whole)).select("column", "auc", (F.col("_whole") - F.col("auc")).alias("drop"))
 
 
-def fold_models(rows: DataFrame, plan: DataFrame, features: Sequence[str], label: str, kind: str, rounds: int | None = None, at_once: int = 4) -> dict:
-    """A pipeline fitted on the training rows of each test year; fits run beside each other as jobs of one session."""
-    rows = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    years = [(r["test_year"], r["n"]) for r in plan.groupBy("test_year").agg(F.sum("n_train").alias("n")).orderBy("test_year").collect()]  # a row a year
-
-    def fit(year: int, n: int):
-        train = folds.assign(rows, plan.where(F.col("test_year") == year)).where("part = 'train'")
-        return year, models.pipeline(features, kind, n, rounds).fit(train)
-
-    with ThreadPoolExecutor(at_once) as pool:
-        return dict(pool.map(lambda y: fit(*y), years))
-
-
 def gain_shares(fitted: dict, features: Sequence[str]) -> list[tuple[int, str, float]]:
     """test_year, feature and its share of the gain of the year's trees; a year's shares sum to one (to nothing if no tree splits)."""
     out = []
@@ -65,6 +51,6 @@ def gain_shares(fitted: dict, features: Sequence[str]) -> list[tuple[int, str, f
 
 def gain_importance(rows: DataFrame, plan: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", rounds: int | None = None, top: int = 25) -> DataFrame:
     """feature, n_folds and its mean share of gain over the folds: the ``top`` largest, ties by name. Trees: kind gbt or forest."""
-    shares = gain_shares(fold_models(rows, plan, features, label, kind, rounds), features)
+    shares = gain_shares(models.fold_models(rows, plan, features, label, kind, rounds), features)
     table = rows.sparkSession.createDataFrame(shares, "test_year int, feature string, share double")  # a row a year and feature
     return table.groupBy("feature").agg(F.count("*").alias("n_folds"), F.avg("share").alias("mean_gain_share")).orderBy(F.desc("mean_gain_share"), "feature").limit(top)

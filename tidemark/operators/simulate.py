@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import statistics as S
 from tidemark.functions import windows as R
+from tidemark.functions.ranges import in_ranges, sums_before
 from tidemark.operators.bars import by_stretch
 from tidemark.operators.fold import fold
 
@@ -248,13 +249,17 @@ def performance(trades: DataFrame, equity: DataFrame) -> DataFrame:
     return a.join(streaks, key).join(q, key).withColumn("trades_per_day", F.col("n_trades") / F.col("n_days")).drop("_years")
 
 
+#: Trades of one stretch.
+STRETCH = 20_000
+
+
 def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
     """``fraction`` of equity risked on each trade, and the ``curve`` of equity after it; rules flat1, prob, kelly025 and ddthrottle.
 
-    The first three read only the row or the 300 trades before it; the last reads its own drawdown and is a fold. ``prob``
-    takes each trade's own ``threshold`` where trades have that column.
+    The first three read only the row or the 300 trades before it; trades are numbered by ranges and looked at in stretches,
+    and the curve is a sum of logs over one row a stretch and then inside it, so no key is one task. The last reads its own
+    drawdown and is a fold. ``prob`` takes each trade's own ``threshold`` where trades have that column.
     """
-    w = Window.partitionBy("symbol", "scenario").orderBy("exit_ts", "entry_ts")
     if rule == "ddthrottle":
 
         def start(key: tuple):
@@ -270,13 +275,22 @@ def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
             return step
 
         return fold(trades.where("filled").select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult"), ["symbol", "scenario"], "exit_ts", start, "symbol string, scenario string, exit_ts timestamp_ntz, entry_ts timestamp_ntz, r_mult double, fraction double, curve double")
-    before = w.rowsBetween(-300, -1)
-    k = F.avg("r_mult").over(before) / (F.var_pop("r_mult").over(before) + 1e-12)
-    kelly = F.when(F.count("r_mult").over(before) < 100, 0.01).when(k > 0, F.least(F.greatest(0.25 * k * 0.01, F.lit(0.0025)), F.lit(0.02))).otherwise(0.0025)
-    edge = F.least(F.greatest((F.col("p") - (F.col("threshold") if "threshold" in trades.columns else F.lit(threshold))) / 0.1, F.lit(0.0)), F.lit(1.0))
-    f = {"flat1": F.lit(0.01), "prob": 0.005 + 0.015 * edge, "kelly025": kelly}[rule]
-    t = trades.where("filled").withColumn("fraction", f)
-    return t.withColumn("curve", F.exp(F.sum(F.log1p(F.col("fraction") * F.col("r_mult"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))).select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult", "fraction", "curve")
+    keys, order = ["symbol", "scenario"], ["exit_ts", "entry_ts", "_u"]
+    t = trades.where("filled").withColumns({"_u": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    t = sums_before(in_ranges(t, *keys, *order), keys, order, {"_i": "_one"})
+    if rule == "kelly025":  # stretches with the 300 trades before them
+        own = F.floor(F.col("_i") / STRETCH)
+        t = t.withColumn("_chunk", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_i") + 300) / STRETCH)))))
+        before = Window.partitionBy(*keys, "_chunk").orderBy("_i").rowsBetween(-300, -1)
+        k = F.avg("r_mult").over(before) / (F.var_pop("r_mult").over(before) + 1e-12)
+        f = F.when(F.count("r_mult").over(before) < 100, 0.01).when(k > 0, F.least(F.greatest(0.25 * k * 0.01, F.lit(0.0025)), F.lit(0.02))).otherwise(0.0025)
+        t = t.withColumn("fraction", f).where(F.col("_chunk") == own)
+    else:
+        edge = F.least(F.greatest((F.col("p") - (F.col("threshold") if "threshold" in trades.columns else F.lit(threshold))) / 0.1, F.lit(0.0)), F.lit(1.0))
+        t = t.withColumn("fraction", {"flat1": F.lit(0.01), "prob": 0.005 + 0.015 * edge}[rule])
+    t = t.withColumns({"_g": F.coalesce(F.log1p(F.col("fraction") * F.col("r_mult")), F.lit(0.0)), "_range": F.floor(F.col("_i") / STRETCH)})
+    t = sums_before(t, keys, ["_i"], {"_b": "_g"})
+    return t.withColumn("curve", F.exp(F.col("_b") + F.col("_g"))).select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult", "fraction", "curve")
 
 
 def ruin(trades: DataFrame, reps: int = 2000, fraction: float = 0.01, floor: float = -0.5, seed: int = 9) -> DataFrame:

@@ -238,13 +238,13 @@ h AS (SELECT symbol, i, g[i] AS thr, days FROM g, range(1, 61) r(i)), c AS (SELE
 b AS (SELECT symbol, arg_max({{'t': thr, 'e': ex}}, ex * 1000000000 - i) AS b FROM c WHERE n >= 30 AND n / days BETWEEN 0.1 AND 5 GROUP BY symbol) SELECT g.symbol, round(coalesce(b.b.t, g.g[60]), 6) AS threshold, round(b.b.e, 6) AS expectancy FROM g LEFT JOIN b USING (symbol)"""
 DRAWDOWN = f"WITH {BARS} SELECT symbol, ts, round(close / max(close) OVER ({P}) - 1, 6) AS drawdown FROM bars"
 DAILY = f"WITH {BARS} SELECT symbol, CAST(ts - INTERVAL 18 HOURS AS DATE) AS trading_day, arg_max(close, ts) AS close, count(*) AS n FROM bars GROUP BY ALL"
-TENSOR = f"WITH {BARS}, c AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, list(round(close, 4)) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, ts, CAST(len(l) AS INTEGER) AS steps, l[1] AS oldest, l[32] AS newest FROM c WHERE len(l) = 32"
+TENSOR = f"WITH {BARS}, c AS (SELECT symbol, ts, row_number() OVER ({P}) AS rn, list(round(close, 4)) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, ts, CAST(unnest(range(32)) AS INTEGER) AS step, unnest(l) AS close FROM c WHERE len(l) = 32"
 RUNS = f"WITH {BARS}, s AS (SELECT symbol, ts, sign(close - open) AS st FROM bars), tt AS (SELECT *, CASE WHEN st = {lag('st')} THEN 0 ELSE 1 END AS tn FROM s), u AS (SELECT *, sum(tn) OVER ({P}) AS run FROM tt), l AS (SELECT symbol, st, run, count(*) AS n FROM u GROUP BY ALL) SELECT symbol, CAST(st AS INTEGER) AS state, count(*) AS n_runs, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS median FROM l GROUP BY symbol, st"
 
 
 ASOF = """WITH l AS (SELECT event_type AS symbol, ts, event_id FROM events), r AS (SELECT event_type AS symbol, ts, value FROM events WHERE value > 0)
 SELECT l.symbol, l.ts, l.event_id, r.ts AS r_ts, r.value AS r_value FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts > r.ts"""
-INTERVAL = f"""WITH {BARS}, s AS (SELECT symbol, ts AS t0, ts + INTERVAL 40 MINUTES AS t1 FROM bars WHERE minute(ts) = 30) SELECT s.symbol, s.t0, count(*) AS n, round(min(e.value), 6) AS low, round(max(e.value), 6) AS high
+INTERVAL = f"""WITH {BARS}, s AS (SELECT symbol, ts AS t0, ts + INTERVAL 40 MINUTES AS t1 FROM bars) SELECT s.symbol, s.t0, count(*) AS n, round(min(e.value), 6) AS low, round(max(e.value), 6) AS high
 FROM events e JOIN s ON e.event_type = s.symbol AND e.ts >= t0 AND e.ts < t1 GROUP BY ALL"""
 _IMB = "(up - down) / (up + down + 1.0::DOUBLE)"
 GRAMMAR = f"""WITH {BARS}, z AS (SELECT *, ln(close / {lag('close')}) AS r, (high - low) / close AS hl, {_IMB} AS imb, ln(1 + n) AS act FROM bars), y AS (SELECT *, {zs('r', 32)} AS zr, {roll('stddev_samp', 'hl', 16)} AS sd, CASE WHEN count(r) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) = 32 THEN corr(r, act) OVER ({P} ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) END AS co,

@@ -209,7 +209,7 @@ def daily_close(spark, sf_dir):
 @query(oracles.TENSOR)
 def sliding_tensor(spark, sf_dir):
     t = Z.sequences(bars_of(spark, sf_dir), ["close"], 32)
-    return t.select("symbol", "ts", F.size("steps").alias("steps"), F.round(F.col("steps")[0][0], 4).alias("oldest"), F.round(F.col("steps")[31][0], 4).alias("newest"))
+    return t.select("symbol", "ts", F.posexplode("steps").alias("step", "_v")).select("symbol", "ts", "step", F.round(F.col("_v")[0], 4).alias("close"))
 
 
 @query(oracles.RUNS)
@@ -225,7 +225,7 @@ def asof_previous(spark, sf_dir):
 
 @query(oracles.INTERVAL)
 def interval_join(spark, sf_dir):
-    spans = bars_of(spark, sf_dir).where(F.minute("ts") == 30).select("symbol", F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("t1"))
+    spans = bars_of(spark, sf_dir).select("symbol", F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 40 MINUTES")).alias("t1"))
     points = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value")
     hit = J.interval(points, spans, "symbol", "ts", "t0", "t1", 3600)
     return rounded(hit.groupBy("symbol", "t0").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))

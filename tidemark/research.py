@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import oracles as O
 from tidemark.functions import statistics as S
+from tidemark.functions import windows as R
 from tidemark.operators import features as X
 from tidemark.operators import folds, labels
 from tidemark.operators import importance as I
+from tidemark.operators import models as L
 from tidemark.operators import series as Z
 from tidemark.operators import simulate as M
 from tidemark.operators import study as Y
+from tidemark.operators.bars import by_stretch
 from tidemark.plans import grammar as G
 from tidemark.plans.screen import screen
 from tidemark.queries import bars_of, calendar_of, numbered_years, prepared, rounded, scored
@@ -77,11 +80,7 @@ def importance_permutation(spark, sf_dir):
 
 def changes(spark, sf_dir) -> DataFrame:
     """Orders by priority as series of years: log changes against the last orders and the time of year as features, ``y`` if the next order is larger."""
-    w = Window.partitionBy("symbol").orderBy("rn")
-    b = numbered_years(spark, sf_dir)
-    new = {f"d{n}": F.log(F.col("x") / F.lag("x", n).over(w)) for n in (1, 2, 3, 5, 8, 13)}
-    new |= {"month": F.month("ts").cast("double"), "weekday": F.weekday("ts").cast("double"), "y": (F.lead("x").over(w) > F.col("x")).cast("int")}
-    return written(b.withColumns(new).select("symbol", "ts", "rn", *new), "changes")
+    return written(L.examples(numbered_years(spark, sf_dir), (1, 2, 3, 5, 8, 13)), "changes")
 
 
 def gains(kind: str, rounds: int):
@@ -93,6 +92,14 @@ def gains(kind: str, rounds: int):
     return run
 
 
+@query()
+def walk_forward_models(spark, sf_dir):
+    """Logistic regression, support vectors, a perceptron, a forest and boosted trees under the same yearly folds and features."""
+    b = changes(spark, sf_dir)
+    features = [c for c in b.columns if c not in ("symbol", "ts", "rn", "y")]
+    return rounded(L.walk_forward(b, folds.year_folds(b), features, "y", {"logistic": None, "svm": None, "mlp": 20, "forest": 20, "gbt": 5}))
+
+
 QUERIES["importance_gain_gbt"] = gains("gbt", 5)
 QUERIES["importance_gain_forest"] = gains("forest", 20)
 
@@ -149,8 +156,9 @@ SELECT "column" AS name, round(ic_a, 6) AS ic_a, round(ic_b, 6) AS ic_b, n AS n_
 def grammar_screen(spark, sf_dir):
     """The screen of the twelve trees against the return of the next five bars: two halves of eight days, then days, as the tables span a month; the best six."""
     b = G.evaluate(G.base_series(bars_of(spark, sf_dir)), TREES | {"_r": {"op": "r"}})
-    ahead = F.log(F.lead("close", 5).over(Window.partitionBy("symbol").orderBy("ts")) / F.col("close"))
-    values = written(rounded(b.withColumn("y", ahead).select("ts", "y", *TREES), 9), "values")
+    ahead = F.log(F.lead("close", 5).over(R.series("symbol", "chunk")) / F.col("close"))
+    b = by_stretch(b, lambda x: x.withColumn("y", ahead), ahead=5)
+    values = written(rounded(b.select("ts", "y", *TREES), 9), "values")
     return rounded(screen(values, list(TREES), "y", "2024-01-01", "2024-01-09", "2024-01-17", "day", 6, 100))
 
 

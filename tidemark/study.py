@@ -74,10 +74,10 @@ def gate_masking(spark, sf_dir):
     return rounded(Y.gated(trades(spark, sf_dir), F.col("k") % 3 == 0, ["r"])).select("symbol", "ts", "k", "r")
 
 
-@query(f"WITH {DAYS}, i AS (SELECT symbol, day FROM (SELECT DISTINCT symbol FROM d) CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day)) SELECT symbol, day, round(equity, 6) AS equity FROM i LEFT JOIN d USING (symbol, day)")
+@query(f"WITH {DAYS}, i AS (SELECT symbol, day FROM (SELECT DISTINCT symbol FROM d) CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day)) SELECT symbol, day, round(equity, 6) AS equity FROM i LEFT JOIN d USING (symbol, day)")
 def reindexed_days(spark, sf_dir):
     d = days(spark, sf_dir)
-    index = d.select("symbol").distinct().withColumn("day", F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))))
+    index = d.select("symbol").distinct().withColumn("day", F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))))
     return rounded(Y.reindexed(d, index, ["symbol", "day"]), 6)
 
 
@@ -106,9 +106,9 @@ def cost_scenarios(spark, sf_dir):
     return rounded(s.groupBy("symbol", "scenario").agg(F.count("*").alias("n"), F.avg(F.col("r") - F.col("cost")).alias("mean")))
 
 
-@query(f"WITH {TRADES}, f AS (SELECT unnest([1996, 1997, 1998]) AS fold), p AS (SELECT fold, CASE WHEN year(ts) = fold THEN 'test' WHEN ts >= make_date(fold, 1, 1) - INTERVAL 90 DAYS THEN 'validation' ELSE 'train' END AS part, r FROM t JOIN f ON year(ts) <= fold) SELECT fold, part, count(*) AS n, round(sum(r), 6) AS total FROM p GROUP BY ALL")
+@query(f"WITH {TRADES}, f AS (SELECT unnest([1996, 1997, 1998, 1999, 2000, 2001]) AS fold), p AS (SELECT fold, CASE WHEN year(ts) = fold THEN 'test' WHEN ts >= make_date(fold, 1, 1) - INTERVAL 90 DAYS THEN 'validation' ELSE 'train' END AS part, r FROM t JOIN f ON year(ts) <= fold) SELECT fold, part, count(*) AS n, round(sum(r), 6) AS total FROM p GROUP BY ALL")
 def folds_expanding(spark, sf_dir):
-    return rounded(Y.expanding_folds(trades(spark, sf_dir), "ts", 1996, 1998).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("r").alias("total")), 6)
+    return rounded(Y.expanding_folds(trades(spark, sf_dir), "ts", 1996, 2001).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("r").alias("total")), 6)
 
 
 @query(f"WITH {TRADES} SELECT CASE WHEN ts < TIMESTAMP '1997-01-01' THEN 'dev' ELSE 'oos' END AS half, year(ts) % 2 = 0 AS even, count(*) AS n, round(avg(r), 6) AS mean FROM t GROUP BY ALL")
