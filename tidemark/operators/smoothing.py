@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,25 +26,33 @@ def smoothed(rows: DataFrame, specs: dict[str, tuple[str, float, int]], keys: tu
 
 
 def below(values: np.ndarray, n: int) -> np.ndarray:
-    """Share of the n - 1 values before each that are strictly below it; NaN where the last n aren't all there."""
-    out, held, there = np.full(len(values), np.nan), [], 0
-    for i, x in enumerate(values):
-        if i >= n and not np.isnan(values[i - n]):
-            del held[bisect_left(held, values[i - n])]
-            there -= 1
-        if np.isnan(x):
-            continue
-        there += 1
-        if there == n:
-            out[i] = bisect_left(held, x) / (n - 1)
-        insort(held, x)
-    return out
+    """Share of the n - 1 values before each that are strictly below it; NaN where the last n aren't all there.
+
+    Counts for all rows at once: the ranks' bits, from the highest, part the rows stably in two, and each row's frame keeps its
+    two ends in the part that its own rank goes to (a wavelet matrix). As many passes as the ranks have bits.
+    """
+    there = ~np.isnan(values)
+    known = np.unique(values[there])
+    rank = np.where(there, np.searchsorted(known, values), len(known))  # a missing value is below none
+    high = np.arange(len(values))
+    low = np.maximum(high - n + 1, 0)
+    count, left = np.zeros(len(values), dtype=np.int64), rank.copy()
+    for bit in range(int(len(known)).bit_length() - 1, -1, -1):
+        one = (left >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        up = ((rank >> bit) & 1).astype(bool)
+        count += np.where(up, zeros[high] - zeros[low], 0)
+        low, high = (np.where(up, zeros[-1] + x - zeros[x], zeros[x]) for x in (low, high))
+        left = np.concatenate([left[one == 0], left[one == 1]])
+    held = np.concatenate([[0], np.cumsum(there)])
+    at = np.arange(len(values))
+    return np.where((at >= n - 1) & (held[at + 1] - held[np.maximum(at + 1 - n, 0)] == n), count / max(n - 1, 1), np.nan)
 
 
 def ranked(rows: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = ("symbol", "chunk"), order: str = "ts") -> DataFrame:
     """Adds a column for each of ``specs``: name -> (input, n), the share of the n - 1 rows before that are strictly below.
 
-    The last n values are held sorted, so long frames cost a search a row and not a list a row. The halo before a chunk
+    Long frames cost as many passes as a stretch's ranks have bits, see ``below``. The halo before a chunk
     must hold n - 1 rows or more.
     """
     schema = T.StructType(rows.schema.fields + [T.StructField(name, T.DoubleType()) for name in specs])

@@ -88,3 +88,26 @@ def write_bars(bars: DataFrame, path: str) -> None:
 def write_document(row: DataFrame, path: str) -> None:
     """A small result as JSON lines."""
     row.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_indexed(spark: SparkSession, path: str, index: str = "name", kind: str = "string") -> DataFrame:
+    """A CSV whose first column, without a name in the header, is the index: that column as ``index``, all others as doubles."""
+    rows = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    first, *rest = rows.columns
+    return rows.select(F.col(f"`{first}`").cast(kind).alias(index), *(F.col(f"`{c}`").cast("double").alias(c) for c in rest))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV files with a header."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """A report's lines (a string column ``line``) as text files."""
+    lines.select("line").write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """JSON documents that map keys to records, such as years to thresholds: key and the fields of ``value`` (a schema), a row a key; files are read whole."""
+    docs = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("document"))
+    return docs.select(F.explode(F.from_json("document", f"map<string, struct<{value}>>")).alias("key", "_r")).select("key", "_r.*")
