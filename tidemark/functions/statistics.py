@@ -78,7 +78,7 @@ def spearman_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     All columns are ranked in one pass over (column, value) rows; a row's ranks meet again by its number.
     """
     whole = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().withColumn("_row", F.monotonically_increasing_id())
-    r = ranked(melted(written(whole, "whole"), columns, ["_row"]), "value", ["column"])
+    r = ranked(melted(whole, columns, ["_row"]), "value", ["column"])  # only the side that is joined keeps the number
     back = r.groupBy("_row").agg(*(F.max(F.when(F.col("column") == c, F.col("_rank"))).alias(c) for c in columns))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = back.agg(*(F.coalesce(corr(a, b), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))

@@ -53,6 +53,14 @@ def standardised(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], f
     return joined.withColumns({c: F.greatest(F.least(z(c), F.lit(most)), F.lit(-most)) for c in columns}).select(*rows.columns)
 
 
+def imputed(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], fit: Column | None = None) -> DataFrame:
+    """Nulls and NaN of the columns give way to the column's median by key, learned from the rows of ``fit``; where a key has none there, they stay null."""
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    own = rows.where(fit) if fit is not None else rows
+    medians = own.groupBy(*keys).agg(*(F.percentile(known(c), 0.5).alias(f"_m_{c}") for c in columns))
+    return rows.join(medians, list(keys), "left").withColumns({c: F.coalesce(known(c), F.col(f"_m_{c}")) for c in columns}).select(*rows.columns)
+
+
 def gated(rows: DataFrame, gate: Column, columns: Sequence[str]) -> DataFrame:
     """The columns are null where the gate doesn't hold."""
     return rows.withColumns({c: F.when(gate, F.col(c)) for c in columns})
@@ -146,10 +154,20 @@ def curve(days: DataFrame, equity: str, keys: Sequence[str], day: str) -> DataFr
     return s.select(*keys, "days", growth.alias("cagr"), "max_drawdown", (growth / F.nullif(F.abs("max_drawdown"), F.lit(0.0))).alias("mar"))
 
 
-def accepted(tests: DataFrame, p: str, level: float = 0.05) -> DataFrame:
-    """The tests whose p is under the level over the number of tests (Bonferroni)."""
+def judged(tests: DataFrame, p: str, level: float = 0.05, effect: str | None = None, size: float = 0.0, sign: str | None = None) -> DataFrame:
+    """The tests with ``accepted``: p is under the level over the number of tests (Bonferroni), the ``effect`` is at least ``size`` from zero and has the sign of the column ``sign``."""
     n = tests.agg(F.count(p).alias("_n"))  # one row
-    return tests.join(F.broadcast(n)).where(F.col(p) < F.lit(level) / F.col("_n")).drop("_n")
+    fine = F.col(p) < F.lit(level) / F.col("_n")
+    if effect:
+        fine = fine & (F.abs(effect) >= size)
+    if effect and sign:
+        fine = fine & (F.signum(effect) == F.signum(sign))
+    return tests.join(F.broadcast(n)).withColumn("accepted", F.coalesce(fine, F.lit(False))).drop("_n")
+
+
+def accepted(tests: DataFrame, p: str, level: float = 0.05, effect: str | None = None, size: float = 0.0, sign: str | None = None) -> DataFrame:
+    """The tests that ``judged`` accepts."""
+    return judged(tests, p, level, effect, size, sign).where("accepted").drop("accepted")
 
 
 def drift_against(years: DataFrame, drift: str, score: str, keys: Sequence[str]) -> DataFrame:

@@ -268,7 +268,7 @@ def conditioned_returns(spark, sf_dir):
 
 @query()
 def features_all(spark, sf_dir):
-    return X.all_features(bars_of(spark, sf_dir), calendar_of(spark))
+    return rounded(X.all_features(bars_of(spark, sf_dir), calendar_of(spark)))
 
 
 @query()

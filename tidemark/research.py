@@ -269,3 +269,46 @@ def first_touch(spark, sf_dir):
     ticks = ticks_from_events(table(spark, sf_dir, "events")).withColumns({"high": F.col("price"), "low": F.col("price")})
     b = M.attach_minutes(bars_of(spark, sf_dir), ticks)
     return b.select("symbol", "ts", M.first_touched(F.col("minutes"), F.col("open") * 1.01, True, F.col("open") * 0.99, False).alias("first"))
+
+
+_ALL = ", ".join(f"f_{f} AS ({sql})" for f, sql in ((f, O.family_sql()[f"features_{f}"]) for f in X.FAMILIES if f != "lags"))
+_JOINED = " JOIN ".join(f"f_{f}" + (" USING (symbol, ts)" if i else "") for i, f in enumerate(f for f in X.FAMILIES if f != "lags"))
+ORACLES["features_all"] = f"""WITH RECURSIVE {_ALL}, base AS (WITH RECURSIVE {O.SMOOTHED} SELECT symbol, ts, open, high, low, close, round(a14, 6) AS a14, rn FROM b)
+SELECT base.*, {', '.join(c for f, names in X.FAMILIES.items() if f != 'lags' for c in names)}, {', '.join(_LAGS)} FROM base JOIN {_JOINED.replace('f_returns', 'f_returns USING (symbol, ts)', 1)}"""
+
+
+@query(f"""WITH {TRADES}, m AS (SELECT symbol, median(CASE WHEN k % 5 <> 0 THEN r END) AS md FROM t WHERE year(ts) < 1998 GROUP BY symbol) SELECT symbol, ts, k, round(coalesce(CASE WHEN k % 5 <> 0 THEN r END, md), 6) AS r FROM t JOIN m USING (symbol)""")
+def imputed_medians(spark, sf_dir):
+    """Every fifth customer's result taken out and put back as the median of the years before 1998."""
+    t = trades(spark, sf_dir).withColumn("r", F.when(F.col("k") % 5 != 0, F.col("r")))
+    return rounded(Y.imputed(t, ["r"], ["symbol"], F.year("ts") < 1998)).select("symbol", "ts", "k", "r")
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY md5('7:' || event_id), event_id LIMIT 500")
+def seeded_sample_rows(spark, sf_dir):
+    """A sample of 500 events that is the same on every cluster."""
+    return folds.seeded_sample(table(spark, sf_dir, "events").dropna(subset=["value"]).select("event_id", "value"), "event_id", 500)
+
+
+@query(f"SELECT * FROM ({O.FOLDS}) WHERE n_train >= 1200 AND n_test >= 300")
+def folds_gated(spark, sf_dir):
+    """Rolling folds of three years with at least 1,200 training and 300 test rows."""
+    return folds.year_folds(numbered_years(spark, sf_dir), years=3, least_train=1200, least_test=300).select("symbol", "test_year", "test_first", "test_last", "train_first", "train_last", "n_train", "n_test")
+
+
+@query(f"""WITH {TRADES}, y AS (SELECT symbol, year(ts) AS y, avg(r) AS m FROM t GROUP BY ALL), d AS (SELECT symbol, avg(m) FILTER (y < 1997) AS dev FROM y GROUP BY symbol),
+w AS (SELECT symbol, count(m) AS n, avg(m) AS mean, avg(m) / (stddev_samp(m) / sqrt(count(m))) AS t FROM y WHERE y >= 1997 GROUP BY symbol), p AS (SELECT *, {tail('t', 'n - 1')} AS p FROM w)
+SELECT symbol, n, round(mean, 6) AS mean, round(t, 6) AS t, round(p, 6) AS p, p < 0.05 / (SELECT count(*) FROM p) AND abs(mean) >= 1 AND sign(mean) = sign(dev) AS accepted FROM p JOIN d USING (symbol)""")
+def yearly_t_test(spark, sf_dir):
+    """Mean yearly results from 1997 on against zero by priority: accepted after Bonferroni if at least 1 from zero and of the sign of the years before."""
+    y = written(trades(spark, sf_dir).groupBy("symbol", F.year("ts").alias("y")).agg(F.avg("r").alias("m")), "years")
+    dev = y.where("y < 1997").groupBy("symbol").agg(F.avg("m").alias("dev"))
+    tests = S.t_test(y.where("y >= 1997"), "m", ["symbol"]).join(dev, "symbol")
+    return rounded(Y.judged(tests, "p", 0.05, "mean", 1.0, "dev").select("symbol", "n", "mean", "t", "p", "accepted"))
+
+
+@query("SELECT 'order' AS kind, o_custkey AS k, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'customer', c_custkey, count(*) FROM customer GROUP BY ALL")
+def stacked_keys(spark, sf_dir):
+    """Keys of two tables one below the other, repeated ones too."""
+    count = lambda name, kind, k: table(spark, sf_dir, name).groupBy(F.lit(kind).alias("kind"), F.col(k).alias("k")).agg(F.count("*").alias("n"))
+    return count("orders", "order", "o_custkey").unionByName(count("customer", "customer", "c_custkey"))
