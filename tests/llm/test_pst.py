@@ -63,3 +63,14 @@ def test_contexts_below_a_thousandth_of_a_percent_count(spark, monkeypatch):
         got = {r.doc_id: (r.score, r.base_score) for r in pst.scores(df).collect()}
         assert len(got) == len(texts)
         assert got[1000][0] > got[2000][0] + 5  # the known order is far likelier than the same words turned round
+
+
+@pytest.mark.xfail(reason="a frequent word's context is parted by classes, and a bucket's sums are rounded: the model depends on the corpus' size, see README", strict=True)
+def test_scores_do_not_depend_on_the_bucket(spark, monkeypatch):
+    """What an earlier test asserted before the classes came, on the test documents: one model, however many buckets it is grown in."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for bucket in (400_000, 4_000):
+        monkeypatch.setattr(pst, "BUCKET", bucket)
+        found.append({r.doc_id: r.score for r in pst.scores(df).collect()})
+    assert all(abs(found[1][i] - x) < 1e-3 * max(1, abs(x) / 1000) for i, x in found[0].items())
