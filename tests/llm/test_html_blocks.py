@@ -1,3 +1,8 @@
+import re
+
+import pytest
+
+from tidemark.llm import html_blocks
 from tidemark.llm.html_blocks import extract
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>
@@ -80,3 +85,26 @@ def test_labelled_pages(spark):
 def test_a_very_long_page(spark):
     page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
     assert extract(spark.createDataFrame([(1, page)], "page_id int, html string")).first().n_chars == 20_000 * (len(LONG) + 2) - 2
+
+
+TITLE, FIRST, SECOND = "On rivers", "Rivers carry water from the hills down to the sea, and they have done so for a very long time.", "Along the way they turn wheels and move boats."
+WRAPPERS = [
+    '<div class="page-with-sidebar">', '<div class="search-page">', '<div class="menu-page">', '<div class="social-feed">', '<div class="share-wrap">', '<div class="alert-content">', '<div id="share">', '<div class="header-image-layout header">',
+    '<form id="aspnetForm">', "<div>", '<div class="page-with-sidebar"><div id="c">', '<section class="widget-area">', '<form><div class="nav-wrap">',
+]
+BESIDE = [
+    "", '<div class="sidebar"><p>Elsewhere a storm has come and gone without any harm done.</p></div>', '<div class="comments"><p>I liked this piece a lot, thank you for it.</p></div>', "<footer><p>Copyright 2024 by the people of the river and others.</p></footer>",
+    '<div class="menu"><a href="a">One</a> <a href="b">Two</a></div>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("beside", BESIDE)
+def test_wrappers_with_telling_names_hold_the_page(wrapper, beside):
+    """Pages without article or main: what holds most of the words and the title is the page, whatever it is called; what stands beside it, or in it, isn't."""
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", wrapper)))
+    main = f"<h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p>"
+    for page in (f"<body><nav><a href=x>Home</a></nav>{wrapper}{main}{ends}{beside}</body>", f"<body>{beside}{wrapper}{main}{ends}</body>", f"<body>{wrapper}{main}{beside}{ends}</body>"):
+        texts, x = html_blocks.blocks(page)
+        keep = html_blocks.decide(html_blocks.trained(), x)
+        assert [t for t, k in zip(texts, keep, strict=True) if k] == [TITLE, FIRST, SECOND], page

@@ -107,6 +107,8 @@ _TOLD = re.compile(
     r"footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|skip|copyright|complementary|contentinfo|navigation|search)(?:$|[\s_-])",
     re.I,
 )
+#: Share of a page's unlinked words that what holds the article has at least.
+MOST_WORDS = 0.5
 _OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _INSIDE = frozenset("article main".split())
 #: Elements that stand beside an article unless they hold it.
@@ -124,11 +126,12 @@ _HOLD = _OUTSIDE | _INSIDE | frozenset("div section ul ol dl table blockquote fi
 class Node:
     """An element that holds blocks: whether it or one around it stands beside the article, and whether it holds the article or its title."""
 
-    __slots__ = ("name", "parent", "place", "named", "hidden", "article", "title")
+    __slots__ = ("name", "parent", "place", "named", "hidden", "article", "title", "words")
 
     def __init__(self, name: str, parent: Node | None, place: int, named: bool, hidden: bool = False):
         self.name, self.parent, self.place, self.named, self.hidden = name, parent, place, named, hidden or (parent is not None and parent.hidden)
         self.article = self.title = False
+        self.words = 0.0
 
     def up(self) -> Iterator[Node]:
         """The element and those around it."""
@@ -140,7 +143,7 @@ class Node:
     def says(self) -> tuple[int, bool]:
         """place and named of the blocks in it.
 
-        Names of what holds the article say what stands beside it, not what it is, and a form can hold a whole page;
+        Names of what holds the article (marked, or told by ``weigh``) say what stands beside it, not what it is, and a form can hold a whole page;
         inside the article, neither do names of what holds its title.
         """
         place, named = 0, False
@@ -243,6 +246,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     close()
     x = np.zeros((len(rows), len(FEATURES)))
     if rows:
+        if not inside:
+            weigh(rows, homes)
         known: dict[int, tuple[int, bool]] = {}
         for row, home in zip(rows, homes, strict=True):
             if home is not None:
@@ -255,6 +260,23 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     return texts, x
 
 
+def weigh(rows: list, homes: list[Node | None]) -> None:
+    """On a page that marks no article: what holds its title and most of its unlinked words holds the article, whatever its name.
+
+    A sidebar, a thread of comments or a footer doesn't hold the title. A page without one is left as its names say.
+    """
+    for (n, linked, *_), home in zip(rows, homes, strict=True):
+        for node in home.up() if home is not None else ():
+            node.words += n * (1 - linked)
+    total = sum(n * (1 - linked) for n, linked, *_ in rows)
+    nodes = {id(x): x for home in homes if home is not None for x in home.up()}.values()
+    for x in nodes:
+        x.article = x.title and x.words >= MOST_WORDS * total > 0 and x.name not in _OUTSIDE - _FORMS
+    holders = [x for x in nodes if x.article and x.name not in _WHOLE]
+    if holders:  # the innermost is the article's element
+        max(holders, key=lambda x: len([*x.up()])).place = 1
+
+
 def speaks(attributes: str) -> bool:
     """Whether a class, id or role names something that isn't main text."""
     return "=" in attributes and any(_TOLD.search(m[1] or m[2] or m[3] or "") for m in _NAMES.finditer(attributes))
