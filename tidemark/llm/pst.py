@@ -2,40 +2,39 @@
 
 A text is a sequence of words and one end. Contexts are the last 0 to DEPTH words of the text. A context lists the next
 words that follow it at least LEAST times in the training texts, a count that doesn't depend on the size of the corpus, so
-the tree grows with it. A context that lists words is retained if it is one word, or if its next-word distribution
-diverges from its parent's (the context without its first word) by DIVERGENCE nats or more; so are the parents of retained
-ones. Distributions are smoothed by absolute discounting: listed words have their discounted share, and what is left goes
-to the parent's distribution. The root has the discounted counts of all training words, and the discounts' sum is the
-probability of an unknown word, one symbol as in the add-one score. Scoring takes the longest retained suffix of what
-stands before a word. All probabilities after a context sum to one.
-
-The tree is never in one place. Every token goes with the DEPTH words before it to the bucket of the word before it, where
-all contexts that end with that word are counted, tested and read. A word of more than BUCKET tokens has several buckets:
-its context of one word is told apart by a class of the word before it, so that each class has about BUCKET tokens. What
-is found goes back to the token's text, a text's sum from each bucket rounded to 13 bits. In contexts, words that aren't
-broadcast are told apart by 30 bits of their hashes.
+the tree grows with it. Distributions are smoothed by absolute discounting: listed words have their discounted share, and
+what is left goes to the distribution of the parent (the context without its first word). A context that lists words is a
+state if it is one word, or if its shares diverge from its parent's by DIVERGENCE nats or more; the test takes both before
+the root's part is added, which is one symbol of it with all else that isn't listed. The root has the discounted counts of
+all training words, and the discounts' sum is the probability of an unknown word, one symbol as in the add-one score.
+Scoring takes the longest suffix of what stands before a word that is a state. All probabilities after a context sum to one.
+
+The tree is never in one place. Every token goes with the DEPTH words before it to a bucket, where all contexts that end
+with the same words are counted, tested and read. A context of more than half a BUCKET of tokens is hot: its next words
+are counted as rows, with a combiner before the shuffle, and joined to the buckets that ask for them; its tokens are dealt
+by the longer contexts. So the tree is the same for any BUCKET and for any number of words broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import CHUNK_BYTES, lower_ascii, materialise, mix, prefix_hash, require, span_hash, text_chunks, word_spans
 
 #: Longest context in words.
-DEPTH = 3
+DEPTH = 4
 #: Times that a context must be followed by a word to list it; nats between a context and its parent.
 LEAST, DIVERGENCE = 2, 0.01
-#: Training tokens that a bucket has about; a word of more tokens has several classes of the word before it, and a bucket for each.
+#: Tokens that a bucket has about; contexts of more than half of them are hot.
 BUCKET = 400_000
-#: Codes of the end, of the place before a text's first word, and the bit of words that aren't broadcast.
+#: Codes of the end, of the place before a text's first word or of a word that no context can list, and the bit of words that aren't broadcast.
 END_CODE, NONE, FAR = 1 << 61, (1 << 61) + 1, 1 << 63
 #: Most words that are broadcast with their counts, the most frequent ones; the others' counts are joined.
 BROADCAST = 2_000_000
@@ -128,57 +127,100 @@ def befores(codes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def shares(before: list[np.ndarray], code: np.ndarray, train: np.ndarray, root: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: its listed share after its longest retained context, and the factor of its root share.
+def context_key(shorter: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of a context that has one more word before a shorter one (0 for the empty context)."""
+    return mix(shorter * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(1)))
+
+
+def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of a hot context's number and a next word."""
+    return mix(mix(word + np.uint64(3)) + ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Hot:
+    """The hot contexts: sorted keys and their numbers; by number, the parent's number (-1: root) and the length."""
+
+    def __init__(self) -> None:
+        self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.parent, self.depth = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, keys: np.ndarray, parent: np.ndarray, depth: int) -> None:
+        numbers = np.append(self.numbers, len(self.parent) + np.arange(len(keys)))
+        every = np.append(self.keys, keys)
+        order = np.argsort(every)
+        self.keys, self.numbers = every[order], numbers[order]
+        self.parent, self.depth = np.append(self.parent, parent), np.append(self.depth, np.full(len(keys), depth))
+
+    def longest(self, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: length and number of its longest hot context (0 and -1: none), and the key of the context one word longer (0: there is none)."""
+        n = len(before[0])
+        depth, ctx, longer = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.uint64)
+        i, key = np.arange(n), np.zeros(n, dtype=np.uint64)
+        for d in range(1, DEPTH + 1):
+            w = before[d - 1][i]
+            i, key, w = i[w != np.uint64(NONE)], key[w != np.uint64(NONE)], w[w != np.uint64(NONE)]
+            key = context_key(key, w)
+            at, there = find(self.keys, key)
+            longer[i] = np.where(there, np.uint64(0), key)
+            i, key, at = i[there], key[there], at[there]
+            depth[i], ctx[i] = d, self.numbers[at]
+        return depth, ctx, longer
+
+    def lines(self) -> pa.Table:
+        """Each hot context (deep) with itself and its hot suffixes (ctx)."""
+        deep, ctx = [np.arange(len(self.parent))], [np.arange(len(self.parent))]
+        while (ctx[-1] >= 0).any():
+            up = self.parent[ctx[-1]]
+            deep.append(deep[-1][up >= 0])
+            ctx.append(up[up >= 0])
+            if not len(ctx[-1]):
+                break
+        return pa.table({"deep": np.concatenate(deep), "ctx": np.concatenate(ctx)})
+
+
+def shares(before: list[np.ndarray], code: np.ndarray, train: np.ndarray, discount: float, hot: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: its listed share after its longest state, and the factor of its root share.
 
     The tokens are all those after the contexts that end with the same words; those of ``train`` are learned from.
+    hot: for each token, length and number of its longest hot context, its listed share and factor there, and those of the longest state up to there.
     """
     _, ids = np.unique(np.concatenate([code, *before]), return_inverse=True)
     base = int(ids.max()) + 1 if len(ids) else 1
     x, *w = ids.astype(np.int32).reshape(DEPTH + 1, len(code))
     del ids
-    ctx, share = np.zeros(len(code), dtype=np.int64), root
-    active = np.arange(len(code))
-    listed, factor = [np.zeros(len(code))], [np.ones(len(code))]
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # tokens, their contexts, retained, parents
+    n_ = len(code)
+    length, ctx, listed, factor, out, rest_ = hot or (np.zeros(n_, dtype=np.int64), np.full(n_, -1), np.zeros(n_), np.ones(n_), np.zeros(n_), np.ones(n_))
+    listed, factor, out, rest_ = listed.copy(), factor.copy(), out.copy(), rest_.copy()
+    above = int(ctx.max()) + 2 if n_ else 1  # numbers of hot contexts and the root come before those of this place
+    ctx = ctx.astype(np.int64) + 1
+    active = np.zeros(0, dtype=np.int64)
     for d in range(1, DEPTH + 1):
+        active = np.concatenate([active, np.flatnonzero(length == d - 1)])
         active = active[before[d - 1][active] != np.uint64(NONE)]
-        _, rep, own = np.unique(ctx[active] * base + w[d - 1][active].astype(np.int64), return_index=True, return_inverse=True)
-        parent = ctx[active][rep]
-        seen = np.bincount(own, train[active], len(rep))
+        _, own = np.unique(ctx[active] * base + w[d - 1][active].astype(np.int64), return_inverse=True)
+        seen = np.bincount(own, train[active])
         fine = seen >= LEAST
         new = np.cumsum(fine) - 1
         active, own = active[fine[own]], new[own[fine[own]]]
-        parent, seen = parent[fine], seen[fine]
+        seen = seen[fine]
         _, pick, gram = np.unique(own * base + x[active], return_index=True, return_inverse=True)
         n = np.bincount(gram, train[active], len(pick))
-        holder = own[pick]
-        p = np.where(n >= LEAST, (n - discount) / np.maximum(seen[holder], 1), 0.0)
-        total = np.bincount(holder, p, len(seen))
-        left = 1 - total
-        below = share[active]
+        holder, some = own[pick], n >= LEAST
+        p = np.where(some, (n - discount) / np.maximum(seen[holder], 1), 0.0)
+        kinds = np.bincount(holder, some, len(seen))
+        left = 1 - (np.bincount(holder, n * some, len(seen)) - discount * kinds) / np.maximum(seen, 1)
+        below = listed[active]
         here = p[gram] + left[own] * below
-        some = n >= LEAST
-        q, r, of = here[pick][some], below[pick][some], holder[some]
-        rest, other = (np.maximum(1 - np.bincount(of, v, len(seen)), 1e-12) for v in (q, r))
-        apart = np.bincount(of, q * np.log(q / r), len(seen)) + rest * np.log(rest / other)
-        keep = (total > 0) & ((apart >= DIVERGENCE) | (d == 1))
-        levels.append((active, own, keep, parent))
-        mine, my = listed[-1].copy(), factor[-1].copy()
-        mine[active], my[active] = p[gram] + left[own] * mine[active], left[own] * my[active]
-        listed.append(mine)
-        factor.append(my)
-        share = share.copy()
-        share[active] = here
-        ctx[active] = own
-    out, rest = listed[0].copy(), factor[0].copy()
-    for d in range(DEPTH, 1, -1):
-        up = levels[d - 2][2]
-        up[levels[d - 1][3][levels[d - 1][2]]] = True
-    for d, (active, own, keep, _) in enumerate(levels, 1):
+        keep = kinds > 0
+        if d > 1:
+            q, r, of = here[pick][some], below[pick][some], holder[some]
+            rest, other = (np.maximum(1 - np.bincount(of, v, len(seen)), 1e-12) for v in (q, r))
+            keep &= np.bincount(of, q * np.log(q / r), len(seen)) + rest * np.log(rest / other) >= DIVERGENCE
+        listed[active], factor[active] = here, left[own] * factor[active]
         of = active[keep[own]]
-        out[of], rest[of] = listed[d][of], factor[d][of]
-    return out, rest
+        out[of], rest_[of] = listed[of], factor[of]
+        ctx[active] = above + own
+    return out, rest_
 
 
 class Tree:
@@ -189,14 +231,12 @@ class Tree:
         self.root = (counts - discount) / max(total, 1)
 
     def shares_of(self, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token (number among ``common``, -1 for others): its listed share after its longest retained context, and the factor of its root share."""
+        """For each token (number among ``common``, -1 for others): its listed share after its longest state, and the factor of its root share."""
         k = len(number)
         codes = np.where(number >= 0, number, FAR).astype(np.uint64)
         both = [np.concatenate(c) for c in zip(befores(self.codes, self.place), befores(codes, place), strict=True)]
         every = np.concatenate([self.codes, codes])
-        train = np.arange(len(every)) < len(self.codes)
-        root = np.where(every < len(self.common), self.root[np.minimum(every, len(self.common) - 1).astype(np.int64)], 1e-9)
-        listed, factor = shares(both, every, train, root, self.discount)
+        listed, factor = shares(both, every, np.arange(len(every)) < len(self.codes), self.discount)
         return listed[-k:], factor[-k:]
 
 
@@ -243,39 +283,34 @@ def unpacked(size: int, blob: bytes, kinds: list[type]) -> list[np.ndarray]:
 
 #: Arrays of what a text chunk asks a bucket (numbers, text, learned from, hashes of words that aren't broadcast), and of the answer.
 ASKED = [np.int32] * (DEPTH + 1) + [np.int32, np.uint8, np.uint64]
-TOLD = [np.int32, np.float32, np.int32, np.uint64, np.float32, np.float32]
+TOLD = [np.int32, np.float64, np.int32, np.uint64, np.float64, np.float64]
 
 
 def asked(columns: list[np.ndarray], doc: np.ndarray, train: np.ndarray) -> tuple[int, bytes]:
     """What a chunk asks a bucket: the tokens' codes and those of the words before them."""
-    small = []
+    small, hashes = [], []
     for c in columns:
         far = (c & np.uint64(FAR)) != 0
         low = (c & np.uint64(0x3FFFFFFF)).astype(np.int32)
-        small.append(np.where(far, -3 - low, np.where(c == np.uint64(END_CODE), -1, np.where(c == np.uint64(NONE), -2, low))).astype(np.int32))
-    own = columns[0]
-    return packed([*small, np.diff(doc, prepend=0).astype(np.int32), train.astype(np.uint8), own[(own & np.uint64(FAR)) != 0]])
+        small.append(np.where(far, -3, np.where(c == np.uint64(END_CODE), -1, np.where(c == np.uint64(NONE), -2, low))).astype(np.int32))
+        hashes.append(c[far])
+    return packed([*small, np.diff(doc, prepend=0).astype(np.int32), train.astype(np.uint8), np.concatenate(hashes)])
 
 
 def read_asked(size: int, blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Columns of codes, texts and whether they are learned from."""
     *small, doc, train, far = unpacked(size, blob, ASKED)
-    columns = []
+    columns, at = [], 0
     for c in small:
         own = c.astype(np.int64).astype(np.uint64)
         own[c == -1], own[c == -2] = np.uint64(END_CODE), np.uint64(NONE)
-        own[c <= -3] = (-3 - c[c <= -3].astype(np.int64)).astype(np.uint64) | np.uint64(FAR)
+        k = int((c == -3).sum())
+        own[c == -3] = far[at : at + k]
+        at += k
         columns.append(own)
-    columns[0][small[0] <= -3] = far
     return columns, np.cumsum(doc), train.astype(bool)
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """x as 32-bit floats of 13 bits, the nearest ones."""
-    bits = x.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(0x400)) & np.uint32(0xFFFFF800)).view(np.float32)
-
-
 def least_count(words: DataFrame, most: int) -> int:
     """The smallest count of a grid that at most ``most`` words reach; words that no context can list aren't broadcast."""
     grid = sorted({max(LEAST, int(1.25**k)) for k in range(150)})
@@ -283,10 +318,80 @@ def least_count(words: DataFrame, most: int) -> int:
     return next((t for t, n in zip(grid, reach, strict=True) if n <= most), grid[-1])
 
 
+def hot_contexts(rows: DataFrame, first: np.ndarray, half: int, tokens: Callable) -> Hot:
+    """The contexts that more than ``half`` tokens stand after, those of one word given: fewer than tokens / half of each length."""
+    hot = Hot()
+    hot.add(context_key(np.zeros(len(first), dtype=np.uint64), first), np.full(len(first), -1), 1)
+    for d in range(2, DEPTH + 1):
+        if not (hot.depth == d - 1).any():
+            break
+        shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+        def run(batches: Iterator[pa.RecordBatch], d=d, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in tokens(batch):
+                    depth, ctx, longer = shared.value.longest(part.before)
+                    i = np.flatnonzero((depth == d - 1) & (longer != 0))
+                    keys, pick, n = np.unique(longer[i], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ctx[i][pick]), pa.array(n)], ["key", "parent", "n"])
+
+        got = rows.mapInArrow(run, "key long, parent long, n long").groupBy("key", "parent").agg(F.sum("n").alias("n")).where(F.col("n") > half).orderBy("key").toArrow()
+        hot.add(got.column("key").to_numpy().astype(np.uint64), got.column("parent").to_numpy(), d)
+    return hot
+
+
+def hot_shares(spark: SparkSession, needs: DataFrame, hot: Hot, discount: float) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """For the hot contexts: rows (bucket, ctx, x, listed, state_listed) for all that is asked, and by number the root's factor, there and at the longest state up to there.
+
+    needs: bucket, deep (number of a token's longest hot context), x (its code) and n (training tokens).
+    """
+    grams = materialise(needs.groupBy("deep", "x").agg(F.sum("n").alias("n")).join(spark.createDataFrame(hot.lines()), "deep").groupBy("ctx", "x").agg(F.sum("n").alias("n")), "grams")
+    some = F.col("n") >= LEAST
+    got = grams.groupBy("ctx").agg(F.sum("n").alias("seen"), F.sum(F.when(some, F.col("n")).otherwise(0)).alias("sum"), F.count_if(some).alias("kinds")).toArrow()  # a row a hot context
+    at = got.column("ctx").to_numpy()
+    seen, total, kinds = (np.zeros(len(hot.parent), dtype=np.int64) for _ in range(3))
+    seen[at], total[at], kinds[at] = (got.column(c).to_numpy() for c in ("seen", "sum", "kinds"))
+    left = 1 - (total - discount * kinds) / np.maximum(seen, 1)
+    facts = spark.createDataFrame(pa.table({"ctx": np.arange(len(left)), "parent": hot.parent, "depth": hot.depth, "seen": np.maximum(seen, 1), "left": left}))
+    factor, state_factor = left.copy(), np.where(kinds > 0, left, 1.0)
+    levels = []
+    for d in range(1, int(hot.depth.max()) + 1):
+        own = grams.join(facts.where(F.col("depth") == d), "ctx")
+        p = F.when(some, (F.col("n") - discount) / F.col("seen")).otherwise(0.0)
+        if d == 1:
+            levels.append(own.select("ctx", "x", p.alias("listed"), p.alias("state_listed")))
+            continue
+        below = levels[-1].select(F.col("ctx").alias("parent"), "x", F.col("listed").alias("below"), F.col("state_listed").alias("state_below"))
+        here = own.join(below, ["parent", "x"]).select("ctx", "x", "n", (p + F.col("left") * F.col("below")).alias("listed"), "below", "state_below")
+        got = here.where(some).groupBy("ctx").agg(F.sum(F.col("listed") * F.log(F.col("listed") / F.col("below"))).alias("a"), F.sum("listed").alias("q"), F.sum("below").alias("r")).toArrow()
+        at = got.column("ctx").to_numpy()
+        rest, other = (np.maximum(1 - got.column(c).to_numpy(), 1e-12) for c in ("q", "r"))
+        keep = np.zeros(len(left), dtype=bool)
+        keep[at] = got.column("a").to_numpy() + rest * np.log(rest / other) >= DIVERGENCE
+        mine = np.flatnonzero(hot.depth == d)
+        factor[mine] *= factor[hot.parent[mine]]
+        state_factor[mine] = np.where(keep[mine], factor[mine], state_factor[hot.parent[mine]])
+        kept = spark.createDataFrame(pa.table({"ctx": mine, "keep": keep[mine]}))
+        levels.append(here.join(kept, "ctx").select("ctx", "x", "listed", F.when(F.col("keep"), F.col("listed")).otherwise(F.col("state_below")).alias("state_listed")))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionAll(level)
+    return needs.join(every.withColumnRenamed("ctx", "deep"), ["deep", "x"]).select("bucket", F.col("deep").alias("ctx"), "x", "listed", "state_listed"), factor, state_factor
+
+
+class Tokens:
+    """The tokens of a stretch of a batch's rows lo..hi, with the codes of the words before each."""
+
+    def __init__(self, lo: int, hi: int, first: np.ndarray, codes: np.ndarray, place: np.ndarray, doc: np.ndarray, far_listed: bool):
+        self.lo, self.hi, self.first, self.codes, self.place, self.doc = lo, hi, first, codes, place, doc
+        context = codes if far_listed else np.where((codes & np.uint64(FAR)) != 0, np.uint64(NONE), codes)
+        self.before = befores(context, place)
+
+
 def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = BROADCAST) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``most``: words that are broadcast at most, which changes the plan, not the result. Learns from the whole texts whose crc32(doc_id as text) mod ``fold`` is not ``left_out``; rows with a null doc_id are
+    ``most``: words that are broadcast at most, which changes the plan, not the result. 64-bit hashes stand for words and contexts. Learns from the whole texts whose crc32(doc_id as text) mod ``fold`` is not ``left_out``; rows with a null doc_id are
     not held out and are learned from. Null and empty texts are one end. Without training texts every token is unknown,
     with probability one. Repeated rows are texts of their own. Other columns are ignored.
     """
@@ -311,26 +416,51 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
     head_c = head_c[order]  # by number
     end_number = number[find(head_h, np.array([end_hash()], dtype=np.uint64))[0]] if end_count >= least else None
     buckets = max(1, -(-n // BUCKET))
-    hot = np.flatnonzero(head_c * buckets > n)  # fewer than there are buckets
-    hot = hot[~np.isin(hot, end_number)] if end_number is not None else hot
-    split = np.maximum(1, -(-2 * head_c[hot] * buckets // max(n, 1)))
-    begin = buckets + np.cumsum(split) - split
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((head_h, number, head_c, hot, split, begin))
+    shared = spark.sparkContext.broadcast((head_h, number, head_c))
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[Tokens]:
+        for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
+            _, _, _, h, first = hashed_words(data, offsets)
+            yield Tokens(lo, hi, first, *coded(h, first, *shared.value[:2]), least > LEAST)
+
+    def dealt(part: Tokens, depth: np.ndarray, longer: np.ndarray) -> np.ndarray:
+        """Bucket of each token: by its shortest context that isn't hot, or by itself."""
+        return (mix(np.where(longer != 0, longer, mix(part.codes + np.uint64(7)))) % np.uint64(buckets)).astype(np.int64)
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens(batch):
+                depth, ctx, longer = tree.value.longest(part.before)
+                i = np.flatnonzero(depth > 0)
+                train = ~batch.column("held_out").slice(part.lo, part.hi - part.lo).to_numpy(zero_copy_only=False).astype(bool)
+                bucket = dealt(part, depth, longer)[i]
+                _, pick, own = np.unique(pair_key(ctx[i], part.codes[i]) + mix(bucket.astype(np.uint64)), return_index=True, return_inverse=True)
+                n_train = np.bincount(own, train[part.doc[i]], len(pick)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[pick]), pa.array(ctx[i][pick]), pa.array(part.codes[i][pick].astype(np.int64)), pa.array(n_train)], ["bucket", "deep", "x", "n"])
+
+    over = words.where((F.col("c") > BUCKET // 2) & (F.col("h") != int(np.uint64(end_hash()).astype(np.int64)))).select("h").toArrow().column("h").to_numpy().astype(np.uint64)  # fewer than 2 * buckets
+    at, there = find(head_h, np.sort(over))
+    hot = hot_contexts(rows, np.where(there, number[at].astype(np.uint64), np.sort(over) | np.uint64(FAR)) if len(head_h) else np.sort(over) | np.uint64(FAR), BUCKET // 2, tokens)
+    tree = spark.sparkContext.broadcast(hot)
+    if len(hot.parent):
+        needs = materialise(rows.mapInArrow(need, "bucket long, deep long, x long, n long").groupBy("bucket", "deep", "x").agg(F.sum("n").alias("n")), "needs")
+        known, factor, state_factor = hot_shares(spark, needs, hot, discount)
+    else:
+        known, factor, state_factor = spark.createDataFrame([], "bucket long, ctx long, x long, listed double, state_listed double"), np.zeros(0), np.zeros(0)
+    factors = spark.sparkContext.broadcast((factor, state_factor))
     log_all = math.log10(n + v + 1)
 
     def root_share(c):
         return np.where(c > 0, (c - discount) / max(n, 1), unknown)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number, counts, hot, split, begin = shared.value
+        counts = shared.value[2]
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
-                docs = hi - lo
-                _, _, _, h, first = hashed_words(data, offsets)
-                codes, place, doc = coded(h, first, known, number)
-                before = befores(codes, place)
+            for part in tokens(batch):
+                lo, docs = part.lo, part.hi - part.lo
+                first, codes, place, doc, before = part.first, part.codes, part.place, part.doc, part.before
                 end, far = codes == np.uint64(END_CODE), (codes & np.uint64(FAR)) != 0
                 c = np.full(len(codes), end_count, dtype=np.int64)
                 c[~end & ~far] = counts[codes[~end & ~far].astype(np.int64)]
@@ -345,10 +475,8 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
                 with pa.ipc.new_stream(sink, home.schema) as out:
                     out.write_batch(home)
                 rest = np.flatnonzero(~start)
-                bucket = (mix(before[0][rest]) % np.uint64(buckets)).astype(np.int64)
-                at, there = find(hot.astype(np.uint64), before[0][rest])
-                at = at[there]
-                bucket[there] = begin[at] + (mix(before[1][rest][there] + np.uint64(1)) % split[at].astype(np.uint64)).astype(np.int64)
+                depth, _, longer = tree.value.longest(before)
+                bucket = dealt(part, depth, longer)[rest]
                 by = np.argsort(bucket, kind="stable")
                 rest, bucket = rest[by], bucket[by]
                 train = ~held.to_numpy(zero_copy_only=False).astype(bool)
@@ -363,8 +491,10 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
                 )
                 row += docs
 
-    def tell(group: pa.Table) -> pa.Table:
+    def tell(group: pa.Table, hot_rows: pa.Table) -> pa.Table:
         counts = shared.value[2]
+        if not group.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         bucket = group.column("bucket")[0].as_py()
         out = group.select(["chunk", "size", "blob"])
         if bucket < 0:
@@ -375,8 +505,19 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
         end, far = code == np.uint64(END_CODE), (code & np.uint64(FAR)) != 0
         c = np.full(len(code), end_count, dtype=np.int64)
         c[~end & ~far] = counts[code[~end & ~far].astype(np.int64)]
-        # the divergence test takes the most that it can be for the root share of a word that isn't broadcast
-        listed, factor = shares(columns[1:], code, np.concatenate([p[2] for p in parts]), np.where(far, least / max(n, 1), root_share(c)), discount)
+        depth, ctx, _ = tree.value.longest(columns[1:])
+        listed, state_listed, factor, state_factor = np.zeros(len(code)), np.zeros(len(code)), np.ones(len(code)), np.ones(len(code))
+        i = np.flatnonzero(depth > 0)
+        if len(i):
+            keys = pair_key(hot_rows.column("ctx").to_numpy(), hot_rows.column("x").to_numpy().astype(np.uint64))
+            order = np.argsort(keys)
+            at, there = find(keys[order], pair_key(ctx[i], code[i]))
+            if not there.all():
+                raise ValueError("shares of a hot context are missing")
+            at = order[at]
+            listed[i], state_listed[i] = hot_rows.column("listed").to_numpy()[at], hot_rows.column("state_listed").to_numpy()[at]
+            factor[i], state_factor[i] = (f[ctx[i]] for f in factors.value)
+        listed, factor = shares(columns[1:], code, np.concatenate([p[2] for p in parts]), discount, (depth, ctx, listed, factor, state_listed, state_factor))
         at, told = 0, []
         for _, doc, _ in parts:
             own = slice(at, at + len(doc))
@@ -385,7 +526,7 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
             score = np.log10(li[~f] + fa[~f] * root_share(c[own][~f]))
             new = np.flatnonzero(np.diff(doc[~f], prepend=-1))
             total = np.add.reduceat(score, new) if len(new) else np.zeros(0)
-            told.append(packed([np.diff(doc[~f][new], prepend=0).astype(np.int32), rounded(total), np.diff(doc[f], prepend=0).astype(np.int32), code[own][f], li[f].astype(np.float32), fa[f].astype(np.float32)]))
+            told.append(packed([np.diff(doc[~f][new], prepend=0).astype(np.int32), total.astype(np.float64), np.diff(doc[f], prepend=0).astype(np.int32), code[own][f], li[f], fa[f]]))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "size": pa.array([t[0] for t in told], pa.int64()), "blob": pa.array([t[1] for t in told], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
@@ -416,7 +557,7 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
         return pa.table(cols)
 
     requests = rows.mapInArrow(ask, "bucket long, chunk long, size long, blob binary")
-    answers = requests.groupBy("bucket").applyInArrow(tell, "chunk long, size long, blob binary")
+    answers = requests.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tell, "chunk long, size long, blob binary")
     parts = answers.groupBy("chunk").applyInArrow(gather, "row long, h long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, listed double, factor double")
     # a word's hash is told apart by its lower 63 bits
     tail = words.where(F.col("c") < least).select(F.col("h").bitwiseOR(F.lit(-(1 << 63))).alias("w_h"), "c")
