@@ -48,13 +48,14 @@ def test_toxic_passage_after_many_words_is_learned(spark):
     assert got["vile zorg brute scum"] > 0.7 > 0.5 > got["fine calm kind soul"]
 
 
-def test_words_that_are_toxic_only_together(spark):
+@pytest.mark.parametrize("length", [(8, 20), (40, 40), (100, 100), (200, 200)])
+def test_words_that_are_toxic_only_together(spark, length):
     """Both words are as frequent in either class: a linear score can't tell the classes, the factors do."""
     r = random.Random(8)
     filler = [f"w{i}" for i in range(300)]
 
     def text(*said):
-        words = [r.choice(filler) for _ in range(r.randint(8, 20))]
+        words = [r.choice(filler) for _ in range(r.randint(*length))]
         for w in said:
             words.insert(r.randrange(len(words) + 1), w)
         return " ".join(words)

@@ -4,8 +4,8 @@ A text is cut into overlapping windows of words. Each word gives hashed terms: t
 logit is bias + sum of term weights + sum of the dot products of the factors of every two terms, and the text's score is
 that of its strongest window, so a long text isn't diluted. Labels mark texts, not windows: training starts from
 smoothed log-odds of the terms that stand out and then, over and over, takes each text's strongest window as its example.
-Pairs of words that come with errors of the weights alone have factors, whether their words stand out or not: words that
-are harmless apart are found together. Words over WINDOW words apart never meet, nor do some that are over half of it apart.
+The bias is centred before pairs are looked for, in all words of the training texts. Pairs of words that come with errors
+of the weights alone have factors, whether their words stand out or not: words that are harmless apart are found together. Words over WINDOW words apart never meet, nor do some that are over half of it apart.
 """
 
 from __future__ import annotations
@@ -14,27 +14,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, materialise, prefix_hash, require, span_hash, text_chunks
+from tidemark.llm.common import lower_ascii, materialise, mix, prefix_hash, require, span_hash, text_chunks
 
 #: Hashed terms, factors of each, bytes of the prefixes that are terms too.
 TERMS, FACTORS, PREFIXES = 1 << 17, 4, (4, 6)
 #: Words of a window; windows start at every half of it.
-WINDOW = 48
+WINDOW = 256
 #: Labelled texts of each class that training takes at most (those with the smallest hash of doc_id), whole.
 SAMPLE = 4000
 #: Words that one step of training or scoring takes at a time.
 STEP = 200_000
 #: Times that the strongest windows are taken to learn weights, their step, decay, pseudo-counts, and standard errors by which a term stands out.
 EPOCHS, RATE, DECAY, SMOOTH, LEAST = 10, 0.08, 1e-4, 2.0, 3.0
-#: Times that they are taken to learn factors, gradient steps after each, their size, largest change and decay, and the deviation of the first factors.
-ROUNDS, STEPS, STEP_SIZE, LARGEST, SHRINK, SPREAD = 4, 20, 8.0, 0.2, 1e-3, 0.1
-#: Texts that a pair is in at least, standard errors by which its texts' labels differ from the scores, and pairs that have factors at most, the clearest ones.
-TEXTS, CLEAR, PAIRS = 5, 5.0, 20_000
-#: Parts of all pairs, of which one is counted at a time.
-PARTS = 8
+#: Times that they are taken to learn factors, gradient steps after each, their size and decay, and the deviation of the first factors.
+ROUNDS, STEPS, STEP_SIZE, SHRINK, SPREAD = 3, 80, 0.15, 1e-4, 0.1
+#: Texts that a pair is in at least, standard errors by which its texts' labels differ from the scores, and those by which a cell of hashed pairs is looked into.
+TEXTS, CLEAR, LOOK = 5, 5.0, 3.0
+#: Cells that pairs are hashed to, ranges of them that are summed at a time, tasks that fill cells, and words of a text whose pairs are made at a time.
+CELLS, RANGES, FILLERS, BLOCK = 1 << 20, 16, 8, 4096
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,57 +131,148 @@ class Machine:
         return best, begin[pick], end[pick]
 
 
-def telling_pairs(rows: np.ndarray, n: np.ndarray, rest: np.ndarray, variance: np.ndarray) -> np.ndarray:
-    """Terms of the word pairs whose texts' labels differ from their scores beyond chance; rows: terms of one window a text.
+def pairs(words: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of different words under WINDOW words apart, smaller term first, as one number each; a block of words at a time, so that some come again."""
+    words = words.astype(np.int64)
+    for lo in range(0, len(words), BLOCK):
+        own = words[lo : lo + BLOCK]
+        found = []
+        for step in range(1, WINDOW):
+            other = words[lo + step : lo + step + BLOCK]
+            mine = own[: len(other)]
+            if not len(mine):
+                break
+            found.append(np.where(mine < other, mine * TERMS + other, other * TERMS + mine)[mine != other])
+        if found:
+            yield np.unique(np.concatenate(found))
 
-    rest: label less score of each text; variance: that of it by chance.
+
+def cell(pair: np.ndarray) -> np.ndarray:
+    """Cell of each pair."""
+    return (mix(pair.astype(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def clear(rest: np.ndarray, variance: np.ndarray, least: float) -> np.ndarray:
+    """Whether sums of label less score are ``least`` standard errors or more from 0."""
+    return (variance > 0) & (np.abs(rest) >= least * np.sqrt(np.maximum(variance, 1e-12)))
+
+
+def telling_terms(texts: DataFrame, machine: Machine, balance: tuple[float, float]) -> np.ndarray:
+    """Terms of the word pairs whose texts' labels differ from their scores beyond chance, over all words of the texts (y, terms).
+
+    First pairs are hashed to cells, which have a fixed size in every task; then the pairs in cells that stand out are counted as rows.
     """
-    word = rows[:, 0].astype(np.int64)
-    owner = np.repeat(np.arange(len(n)), n)
-    once = np.unique(owner * TERMS + word)
-    text, word = once // TERMS, once % TERMS
-    names, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-    for part in range(PARTS):  # a part of the pairs at a time
-        found = [np.zeros((2, 0), dtype=np.int64)]
-        for step in range(1, WINDOW):  # words of a text are sorted, so each two of them are some steps apart
-            same = (text[step:] == text[:-step]) & (word[:-step] % PARTS == part)
-            found.append(np.stack([word[:-step][same] * TERMS + word[step:][same], text[step:][same]]))
-        pair, owner = np.concatenate(found, axis=1)
-        name, at, count = np.unique(pair, return_inverse=True, return_counts=True)
-        z = np.abs(np.bincount(at, rest[owner], len(name))) / np.sqrt(np.maximum(np.bincount(at, variance[owner], len(name)), 1e-12))
-        clear = np.flatnonzero((count >= TEXTS) & (z >= CLEAR))
-        names.append(name[clear])
-        scores.append(z[clear])
-    best = np.concatenate(names)[np.argsort(-np.concatenate(scores), kind="stable")[:PAIRS]]
-    return np.unique([best // TERMS, best % TERMS])
+    spark, width = texts.sparkSession, 1 + len(PREFIXES)
+    shared = spark.sparkContext.broadcast(machine)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, float, float]]:
+        for batch in batches:
+            for y, blob in zip(batch.column("y").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                own = np.frombuffer(blob, dtype=np.int32).reshape(-1, width)
+                z = shared.value.strongest(own, np.array([0, len(own)]))[0][0]
+                p = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield own[:, 0], (y - p) * balance[y], max(p * (1 - p), 0.01) * balance[y] ** 2
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, CELLS))
+        for words, rest, variance in read(batches):
+            there = np.zeros(CELLS, dtype=bool)
+            for some in pairs(words):
+                there[cell(some)] = True
+            sums[0, there] += rest
+            sums[1, there] += variance
+        task = TaskContext.get().partitionId()
+        parts = np.split(sums.astype(np.float32), RANGES, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES)), pa.array(np.full(RANGES, task)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "task", "sums"])
+
+    def stand_out(group: pa.Table) -> pa.Table:
+        group = group.sort_by("task")
+        rest, variance = sum(np.frombuffer(b, dtype=np.float32).reshape(2, -1).astype(np.float64) for b in group.column("sums").to_pylist())
+        return pa.table({"cell": np.flatnonzero(clear(rest, variance, LOOK)) + group.column("part")[0].as_py() * (CELLS // RANGES)})
+
+    got = texts.coalesce(FILLERS).mapInArrow(fill, "part long, task long, sums binary").groupBy("part").applyInArrow(stand_out, "cell long").toArrow()  # at most CELLS rows
+    looked = np.zeros(CELLS, dtype=bool)
+    looked[got.column("cell").to_numpy()] = True
+    cells = spark.sparkContext.broadcast(looked)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                name, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                sums = [np.bincount(at, np.repeat([h[i] for h in held], [len(h[0]) for h in held]), len(name)) for i in (1, 2, 3)]
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(sums[0].astype(np.int64)), pa.array(np.rint(sums[1] * 2**30).astype(np.int64)), pa.array(np.rint(sums[2] * 2**30).astype(np.int64))], ["pair", "n", "rest", "variance"])
+
+        size = 0
+        for words, rest, variance in read(batches):
+            found = [some[cells.value[cell(some)]] for some in pairs(words)]
+            if found:
+                held.append((np.unique(np.concatenate(found)), 1, rest, variance))
+                size += len(held[-1][0])
+            if size > 2_000_000:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    # sums are whole numbers of 2**-30, so that they don't depend on the order
+    sums = texts.mapInArrow(count, "pair long, n long, rest long, variance long").groupBy("pair").agg(F.sum("n").alias("n"), (F.sum("rest") / 2**30).alias("rest"), (F.sum("variance") / 2**30).alias("variance"))
+    told = sums.where((F.col("n") >= TEXTS) & (F.abs("rest") >= CLEAR * F.sqrt("variance")))
+    got = told.select(F.explode(F.array(F.floor(F.col("pair") / TERMS), F.col("pair") % TERMS)).alias("term")).distinct().toArrow()  # at most TERMS rows
+    return np.sort(got.column("term").to_numpy().astype(np.int64))
 
 
 def descend(machine: Machine, rows: np.ndarray, n: np.ndarray, labels: np.ndarray, balance: np.ndarray, mask: np.ndarray) -> None:
-    """Gradient steps of the weighted logistic loss over one window a text, for the terms of ``mask`` and the bias; rows: terms of the words, n: words of each window."""
+    """Adagrad steps of the weighted logistic loss over one window a text, for the terms of ``mask`` and the bias; what had the least loss stays.
+
+    rows: terms of the words, n: words of each window.
+    """
     used, t = np.unique(rows, return_inverse=True)
     flat, owners = t.ravel(), np.repeat(np.arange(len(n)), n * rows.shape[1])
     mine = np.flatnonzero(mask[used][flat])  # the others have no factors
-    flat_v, owners_v = flat[mine], owners[mine]
-    w, v, own = machine.weights[used], machine.factors[used], mask[used]
-    for _ in range(STEPS):
-        each = v[flat_v]
-        total = np.stack([np.bincount(owners_v, each[:, f], len(n)) for f in range(FACTORS)], axis=1)
-        z = machine.bias + np.bincount(owners, w[flat], len(n)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(owners_v, (each**2).sum(axis=1), len(n)))
+    fixed = machine.weights[used] * ~mask[used]
+    fixed = np.bincount(owners, fixed[flat], len(n))
+    own, at = np.unique(flat[mine], return_inverse=True)
+    owners = owners[mine]
+    w, v, bias = machine.weights[used[own]], machine.factors[used[own]], machine.bias
+    squares = [np.full(w.shape, 1e-8), np.full(v.shape, 1e-8), 1e-8]
+    best = None
+    for _ in range(STEPS + 1):
+        each = v[at]
+        total = np.stack([np.bincount(owners, each[:, f], len(n)) for f in range(FACTORS)], axis=1)
+        z = bias + fixed + np.bincount(owners, w[at], len(n)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(owners, (each**2).sum(axis=1), len(n)))
+        loss = float((balance * (np.logaddexp(0, z) - labels * z)).sum() + SHRINK * ((w**2).sum() + (v**2).sum()) / 2)
+        if best is None or loss < best[0]:
+            best = (loss, w.copy(), v.copy(), bias)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
-        e = error[owners_v]
-        gw = np.bincount(flat_v, e, len(used))
-        gv = np.stack([np.bincount(flat_v, e * (total[owners_v, f] - each[:, f]), len(used)) for f in range(FACTORS)], axis=1)
-        w -= own * (np.clip(STEP_SIZE * gw, -LARGEST, LARGEST) + SHRINK * w)
-        v -= own[:, None] * (np.clip(STEP_SIZE * gv, -LARGEST, LARGEST) + SHRINK * v)
-        machine.bias -= float(np.clip(STEP_SIZE * error.sum(), -LARGEST, LARGEST))
-    machine.weights[used], machine.factors[used] = w, v
-
-
-def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], tuple[np.ndarray, np.ndarray, np.ndarray]], per_sampled: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Machine:
+        e = error[owners]
+        gradients = [
+            np.bincount(at, e, len(own)) + SHRINK * w,
+            np.stack([np.bincount(at, e * (total[owners, f] - each[:, f]), len(own)) for f in range(FACTORS)], axis=1) + SHRINK * v,
+            float(error.sum()),
+        ]
+        squares = [s + g**2 for s, g in zip(squares, gradients, strict=True)]
+        w, v, bias = (x - STEP_SIZE * g / np.sqrt(s) for x, g, s in zip((w, v, bias), gradients, squares, strict=True))
+    machine.weights[used[own]], machine.factors[used[own]], machine.bias = best[1:]
+
+
+def centred(z: np.ndarray, labels: np.ndarray, balance: np.ndarray) -> float:
+    """What added to all logits makes the weighted labels less the scores sum to 0."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = float(((1 / (1 + np.exp(-np.clip(z + middle, -60, 60))) - labels) * balance).sum()) > 0
+        low, high = (low, middle) if over else (middle, high)
+    return (low + high) / 2
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], tuple[np.ndarray, np.ndarray, np.ndarray]], telling: Callable[[Machine, tuple[float, float]], np.ndarray], per_sampled: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Machine:
     """A machine learned from labelled texts; without both classes, one that gives their share.
 
     counts: texts of class 0 and 1 that have each term. strongest: gives, for a machine, the logit of each text's strongest
     window, the terms of all those windows and the number of words of each, in the order of the labels.
+    telling: gives, for a machine and the weights of both classes, the terms of pairs that come with its errors.
     per_sampled: labelled texts of class 0 and 1 that each sampled one stands for, for the calibration.
     """
     rng = np.random.default_rng(seed)
@@ -207,16 +299,19 @@ def fit(counts: np.ndarray, labels: np.ndarray, strongest: Callable[[Machine], t
         machine.bias -= RATE * error.sum() / np.sqrt(g2b)
         machine.weights *= 1 - DECAY
     paired = np.zeros(TERMS, dtype=bool)
+    z = strongest(machine)[0]
     for _ in range(ROUNDS):
-        z, rows, n = strongest(machine)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        new = telling_pairs(rows, n, (labels - p) * balance, np.maximum(p * (1 - p), 0.01) * balance**2)
+        machine.bias += centred(z, labels, balance)
+        new = telling(machine, (0.5 / (1 - share), 0.5 / share))
         new = new[~paired[new]]
         machine.factors[new] = rng.normal(0, SPREAD, (len(new), FACTORS))
+        machine.weights[new] += 0.01  # among windows that are as strong, those that hold them are taken first
         paired[new] = True
         if not paired.any():
             break
+        _, rows, n = strongest(machine)
         descend(machine, rows, n, labels, balance / len(labels), paired)
+        z = strongest(machine)[0]
     machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
     machine.calibrate(strongest(machine)[0], labels, np.asarray(per_sampled)[labels])
     return machine
@@ -279,7 +374,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 3, left_out: int
 
     labels_ = texts.select("doc_id", "y").orderBy("doc_id").toArrow().column("y").to_numpy().astype(np.int64)
     per_sampled = tuple(there.get(y, 0) / max(1, int((labels_ == y).sum())) for y in (0, 1))
-    return fit(counts, labels_, strongest, per_sampled)
+    return fit(counts, labels_, strongest, lambda machine, balance: telling_terms(texts, machine, balance), per_sampled)
 
 
 def score(documents: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
