@@ -132,7 +132,7 @@ class Machine:
 
 
 def pairs(words: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of different words under WINDOW words apart, smaller term first, as one number each; a block of words at a time, so that some come again."""
+    """Pairs of different words under WINDOW words apart, smaller term first, as one number each, as often as they come; a block of words at a time."""
     words = words.astype(np.int64)
     for lo in range(0, len(words), BLOCK):
         own = words[lo : lo + BLOCK]
@@ -144,7 +144,7 @@ def pairs(words: np.ndarray) -> Iterator[np.ndarray]:
                 break
             found.append(np.where(mine < other, mine * TERMS + other, other * TERMS + mine)[mine != other])
         if found:
-            yield np.unique(np.concatenate(found))
+            yield np.concatenate(found)
 
 
 def cell(pair: np.ndarray) -> np.ndarray:
@@ -329,7 +329,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 3, left_out: int
     there = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("l_id")
     picked = known.where("y = 1").orderBy(order, "l_id").limit(SAMPLE).unionAll(known.where("y = 0").orderBy(order, "l_id").limit(SAMPLE))
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text").repartition(4 * FILLERS, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
