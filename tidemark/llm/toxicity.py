@@ -367,12 +367,12 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 3, left_out: int
                     blobs.append(own[begin[0] : end[0]].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.float64()), pa.array(blobs, pa.binary())], ["doc_id", "z", "terms"])
 
-        got = texts.mapInArrow(best, "doc_id long, z double, terms binary").orderBy("doc_id").toArrow()  # at most one window a text
+        got = texts.mapInArrow(best, "doc_id long, z double, terms binary").toArrow().sort_by("doc_id")  # at most one window a text
         shared.unpersist()
         blobs = got.column("terms").to_pylist()
         return got.column("z").to_numpy(), np.frombuffer(b"".join(blobs), dtype=np.int32).reshape(-1, width), np.array([len(x) // (4 * width) for x in blobs], dtype=np.int64)
 
-    labels_ = texts.select("doc_id", "y").orderBy("doc_id").toArrow().column("y").to_numpy().astype(np.int64)
+    labels_ = texts.select("doc_id", "y").toArrow().sort_by("doc_id").column("y").to_numpy().astype(np.int64)
     per_sampled = tuple(there.get(y, 0) / max(1, int((labels_ == y).sum())) for y in (0, 1))
     return fit(counts, labels_, strongest, lambda machine, balance: telling_terms(texts, machine, balance), per_sampled)
 
