@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -27,6 +28,18 @@ def test_query_equals_sql(spark, name):
             assert got[c].astype(float).sub(want[c].astype(float)).abs().max() < 1e-5 or got[c].isna().all()
 
 
+@pytest.mark.parametrize("name", ["bars_15m", "features_activity", "grammar_columns", "grammar_operations"])
+def test_repeated_events_equal_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT e.* REPLACE (event_id + i * 1000000 AS event_id) FROM range(3) r(i), '{SF}/events.parquet' e) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchdf().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    assert len(got) == len(want) and set(got.columns) == set(want.columns)
+    for c in got.select_dtypes("number").columns:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-5, equal_nan=True), c
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -77,6 +77,15 @@ def test_bars_and_quality(spark):
     assert resample(df.limit(0)).count() == 0
 
 
+def test_records_of_one_time_all_count_in_the_order_of_seq(spark):
+    at = lambda d, m: T0 + dt.timedelta(days=d, minutes=m)
+    ticks = [("a", at(0, 3), 9.0, 2), ("a", at(0, 3), 10.0, 1), ("a", at(0, 14), 12.0, 4), ("a", at(0, 14), 11.0, 5), ("a", at(0, 14), 8.0, 3), ("a", at(1, 0), 11.0, 7), ("a", at(1, 0), 7.0, 8)]
+    got = resample(spark.createDataFrame(ticks, "symbol string, ts timestamp_ntz, price double, seq long")).orderBy("ts").collect()
+    assert [(r.ts, r.open, r.high, r.low, r.close, r.n, r.up, r.down) for r in got] == [(at(0, 0), 10.0, 12.0, 8.0, 11.0, 5, 1, 3), (at(1, 0), 11.0, 11.0, 7.0, 7.0, 2, 0, 1)]
+    seven = resample(spark.createDataFrame(ticks, "symbol string, ts timestamp_ntz, price double, seq long"), 7).orderBy("ts").first()  # bars that cross days
+    assert (seven.open, seven.close, seven.n) == (10.0, 9.0, 2)
+
+
 def test_long_ranks_equal_pandas_and_do_not_depend_on_chunks(spark):
     r = random.Random(4)
     values = [None if r.random() < 0.02 else float(r.randrange(400)) for _ in range(1500)]

@@ -49,15 +49,16 @@ def by_stretch(rows: DataFrame, add: Callable[[DataFrame], DataFrame], back: int
     return out if "rn" in rows.columns else out.drop("rn")
 
 
-def previous(rows: DataFrame, x: str, name: str, by: str = "symbol", ts: str = "ts") -> DataFrame:
+def previous(rows: DataFrame, x: str, name: str, by: str = "symbol", ts: str = "ts", then: str | None = None) -> DataFrame:
     """``name``: x of the row before in the series, without one group for a series; ``_day`` stays, for groupings after it.
 
     Rows look back inside (series, day); the last value of each day is handed to the next day that has rows, one row a day.
+    Rows of one time are in the order of the column ``then``, if it is given.
     """
     day = F.to_date(ts).alias("_day")
-    ends = rows.groupBy(by, day).agg(F.max_by(x, ts).alias("_end"))
+    ends = rows.groupBy(by, day).agg(F.max_by(x, F.struct(ts, then) if then else ts).alias("_end"))
     carried = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(by).orderBy("_day")))
-    w = Window.partitionBy(by, "_day").orderBy(ts)
+    w = Window.partitionBy(by, "_day").orderBy(*([ts, then] if then else [ts]))
     joined = rows.withColumn("_day", F.to_date(ts)).join(carried, [by, "_day"], "left")
     return joined.withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag(x).over(w))).drop("_end")
 
@@ -96,14 +97,19 @@ def resample(ticks: DataFrame, minutes: int = 15) -> DataFrame:
     """Bars of ``minutes`` minutes: open, high, low, close, n, rv, absret, up, down, range_sum, utc.
 
     ticks: symbol, ts, price, seq, or minute records with open, high, low, close. Changes are taken against the record
-    before, across bars and gaps. Bars without records don't appear. One row per (symbol, ts) is expected; see keep_last.
+    before, across bars and gaps. Bars without records don't appear. Every record counts: those of one time are in the order
+    of seq, where there is one; keep_last leaves one a time.
     """
     minute = ticks if "close" in ticks.columns else ticks.withColumns({c: F.col("price") for c in ("open", "high", "low", "close")})
-    step = previous(minute, "close", "_c").withColumn("_d", F.log("close") - F.log("_c"))
+    then = "seq" if "seq" in ticks.columns else None
+    step = previous(minute, "close", "_c", then=then).withColumn("_d", F.log("close") - F.log("_c"))
+    w = Window.partitionBy("symbol", "_day").orderBy(*(["ts", then] if then else ["ts"]))  # the window of previous
+    at = lambda near: F.when(F.coalesce(near("ts").over(w) != F.col("ts"), F.lit(True)), F.col("ts"))
+    step = step.withColumns({"_from": at(F.lag), "_to": at(F.lead)})  # the time, on the first and on the last record of it
     start = F.window("ts", f"{minutes} minutes")["start"]
     day = ["_day"] if 1440 % minutes == 0 else []  # bars that end with a day need no other exchange than the changes
     bars = step.groupBy("symbol", *day, start.alias("ts")).agg(
-        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.count("*").alias("n"),
+        F.min_by("open", "_from").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_to").alias("close"), F.count("*").alias("n"),
         F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("rv"), F.coalesce(F.sum(F.abs("_d")), F.lit(0.0)).alias("absret"),
         F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).alias("down"), F.sum((F.col("high") - F.col("low")) / F.col("close")).alias("range_sum"),
     )
