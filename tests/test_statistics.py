@@ -74,6 +74,7 @@ def test_ranks_of_one_key_are_in_ranges(spark):
 
     want = pd.DataFrame([tuple(x) for x in df.collect()], columns=["i", "v", "y"]).corr(method="spearman")
     assert all(rho == pytest.approx(want.loc[a, b]) for (a, b), rho in matrix.items()) and len(matrix) == 3
+    assert "_row" not in S.spearman_matrix(df, ["i", "v", "y"])._jdf.queryExecution().optimizedPlan().toString()  # rows aren't put together again by number
 
 
 def test_digamma(spark):

@@ -75,11 +75,16 @@ def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str], least: int =
 def spearman_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """x, y, rho of every two columns, x < y; rows with nulls in one of them are left out of all, undefined counts as 0.
 
-    All columns are ranked in one pass over (column, value) rows; a row's ranks meet again by its number.
+    All columns are ranked in one pass over the counts of (column, value); a row gets its ranks from one small or even
+    join a column, so rows aren't multiplied or put together again.
     """
-    whole = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().withColumn("_row", F.monotonically_increasing_id())
-    r = ranked(melted(whole, columns, ["_row"]), "value", ["column"])  # only the side that is joined keeps the number
-    back = r.groupBy("_row").agg(*(F.max(F.when(F.col("column") == c, F.col("_rank"))).alias(c) for c in columns))
+    whole = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    counts = melted(whole, columns, []).groupBy("column", "value").agg(F.count("*").alias("_t"))
+    places = sums_before(in_ranges(counts, "column", "value"), ["column"], ["value"], {"_below": "_t"})
+    places = written(places.select("column", "value", (F.col("_below") + (F.col("_t") + 1) / 2).alias("_rank")).repartition("column").sortWithinPartitions("column"), "places")
+    back = whole
+    for c in columns:
+        back = back.join(places.where(F.col("column") == c).select(F.col("value").alias(c), F.col("_rank").alias(f"_r_{c}")), c).drop(c).withColumnRenamed(f"_r_{c}", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = back.agg(*(F.coalesce(corr(a, b), F.lit(0.0)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)))).alias("c")).select("c.*")
