@@ -86,3 +86,19 @@ def test_ruin_equals_replayed_histories(spark):
     got = M.ruin(df, reps=50, floor=-0.4).first()
     assert got.mean_worst == pytest.approx(sum(worst) / 50) and got.ruin == pytest.approx(sum(w <= -0.4 for w in worst) / 50)
     assert M.ruin(df.limit(0), reps=5).count() == 0
+
+
+def test_minutes_hold_only_new_extremes_and_touch_levels_alike(spark):
+    r = random.Random(3)
+    ticks = [("s", T0 + dt.timedelta(seconds=r.randrange(1800)), round(r.uniform(90, 110), 1), round(r.uniform(80, 90), 1)) for _ in range(400)]
+    df = spark.createDataFrame(ticks * 5, "symbol string, ts timestamp_ntz, high double, low double")
+    bars = spark.createDataFrame([("s", T0), ("s", T0 + dt.timedelta(minutes=15)), ("s", T0 + dt.timedelta(minutes=30))], "symbol string, ts timestamp_ntz")
+    got = [x.minutes for x in M.attach_minutes(bars, df).orderBy("ts").collect()]
+    assert got[2] == []
+    for i in (0, 1):
+        whole = [{"high": h, "low": low} for _, t, h, low in sorted(ticks) if (t - T0).seconds // 900 == i]
+        assert len(got[i]) < 30 < len(whole)
+        for _ in range(200):
+            limit, side = r.uniform(80, 110), r.choice([1, -1])
+            sl = limit - side * r.uniform(0, 5)
+            assert M.stop_first(got[i], limit, sl, side) == M.stop_first(whole, limit, sl, side)

@@ -59,9 +59,17 @@ def with_context(bars: DataFrame, atr: str = "a14") -> DataFrame:
 
 
 def attach_minutes(bars: DataFrame, minute: DataFrame, width: int = 15) -> DataFrame:
-    """``minutes``: the (high, low) of each bar's minute records in order; an equi-join on the bar's start replaces the range join."""
+    """``minutes``: the (high, low) of those of each bar's minute records, in order, that trade higher or lower than all before them in the bar.
+
+    Only such a record can be the first to reach a level, so what is reached first, and what in one minute, is as with all
+    of them; repeated records add nothing. An equi-join on the bar's start replaces the range join.
+    """
     start = F.window("ts", f"{width} minutes")["start"]
-    held = minute.groupBy("symbol", start.alias("ts")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "high", "low"))), lambda m: F.struct(m["high"].alias("high"), m["low"].alias("low"))).alias("minutes"))
+    before = Window.partitionBy("symbol", "_start").orderBy("ts", "high", "low").rowsBetween(Window.unboundedPreceding, -1)
+    new = lambda x, most, way: F.coalesce(way(F.col(x), most(x).over(before)), F.col(x).isNotNull())
+    m = minute.select("symbol", "ts", "high", "low", start.alias("_start"))
+    m = m.withColumn("_new", new("high", F.max, lambda a, b: a > b) | new("low", F.min, lambda a, b: a < b)).where("_new")
+    held = m.groupBy("symbol", F.col("_start").alias("ts")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("at"), "high", "low"))), lambda m: F.struct(m["high"].alias("high"), m["low"].alias("low"))).alias("minutes"))
     return bars.join(held, ["symbol", "ts"], "left").withColumn("minutes", F.coalesce("minutes", F.array().cast("array<struct<high:double,low:double>>")))
 
 
