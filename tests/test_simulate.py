@@ -102,3 +102,19 @@ def test_minutes_hold_only_new_extremes_and_touch_levels_alike(spark):
             limit, side = r.uniform(80, 110), r.choice([1, -1])
             sl = limit - side * r.uniform(0, 5)
             assert M.stop_first(got[i], limit, sl, side) == M.stop_first(whole, limit, sl, side)
+
+
+def test_kelly_from_running_sums_equals_plain_windows(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    x = [r.choice([1.4, -1.0, 0.3]) for _ in range(1500)] + [0.5] * 400
+    rows = [("s", "base", T0 + dt.timedelta(minutes=i), T0 + dt.timedelta(minutes=i), v, True) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, scenario string, exit_ts timestamp_ntz, entry_ts timestamp_ntz, r_mult double, filled boolean")
+    out = M.sized(df, "kelly025")
+    assert "RowFrame, -300, -1)" not in out._jdf.queryExecution().optimizedPlan().toString()  # such a frame is added up anew for each row
+    got = [t.fraction for t in out.orderBy("exit_ts").collect()]
+    for i, f in enumerate(got):
+        held = np.array(x[max(0, i - 300) : i])
+        k = held.mean() / (held.var() + 1e-12) if len(held) else 0
+        assert f == pytest.approx(0.01 if len(held) < 100 else min(max(0.0025 * k, 0.0025), 0.02) if k > 0 else 0.0025, abs=1e-9)

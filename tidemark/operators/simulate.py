@@ -289,9 +289,16 @@ def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
     if rule == "kelly025":  # stretches with the 300 trades before them
         own = F.floor(F.col("_i") / STRETCH)
         t = t.withColumn("_chunk", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_i") + 300) / STRETCH)))))
-        before = Window.partitionBy(*keys, "_chunk").orderBy("_i").rowsBetween(-300, -1)
-        k = F.avg("r_mult").over(before) / (F.var_pop("r_mult").over(before) + 1e-12)
-        f = F.when(F.count("r_mult").over(before) < 100, 0.01).when(k > 0, F.least(F.greatest(0.25 * k * 0.01, F.lit(0.0025)), F.lit(0.02))).otherwise(0.0025)
+        w = Window.partitionBy(*keys, "_chunk").orderBy("_i")  # running sums less those of 300 rows before: a frame would be added up anew for each row
+        t = t.withColumn("_from", F.first("r_mult", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        finite = F.abs("r_mult") < float("inf")
+        x = F.when(finite, F.col("r_mult") - F.when(F.abs("_from") < float("inf"), F.col("_from")).otherwise(0.0))
+        sums = {"_n": F.count("r_mult"), "_wild": F.count(F.when(~finite, 1)), "_s": F.sum(x), "_q": F.sum(x * x)}
+        t = t.withColumns({name: F.coalesce(total.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for name, total in sums.items()})
+        t = t.withColumns({name: F.col(name) - F.coalesce(F.lag(name, 300).over(w), F.lit(0)) for name in sums})
+        s, q = (F.col(name) / F.nullif(F.col("_n"), F.lit(0)) for name in ("_s", "_q"))
+        k = F.when(F.col("_wild") > 0, float("nan")).otherwise((s + F.col("_from")) / (F.greatest(q - s * s, F.lit(0.0)) + 1e-12))
+        f = F.when(F.col("_n") < 100, 0.01).when(k > 0, F.least(F.greatest(0.25 * k * 0.01, F.lit(0.0025)), F.lit(0.02))).otherwise(0.0025)
         t = t.withColumn("fraction", f).where(F.col("_chunk") == own)
     else:
         edge = F.least(F.greatest((F.col("p") - (F.col("threshold") if "threshold" in trades.columns else F.lit(threshold))) / 0.1, F.lit(0.0)), F.lit(1.0))
