@@ -95,3 +95,20 @@ def test_many_trees_share_their_subtrees(spark):
         for r in grammar.evaluate(bars, {n: trees[n]}).select("symbol", "ts", n).collect():
             a, b = r[n], every[r.symbol, r.ts][n]
             assert (a is None or a != a) and (b is None or b != b) or a == pytest.approx(b, rel=1e-9, abs=1e-12)
+
+
+def test_training_rows_in_bounded_parts(spark, monkeypatch):
+    """However the rows are dealt, a fold's rows come in parts of about PART, and models don't depend on the dealing; kinds share one preparation."""
+    monkeypatch.setattr(models, "PART", 100)
+    r = random.Random(6)
+    rows = [("s", f"{2000 + i // 400}-01-01", i + 1, x, r.random(), int(x + r.random() > 1)) for i, x in ((i, r.random()) for i in range(1200))]
+    df = spark.createDataFrame(rows, "symbol string, day string, rn long, x double, z double, y int").withColumn("ts", F.to_date("day"))
+    plan = folds.year_folds(df)
+    shares = []
+    for dealt in (df.coalesce(1), df.orderBy(F.desc("rn")).repartition(3, "x")):
+        got = models.models_of(dealt, plan, ["x", "z"], "y", {"forest": 3, "gbt": 2})
+        assert all(got["forest"][y].stages[:3] == got["gbt"][y].stages[:3] for y in (2001, 2002))
+        shares.append([s[2] for kind in got for s in I.gain_shares(got[kind], ["x", "z"])])
+        sizes = models.training(dealt.withColumn("label", F.col("y").cast("double")), plan, 2002, 704, ["x", "z"]).rdd.glom().map(len).collect()
+        assert sum(sizes) == 704 and max(sizes) < 200
+    assert shares[0] == pytest.approx(shares[1])
