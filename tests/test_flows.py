@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import flows
 from tidemark.operators import embedding as V
+from tidemark.shared import written
 from tidemark.sources import jobs
 from tidemark.sources.documents import document_rows, documents_from
 from tidemark.streaming.bars import late_rows, run_bars, stream_bars
@@ -94,6 +95,19 @@ def test_documents_round_trip(spark):
     assert document_rows(df.limit(0), "i", "doc").count() == 0 and documents_from(rows.limit(0), "i").count() == 0
 
 
+def test_documents_in_few_passes(spark, monkeypatch):
+    """Four levels of nesting are one written pass, deeper ones another each four; documents are put together without any. Keys come as they were."""
+    from tidemark.sources import documents
+
+    passes = []
+    monkeypatch.setattr(documents, "written", lambda df, name: passes.append(name) or written(df, name))
+    docs = ['{"a":{"b":{"c":[1,{}]}},"z":"{\\"x\\":1}"}', '{"\\u001F\\n\\\\u00ab":"[","é\\"":[[],null]}', '[[[[[[[[[7]]]]]]]]]', "null", '"{"', None, "{"]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string")
+    assert document_rows(df.where("i < 2"), "i", "doc").count() == 6 and len(passes) == 1
+    back = documents_from(document_rows(df, "i", "doc"), "i").collect()
+    assert len(passes) == 4 and {r.i: r.document for r in back} == dict(enumerate(docs[:5]))
+
+
 @pytest.mark.parametrize("chunk", [20_000, 50])
 def test_components_equal_numpy(spark, chunk):
     r = np.random.default_rng(4)
