@@ -13,12 +13,17 @@ The tree is never in one place. Every token goes with the DEPTH words before it
 with the same words are counted, tested and read. A context of more than half a BUCKET of tokens is hot: its next words
 are counted as rows, with a combiner before the shuffle, and joined to the buckets that ask for them; its tokens are dealt
 by the longer contexts. So the tree is the same for any BUCKET and for any number of words broadcast.
+
+Texts are read and their words looked up once; what is kept of them are their words' numbers. The buckets are worked off
+in SLICES, one after the other, and each one's shuffle files go before the next begins, so the disk holds a part of the
+tokens with their contexts at a time. Every bucket is in one slice, so the result doesn't depend on their number.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CHUNK_BYTES, lower_ascii, materialise, mix, prefix_hash, require, span_hash, text_chunks, word_spans
+from tidemark.llm.common import CHUNK_BYTES, lower_ascii, materialise, mix, prefix_hash, release, require, span_hash, text_chunks, word_spans
 
 #: Longest context in words.
 DEPTH = 4
 #: Times that a context must be followed by a word to list it; nats between a context and its parent.
 LEAST, DIVERGENCE = 2, 0.01
-#: Tokens that a bucket has about; contexts of more than half of them are hot.
-BUCKET = 400_000
+#: Tokens that a bucket has about at most; contexts of more than half of a bucket's are hot. Small corpora have up to SPREAD buckets of FEWEST tokens and more.
+BUCKET, SPREAD, FEWEST = 700_000, 160, 140_000
+#: Parts of the buckets whose tokens are on disk one after the other.
+SLICES = 2
 #: Codes of the end, of the place before a text's first word or of a word that no context can list, and the bit of words that aren't broadcast.
 END_CODE, NONE, FAR = 1 << 61, (1 << 61) + 1, 1 << 63
 #: Most words that are broadcast with their counts, the most frequent ones; the others' counts are joined.
@@ -102,7 +109,33 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == keys
 
 
-def coded(h: np.ndarray, first: np.ndarray, known: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Index:
+    """Sorted 64-bit hashes with where those of each leading bits begin, which finds a hash in a few steps instead of a search through all."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, len(keys).bit_length())
+        self.begin = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find``: where each key is, and whether it is there."""
+        if not len(self.keys):
+            return find(self.keys, keys)
+        last = len(self.keys) - 1
+        at = np.minimum(self.begin[keys >> np.uint64(64 - self.bits)], last)
+        got = self.keys[at]
+        behind = np.flatnonzero(got < keys)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[self.keys[at[behind]] < keys[behind]]
+        at = np.minimum(at, last)
+        return at, self.keys[at] == keys
+
+
+def coded(h: np.ndarray, first: np.ndarray, known: np.ndarray | Index, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code of each token, its place in its text, and its text.
 
     The code is the number of a ``known`` hash (its place, if ``number`` isn't given), the hash with FAR set, or END_CODE.
@@ -110,7 +143,7 @@ def coded(h: np.ndarray, first: np.ndarray, known: np.ndarray, number: np.ndarra
     docs = len(first) - 1
     size = np.diff(first) + 1
     codes = np.full(len(h) + docs, np.uint64(END_CODE))
-    at, there = find(known, h)
+    at, there = known.find(h) if isinstance(known, Index) else find(known, h)
     if number is not None and len(number):
         at = number[at]
     codes[np.arange(len(h)) + np.repeat(np.arange(docs), np.diff(first))] = np.where(there, at.astype(np.uint64), h | np.uint64(FAR))
@@ -118,11 +151,13 @@ def coded(h: np.ndarray, first: np.ndarray, known: np.ndarray, number: np.ndarra
 
 
 def befores(codes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Codes of the words 1 to DEPTH before each token."""
+    """Codes of the words 1 to DEPTH before each token; before a word that no context can list there is none either."""
     out = []
     for d in range(1, DEPTH + 1):
         w = np.full(len(codes), np.uint64(NONE))
         w[d:] = np.where(place[d:] >= d, codes[:-d], np.uint64(NONE))
+        if out:
+            w[out[-1] == np.uint64(NONE)] = NONE
         out.append(w)
     return out
 
@@ -138,18 +173,31 @@ def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Hot:
-    """The hot contexts: sorted keys and their numbers; by number, the parent's number (-1: root) and the length."""
+    """The hot contexts: sorted keys and their numbers; by number, the parent's number (-1: root), the length and the tokens about."""
 
     def __init__(self) -> None:
         self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.parent, self.depth = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.parent, self.depth, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def add(self, keys: np.ndarray, parent: np.ndarray, depth: int) -> None:
+    def add(self, keys: np.ndarray, parent: np.ndarray, depth: int, n: np.ndarray) -> None:
         numbers = np.append(self.numbers, len(self.parent) + np.arange(len(keys)))
         every = np.append(self.keys, keys)
         order = np.argsort(every)
         self.keys, self.numbers = every[order], numbers[order]
         self.parent, self.depth = np.append(self.parent, parent), np.append(self.depth, np.full(len(keys), depth))
+        self.n = np.append(self.n, n)
+
+    def buckets(self, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """By number, the first bucket and how many buckets the tokens have whose longest hot context it is; in the last place, those of the other tokens.
+
+        A hot context's tokens stay together in few buckets, so that a bucket asks for few different next words of it.
+        """
+        own = self.n.copy()
+        some = self.parent >= 0
+        np.subtract.at(own, self.parent[some], self.n[some])
+        own = np.maximum(own, 1)
+        many = np.maximum(1, -(-np.append(own, max(total - int(own.sum()), 1)) // size))
+        return np.cumsum(many) - many, many
 
     def longest(self, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: length and number of its longest hot context (0 and -1: none), and the key of the context one word longer (0: there is none)."""
@@ -178,32 +226,61 @@ class Hot:
         return pa.table({"deep": np.concatenate(deep), "ctx": np.concatenate(ctx)})
 
 
-def shares(before: list[np.ndarray], code: np.ndarray, train: np.ndarray, discount: float, hot: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def groups(key: np.ndarray, span: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """For each key (whole, under ``span``) the place of its value among the sorted ones, how many they are, and where each is first."""
+    n = len(key)
+    shift = max(1, n.bit_length())
+    if span.bit_length() + shift <= 64:  # key and place in one word, which sorts faster than places by their keys
+        both = (key.astype(np.uint64) << np.uint64(shift)) | np.arange(n, dtype=np.uint64)
+        both.sort()
+        order, values = (both & np.uint64((1 << shift) - 1)).astype(np.int64), both >> np.uint64(shift)
+        del both
+    else:
+        order = np.argsort(key, kind="stable")
+        values = key[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    own = np.empty(n, dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    return own, int(new.sum()), order[new]
+
+
+def numbered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The columns' codes as small numbers, equal ones for equal codes (1: none), and a number above them all."""
+    far = np.unique(np.concatenate([c[c >= np.uint64(FAR)] for c in columns]))
+    top = 3 + max(int(c[c < np.uint64(END_CODE)].max(initial=0)) for c in columns)
+    out = []
+    for c in columns:
+        w = (c & np.uint64(0x3FFFFFFF)).astype(np.int32) + np.int32(2)
+        w[c == np.uint64(END_CODE)], w[c == np.uint64(NONE)] = 0, 1
+        i = np.flatnonzero(c >= np.uint64(FAR))
+        w[i] = top + np.searchsorted(far, c[i])
+        out.append(w)
+    return out, top + len(far)
+
+
+def shares(words: list[np.ndarray], base: int, train: np.ndarray, discount: float, hot: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each token: its listed share after its longest state, and the factor of its root share.
 
-    The tokens are all those after the contexts that end with the same words; those of ``train`` are learned from.
-    hot: for each token, length and number of its longest hot context, its listed share and factor there, and those of the longest state up to there.
+    words, base: ``numbered`` codes of the tokens and of the words before them. The tokens are all those after the contexts that end with the same words; those of ``train`` are learned from.
+    hot: for each token, length and number of its longest hot context, its listed share and factor there, and those of the longest state up to there, which are written over.
     """
-    _, ids = np.unique(np.concatenate([code, *before]), return_inverse=True)
-    base = int(ids.max()) + 1 if len(ids) else 1
-    x, *w = ids.astype(np.int32).reshape(DEPTH + 1, len(code))
-    del ids
-    n_ = len(code)
+    x, *w = words
+    n_ = len(x)
     length, ctx, listed, factor, out, rest_ = hot or (np.zeros(n_, dtype=np.int64), np.full(n_, -1), np.zeros(n_), np.ones(n_), np.zeros(n_), np.ones(n_))
-    listed, factor, out, rest_ = listed.copy(), factor.copy(), out.copy(), rest_.copy()
     above = int(ctx.max()) + 2 if n_ else 1  # numbers of hot contexts and the root come before those of this place
     ctx = ctx.astype(np.int64) + 1
     active = np.zeros(0, dtype=np.int64)
     for d in range(1, DEPTH + 1):
         active = np.concatenate([active, np.flatnonzero(length == d - 1)])
-        active = active[before[d - 1][active] != np.uint64(NONE)]
-        _, own = np.unique(ctx[active] * base + w[d - 1][active].astype(np.int64), return_inverse=True)
-        seen = np.bincount(own, train[active])
+        active = active[w[d - 1][active] != 1]  # none
+        own, kinds, _ = groups(ctx[active] * base + w[d - 1][active], (int(ctx.max(initial=0)) + 1) * base)
+        seen = np.bincount(own, train[active], kinds)
         fine = seen >= LEAST
         new = np.cumsum(fine) - 1
         active, own = active[fine[own]], new[own[fine[own]]]
         seen = seen[fine]
-        _, pick, gram = np.unique(own * base + x[active], return_index=True, return_inverse=True)
+        gram, _, pick = groups(own * base + x[active], (len(seen) + 1) * base)
         n = np.bincount(gram, train[active], len(pick))
         holder, some = own[pick], n >= LEAST
         p = np.where(some, (n - discount) / np.maximum(seen[holder], 1), 0.0)
@@ -236,7 +313,7 @@ class Tree:
         codes = np.where(number >= 0, number, FAR).astype(np.uint64)
         both = [np.concatenate(c) for c in zip(befores(self.codes, self.place), befores(codes, place), strict=True)]
         every = np.concatenate([self.codes, codes])
-        listed, factor = shares(both, every, np.arange(len(every)) < len(self.codes), self.discount)
+        listed, factor = shares(*numbered([every, *both]), np.arange(len(every)) < len(self.codes), self.discount)
         return listed[-k:], factor[-k:]
 
 
@@ -284,16 +361,28 @@ def unpacked(size: int, blob: bytes, kinds: list[type]) -> list[np.ndarray]:
 #: Arrays of what a text chunk asks a bucket (numbers, text, learned from, hashes of words that aren't broadcast), and of the answer.
 ASKED = [np.int32] * (DEPTH + 1) + [np.int32, np.uint8, np.uint64]
 TOLD = [np.int32, np.float64, np.int32, np.uint64, np.float64, np.float64]
+#: Arrays of a text chunk: tokens of each text, whether it is learned from, the tokens' codes, hashes of words that aren't broadcast.
+CODED = [np.int32, np.uint8, np.int32, np.uint64]
+
+
+def shrunk(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in 32 bits, and the hashes of words that aren't broadcast."""
+    far = (codes & np.uint64(FAR)) != 0
+    small = (codes & np.uint64(0x3FFFFFFF)).astype(np.int32)
+    small[codes == np.uint64(END_CODE)], small[codes == np.uint64(NONE)], small[far] = -1, -2, -3
+    return small, codes[far]
+
+
+def grown(small: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The codes of ``shrunk``."""
+    codes = small.astype(np.int64).astype(np.uint64)
+    codes[small == -1], codes[small == -2], codes[small == -3] = np.uint64(END_CODE), np.uint64(NONE), far
+    return codes
 
 
 def asked(columns: list[np.ndarray], doc: np.ndarray, train: np.ndarray) -> tuple[int, bytes]:
     """What a chunk asks a bucket: the tokens' codes and those of the words before them."""
-    small, hashes = [], []
-    for c in columns:
-        far = (c & np.uint64(FAR)) != 0
-        low = (c & np.uint64(0x3FFFFFFF)).astype(np.int32)
-        small.append(np.where(far, -3, np.where(c == np.uint64(END_CODE), -1, np.where(c == np.uint64(NONE), -2, low))).astype(np.int32))
-        hashes.append(c[far])
+    small, hashes = zip(*(shrunk(c) for c in columns), strict=True)
     return packed([*small, np.diff(doc, prepend=0).astype(np.int32), train.astype(np.uint8), np.concatenate(hashes)])
 
 
@@ -302,12 +391,9 @@ def read_asked(size: int, blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np
     *small, doc, train, far = unpacked(size, blob, ASKED)
     columns, at = [], 0
     for c in small:
-        own = c.astype(np.int64).astype(np.uint64)
-        own[c == -1], own[c == -2] = np.uint64(END_CODE), np.uint64(NONE)
         k = int((c == -3).sum())
-        own[c == -3] = far[at : at + k]
+        columns.append(grown(c, far[at : at + k]))
         at += k
-        columns.append(own)
     return columns, np.cumsum(doc), train.astype(bool)
 
 
@@ -318,25 +404,25 @@ def least_count(words: DataFrame, most: int) -> int:
     return next((t for t, n in zip(grid, reach, strict=True) if n <= most), grid[-1])
 
 
-def hot_contexts(rows: DataFrame, first: np.ndarray, half: int, tokens: Callable) -> Hot:
+def hot_contexts(coded_texts: DataFrame, first: np.ndarray, counts: np.ndarray, half: int, far_listed: bool) -> Hot:
     """The contexts that more than ``half`` tokens stand after, those of one word given: fewer than tokens / half of each length."""
     hot = Hot()
-    hot.add(context_key(np.zeros(len(first), dtype=np.uint64), first), np.full(len(first), -1), 1)
+    hot.add(context_key(np.zeros(len(first), dtype=np.uint64), first), np.full(len(first), -1), 1, counts)
     for d in range(2, DEPTH + 1):
         if not (hot.depth == d - 1).any():
             break
-        shared = rows.sparkSession.sparkContext.broadcast(hot)
+        shared = coded_texts.sparkSession.sparkContext.broadcast(hot)
 
         def run(batches: Iterator[pa.RecordBatch], d=d, shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in tokens(batch):
+                for part in chunks(batch, far_listed):
                     depth, ctx, longer = shared.value.longest(part.before)
                     i = np.flatnonzero((depth == d - 1) & (longer != 0))
                     keys, pick, n = np.unique(longer[i], return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ctx[i][pick]), pa.array(n)], ["key", "parent", "n"])
 
-        got = rows.mapInArrow(run, "key long, parent long, n long").groupBy("key", "parent").agg(F.sum("n").alias("n")).where(F.col("n") > half).orderBy("key").toArrow()
-        hot.add(got.column("key").to_numpy().astype(np.uint64), got.column("parent").to_numpy(), d)
+        got = coded_texts.mapInArrow(run, "key long, parent long, n long").groupBy("key", "parent").agg(F.sum("n").alias("n")).where(F.col("n") > half).orderBy("key").toArrow()
+        hot.add(got.column("key").to_numpy().astype(np.uint64), got.column("parent").to_numpy(), d, got.column("n").to_numpy())
     return hot
 
 
@@ -376,16 +462,43 @@ def hot_shares(spark: SparkSession, needs: DataFrame, hot: Hot, discount: float)
     every = levels[0]
     for level in levels[1:]:
         every = every.unionAll(level)
-    return needs.join(every.withColumnRenamed("ctx", "deep"), ["deep", "x"]).select("bucket", F.col("deep").alias("ctx"), "x", "listed", "state_listed"), factor, state_factor
+    known = materialise(needs.join(every.withColumnRenamed("ctx", "deep"), ["deep", "x"]).select("bucket", F.col("deep").alias("ctx"), "x", "listed", "state_listed"), "hot-shares")
+    release(grams)
+    return known, factor, state_factor
 
 
 class Tokens:
-    """The tokens of a stretch of a batch's rows lo..hi, with the codes of the words before each."""
-
-    def __init__(self, lo: int, hi: int, first: np.ndarray, codes: np.ndarray, place: np.ndarray, doc: np.ndarray, far_listed: bool):
-        self.lo, self.hi, self.first, self.codes, self.place, self.doc = lo, hi, first, codes, place, doc
-        context = codes if far_listed else np.where((codes & np.uint64(FAR)) != 0, np.uint64(NONE), codes)
-        self.before = befores(context, place)
+    """The tokens of a text chunk, with the codes of the words before each."""
+
+    def __init__(self, chunk: int, size: int, blob: bytes, far_listed: bool):
+        self.chunk = chunk
+        n, train, small, far = unpacked(size, blob, CODED)
+        self.train, self.codes = train.astype(bool), grown(small, far)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(n) - n, n)
+        context = self.codes if far_listed else np.where((self.codes & np.uint64(FAR)) != 0, np.uint64(NONE), self.codes)
+        self.before = befores(context, self.place)
+
+
+def chunks(batch: pa.RecordBatch, far_listed: bool) -> Iterator[Tokens]:
+    """The text chunks of a batch (chunk, size, blob)."""
+    for chunk, size, blob in zip(batch.column("chunk").to_pylist(), batch.column("size").to_pylist(), batch.column("blob"), strict=True):
+        yield Tokens(chunk, size, blob.as_py(), far_listed)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, what an action has shuffled is deleted when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = BROADCAST) -> DataFrame:
@@ -396,6 +509,29 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
     with probability one. Repeated rows are texts of their own. Other columns are ignored.
     """
     require(documents, "doc_id", "text")
+    with shuffles_removed(documents.sparkSession):
+        texts, parts, tail, facts = scored_parts(documents, fold, left_out, most)
+    n, log_all, discount, unknown = facts
+    # a word's hash is told apart by its lower 63 bits
+    far = parts.where("h is not null").join(tail, F.col("h") == F.col("w_h"), "left")
+    count = F.coalesce("c", F.lit(0))
+    root = F.when(count > 0, (count - F.lit(discount)) / F.lit(float(max(n, 1)))).otherwise(F.lit(float(unknown)))
+    far = far.select("row", F.when(count > 0, 1).otherwise(0).cast("long").alias("n_known"), (F.log10(count + 1) - F.lit(log_all)).alias("base_score"), F.log10(F.col("listed") + F.col("factor") * root).alias("score"))
+    both = texts.unionByName(parts.where("h is null").select("row", "score"), True).unionByName(far, True)
+    out = both.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+        F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
+    )
+    return out.drop("row")
+
+
+#: Of each text, what is known without the tree; of the tokens, what the tree gave: sums (no h) and words whose counts are joined.
+TEXT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+PART = "row long, h long, score double, listed double, factor double"
+
+
+def scored_parts(documents: DataFrame, fold: int, left_out: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+    """Written tables of ``TEXT`` and ``PART``, the counts (c) of the hashes (w_h) to join, and the numbers that shares take: tokens, log of all, discount, unknown."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == left_out, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     training = rows.where("not held_out")
@@ -415,92 +551,104 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
     number[order] = np.arange(len(order), dtype=np.int32)
     head_c = head_c[order]  # by number
     end_number = number[find(head_h, np.array([end_hash()], dtype=np.uint64))[0]] if end_count >= least else None
-    buckets = max(1, -(-n // BUCKET))
+    bucket_size = min(BUCKET, max(-(-n // SPREAD), FEWEST))
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((head_h, number, head_c))
-
-    def tokens(batch: pa.RecordBatch) -> Iterator[Tokens]:
-        for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
-            _, _, _, h, first = hashed_words(data, offsets)
-            yield Tokens(lo, hi, first, *coded(h, first, *shared.value[:2]), least > LEAST)
-
-    def dealt(part: Tokens, depth: np.ndarray, longer: np.ndarray) -> np.ndarray:
-        """Bucket of each token: by its shortest context that isn't hot, or by itself."""
-        return (mix(np.where(longer != 0, longer, mix(part.codes + np.uint64(7)))) % np.uint64(buckets)).astype(np.int64)
-
-    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens(batch):
-                depth, ctx, longer = tree.value.longest(part.before)
-                i = np.flatnonzero(depth > 0)
-                train = ~batch.column("held_out").slice(part.lo, part.hi - part.lo).to_numpy(zero_copy_only=False).astype(bool)
-                bucket = dealt(part, depth, longer)[i]
-                _, pick, own = np.unique(pair_key(ctx[i], part.codes[i]) + mix(bucket.astype(np.uint64)), return_index=True, return_inverse=True)
-                n_train = np.bincount(own, train[part.doc[i]], len(pick)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[pick]), pa.array(ctx[i][pick]), pa.array(part.codes[i][pick].astype(np.int64)), pa.array(n_train)], ["bucket", "deep", "x", "n"])
-
-    over = words.where((F.col("c") > BUCKET // 2) & (F.col("h") != int(np.uint64(end_hash()).astype(np.int64)))).select("h").toArrow().column("h").to_numpy().astype(np.uint64)  # fewer than 2 * buckets
-    at, there = find(head_h, np.sort(over))
-    hot = hot_contexts(rows, np.where(there, number[at].astype(np.uint64), np.sort(over) | np.uint64(FAR)) if len(head_h) else np.sort(over) | np.uint64(FAR), BUCKET // 2, tokens)
-    tree = spark.sparkContext.broadcast(hot)
-    if len(hot.parent):
-        needs = materialise(rows.mapInArrow(need, "bucket long, deep long, x long, n long").groupBy("bucket", "deep", "x").agg(F.sum("n").alias("n")), "needs")
-        known, factor, state_factor = hot_shares(spark, needs, hot, discount)
-    else:
-        known, factor, state_factor = spark.createDataFrame([], "bucket long, ctx long, x long, listed double, state_listed double"), np.zeros(0), np.zeros(0)
-    factors = spark.sparkContext.broadcast((factor, state_factor))
+    shared = spark.sparkContext.broadcast((Index(head_h), number, head_c))
     log_all = math.log10(n + v + 1)
+    far_listed = least > LEAST
 
     def root_share(c):
         return np.where(c > 0, (c - discount) / max(n, 1), unknown)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[2]
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, numbers, counts = shared.value
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for part in tokens(batch):
-                lo, docs = part.lo, part.hi - part.lo
-                first, codes, place, doc, before = part.first, part.codes, part.place, part.doc, part.before
+            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
+                h, first = hashed_words(data, offsets)[3:]
+                codes, place, doc = coded(h, first, index, numbers)
+                docs = hi - lo
+                held = batch.column("held_out").slice(lo, docs)
                 end, far = codes == np.uint64(END_CODE), (codes & np.uint64(FAR)) != 0
                 c = np.full(len(codes), end_count, dtype=np.int64)
                 c[~end & ~far] = counts[codes[~end & ~far].astype(np.int64)]
                 base = np.where(far, 0.0, np.log10(c + 1) - log_all)
-                held = batch.column("held_out").slice(lo, docs)
                 start = place == 0
                 home = pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, docs), held, pa.array(np.diff(first) + 1), pa.array(np.bincount(doc, ~far & (c > 0), docs).astype(np.int64)), pa.array(np.bincount(doc, base, docs)), pa.array(np.where(far[start], 0.0, np.log10(root_share(c[start])))), pa.array(np.where(far[start], codes[start], 0))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"],
+                    [pa.array(row + np.arange(docs)), batch.column("doc_id").slice(lo, docs), held, pa.array(np.diff(first) + 1), pa.array(np.bincount(doc, ~far & (c > 0), docs).astype(np.int64)), pa.array(np.bincount(doc, base, docs)), pa.array(np.where(far[start], 0.0, np.log10(root_share(c[start])))), pa.array(np.where(far[start], codes[start], 0).view(np.int64))],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"],
                 )
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, home.schema) as out:
                     out.write_batch(home)
-                rest = np.flatnonzero(~start)
-                depth, _, longer = tree.value.longest(before)
-                bucket = dealt(part, depth, longer)[rest]
-                by = np.argsort(bucket, kind="stable")
-                rest, bucket = rest[by], bucket[by]
                 train = ~held.to_numpy(zero_copy_only=False).astype(bool)
-                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(rest))
-                rows_ = [(-1 - (row >> 40), 0, sink.getvalue().to_pybytes())]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    i = rest[a:b]
-                    rows_.append((int(bucket[a]), *asked([codes[i], *(w[i] for w in before)], doc[i], train[doc[i]])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows_], pa.int64()), pa.array(np.full(len(rows_), row)), pa.array([r[1] for r in rows_], pa.int64()), pa.array([r[2] for r in rows_], pa.binary())],
-                    ["bucket", "chunk", "size", "blob"],
-                )
+                small, hashes = shrunk(codes)
+                size, blob = packed([(np.diff(first) + 1).astype(np.int32), train.astype(np.uint8), small, hashes])
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([size]), pa.array([blob], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "size", "blob", "home"])
                 row += docs
 
+    kept = materialise(rows.mapInArrow(code, "chunk long, size long, blob binary, home binary"), "coded")
+    coded_texts = kept.select("chunk", "size", "blob")
+
+    def dealt(part: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each token, and length and number of its longest hot context: by its shortest context that isn't hot, or where there is none by its text."""
+        depth, ctx, longer = tree.value.longest(part.before)
+        begin, many = places
+        by = mix(np.where(longer != 0, longer, mix(part.doc.astype(np.uint64) + np.uint64(part.chunk))))
+        return begin[ctx] + (by % many[ctx].astype(np.uint64)).astype(np.int64), depth, ctx
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, far_listed):
+                bucket, depth, ctx = dealt(part)
+                i = np.flatnonzero(depth > 0)
+                bucket = bucket[i]
+                _, pick, own = np.unique(pair_key(ctx[i], part.codes[i]) + mix(bucket.astype(np.uint64)), return_index=True, return_inverse=True)
+                n_train = np.bincount(own, part.train[part.doc[i]], len(pick)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[pick]), pa.array(ctx[i][pick]), pa.array(part.codes[i][pick].astype(np.int64)), pa.array(n_train)], ["bucket", "deep", "x", "n"])
+
+    over = words.where((F.col("c") > bucket_size // 2) & (F.col("h") != int(np.uint64(end_hash()).astype(np.int64)))).select("h", "c").orderBy("h").toArrow()  # fewer than 2 * n / bucket_size
+    over_h, over_c = over.column("h").to_numpy().astype(np.uint64), over.column("c").to_numpy()
+    at, there = find(head_h, over_h)
+    hot = hot_contexts(coded_texts, np.where(there, number[at].astype(np.uint64), over_h | np.uint64(FAR)) if len(head_h) else over_h | np.uint64(FAR), over_c, bucket_size // 2, far_listed)
+    places = hot.buckets(n, bucket_size)
+    tree = spark.sparkContext.broadcast(hot)
+    if len(hot.parent):
+        needs = materialise(coded_texts.mapInArrow(need, "bucket long, deep long, x long, n long").groupBy("bucket", "deep", "x").agg(F.sum("n").alias("n")), "needs")
+        known, factor, state_factor = hot_shares(spark, needs, hot, discount)
+        release(needs)
+    else:
+        known, factor, state_factor = spark.createDataFrame([], "bucket long, ctx long, x long, listed double, state_listed double"), np.zeros(0), np.zeros(0)
+    factors = spark.sparkContext.broadcast((factor, state_factor))
+    def ask(part_of: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, far_listed):
+                    bucket = dealt(part)[0]
+                    rest = np.flatnonzero((bucket % slices == part_of) & (part.place > 0))
+                    rest = rest[np.argsort(bucket[rest].astype(np.int32), kind="stable")]
+                    bucket = bucket[rest]
+                    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(rest))
+                    lines = []
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        i = rest[a:b]
+                        lines.append((int(bucket[a]), *asked([part.codes[i], *(w[i] for w in part.before)], part.doc[i], part.train[part.doc[i]])))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[0] for x in lines], pa.int64()), pa.array(np.full(len(lines), part.chunk)), pa.array([x[1] for x in lines], pa.int64()), pa.array([x[2] for x in lines], pa.binary())],
+                        ["bucket", "chunk", "size", "blob"],
+                    )
+
+        return run
+
     def tell(group: pa.Table, hot_rows: pa.Table) -> pa.Table:
         counts = shared.value[2]
         if not group.num_rows:
             return pa.table({"chunk": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        bucket = group.column("bucket")[0].as_py()
         out = group.select(["chunk", "size", "blob"])
-        if bucket < 0:
-            return out
         chunks, parts = out.column("chunk").to_pylist(), [read_asked(z, b) for z, b in zip(out.column("size").to_pylist(), out.column("blob").to_pylist(), strict=True)]
         columns = [np.concatenate([p[0][i] for p in parts]) for i in range(DEPTH + 1)]
+        docs, train = [p[1].astype(np.int32) for p in parts], np.concatenate([p[2] for p in parts])
+        del parts, group, out
         code = columns[0]
         end, far = code == np.uint64(END_CODE), (code & np.uint64(FAR)) != 0
         c = np.full(len(code), end_count, dtype=np.int64)
@@ -517,9 +665,11 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
             at = order[at]
             listed[i], state_listed[i] = hot_rows.column("listed").to_numpy()[at], hot_rows.column("state_listed").to_numpy()[at]
             factor[i], state_factor[i] = (f[ctx[i]] for f in factors.value)
-        listed, factor = shares(columns[1:], code, np.concatenate([p[2] for p in parts]), discount, (depth, ctx, listed, factor, state_listed, state_factor))
+        words_, base = numbered(columns)
+        del columns
+        listed, factor = shares(words_, base, train, discount, (depth, ctx, listed, factor, state_listed, state_factor))
         at, told = 0, []
-        for _, doc, _ in parts:
+        for doc in docs:
             own = slice(at, at + len(doc))
             at += len(doc)
             f, li, fa = far[own], listed[own], factor[own]
@@ -530,49 +680,39 @@ def scores(documents: DataFrame, fold: int = 7, left_out: int = 2, most: int = B
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "size": pa.array([t[0] for t in told], pa.int64()), "blob": pa.array([t[1] for t in told], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
-        home, rare = None, []
         chunk = group.column("chunk")[0].as_py()
-        told = []
-        for size, blob in zip(group.column("size").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            if size:
-                told.append(unpacked(size, blob, TOLD))
-            else:
-                home = pa.ipc.open_stream(blob).read_all()
-        docs = home.num_rows
-        score = home.column("score").to_numpy().copy()
-        start = home.column("far").to_numpy()
-        i = np.flatnonzero(start)
-        rare.append((i, start[i], np.zeros(len(i)), np.ones(len(i))))
-        for doc, total, where, word, li, fa in told:
-            score += np.bincount(np.cumsum(doc), total, docs)
-            rare.append((np.cumsum(where), word, li, fa))
-        where, word, li, fa = (np.concatenate([r[i] for r in rare]) for i in range(4))
-        k, own = len(where), chunk + np.arange(docs)
+        told = [unpacked(size, blob, TOLD) for size, blob in zip(group.column("size").to_pylist(), group.column("blob").to_pylist(), strict=True)]
+        docs = [np.cumsum(t[0]) for t in told]
+        score = np.zeros(1 + max((int(d[-1]) for d in docs if len(d)), default=-1))
+        for doc, t in zip(docs, told, strict=True):
+            score[doc] += t[1]
+        where, word, li, fa = (np.concatenate([np.cumsum(t[2]) if i == 2 else t[i] for t in told]) for i in range(2, 6))
+        d, k = len(score), len(where)
         # FAR is set in the codes, so the hashes that are joined have it set as well
-        cols = {
-            "row": pa.array(np.append(own, chunk + where)), "h": pa.array(np.append(own * 0x5851F42D + 7, (word.astype(np.uint64) | np.uint64(FAR)).view(np.int64))), "n": pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(np.ones(k, dtype=np.int64))]),
-            **{c: pa.chunked_array([*home.column(c).chunks, pa.nulls(k, home.schema.field(c).type)]) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")},
-            "score": pa.concat_arrays([pa.array(score), pa.nulls(k, pa.float64())]), "listed": pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(li.astype(np.float64))]), "factor": pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(fa.astype(np.float64))]),
-        }
-        return pa.table(cols)
-
-    requests = rows.mapInArrow(ask, "bucket long, chunk long, size long, blob binary")
-    answers = requests.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tell, "chunk long, size long, blob binary")
-    parts = answers.groupBy("chunk").applyInArrow(gather, "row long, h long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, listed double, factor double")
-    # a word's hash is told apart by its lower 63 bits
+        columns = [
+            pa.array(np.append(chunk + np.arange(d), chunk + where).astype(np.int64)), pa.concat_arrays([pa.nulls(d, pa.int64()), pa.array(word.view(np.int64))]), pa.concat_arrays([pa.array(score), pa.nulls(k, pa.float64())]),
+            pa.concat_arrays([pa.nulls(d, pa.float64()), pa.array(li)]), pa.concat_arrays([pa.nulls(d, pa.float64()), pa.array(fa)]),
+        ]
+        return pa.Table.from_arrays(columns, ["row", "h", "score", "listed", "factor"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for home in batch.column("home"):
+                yield from pa.ipc.open_stream(home.as_py()).read_all().to_batches()
+
+    slices = min(SLICES, int(places[1].sum()))
+    done = []
+    for k in range(slices):
+        requests = coded_texts.mapInArrow(ask(k), "bucket long, chunk long, size long, blob binary")
+        answers = requests.groupBy("bucket").cogroup(known.where(F.col("bucket") % slices == k).groupBy("bucket")).applyInArrow(tell, "chunk long, size long, blob binary")
+        done.append(materialise(answers.groupBy("chunk").applyInArrow(gather, PART), "scored"))
+    home = materialise(kept.select("home").mapInArrow(texts, TEXT + ", far long"), "texts")
+    release(kept)
+    parts = home.where("far != 0").select("row", F.col("far").alias("h"), F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("listed"), F.lit(1.0).alias("factor"))
+    for one in done:
+        parts = parts.unionAll(one)
     tail = words.where(F.col("c") < least).select(F.col("h").bitwiseOR(F.lit(-(1 << 63))).alias("w_h"), "c")
-    both = parts.join(tail, (F.col("h") == F.col("w_h")) & F.col("n").isNotNull(), "left")
-    # a row of the text itself has no n; that of a rare word n times its count's share
-    count = F.coalesce("c", F.lit(0))
-    rare_known = F.when(F.col("n").isNotNull() & F.col("c").isNotNull(), F.col("n"))
-    rare_base = F.when(F.col("n").isNotNull(), F.col("n") * (F.log10(count + 1) - F.lit(log_all)))
-    root = F.when(count > 0, (count - F.lit(discount)) / F.lit(float(max(n, 1)))).otherwise(F.lit(float(unknown)))
-    rare_score = F.when(F.col("n").isNotNull(), F.col("n") * F.log10(F.col("listed") + F.col("factor") * root))
-    out = both.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", rare_known, F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum(F.coalesce("base_score", rare_base)).alias("base_score"), F.sum(F.coalesce("score", rare_score)).alias("score"),
-    )
-    return out.drop("row")
+    return home.drop("far"), parts, tail, (n, log_all, discount, unknown)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
