@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import simulate as M
 
@@ -118,3 +119,15 @@ def test_kelly_from_running_sums_equals_plain_windows(spark):
         held = np.array(x[max(0, i - 300) : i])
         k = held.mean() / (held.var() + 1e-12) if len(held) else 0
         assert f == pytest.approx(0.01 if len(held) < 100 else min(max(0.0025 * k, 0.0025), 0.02) if k > 0 else 0.0025, abs=1e-9)
+
+
+def test_curve_adds_up_exactly_however_trades_are_dealt(spark):
+    rng = random.Random(5)
+    n = 30_000
+    rows = [("s", "base", T0 + dt.timedelta(minutes=i), T0 + dt.timedelta(minutes=i), rng.uniform(-1.0, 2.6), True) for i in range(n)]
+    logs = [math.log(1 + 0.01 * r[4]) for r in rows]
+    df = spark.createDataFrame(rows, "symbol string, scenario string, exit_ts timestamp_ntz, entry_ts timestamp_ntz, r_mult double, filled boolean")
+    curves = [[t.curve for t in M.sized(dealt, "flat1").orderBy("exit_ts").collect()] for dealt in (df, df.orderBy(F.desc("exit_ts")).repartition(7))]
+    assert curves[0] == curves[1]
+    for i in range(999, n, 1000):
+        assert curves[0][i] == pytest.approx(math.exp(math.fsum(logs[: i + 1])), rel=6e-14)

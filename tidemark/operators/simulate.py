@@ -257,16 +257,17 @@ def performance(trades: DataFrame, equity: DataFrame) -> DataFrame:
     return a.join(streaks, key).join(q, key).withColumn("trades_per_day", F.col("n_trades") / F.col("n_days")).drop("_years")
 
 
-#: Trades of one stretch.
-STRETCH = 20_000
+#: Trades of one stretch; steps in 1 to which logs of gains are cut before they are added up.
+STRETCH, GRID = 20_000, float(2**40)
 
 
 def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
     """``fraction`` of equity risked on each trade, and the ``curve`` of equity after it; rules flat1, prob, kelly025 and ddthrottle.
 
     The first three read only the row or the 300 trades before it; trades are numbered by ranges and looked at in stretches,
-    and the curve is a sum of logs over one row a stretch and then inside it, so no key is one task. The last reads its own
-    drawdown and is a fold. ``prob`` takes each trade's own ``threshold`` where trades have that column.
+    and the curve is a sum of logs over one row a stretch and then inside it, so no key is one task. Logs are cut to a grid on
+    which doubles add up exactly wherever the curve is finite, and what the cuts leave is added apart: however rows are dealt,
+    the sum is that of all its terms to one rounding. The last rule reads its own drawdown and is a fold. ``prob`` takes each trade's own ``threshold`` where trades have that column.
     """
     if rule == "ddthrottle":
 
@@ -303,9 +304,10 @@ def sized(trades: DataFrame, rule: str, threshold: float = 0.9) -> DataFrame:
     else:
         edge = F.least(F.greatest((F.col("p") - (F.col("threshold") if "threshold" in trades.columns else F.lit(threshold))) / 0.1, F.lit(0.0)), F.lit(1.0))
         t = t.withColumn("fraction", {"flat1": F.lit(0.01), "prob": 0.005 + 0.015 * edge}[rule])
-    t = t.withColumns({"_g": F.coalesce(F.log1p(F.col("fraction") * F.col("r_mult")), F.lit(0.0)), "_range": F.floor(F.col("_i") / STRETCH)})
-    t = sums_before(t, keys, ["_i"], {"_b": "_g"})
-    return t.withColumn("curve", F.exp(F.col("_b") + F.col("_g"))).select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult", "fraction", "curve")
+    gain = F.coalesce(F.log(1 + F.col("fraction") * F.col("r_mult")), F.lit(0.0))
+    t = t.withColumns({"_g": gain, "_c": F.rint(gain * GRID) / GRID, "_range": F.floor(F.col("_i") / STRETCH)}).withColumn("_f", F.col("_g") - F.col("_c"))
+    t = sums_before(t, keys, ["_i"], {"_b": "_c", "_e": "_f"})
+    return t.withColumn("curve", F.exp((F.col("_b") + F.col("_c")) + (F.col("_e") + F.col("_f")))).select("symbol", "scenario", "exit_ts", "entry_ts", "r_mult", "fraction", "curve")
 
 
 def ruin(trades: DataFrame, reps: int = 2000, fraction: float = 0.01, floor: float = -0.5, seed: int = 9) -> DataFrame:
