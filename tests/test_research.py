@@ -112,3 +112,20 @@ def test_training_rows_in_bounded_parts(spark, monkeypatch):
         sizes = models.training(dealt.withColumn("label", F.col("y").cast("double")), plan, 2002, 704, ["x", "z"]).rdd.glom().map(len).collect()
         assert sum(sizes) == 704 and max(sizes) < 200
     assert shares[0] == pytest.approx(shares[1])
+
+
+def test_longest_years_first_and_nodes_kept(spark, monkeypatch):
+    """Years are fitted by falling number of training rows and come back in order; kept nodes give the same trees."""
+    r = random.Random(9)
+    rows = [("s", f"{2000 + i // 300}-01-01", i + 1, x, r.random(), int(x + r.random() > 1)) for i, x in ((i, r.random()) for i in range(1200))]
+    df = spark.createDataFrame(rows, "symbol string, day string, rn long, x double, z double, y int").withColumn("ts", F.to_date("day"))
+    asked, training = [], models.training
+    monkeypatch.setattr(models, "training", lambda rows, plan, year, *a: asked.append(year) or training(rows, plan, year, *a))
+    fitted = models.fold_models(df, folds.year_folds(df), ["x", "z"], "y", "forest", 4, at_once=1)
+    assert asked == [2003, 2002, 2001] and list(fitted) == [2001, 2002, 2003]
+    ready = models.preparation(["x", "z"]).fit(df).transform(df).select("features", F.col("y").cast("double").alias("label")).persist()
+    forest = models.classifier("forest", 1200, 2, 4)
+    assert forest.getCacheNodeIds()
+    kept, walked = (forest.setCacheNodeIds(c).fit(ready).toDebugString.split("\n", 1)[1] for c in (True, False))
+    assert kept == walked
+    ready.unpersist()
