@@ -129,3 +129,24 @@ def test_longest_years_first_and_nodes_kept(spark, monkeypatch):
     kept, walked = (forest.setCacheNodeIds(c).fit(ready).toDebugString.split("\n", 1)[1] for c in (True, False))
     assert kept == walked
     ready.unpersist()
+
+
+def whole_models(monkeypatch):
+    """Notes the trees or steps that a query asks for, by kind, and fits one instead."""
+    asked, classifier = {}, models.classifier
+
+    def noted(kind, n, width, rounds=None):
+        whole = classifier(kind, n, width, rounds)
+        asked[kind] = whole.getNumTrees() if kind == "forest" else whole.getMaxIter()
+        return classifier(kind, n, width, 1)
+
+    monkeypatch.setattr(models, "classifier", noted)
+    return asked
+
+
+def test_gains_are_of_whole_models(spark, monkeypatch):
+    """Gain is that of the reference's 400 boosted and 300 bagged trees, whose lineage can be cut."""
+    asked = whole_models(monkeypatch)
+    for kind in ("gbt", "forest"):
+        assert research.QUERIES[f"importance_gain_{kind}"](spark, SF).count() == 8
+    assert asked == {"gbt": 400, "forest": 300} and spark.sparkContext.getCheckpointDir()
