@@ -150,3 +150,11 @@ def test_gains_are_of_whole_models(spark, monkeypatch):
     for kind in ("gbt", "forest"):
         assert research.QUERIES[f"importance_gain_{kind}"](spark, SF).count() == 8
     assert asked == {"gbt": 400, "forest": 300} and spark.sparkContext.getCheckpointDir()
+
+
+def test_walk_forward_compares_whole_models(spark, monkeypatch):
+    """All five kinds are fitted with all their trees or steps; the logistic one and margins until they settle."""
+    asked = whole_models(monkeypatch)
+    got = research.QUERIES["walk_forward_models"](spark, SF).collect()
+    assert {r.kind for r in got} == set(asked) == {"gbt", "forest", "mlp", "svm", "logistic"} and len(got) == 30
+    assert (asked["gbt"], asked["forest"], asked["mlp"]) == (400, 300, 60) and asked["svm"] >= 50 and asked["logistic"] >= 100
